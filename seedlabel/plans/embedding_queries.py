@@ -212,3 +212,124 @@ WHERE aspect_score >= {ASPECT_THRESHOLD} - CASE WHEN polarity = 0 THEN {RELAX[0]
     "classification_report": _with("," + REPORT_SQL),
     "confusion_matrix": _confusion_sql(),
 }
+
+
+# ---------------------------------------------------------------------------
+# Losses over the class scores (used as logits) and run averages.
+
+from seedlabel.operators import losses as L  # noqa: E402
+from seedlabel.operators.prototypes import top_k_per_group  # noqa: E402
+
+RUNS = 5
+
+
+def q_class_weights(spark, sf_dir):
+    counts = metrics.label_counts(q_seed_sentence_labels(spark, sf_dir), ["aspect"]).withColumnRenamed("aspect", "cls")
+    return L.class_weights(counts)
+
+
+def q_focal_loss(spark, sf_dir):
+    s = scored_embeddings(spark, sf_dir, keep_scores=True)
+    return L.focal_loss(s, "aspect_scores", "gold_aspect", FOCAL_GAMMAS)
+
+
+def q_gce_loss(spark, sf_dir):
+    s = scored_embeddings(spark, sf_dir, keep_scores=True)
+    w = q_class_weights(spark, sf_dir)
+    warr = w.select(F.array_sort(F.collect_list(F.struct("cls", "weight"))).alias("x")) \
+        .select(F.col("x.weight").alias("w")).scalar()
+    return L.gce_loss(s, "aspect_scores", "gold_aspect", GCE_Q, warr)
+
+
+def q_run_averages(spark, sf_dir):
+    """RUNS seed draws (run r uses the (5r+1)..(5r+5)-th lowest ids of each
+    class), each scored on the rows that are seeds in no run; macro metrics
+    per run, averaged over runs."""
+    emb = embedding_input(spark, sf_dir)
+    kinds = []
+    seed_ids = set()
+    for kind, col in (("aspect", "gold_aspect"), ("polarity", "gold_polarity")):
+        ranked = top_k_per_group(emb, [col], [F.col("vec_id")], SEEDS_PER_CLASS * RUNS, rank_col="rk")
+        ranked = ranked.withColumn("run", ((F.col("rk") - 1) / SEEDS_PER_CLASS).cast("int"))
+        for r in range(RUNS):
+            ps = collect_prototypes(f"{kind}_r{r}", prototypes(ranked.filter(F.col("run") == r), col, "embedding",
+                                                              "vec_id"))
+            seed_ids.update(int(i) for i in ps.proto_ids if i >= 0)
+            kinds.append((kind, col, r, ps))
+    targets = emb.filter(~F.col("vec_id").isin(sorted(seed_ids)))
+    scored = score_with_prototypes(targets, "embedding", [k[3] for k in kinds])
+    long = scored.select(F.inline(F.array(*[
+        F.struct(F.lit(r).alias("run"), F.lit(kind).alias("kind"), F.col(col).alias("actual"),
+                 F.col(ps.name).alias("pred")) for kind, col, r, ps in kinds])))
+    rep = metrics.classification_report(long, "actual", "pred", ["run", "kind"])
+    return metrics.run_averages(metrics.report_summary(rep, ["run", "kind"]), ["kind"])
+
+
+LOSS_CTE = """,
+lg AS (SELECT c.vec_id, c.cls, c.s, t.gold_aspect AS y FROM c_aspect c JOIN t USING (vec_id)),
+ls AS (SELECT vec_id, max(s) AS m FROM lg GROUP BY vec_id),
+lse AS (SELECT lg.vec_id, ln(sum(exp(lg.s - ls.m))) + ls.m AS lse FROM lg JOIN ls USING (vec_id) GROUP BY lg.vec_id, ls.m),
+lp AS (SELECT lg.vec_id, lg.y, lg.s - lse.lse AS logp FROM lg JOIN lse USING (vec_id) WHERE lg.cls = lg.y),
+lc AS (SELECT aspect AS cls, count(*) AS n FROM (""" + LABELS_SQL + """) GROUP BY aspect),
+cw AS (SELECT CAST(cls AS INTEGER) AS cls, n, (1.0 / n) / sum(1.0 / n) OVER () AS weight FROM lc)"""
+
+
+def _run_avg_sql() -> str:
+    ctes = [f"""
+e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label AS gold_aspect,
+             CAST(label >= 5 AS INTEGER) AS gold_polarity FROM embeddings)"""]
+    for kind, col in (("aspect", "gold_aspect"), ("polarity", "gold_polarity")):
+        ctes.append(f"""
+rk_{kind} AS (SELECT {col} AS cls, vec_id, v, CAST((row_number() OVER (PARTITION BY {col} ORDER BY vec_id) - 1)
+              // {SEEDS_PER_CLASS} AS INTEGER) AS run FROM e QUALIFY row_number() OVER (PARTITION BY {col} ORDER BY vec_id)
+              <= {SEEDS_PER_CLASS * RUNS}),
+pr_{kind} AS (SELECT run, cls, v FROM rk_{kind} UNION ALL
+    SELECT run, cls, list(m ORDER BY i) FROM (
+        SELECT run, cls, i, avg(x) AS m FROM (
+            SELECT run, cls, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM rk_{kind}) GROUP BY run, cls, i)
+    GROUP BY run, cls)""")
+    ctes.append("""
+t AS (SELECT * FROM e WHERE vec_id NOT IN (SELECT vec_id FROM rk_aspect UNION SELECT vec_id FROM rk_polarity))""")
+    for kind, col in (("aspect", "gold_aspect"), ("polarity", "gold_polarity")):
+        ctes.append(f"""
+c_{kind} AS (SELECT t.vec_id, p.run, p.cls, max(list_cosine_similarity(t.v, p.v)) AS s, any_value(t.{col}) AS actual
+             FROM t, pr_{kind} p GROUP BY t.vec_id, p.run, p.cls),
+b_{kind} AS (SELECT run, '{kind}' AS kind, actual, cls AS pred FROM c_{kind}
+             QUALIFY row_number() OVER (PARTITION BY vec_id, run ORDER BY s DESC, cls) = 1)""")
+    ctes.append("""
+lo AS (SELECT * FROM b_aspect UNION ALL SELECT * FROM b_polarity),
+cm AS (SELECT run, kind, actual, pred, count(*) AS n FROM lo GROUP BY ALL),
+cls AS (SELECT run, kind, actual AS cls FROM cm UNION SELECT run, kind, pred FROM cm),
+per AS (SELECT c.run, c.kind, c.cls,
+        coalesce((SELECT sum(n) FROM cm WHERE cm.run = c.run AND cm.kind = c.kind AND cm.actual = c.cls), 0) AS support,
+        coalesce((SELECT sum(n) FROM cm WHERE cm.run = c.run AND cm.kind = c.kind AND cm.pred = c.cls), 0) AS pred_n,
+        coalesce((SELECT sum(n) FROM cm WHERE cm.run = c.run AND cm.kind = c.kind AND cm.pred = c.cls
+                  AND cm.actual = c.cls), 0) AS tp FROM cls c),
+m AS (SELECT run, kind, cls, support, tp,
+        CASE WHEN pred_n = 0 THEN 0.0 ELSE tp / pred_n END AS precision,
+        CASE WHEN support = 0 THEN 0.0 ELSE tp / support END AS recall,
+        CASE WHEN support + pred_n = 0 THEN 0.0 ELSE 2 * tp / (support + pred_n) END AS f1 FROM per),
+sm AS (SELECT run, kind, round(sum(tp) / sum(support), 6) AS accuracy, round(avg(precision), 6) AS precision,
+              round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1_score FROM m GROUP BY run, kind)""")
+    return "WITH " + ",".join(ctes) + """
+SELECT kind, count(*) AS runs, round(avg(accuracy), 6) AS avg_accuracy, round(avg(precision), 6) AS avg_precision,
+       round(avg(recall), 6) AS avg_recall, round(avg(f1_score), 6) AS avg_f1_score FROM sm GROUP BY kind"""
+
+
+QUERIES.update({
+    "class_weights": q_class_weights,
+    "focal_loss": q_focal_loss,
+    "gce_loss": q_gce_loss,
+    "run_averages": q_run_averages,
+})
+
+ORACLE.update({
+    "class_weights": _with(LOSS_CTE + "\nSELECT cls, n, round(weight, 6) AS weight FROM cw"),
+    "focal_loss": _with(LOSS_CTE + "\n" + "\nUNION ALL ".join(
+        f"SELECT CAST({g} AS DOUBLE) AS gamma, round(avg(-pow(1 - exp(logp), {g}) * logp), 6) AS loss FROM lp"
+        for g in FOCAL_GAMMAS)),
+    "gce_loss": _with(LOSS_CTE + f"""
+SELECT CAST({GCE_Q} AS DOUBLE) AS q, round(pow(avg((1 - pow(exp(lp.logp), {GCE_Q})) / {GCE_Q} * cw.weight), 2), 6) AS loss
+FROM lp JOIN cw ON cw.cls = lp.y"""),
+    "run_averages": _run_avg_sql(),
+})
