@@ -333,3 +333,17 @@ SELECT CAST({GCE_Q} AS DOUBLE) AS q, round(pow(avg((1 - pow(exp(lp.logp), {GCE_Q
 FROM lp JOIN cw ON cw.cls = lp.y"""),
     "run_averages": _run_avg_sql(),
 })
+
+
+def scored_embeddings_with_vectors(spark, sf_dir):
+    """Scored non-seed rows, keeping the embedding for downstream training."""
+    emb = embedding_input(spark, sf_dir)
+    pa, pp = embedding_prototypes(emb)
+    seed_ids = sorted({int(i) for p in (pa, pp) for i in p.proto_ids if i >= 0})
+    return score_with_prototypes(emb.filter(~F.col("vec_id").isin(seed_ids)), "embedding", [pa, pp])
+
+
+def weak_labelled(spark, sf_dir):
+    """Confident rows with their vectors: the weakly labelled training set."""
+    s = scored_embeddings_with_vectors(spark, sf_dir)
+    return s.filter((F.round("aspect_score", 6) >= ASPECT_THRESHOLD) & (F.round("polarity_score", 6) >= POLARITY_THRESHOLD))

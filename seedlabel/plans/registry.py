@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from seedlabel.plans import embedding_queries, seedword_queries, tabular_queries, text_queries, vocab_queries
+from seedlabel.plans import (embedding_queries, learning_queries, seedword_queries, tabular_queries, text_queries,
+                             vocab_queries)
 
-_MODULES = [embedding_queries, text_queries, vocab_queries, seedword_queries, tabular_queries]
+_MODULES = [embedding_queries, text_queries, vocab_queries, seedword_queries, tabular_queries, learning_queries]
 
 
 def all_queries() -> dict:
