@@ -10,6 +10,7 @@ import ast
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _decode_one(s: str | None) -> str | None:
@@ -24,7 +25,7 @@ def _decode_one(s: str | None) -> str | None:
     return str(v)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _decode(s: pd.Series) -> pd.Series:
     return s.map(_decode_one)
 

@@ -189,3 +189,23 @@ def keyword_text_classifier(train: DataFrame, tokens_col: str, label_col: str, n
                            rawPredictionCol="logits"),
     ])
     return pipe.fit(train.withColumn(label_col, F.col(label_col).cast("double")))
+
+
+def sum_and_threshold(sent_logits: DataFrame, id_col: str, logits_col: str, threshold: float) -> DataFrame:
+    """Multi-label document prediction: sum the sentence logits per document
+    (partial aggregate per class) and keep classes whose sum exceeds
+    ``threshold``: ``(id, label, logit_sum)``."""
+    e = sent_logits.select(id_col, F.posexplode(logits_col).alias("label", "x"))
+    s = e.groupBy(id_col, "label").agg(F.sum("x").alias("logit_sum"))
+    return s.filter(F.col("logit_sum") > threshold).select(id_col, F.col("label").cast("int"), "logit_sum")
+
+
+def predict_multiple(docs: DataFrame, id_col: str, text_col: str, featurize, heads: dict[str, SoftmaxHead],
+                     aspect_head: str, threshold: float = 2.0) -> DataFrame:
+    """Split documents into sentences, predict every sentence, sum the aspect
+    logits per document and threshold them.  ``featurize`` maps the sentence
+    table to one with an ``x`` vector column."""
+    from seedlabel.operators.sentences import split_sentences
+    sent = featurize(split_sentences(docs, id_col, text_col))
+    pred = predict_heads(sent, "x", heads)
+    return sum_and_threshold(pred, id_col, f"{aspect_head}_logits", threshold)

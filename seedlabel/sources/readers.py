@@ -47,7 +47,7 @@ def read_review_csv(spark: SparkSession, path: str, schema: str = "restoId strin
     decoded, lower-cased and word-tokenised (tokens joined by blanks)."""
     from seedlabel.functions.decode import decode_bytes_literal
     df = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').schema(schema).csv(path)
-    score = F.try_cast(F.regexp_replace("reviewScoreOverall", ",", "."), "double")
+    score = F.regexp_replace("reviewScoreOverall", ",", ".").try_cast("double")
     text = decode_bytes_literal(F.coalesce(F.col("reviewText"), F.lit("b''")))
     return df.select("restoId", score.alias("score"), word_tokens_joined(text).alias("text"))
 
@@ -95,7 +95,7 @@ def read_score_file(spark: SparkSession, path: str) -> DataFrame:
     pairs = F.regexp_extract_all(F.col("line"), F.lit(r"(\S+): (\S+)"), 0)
     e = lines.select((F.col("idx") / 2).cast("long").alias("record"), F.explode(pairs).alias("kv"))
     kv = F.split(F.col("kv"), ": ")
-    return e.select("record", kv[0].alias("class_name"), F.try_cast(kv[1], "double").alias("score"))
+    return e.select("record", kv[0].alias("class_name"), kv[1].try_cast("double").alias("score"))
 
 
 def read_results(spark: SparkSession, paths: list[str], type_: str | None = None,

@@ -34,7 +34,7 @@ def export_score_text(scores: DataFrame, path: str, class_names: list[str], orde
 def write_vocabularies(vocab: DataFrame, path: str, class_names: list[str]) -> None:
     """One folder per class with ``word freq`` lines, highest frequency first."""
     v = vocab.withColumn("class_name", decode_labels("cls", class_names))
-    (v.repartition("class_name").sortWithinPartitions(F.desc("freq"), F.desc("word"))
+    (v.repartition("class_name").sortWithinPartitions("class_name", F.desc("freq"), F.desc("word"))
      .select("class_name", F.concat_ws(" ", "word", F.col("freq").cast("string")).alias("value"))
      .write.mode("overwrite").partitionBy("class_name").text(path))
 
