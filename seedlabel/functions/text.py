@@ -36,7 +36,7 @@ def py_strip(col) -> Column:
 
 def tokens(col) -> Column:
     """``str.split()``: runs of whitespace separate tokens, no empty tokens."""
-    return F.filter(F.split(_c(col), f"{_PY_WS}+", -1), lambda t: t != "")
+    return F.array_remove(F.split(_c(col), f"{_PY_WS}+", -1), "")
 
 
 def sentence_pieces(col) -> Column:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seedlabel.functions.bags import bag_cosine, sum_sq_counts
+from seedlabel.functions.bag_udf import bag_scores
 from seedlabel.operators.prototypes import top_k_per_group
 
 REP_SCHEMA = "cls int, pick int, doc_id long, pos int, sentence string"
@@ -119,9 +119,9 @@ def nearest_to_seeds(sent: DataFrame, class_seeds: list[list[str]], min_words: i
     aggregate: each task keeps one row per seed."""
     flat = [(c, p, w) for c, seeds in enumerate(class_seeds) for p, w in enumerate(seeds)]
     t = F.col(tokens_col)
-    sn = F.sqrt(sum_sq_counts(t).cast("double"))
-    scores = F.array(*[F.struct(F.lit(c).alias("cls"), F.lit(p).alias("seed_pos"),
-                                bag_cosine(t, {w: 1.0}, sn).alias("score")) for c, p, w in flat])
+    cos = bag_scores([{w: 1.0} for _, _, w in flat])(t)
+    scores = F.arrays_zip(F.array(*[F.lit(c) for c, _, _ in flat]).alias("cls"),
+                          F.array(*[F.lit(p) for _, p, _ in flat]).alias("seed_pos"), cos.alias("score"))
     x = sent.filter(F.size(t) >= min_words).select(*ids, F.inline(scores))
     best = x.groupBy("cls", "seed_pos").agg(F.min(F.struct((-F.col("score")).alias("ns"), *ids)).alias("b"))
     return best.select("cls", "seed_pos", *[F.col(f"b.{i}").alias(i) for i in ids], (-F.col("b.ns")).alias("score"))
@@ -168,10 +168,10 @@ def prototype_bags(reps: list[tuple[int, str]], nearest: list[tuple[int, str]],
 def score_with_bags(df: DataFrame, tokens_col: str, class_bags: list[list[dict[str, float]]]) -> DataFrame:
     """``scores`` (per class: max cosine over its bags), ``label`` (first best
     class) and ``score``.  A class without bags scores 0."""
-    t = F.col(tokens_col)
-    sn = F.sqrt(sum_sq_counts(t).cast("double"))
-    per_class = [F.array_max(F.array(*[bag_cosine(t, b, sn) for b in bags])) if bags else F.lit(0.0)
-                 for bags in class_bags]
-    out = df.withColumn("scores", F.array(*per_class))
+    bags, groups = [], []
+    for cb in class_bags:
+        groups.append(list(range(len(bags), len(bags) + len(cb))))
+        bags.extend(cb)
+    out = df.withColumn("scores", bag_scores(bags, groups)(F.col(tokens_col)))
     return (out.withColumn("label", (F.array_position("scores", F.array_max("scores")) - 1).cast("int"))
             .withColumn("score", F.array_max("scores")))

@@ -28,9 +28,10 @@ BOS, EOS = "<s>", "</s>"
 def token_positions(df: DataFrame, id_cols, tokens_col: str = "tokens") -> DataFrame:
     """One row per token: ``(*ids, i, left, token, right)``."""
     t = F.col(tokens_col)
-    padded = F.concat(F.array(F.lit(BOS)), t, F.array(F.lit(EOS)))
-    cells = F.transform(t, lambda x, i: F.struct(i.alias("i"), F.element_at(padded, i + 1).alias("left"),
-                                                 x.alias("token"), F.element_at(padded, i + 3).alias("right")))
+    n = F.size(t)
+    left = F.concat(F.array(F.lit(BOS)), F.slice(t, 1, F.greatest(n - 1, F.lit(0))))
+    right = F.concat(F.slice(t, 2, F.greatest(n - 1, F.lit(0))), F.array(F.lit(EOS)))
+    cells = F.arrays_zip(left.alias("left"), t.alias("token"), right.alias("right"))
     return df.select(*id_cols, F.inline(cells))
 
 

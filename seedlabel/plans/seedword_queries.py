@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seedlabel.functions.bags import bag_cosines
+from seedlabel.functions.bag_udf import bag_scores
 from seedlabel.functions.text import tokens
 from seedlabel.operators import metrics
 from seedlabel.operators import representatives as R
@@ -26,7 +26,7 @@ def seed_sentences(spark, sf_dir) -> DataFrame:
 
 
 def _rows(sent: DataFrame) -> DataFrame:
-    scored = sent.withColumn("scores", bag_cosines("tokens", TQ.class_bags()))
+    scored = sent.withColumn("scores", bag_scores(TQ.class_bags())(F.col("tokens")))
     return R.class_rows(scored, TQ.LANG_SEEDS)
 
 

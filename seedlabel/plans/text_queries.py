@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seedlabel.functions.bags import argmax_first, bag_cosines, bag_weights
+from seedlabel.functions.bag_udf import bag_scores, doc_bag_sums
+from seedlabel.functions.bags import argmax_first, bag_weights
 from seedlabel.functions.text import sentence_pieces, tokens
 from seedlabel.operators import keywords, metrics
 from seedlabel.operators.sentences import sentence_stats, split_lines, split_sentences
@@ -67,7 +68,7 @@ def q_keyword_report(spark, sf_dir):
 
 
 def one_step_scored(spark, sf_dir) -> DataFrame:
-    s = sentences(spark, sf_dir).withColumn("_cos", bag_cosines(tokens("sentence"), class_bags()))
+    s = sentences(spark, sf_dir).withColumn("_cos", bag_scores(class_bags())(tokens("sentence")))
     return s.select("doc_id", "pos", keywords.encode_labels("lang", LANGS).alias("gold"),
                     argmax_first("_cos").alias("label"), F.round(F.array_max("_cos"), 6).alias("score"))
 
@@ -85,10 +86,8 @@ def q_document_aspects(spark, sf_dir):
     """Per document: split, score every sentence against every class, sum the
     sentence scores per class and keep classes whose sum passes the threshold.
     The sentences of a document live in its own row, so this is map-only."""
-    bags = class_bags()
-    per_sentence = F.transform(sentence_pieces("text"), lambda s: bag_cosines(tokens(s), bags))
-    sums = F.aggregate(per_sentence, F.array_repeat(F.lit(0.0), len(bags)),
-                       lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b))
+    per_sentence_tokens = F.transform(sentence_pieces("text"), lambda s: tokens(s))
+    sums = doc_bag_sums(class_bags())(per_sentence_tokens)
     d = documents(spark, sf_dir).select("doc_id", F.posexplode(sums).alias("label", "logit_sum"))
     d = d.select("doc_id", F.col("label").cast("int"), F.round("logit_sum", 6).alias("logit_sum"))
     return d.filter(F.col("logit_sum") > DOC_LOGIT_THRESHOLD)
