@@ -12,7 +12,7 @@ def matched_classes(tokens, class_seeds: list[list[str]]) -> Column:
     t = F.col(tokens) if isinstance(tokens, str) else tokens
     arr = F.array(*[F.when(F.arrays_overlap(t, F.array(*[F.lit(s) for s in seeds])), F.lit(i))
                     for i, seeds in enumerate(class_seeds)])
-    return F.filter(arr, lambda x: x.isNotNull())
+    return F.array_compact(arr)
 
 
 def keyword_labels(df: DataFrame, tokens_col: str, class_seeds: list[list[str]],

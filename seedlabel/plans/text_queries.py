@@ -14,7 +14,7 @@ from seedlabel.functions.bags import argmax_first, bag_weights
 from seedlabel.functions.text import sentence_pieces, tokens
 from seedlabel.operators import keywords, metrics
 from seedlabel.operators.sentences import sentence_stats, split_lines, split_sentences
-from seedlabel.session import load_table
+from seedlabel.session import load_table, spread
 
 # Fixed query parameters: class list (order = label encoding) and seed words.
 LANGS = ["en", "fr", "de", "es"]
@@ -29,7 +29,7 @@ DOC_LOGIT_THRESHOLD = 2.0
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load_table(spark, sf_dir, "documents")
+    return spread(load_table(spark, sf_dir, "documents"))
 
 
 def sentences(spark, sf_dir, keep=("lang",)) -> DataFrame:

@@ -31,9 +31,11 @@ class VocabRun:
         self.sent = sent.select("doc_id", "pos", encode_labels("lang", TQ.LANGS).alias("gold"), "tokens")
         self.positions = V.token_positions(self.sent, ["doc_id", "pos"])
         self.fillers = V.context_fillers(self.positions)
+        # one top-K2 window serves both cuts (K1 <= K2)
+        self._subs = V.substitutes(self.fillers, max(K1, K2))
 
     def subs(self, k):
-        return V.substitutes(self.fillers, k)
+        return self._subs.filter(F.col("rank") <= k)
 
     def vocab(self):
         return V.class_vocabulary(self.positions, self.subs(K1), V.seed_table(self.spark, TQ.LANG_SEEDS), FILTER_WORDS)
@@ -46,7 +48,9 @@ class VocabRun:
         return V.overlap_scores(self.sent, ["doc_id", "pos"], hits, N_CLASSES, FILTER_WORDS)
 
     def z(self):
-        s = self.scores()
+        # the scores feed both the class statistics and the standardisation:
+        # compute them once and cut the lineage with a reliable checkpoint
+        s = self.scores().checkpoint(eager=True)
         return V.zscores(s, V.class_score_stats(s))
 
 

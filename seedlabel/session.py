@@ -64,3 +64,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table (``{sf_dir}/{name}.parquet``)."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin the rows over the cluster's parallelism when the scan
+    offers fewer partitions than that (e.g. one large parquet row group);
+    CPU-heavy per-row text work then uses every core.  On large inputs the
+    scan already has enough partitions and this is a no-op."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
+    return df
