@@ -97,6 +97,26 @@ def collect_prototypes(name: str, protos: DataFrame, n_classes: int | None = Non
     return PrototypeSet(name, matrix, classes, k, ids)
 
 
+def collect_prototype_sets(protos: DataFrame, set_col: str = "set",
+                           max_cells: int = MAX_PROTOTYPE_CELLS) -> dict[str, PrototypeSet]:
+    """Several prototype tables at once (one ``set`` name per table): one
+    bounded-size check and one collect for all of them."""
+    size = protos.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
+    n, dim = size["n"], size["d"] or 0
+    if n * max(dim, 1) > max_cells:
+        raise ValueError(f"prototype sets hold {n}x{dim} cells, above the bound {max_cells}")
+    out: dict[str, list] = {}
+    for r in protos.orderBy(set_col, "cls", "proto_id").collect():
+        out.setdefault(r[set_col], []).append(r)
+    sets = {}
+    for name, rows in out.items():
+        matrix = np.array([r["vec"] for r in rows], dtype=np.float64).reshape(len(rows), dim)
+        classes = np.array([r["cls"] for r in rows], dtype=np.int64)
+        ids = np.array([r["proto_id"] for r in rows], dtype=np.int64)
+        sets[name] = PrototypeSet(name, matrix, classes, int(classes.max()) + 1, ids)
+    return sets
+
+
 def score_with_prototypes(df: DataFrame, vec_col: str, kinds: list[PrototypeSet],
                           keep_scores: bool = False) -> DataFrame:
     """Add ``{kind}`` (argmax class) and ``{kind}_score`` (its max cosine) per kind.

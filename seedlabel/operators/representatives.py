@@ -31,26 +31,40 @@ def _lit_array(words):
     return F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
 
 
+def _literal_alternation(words) -> str:
+    return "|".join("\\Q" + w.replace("\\E", "\\E\\\\E\\Q") + "\\E" for w in words)
+
+
 def class_rows(scored: DataFrame, class_seeds: list[list[str]], scores_col: str = "scores",
-               ids=("doc_id", "pos")) -> DataFrame:
+               ids=("doc_id", "pos"), foreign_match: str = "substring", tokens_col: str = "tokens") -> DataFrame:
     """One row per (sentence, class) with the eligibility facts:
 
-    * ``foreign`` -- a seed of another class occurs as a raw substring;
+    * ``foreign`` -- a seed of another class occurs in the sentence: as a raw
+      substring (``foreign_match="substring"``, the reference's behaviour,
+      so ``os`` matches inside ``most``) or as a whole token (``"token"``);
     * ``n_words`` -- whitespace token count;
     * ``own`` -- positions of the class's seeds that occur bounded by single
       spaces (``" seed "``), i.e. not at the sentence edges.
+
+    All facts are built per sentence row with plain expressions (one regex
+    per class, no lambdas) before the rows are split per class.
     """
     k = len(class_seeds)
-    foreign = [[f for j, s in enumerate(class_seeds) if j != i for f in s] for i in range(k)]
-    rows = scored.select(*ids, "sentence", "n_words", F.posexplode(scores_col).alias("cls", "score"))
-    rows = rows.withColumn("cls", F.col("cls").cast("int"))
-    farr = F.element_at(F.array(*[_lit_array(f) for f in foreign]), F.col("cls") + 1)
-    own = F.element_at(F.array(*[F.array(*[F.struct(F.lit(p).alias("seed_pos"), F.lit(f" {s} ").alias("pat"))
-                                           for p, s in enumerate(seeds)]) for seeds in class_seeds]),
-                       F.col("cls") + 1)
-    return (rows.withColumn("foreign", F.exists(farr, lambda f: F.col("sentence").contains(f)))
-            .withColumn("own", F.transform(F.filter(own, lambda s: F.col("sentence").contains(s["pat"])),
-                                           lambda s: s["seed_pos"])))
+    sent = F.col("sentence")
+    cells = []
+    for c in range(k):
+        foreign = [f for j, seeds in enumerate(class_seeds) if j != c for f in seeds]
+        if not foreign:
+            fx = F.lit(False)
+        elif foreign_match == "token":
+            fx = F.arrays_overlap(F.col(tokens_col), _lit_array(foreign))
+        else:
+            fx = sent.rlike(_literal_alternation(foreign))
+        own = F.array_compact(F.array(*[F.when(sent.contains(f" {s} "), F.lit(p))
+                                        for p, s in enumerate(class_seeds[c])]))
+        cells.append(F.struct(F.lit(c).alias("cls"), F.col(scores_col)[c].alias("score"), fx.alias("foreign"),
+                              own.alias("own")))
+    return scored.select(*ids, "sentence", "n_words", F.inline(F.array(*cells)))
 
 
 def candidates(rows: DataFrame, class_seeds: list[list[str]], n: int) -> DataFrame:

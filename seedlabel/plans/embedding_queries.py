@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seedlabel.operators import metrics, thresholds
-from seedlabel.operators.prototypes import (collect_prototypes, prototypes, score_with_prototypes, seed_rows)
+from seedlabel.operators.prototypes import (collect_prototype_sets, collect_prototypes, prototypes,
+                                            score_with_prototypes, seed_rows)
 from seedlabel.session import load_table
 
 # Fixed query parameters.
@@ -36,9 +37,10 @@ def embedding_input(spark: SparkSession, sf_dir: str) -> DataFrame:
 def embedding_prototypes(emb: DataFrame):
     sa = seed_rows(emb, "gold_aspect", "vec_id", SEEDS_PER_CLASS)
     sp = seed_rows(emb, "gold_polarity", "vec_id", SEEDS_PER_CLASS)
-    pa = collect_prototypes("aspect", prototypes(sa, "gold_aspect", "embedding", "vec_id"))
-    pp = collect_prototypes("polarity", prototypes(sp, "gold_polarity", "embedding", "vec_id"))
-    return pa, pp
+    both = (prototypes(sa, "gold_aspect", "embedding", "vec_id").withColumn("set", F.lit("aspect"))
+            .unionByName(prototypes(sp, "gold_polarity", "embedding", "vec_id").withColumn("set", F.lit("polarity"))))
+    sets = collect_prototype_sets(both)
+    return sets["aspect"], sets["polarity"]
 
 
 def scored_embeddings(spark: SparkSession, sf_dir: str, keep_scores: bool = False) -> DataFrame:
@@ -246,16 +248,20 @@ def q_run_averages(spark, sf_dir):
     class), each scored on the rows that are seeds in no run; macro metrics
     per run, averaged over runs."""
     emb = embedding_input(spark, sf_dir)
-    kinds = []
-    seed_ids = set()
+    tables, specs = [], []
     for kind, col in (("aspect", "gold_aspect"), ("polarity", "gold_polarity")):
         ranked = top_k_per_group(emb, [col], [F.col("vec_id")], SEEDS_PER_CLASS * RUNS, rank_col="rk")
         ranked = ranked.withColumn("run", ((F.col("rk") - 1) / SEEDS_PER_CLASS).cast("int"))
         for r in range(RUNS):
-            ps = collect_prototypes(f"{kind}_r{r}", prototypes(ranked.filter(F.col("run") == r), col, "embedding",
-                                                              "vec_id"))
-            seed_ids.update(int(i) for i in ps.proto_ids if i >= 0)
-            kinds.append((kind, col, r, ps))
+            tables.append(prototypes(ranked.filter(F.col("run") == r), col, "embedding", "vec_id")
+                          .withColumn("set", F.lit(f"{kind}_r{r}")))
+            specs.append((kind, col, r))
+    all_protos = tables[0]
+    for t in tables[1:]:
+        all_protos = all_protos.unionByName(t)
+    sets = collect_prototype_sets(all_protos)
+    kinds = [(kind, col, r, sets[f"{kind}_r{r}"]) for kind, col, r in specs]
+    seed_ids = {int(i) for _, _, _, ps in kinds for i in ps.proto_ids if i >= 0}
     targets = emb.filter(~F.col("vec_id").isin(sorted(seed_ids)))
     scored = score_with_prototypes(targets, "embedding", [k[3] for k in kinds])
     long = scored.select(F.inline(F.array(*[

@@ -8,7 +8,7 @@ from seedlabel.streaming.scorer import keyword_label_counts, run_to_table, strea
 
 
 def q_stream_label_counts(spark, sf_dir):
-    agg = keyword_label_counts(stream_table(spark, sf_dir, "documents"), TQ.LANG_SEEDS)
+    agg = keyword_label_counts(stream_table(spark, sf_dir, "documents", spread_rows=True), TQ.LANG_SEEDS)
     return spark.read.parquet(run_to_table(agg, spark, "complete"))
 
 

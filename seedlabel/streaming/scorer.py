@@ -20,12 +20,15 @@ from seedlabel.operators.sentences import split_lines
 from seedlabel.session import checkpoint_dir
 
 
-def stream_table(spark: SparkSession, folder: str, name: str, max_files: int = 1) -> DataFrame:
+def stream_table(spark: SparkSession, folder: str, name: str, max_files: int = 1,
+                 spread_rows: bool = False) -> DataFrame:
     """A parquet table of ``folder`` read as a file stream (schema from the
     current files; new files that match are picked up as they arrive)."""
     schema = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
-            .option("maxFilesPerTrigger", max_files).parquet(folder))
+    df = (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
+          .option("maxFilesPerTrigger", max_files).parquet(folder))
+    # few large files per micro-batch -> spread the CPU-heavy text work
+    return df.repartition(spark.sparkContext.defaultParallelism) if spread_rows else df
 
 
 def keyword_label_counts(stream: DataFrame, class_seeds: list[list[str]], id_col: str = "doc_id",

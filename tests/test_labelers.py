@@ -113,3 +113,17 @@ def test_representatives_two_seeds_n1(spark):
     df = spark.createDataFrame(rows, "doc_id long, pos int, sentence string, n_words int, scores array<double>")
     reps = [r for r in R.representatives(R.class_rows(df, seeds), seeds, 1).collect() if r.cls == 0]
     assert sorted(r.doc_id for r in reps) == [0, 1]
+
+
+def test_foreign_seed_token_mode(spark):
+    seeds = [["windows"], ["os"]]
+    df = spark.createDataFrame([(1, 0, "i like windows the most", 5, ["i", "like", "windows", "the", "most"])],
+                               "doc_id long, pos int, sentence string, n_words int, tokens array<string>")
+    rows = R.class_rows(df.withColumn("scores", F.array(F.lit(1.0), F.lit(0.0))), seeds, foreign_match="token")
+    assert rows.filter("cls = 0").first().foreign is False
+
+
+def test_literal_alternation_escapes(spark):
+    df = spark.createDataFrame([("a.b c",), ("axb c",)], "sentence string")
+    pat = R._literal_alternation(["a.b", "q+"])
+    assert [r.sentence for r in df.filter(F.col("sentence").rlike(pat)).collect()] == ["a.b c"]
