@@ -85,7 +85,7 @@ def context_class_hits(subs: DataFrame, vocab_m: DataFrame, filter_words: list[s
 
 
 def overlap_scores(sent: DataFrame, id_cols, ctx_hits: DataFrame, n_classes: int,
-                   filter_words: list[str], tokens_col: str = "tokens") -> DataFrame:
+                   filter_words: list[str], tokens_col: str = "tokens", lexicon: list[str] | None = None) -> DataFrame:
     """Dense per-sentence class scores ``(*ids, n_cand, scores array<double>)``:
     score[c] = substitute hits of class c over the sentence's candidate
     tokens / max(#candidate tokens, 1).  Candidate tokens are the tokens that
