@@ -70,9 +70,9 @@ def classification_report(df: DataFrame, actual: str, pred: str, groups=(), digi
 def report_summary(report: DataFrame, groups=()) -> DataFrame:
     """One row per group: accuracy and the macro averages (what a run stores)."""
     g = list(groups)
-    acc = report.filter(F.col("label") == "accuracy").select(*g, F.col("f1").alias("accuracy"))
-    macro = report.filter(F.col("label") == "macro avg").select(*g, "precision", "recall", F.col("f1").alias("f1_score"))
-    return acc.join(macro, g) if g else acc.crossJoin(macro)
+    pick = lambda lab, c: F.max(F.when(F.col("label") == lab, F.col(c)))
+    return report.groupBy(*g).agg(pick("accuracy", "f1").alias("accuracy"), pick("macro avg", "precision").alias("precision"),
+                                  pick("macro avg", "recall").alias("recall"), pick("macro avg", "f1").alias("f1_score"))
 
 
 def confusion_matrix(df: DataFrame, actual: str, pred: str, classes: list[int], groups=()) -> DataFrame:

@@ -23,15 +23,20 @@ def pair_tests(stats: DataFrame, groups) -> DataFrame:
     """Every ordered pair (a, b) incl. a = b within each group:
     t = (mean_a - mean_b) / sqrt(sp2 (1/n_a + 1/n_b)), df = n_a + n_b - 2,
     sp2 the pooled variance."""
-    g = list(groups)
+    g = list(groups) or ["_all"]
+    if not groups:
+        stats = stats.withColumn("_all", F.lit(0))
     a = stats.select(*g, *[F.col(c).alias(f"{c}_a") for c in ("model", "n", "mean", "var")])
     b = stats.select(*g, *[F.col(c).alias(f"{c}_b") for c in ("model", "n", "mean", "var")])
-    p = a.join(b, g) if g else a.crossJoin(b)
+    # equi-join on the group: the pairs are those of the (few) models of a group,
+    # on the aggregated statistics table, never on data rows
+    p = a.join(b, g)
     dof = F.col("n_a") + F.col("n_b") - 2
     sp2 = ((F.col("n_a") - 1) * F.col("var_a") + (F.col("n_b") - 1) * F.col("var_b")) / dof
     se = F.sqrt(sp2 * (F.lit(1.0) / F.col("n_a") + F.lit(1.0) / F.col("n_b")))
     t = F.try_divide(F.col("mean_a") - F.col("mean_b"), se)
-    return p.select(*g, F.col("model_a"), F.col("model_b"), "n_a", "n_b", t.alias("t"), dof.cast("long").alias("df"))
+    out = p.select(*g, F.col("model_a"), F.col("model_b"), "n_a", "n_b", t.alias("t"), dof.cast("long").alias("df"))
+    return out if groups else out.drop("_all")
 
 
 def adjust(tests: DataFrame, groups, n_models: int | None = None) -> DataFrame:

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seedlabel.session import broadcast_if_bounded
+
 TWO_POW_32 = 4294967296.0
 
 
@@ -35,7 +37,8 @@ def global_index(df: DataFrame, order_cols: list[str], out_col: str = "idx") ->
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    return (ranged.join(F.broadcast(offsets), "_pid")
+    # one row per partition
+    return (ranged.join(broadcast_if_bounded(offsets, n), "_pid")
             .withColumn(out_col, F.col("_off") + F.col("_seq")).drop("_pid", "_seq", "_off"))
 
 
@@ -65,7 +68,7 @@ def exact_count_split(df: DataFrame, key_cols: list[str], n_validation: int, u_c
     'validation', the rest 'train'.  The chosen keys come from a bounded
     top-n (TakeOrderedAndProject) and are broadcast back."""
     chosen = df.orderBy(u_col, *key_cols).limit(n_validation).select(*key_cols, F.lit(True).alias("_v"))
-    return (df.join(F.broadcast(chosen), key_cols, "left")
+    return (df.join(broadcast_if_bounded(chosen, n_validation), key_cols, "left")
             .select(*key_cols, F.when(F.col("_v"), "validation").otherwise("train").alias("split")))
 
 

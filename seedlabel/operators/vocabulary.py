@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seedlabel.operators.prototypes import top_k_per_group
+from seedlabel.session import broadcast_if_bounded
 
 BOS, EOS = "<s>", "</s>"
 
@@ -56,11 +57,12 @@ def seed_table(spark: SparkSession, class_seeds: list[list[str]]) -> DataFrame:
 
 
 def class_vocabulary(positions: DataFrame, subs: DataFrame, seeds: DataFrame,
-                     filter_words: list[str]) -> DataFrame:
+                     filter_words: list[str], n_seeds: int | None = None) -> DataFrame:
     """``(cls, word, freq)``: for every occurrence of a class seed, each of the
     top substitutes at that position (not a filter word, no ``##``) adds one
     to the word's frequency in that class."""
-    occ = (positions.join(F.broadcast(seeds.withColumnRenamed("word", "token")), "token")
+    bound = n_seeds if n_seeds is not None else seeds.count()
+    occ = (positions.join(broadcast_if_bounded(seeds.withColumnRenamed("word", "token"), bound), "token")
            .groupBy("cls", "left", "right").agg(F.count(F.lit(1)).alias("occ")))
     s = subs.filter(_usable("word", filter_words)).select("left", "right", "word")
     return occ.join(s, ["left", "right"]).groupBy("cls", "word").agg(F.sum("occ").alias("freq"))
@@ -75,13 +77,16 @@ def disjoint_vocabulary(vocab: DataFrame, m: int) -> DataFrame:
     return top_k_per_group(kept, ["cls"], [F.desc("freq"), F.desc("word")], m, rank_col="rank")
 
 
-def context_class_hits(subs: DataFrame, vocab_m: DataFrame, filter_words: list[str]) -> DataFrame:
+def context_class_hits(subs: DataFrame, vocab_m: DataFrame, filter_words: list[str],
+                       vocab_bound: int | None = None) -> DataFrame:
     """``(left, right, cls, hits)``: how many of a context's substitutes belong
     to each class, a substitute counting for the first class (lowest index)
     whose vocabulary holds it.  The vocabulary is bounded by classes x m."""
     first = vocab_m.groupBy("word").agg(F.min("cls").alias("cls"))
     s = subs.filter(_usable("word", filter_words))
-    return s.join(F.broadcast(first), "word").groupBy("left", "right", "cls").agg(F.count(F.lit(1)).alias("hits"))
+    # at most classes x m words (the caller passes that bound)
+    first = broadcast_if_bounded(first, vocab_bound if vocab_bound is not None else 10 ** 12)
+    return s.join(first, "word").groupBy("left", "right", "cls").agg(F.count(F.lit(1)).alias("hits"))
 
 
 def overlap_scores(sent: DataFrame, id_cols, ctx_hits: DataFrame, n_classes: int,

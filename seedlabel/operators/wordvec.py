@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seedlabel.session import broadcast_if_bounded
 from seedlabel.operators.prototypes import PrototypeSet, collect_prototypes, mean_vectors, score_with_prototypes
 
 
@@ -29,7 +30,7 @@ def fit_word2vec(sent: DataFrame, tokens_col: str = "tokens", vector_size: int =
             top = counts.orderBy(F.desc("count"), "w").limit(max_vocab).select("w")
             ex = data.withColumn("_sid", F.monotonically_increasing_id()).select(
                 "_sid", F.posexplode("tokens").alias("_p", "w"))
-            kept = ex.join(F.broadcast(top), "w", "left_semi")
+            kept = ex.join(broadcast_if_bounded(top, max_vocab), "w", "left_semi")
             data = (kept.groupBy("_sid").agg(F.array_sort(F.collect_list(F.struct("_p", "w"))).alias("_s"))
                     .select(F.col("_s.w").alias("tokens")))
     w2v = Word2Vec(vectorSize=vector_size, windowSize=window, minCount=min_count, seed=seed, maxIter=max_iter,

@@ -38,13 +38,14 @@ class VocabRun:
         return self._subs.filter(F.col("rank") <= k)
 
     def vocab(self):
-        return V.class_vocabulary(self.positions, self.subs(K1), V.seed_table(self.spark, TQ.LANG_SEEDS), FILTER_WORDS)
+        return V.class_vocabulary(self.positions, self.subs(K1), V.seed_table(self.spark, TQ.LANG_SEEDS), FILTER_WORDS,
+                                  n_seeds=sum(len(s) for s in TQ.LANG_SEEDS))
 
     def disjoint(self):
         return V.disjoint_vocabulary(self.vocab(), M)
 
     def scores(self):
-        hits = V.context_class_hits(self.subs(K2), self.disjoint(), FILTER_WORDS)
+        hits = V.context_class_hits(self.subs(K2), self.disjoint(), FILTER_WORDS, vocab_bound=N_CLASSES * M)
         return V.overlap_scores(self.sent, ["doc_id", "pos"], hits, N_CLASSES, FILTER_WORDS)
 
     def z(self):

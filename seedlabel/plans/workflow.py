@@ -204,11 +204,14 @@ class VocabularyLabeler:
         subs = V.substitutes(V.context_fillers(positions), max(domain.k1, domain.k2)).checkpoint(eager=True)
         self.hits, self.vocab = {}, {}
         for kind in KINDS:
+            seeds = domain.seed_words(kind)
             vocab = V.class_vocabulary(positions, subs.filter(F.col("rank") <= domain.k1),
-                                       V.seed_table(spark, domain.seed_words(kind)), domain.filter_words)
+                                       V.seed_table(spark, seeds), domain.filter_words,
+                                       n_seeds=sum(len(s) for s in seeds))
             dv = V.disjoint_vocabulary(vocab, domain.vocab_size).checkpoint(eager=True)
             self.vocab[kind] = dv
-            self.hits[kind] = V.context_class_hits(subs.filter(F.col("rank") <= domain.k2), dv, domain.filter_words)
+            self.hits[kind] = V.context_class_hits(subs.filter(F.col("rank") <= domain.k2), dv, domain.filter_words,
+                                                   vocab_bound=len(domain.classes(kind)) * domain.vocab_size)
         self.train_scores = self._scores(sentences, ["line_id", "pos"]).checkpoint(eager=True)
         self.stats = {k: V.class_score_stats(self.train_scores, f"{k}_scores") for k in KINDS}
 

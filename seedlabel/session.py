@@ -75,3 +75,18 @@ def spread(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() < par:
         return df.repartition(par)
     return df
+
+
+# Largest number of rows a side may have (by its parameter-derived bound) to
+# be broadcast; above it the join is left to Spark's shuffle strategies.
+MAX_BROADCAST_ROWS = 2_000_000
+
+
+def broadcast_if_bounded(df: DataFrame, row_bound: int, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint only for a side whose row count is bounded by
+    construction (``row_bound`` comes from parameters: classes x seeds,
+    classes x vocabulary size, a validation count, ...) and within ``limit``.
+    Beyond the limit no hint is given, so a sort-merge (or AQE-chosen) join
+    is used instead."""
+    from pyspark.sql import functions as F
+    return F.broadcast(df) if row_bound <= limit else df
