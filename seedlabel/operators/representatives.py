@@ -51,20 +51,24 @@ def class_rows(scored: DataFrame, class_seeds: list[list[str]], scores_col: str
     """
     k = len(class_seeds)
     sent = F.col("sentence")
+    # every distinct seed is tested once per sentence (plain substring search)
+    distinct = list(dict.fromkeys(s for seeds in class_seeds for s in seeds))
+    present = {s: (sent.contains(s) if foreign_match != "token" else F.array_contains(F.col(tokens_col), s))
+               for s in distinct}
+    base = scored.select(*ids, "sentence", "n_words", scores_col,
+                         *[present[s].alias(f"_h{i}") for i, s in enumerate(distinct)])
+    flag = {s: F.col(f"_h{i}") for i, s in enumerate(distinct)}
     cells = []
     for c in range(k):
-        foreign = [f for j, seeds in enumerate(class_seeds) if j != c for f in seeds]
-        if not foreign:
-            fx = F.lit(False)
-        elif foreign_match == "token":
-            fx = F.arrays_overlap(F.col(tokens_col), _lit_array(foreign))
-        else:
-            fx = sent.rlike(_literal_alternation(foreign))
+        foreign = list(dict.fromkeys(f for j, seeds in enumerate(class_seeds) if j != c for f in seeds))
+        fx = F.lit(False)
+        for f in foreign:
+            fx = fx | flag[f]
         own = F.array_compact(F.array(*[F.when(sent.contains(f" {s} "), F.lit(p))
                                         for p, s in enumerate(class_seeds[c])]))
         cells.append(F.struct(F.lit(c).alias("cls"), F.col(scores_col)[c].alias("score"), fx.alias("foreign"),
                               own.alias("own")))
-    return scored.select(*ids, "sentence", "n_words", F.inline(F.array(*cells)))
+    return base.select(*ids, "sentence", "n_words", F.inline(F.array(*cells)))
 
 
 def candidates(rows: DataFrame, class_seeds: list[list[str]], n: int) -> DataFrame:

@@ -44,9 +44,12 @@ def two_step_scored(spark, sf_dir) -> DataFrame:
     reps = R.representatives(_rows(sent), TQ.LANG_SEEDS, N_REPRESENTATIVES)
     near = R.nearest_to_seeds(sent, TQ.LANG_SEEDS, MIN_WORDS_NEAREST)
     near_text = near.join(sent.select("doc_id", "pos", "sentence"), ["doc_id", "pos"])
-    # both results are bounded by classes x (N + 1 + seeds) rows
-    rep_rows = [(r.cls, r.sentence) for r in reps.select("cls", "sentence").collect()]
-    near_rows = [(r.cls, r.sentence) for r in near_text.select("cls", "sentence").collect()]
+    # both results are bounded by classes x (N + 1 + seeds) rows; one job
+    # collects both (the scan exchange is shared by the two branches)
+    both = (reps.select(F.lit("rep").alias("k"), "cls", "sentence")
+            .unionByName(near_text.select(F.lit("near").alias("k"), "cls", "sentence")).collect())
+    rep_rows = [(r.cls, r.sentence) for r in both if r.k == "rep"]
+    near_rows = [(r.cls, r.sentence) for r in both if r.k == "near"]
     bags = R.prototype_bags(rep_rows, near_rows, len(TQ.LANGS))
     return R.score_with_bags(sent, "tokens", bags)
 
