@@ -34,37 +34,49 @@ def classification_report(df: DataFrame, actual: str, pred: str, groups=(), digi
     The label set is the union of labels seen in ``actual`` and ``pred``.
     Output: ``(*groups, label string, precision, recall, f1, support)``;
     the ``accuracy`` row carries the accuracy in ``f1`` and NULL precision/recall.
+
+    One linear chain, so the input is read once: confusion counts (partial
+    aggregate) -> each count credited to its actual class (support), its
+    predicted class (predictions) and, on the diagonal, true positives ->
+    per-class sums -> group totals by a window over the (classes-sized)
+    group -> the first class row of each group also emits the three summary
+    rows.  No self-join, no union.
     """
     g = list(groups)
     cm = confusion_counts(df, actual, pred, g)
-    act = cm.groupBy(*g, F.col("actual").alias("cls")).agg(F.sum("n").alias("support"))
-    prd = cm.groupBy(*g, F.col("pred").alias("cls")).agg(F.sum("n").alias("pred_n"))
-    tp = cm.filter(F.col("actual") == F.col("pred")).select(*g, F.col("actual").alias("cls"), F.col("n").alias("tp"))
-    per = (act.join(prd, g + ["cls"], "full").join(tp, g + ["cls"], "left")
-           .select(*g, "cls", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("support", "pred_n", "tp")]))
-    per = per.select(*g, "cls", "support",
-                     _safe_div(F.col("tp"), F.col("pred_n")).alias("precision"),
-                     _safe_div(F.col("tp"), F.col("support")).alias("recall"),
-                     _safe_div(2 * F.col("tp"), F.col("support") + F.col("pred_n")).alias("f1"),
-                     F.col("tp"))
-    tot = per.groupBy(*g).agg(
-        F.sum("support").alias("total"), F.sum("tp").alias("tp_all"),
-        F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
-        F.sum(F.col("precision") * F.col("support")).alias("wp"),
-        F.sum(F.col("recall") * F.col("support")).alias("wr"),
-        F.sum(F.col("f1") * F.col("support")).alias("wf"))
+    roles = F.array(
+        F.struct(F.col("actual").alias("cls"), F.col("n").alias("support"), F.lit(0).cast("long").alias("pred_n"),
+                 F.when(F.col("actual") == F.col("pred"), F.col("n")).otherwise(0).cast("long").alias("tp")),
+        F.struct(F.col("pred").alias("cls"), F.lit(0).cast("long").alias("support"), F.col("n").alias("pred_n"),
+                 F.lit(0).cast("long").alias("tp")))
+    per = (cm.select(*g, F.inline(roles)).groupBy(*g, "cls")
+           .agg(*[F.sum(c).cast("long").alias(c) for c in ("support", "pred_n", "tp")]))
+    prec = _safe_div(F.col("tp"), F.col("pred_n"))
+    rec = _safe_div(F.col("tp"), F.col("support"))
+    f1 = _safe_div(2 * F.col("tp"), F.col("support") + F.col("pred_n"))
+    per = per.select(*g, "cls", "support", "tp", prec.alias("p"), rec.alias("r"), f1.alias("f"))
+    w = Window.partitionBy(*g) if g else Window.partitionBy()
+    tot = {
+        "total": F.sum("support").over(w), "tp_all": F.sum("tp").over(w),
+        "mp": F.avg("p").over(w), "mr": F.avg("r").over(w), "mf": F.avg("f").over(w),
+        "wp": F.sum(F.col("p") * F.col("support")).over(w), "wr": F.sum(F.col("r") * F.col("support")).over(w),
+        "wf": F.sum(F.col("f") * F.col("support")).over(w),
+        "first": F.row_number().over(w.orderBy("cls")) == 1,
+    }
+    per = per.select("*", *[v.alias(k) for k, v in tot.items()])
     r = lambda c: F.round(c, digits)
-    rows = per.select(*g, F.col("cls").cast("string").alias("label"), r(F.col("precision")).alias("precision"),
-                      r(F.col("recall")).alias("recall"), r(F.col("f1")).alias("f1"), F.col("support"))
-    acc = tot.select(*g, F.lit("accuracy").alias("label"), F.lit(None).cast("double").alias("precision"),
-                     F.lit(None).cast("double").alias("recall"), r(_safe_div(F.col("tp_all"), F.col("total"))).alias("f1"),
-                     F.col("total").alias("support"))
-    macro = tot.select(*g, F.lit("macro avg").alias("label"), r(F.col("mp")).alias("precision"),
-                       r(F.col("mr")).alias("recall"), r(F.col("mf")).alias("f1"), F.col("total").alias("support"))
-    weighted = tot.select(*g, F.lit("weighted avg").alias("label"), r(_safe_div(F.col("wp"), F.col("total"))).alias("precision"),
-                          r(_safe_div(F.col("wr"), F.col("total"))).alias("recall"),
-                          r(_safe_div(F.col("wf"), F.col("total"))).alias("f1"), F.col("total").alias("support"))
-    return rows.unionByName(acc).unionByName(macro).unionByName(weighted)
+    null = F.lit(None).cast("double")
+    row = lambda lab, p, rc, f, sup: F.struct(lab.alias("label"), p.alias("precision"), rc.alias("recall"),
+                                              f.alias("f1"), sup.alias("support"))
+    summary = [
+        row(F.lit("accuracy"), null, null, r(_safe_div(F.col("tp_all"), F.col("total"))), F.col("total")),
+        row(F.lit("macro avg"), r(F.col("mp")), r(F.col("mr")), r(F.col("mf")), F.col("total")),
+        row(F.lit("weighted avg"), r(_safe_div(F.col("wp"), F.col("total"))), r(_safe_div(F.col("wr"), F.col("total"))),
+            r(_safe_div(F.col("wf"), F.col("total"))), F.col("total")),
+    ]
+    own = row(F.col("cls").cast("string"), r(F.col("p")), r(F.col("r")), r(F.col("f")), F.col("support"))
+    rows = F.when(F.col("first"), F.array(own, *summary)).otherwise(F.array(own))
+    return per.select(*g, F.inline(rows))
 
 
 def report_summary(report: DataFrame, groups=()) -> DataFrame:

@@ -59,9 +59,12 @@ def gold_set(opinions: DataFrame, group_codes: dict[str, int], polarity_codes: d
     return gold, f
 
 
-def shares(filtered: DataFrame) -> DataFrame:
-    """Counts and percentage shares by polarity and by aspect group."""
-    p = share(filtered, "polarity").select(F.lit("polarity").alias("dim"), F.col("polarity").alias("value"), "n", "pct")
-    a = share(filtered, "aspect_group").select(F.lit("aspect_group").alias("dim"), F.col("aspect_group").alias("value"),
-                                               "n", "pct")
-    return p.unionByName(a)
+def shares(filtered: DataFrame, digits: int = 6) -> DataFrame:
+    """Counts and percentage shares by polarity and by aspect group, from ONE
+    pass (grouping sets), shares by a window over each (tiny) set."""
+    g = (filtered.groupingSets([["polarity"], ["aspect_group"]], "polarity", "aspect_group")
+         .agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("_gid")))
+    g = g.select(F.when(F.col("_gid") == 1, "polarity").otherwise("aspect_group").alias("dim"),
+                 F.coalesce("polarity", "aspect_group").alias("value"), "n")
+    return g.select("dim", "value", "n",
+                    F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("dim")), digits).alias("pct"))

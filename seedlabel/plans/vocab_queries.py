@@ -44,6 +44,15 @@ class VocabRun:
     def disjoint(self):
         return V.disjoint_vocabulary(self.vocab(), M)
 
+    def materialize(self):
+        """Cut the sentence table once (reliable checkpoint) when several
+        passes read it: the split runs once instead of once per pass."""
+        self.sent = self.sent.checkpoint(eager=True)
+        self.positions = V.token_positions(self.sent, ["doc_id", "pos"])
+        self.fillers = V.context_fillers(self.positions)
+        self._subs = V.substitutes(self.fillers, max(K1, K2))
+        return self
+
     def scores(self):
         hits = V.context_class_hits(self.subs(K2), self.disjoint(), FILTER_WORDS, vocab_bound=N_CLASSES * M)
         return V.overlap_scores(self.sent, ["doc_id", "pos"], hits, N_CLASSES, FILTER_WORDS)
@@ -75,17 +84,17 @@ def q_overlap_scores(spark, sf_dir):
 
 
 def q_class_score_stats(spark, sf_dir):
-    st = V.class_score_stats(VocabRun(spark, sf_dir).scores())
+    st = V.class_score_stats(VocabRun(spark, sf_dir).materialize().scores())
     return st.select("cls", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
 
 
 def q_zscore_labels(spark, sf_dir):
-    z = V.zscore_labels(VocabRun(spark, sf_dir).z(), LAMBDA)
+    z = V.zscore_labels(VocabRun(spark, sf_dir).materialize().z(), LAMBDA)
     return z.select("doc_id", "pos", "label", F.round(F.col("z")[F.col("label")], 6).alias("z"))
 
 
 def _forced(spark, sf_dir) -> DataFrame:
-    r = VocabRun(spark, sf_dir)
+    r = VocabRun(spark, sf_dir).materialize()
     z = V.zscore_forced(r.z())
     return z.join(r.sent.select("doc_id", "pos", "gold"), ["doc_id", "pos"])
 
