@@ -105,3 +105,46 @@ def test_vocab_writer_and_stamp(spark, tmp_dir):
     assert [r.value for r in food] == ["pizza 5", "pasta 3"]
     r = spark.range(1).select(writers.run_stamp(writers.parse_stamp(F.lit("20240102_030405"))).alias("s")).first()
     assert r.s == "20240102_030405"
+
+
+def test_embedding_cache_encodes_only_missing(spark, tmp_dir):
+    import numpy as np
+    from seedlabel.operators.embedding_cache import embed_with_cache
+    calls = []
+
+    def enc(texts):
+        calls.append(len(texts))
+        return np.array([[len(t), t.count("a")] for t in texts], dtype=np.float32)
+
+    cache = os.path.join(tmp_dir, "cache")
+    a = spark.createDataFrame([(1, "a b"), (2, "ccc"), (3, "a b")], "id int, text string")
+    out = {r.id: r.embedding for r in embed_with_cache(spark, a, enc, cache, "toy").collect()}
+    assert out == {1: [3.0, 1.0], 2: [3.0, 0.0], 3: [3.0, 1.0]}
+    b = spark.createDataFrame([(4, "ccc"), (5, "aaaa")], "id int, text string")
+    out = {r.id: r.embedding for r in embed_with_cache(spark, b, enc, cache, "toy").collect()}
+    assert out == {4: [3.0, 0.0], 5: [4.0, 4.0]}
+    assert spark.read.parquet(cache).count() == 3      # "a b", "ccc", "aaaa"
+
+
+def test_gold_tsv_and_score_text_round_trip(spark, tmp_dir):
+    gold = spark.createDataFrame([(5, 1, 0, "b s"), (3, 0, 1, "a s")], "k int, aspect int, polarity int, sentence string")
+    dst = os.path.join(tmp_dir, "gold")
+    writers.write_gold_tsv(gold, dst, ["k"])
+    back = readers.read_gold_tsv(spark, dst).orderBy("id").collect()
+    assert [(r.id, r.aspect, r.polarity, r.sentence) for r in back] == [(0, 0, 1, "a s"), (1, 1, 0, "b s")]
+    sc = spark.createDataFrame([(0, "s one", [0.5, 0.25])], "k int, sentence string, scores array<double>")
+    sdst = os.path.join(tmp_dir, "scores")
+    writers.export_score_text(sc, sdst, ["food", "service"])
+    got = sorted((r.class_name, r.score) for r in readers.read_score_file(spark, sdst).collect())
+    assert got == [("food", 0.5), ("service", 0.25)]
+
+
+def test_predict_multiple(spark):
+    import numpy as np
+    from seedlabel.operators.classifier import SoftmaxHead, predict_multiple
+    heads = {"asp": SoftmaxHead(np.array([[1.0, 0.0], [0.0, 0.0]]))}   # logit_0 = x, logit_1 = 0
+    docs = spark.createDataFrame([(1, "aa. b"), (2, "c")], "doc_id long, text string")
+    feat = lambda s: s.withColumn("x", F.array(F.length("sentence").cast("double")))
+    out = [(r.doc_id, r.label, r.logit_sum) for r in predict_multiple(docs, "doc_id", "text", feat, heads, "asp", 2.0)
+           .collect()]
+    assert out == [(1, 0, 3.0)]
