@@ -47,7 +47,8 @@ def threshold_grid(df: DataFrame, score_cols: tuple[str, str], grid: list[tuple[
             .select(F.col("t1").alias(f"{a}_threshold"), F.col("t2").alias(f"{b}_threshold"), *label_cols, "n"))
 
 
-def exact_quantiles(df: DataFrame, value_col: str, groups, qs: list[float], digits: int = 6) -> DataFrame:
+def exact_quantiles(df: DataFrame, value_col: str, groups, qs: list[float], digits: int = 6,
+                    interpolate: bool = True) -> DataFrame:
     """Exact linear-interpolated quantiles of ``round(value, digits)`` per group.
 
     Values are first reduced to a histogram (``groupBy(groups, value).count()``,
@@ -55,6 +56,8 @@ def exact_quantiles(df: DataFrame, value_col: str, groups, qs: list[float], digi
     distinct rounded values, not by the row count; ranks are then found by a
     running sum over that histogram.  Same definition as the continuous
     quantile: position h = (n-1)q, interpolate between ranks floor(h), ceil(h).
+    With ``interpolate=False`` the discrete quantile (SQL PERCENTILE_DISC):
+    the first value whose cumulative count reaches q * n.
     """
     g = list(groups)
     v = F.round(F.col(value_col), digits).alias("v")
@@ -63,6 +66,11 @@ def exact_quantiles(df: DataFrame, value_col: str, groups, qs: list[float], digi
     hist = hist.withColumn("cum", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(*g)))
     out = None
     for q in qs:
+        if not interpolate:
+            part = hist.groupBy(*g).agg(F.min(F.when(F.col("cum") >= F.col("n") * F.lit(q), F.col("v"))).alias("x"))
+            part = part.select(*g, F.lit(q).alias("q"), F.col("x").alias(f"{value_col}_quantile"))
+            out = part if out is None else out.unionByName(part)
+            continue
         h = (F.col("n") - 1) * F.lit(q)
         lo = F.floor(h)
         hi = F.ceil(h)

@@ -82,8 +82,9 @@ def q_threshold_grid(spark, sf_dir):
 
 
 def q_score_quantiles(spark, sf_dir):
+    # discrete quantiles: an actual (6-place) score, so no half-way rounding ties
     return thresholds.exact_quantiles(scored_embeddings(spark, sf_dir), "aspect_score", ["aspect", "polarity"],
-                                      QUANTILES)
+                                      QUANTILES, interpolate=False)
 
 
 def _kinds_long(s: DataFrame) -> DataFrame:
@@ -181,7 +182,7 @@ GROUP BY ALL""")
 
 
 def _quantile_sql() -> str:
-    parts = [f"SELECT aspect, polarity, CAST({q} AS DOUBLE) AS q, round(quantile_cont(aspect_score, {q}), 6) "
+    parts = [f"SELECT aspect, polarity, CAST({q} AS DOUBLE) AS q, quantile_disc(aspect_score, {q}) "
              f"AS aspect_score_quantile FROM scored GROUP BY aspect, polarity" for q in QUANTILES]
     return _with("\n" + "\nUNION ALL ".join(parts))
 

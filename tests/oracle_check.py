@@ -28,6 +28,14 @@ def duck(sf_dir: str):
     return con
 
 
+_SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                  "boolean": "BOOLEAN", "float": "FLOAT"}
+
+
+def _duck_norm(t: str) -> str:
+    return {"NUMBER": "DOUBLE"}.get(t, t)
+
+
 def _norm(v):
     if v is None:
         return None
@@ -60,6 +68,14 @@ def compare(spark, con, name, fn, sql, sf_dir):
     d_rows = res.fetchall()
     out = {"name": name, "rows": len(s_rows), "oracle_rows": len(d_rows), "spark_sec": round(t_spark, 2)}
     out["cols_ok"] = sorted(s_cols) == sorted(d_cols)
+    spark_types = {f.name: _SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+                   for f in sdf.schema.fields}
+    duck_types = {c[0]: str(c[1]) for c in res.description}
+    bad_types = {c: (spark_types.get(c), duck_types.get(c)) for c in s_cols
+                 if c in duck_types and spark_types.get(c) != _duck_norm(duck_types.get(c))}
+    out["types_ok"] = not bad_types
+    if bad_types:
+        out["types"] = bad_types
     if not out["cols_ok"]:
         out["cols"] = (sorted(s_cols), sorted(d_cols))
     a, b = rows_of(s_cols, s_rows), rows_of(d_cols, d_rows)
@@ -87,7 +103,7 @@ def main(argv):
             r = compare(spark, con, name, fn, sqls.get(name), sf_dir)
         except Exception as e:  # report and continue
             r = {"name": name, "error": repr(e)[:500]}
-        ok = r.get("values_ok", "error" not in r) and r.get("cols_ok", True)
+        ok = r.get("values_ok", "error" not in r) and r.get("cols_ok", True) and r.get("types_ok", True)
         bad += not ok
         print(("OK  " if ok else "BAD ") + repr(r), flush=True)
     print(f"{bad} bad")

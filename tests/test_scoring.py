@@ -65,3 +65,9 @@ def test_exact_quantiles_match_numpy(spark):
         sub = vals[g::2]
         for q in (0.5, 0.9):
             assert out[(g, q)] == pytest.approx(round(float(np.quantile(sub, q)), 6), abs=1e-6)
+    disc = {(r.g, r.q): r.s_quantile for r in thresholds.exact_quantiles(df, "s", ["g"], [0.5, 0.9],
+                                                                          interpolate=False).collect()}
+    for g in (0, 1):
+        sub = np.sort(vals[g::2])
+        for q in (0.5, 0.9):
+            assert disc[(g, q)] == sub[int(np.ceil(q * len(sub))) - 1]
