@@ -30,30 +30,45 @@ def with_opinion_fields(df: DataFrame) -> DataFrame:
             .withColumn("imp", F.col("target") != F.lit("NULL")))
 
 
-def domain_filter(df: DataFrame, exclude: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
+def _kept(exclude: list[str] | None, keep: list[str] | None):
+    k = F.lit(True)
     if exclude:
-        df = df.filter(~F.col("aspect_group").isin(exclude))
+        k = k & ~F.col("aspect_group").isin(exclude)
     if keep:
-        df = df.filter(F.col("aspect_group").isin(keep))
-    return df
+        k = k & F.col("aspect_group").isin(keep)
+    return k
 
 
-def single_group_sentences(df: DataFrame) -> DataFrame:
-    """Opinion 1 of sentences whose opinions all survived, all share one group,
-    and whose (row) polarity is not neutral."""
-    s = Window.partitionBy("sentence_index")
-    sg = Window.partitionBy("sentence_index", "aspect_group")
-    c = (df.withColumn("new_count", F.count(F.lit(1)).over(s))
-         .withColumn("uniform_count", F.count(F.lit(1)).over(sg)))
-    c = c.filter((F.col("new_count") == F.col("opinion_count")) & (F.col("new_count") == F.col("uniform_count"))
-                 & (F.col("polarity") != "neutral"))
-    return c.filter(F.col("opinion_num") == 1)
+def domain_filter(df: DataFrame, exclude: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
+    return df.filter(_kept(exclude, keep))
+
+
+def single_group_sentences(df: DataFrame, exclude: list[str] | None = None,
+                           keep: list[str] | None = None) -> DataFrame:
+    """Opinion-1 rows of every sentence whose opinions all survive the domain
+    filter and all share one aspect group, when the row is not neutral.
+
+    The per-sentence facts (opinion count, kept count, distinct kept groups)
+    come from ONE partial aggregate (map-side combined, so a sentence holding
+    a large share of the rows is still reduced per task); they are joined
+    back to the opinion-1 rows (about one per sentence).  No window.
+    """
+    kept = _kept(exclude, keep)
+    facts = df.groupBy("sentence_index").agg(
+        # given per row (XML: size of the Opinion list) or, when absent, counted
+        F.coalesce(F.max("opinion_count"), F.count(F.lit(1))).alias("_oc"),
+        F.count_if(kept).alias("new_count"),
+        F.countDistinct(F.when(kept, F.col("aspect_group"))).alias("_groups"))
+    first = df.filter((F.col("opinion_num") == 1) & kept & (F.col("polarity") != "neutral"))
+    j = first.join(facts, "sentence_index").filter((F.col("new_count") == F.col("_oc")) & (F.col("_groups") == 1))
+    cols = [F.col("_oc").alias(c) if c == "opinion_count" else F.col(c) for c in df.columns]
+    return j.select(*cols, "new_count")
 
 
 def gold_set(opinions: DataFrame, group_codes: dict[str, int], polarity_codes: dict[str, int],
              exclude: list[str] | None = None, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Returns (gold rows, filtered-but-not-recoded rows)."""
-    f = single_group_sentences(domain_filter(with_opinion_fields(opinions), exclude, keep))
+    f = single_group_sentences(with_opinion_fields(opinions), exclude, keep)
     gold = (f.withColumn("polarity_code", recode("polarity", polarity_codes))
             .withColumn("aspect_code", recode("aspect_group", group_codes)))
     return gold, f

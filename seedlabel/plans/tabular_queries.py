@@ -29,6 +29,8 @@ MODELS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
 def opinion_rows(spark, sf_dir) -> DataFrame:
+    """One row per line item shaped as an opinion; ``opinion_count`` (lines of
+    the order) is filled in by the per-sentence aggregate."""
     li = load_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag",
                                                        "l_discount")
     pt = load_table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_name")
@@ -36,7 +38,7 @@ def opinion_rows(spark, sf_dir) -> DataFrame:
     pol = (F.when(F.col("l_returnflag") == "A", "positive").when(F.col("l_returnflag") == "R", "negative")
            .otherwise("neutral"))
     return j.select(F.col("l_orderkey").alias("sentence_index"), F.col("l_linenumber").alias("opinion_num"),
-                    F.count(F.lit(1)).over(Window.partitionBy("l_orderkey")).alias("opinion_count"),
+                    F.lit(None).cast("long").alias("opinion_count"),
                     pol.alias("polarity"),
                     F.when(F.col("l_discount") == 0, F.lit("NULL")).otherwise(F.col("p_name")).alias("target"),
                     F.concat_ws("#", "p_type", F.element_at(F.split("p_name", " "), -1)).alias("category"))
