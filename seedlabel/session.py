@@ -50,7 +50,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     The cluster names it in ``spark.checkpoint.dir``; that setting always wins.
     Only when it is unset (local tests) a private scratch folder is created.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # no driver-side context (e.g. a Connect session): the server's setting applies
+        return spark.conf.get("spark.checkpoint.dir", "")
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -71,10 +74,12 @@ def spread(df: DataFrame) -> DataFrame:
     offers fewer partitions than that (e.g. one large parquet row group);
     CPU-heavy per-row text work then uses every core.  On large inputs the
     scan already has enough partitions and this is a no-op."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        return df.repartition(par)
-    return df
+    try:
+        par = df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # no driver-side context: leave the plan as it is
+        return df
+    return df.repartition(par) if n < par else df
 
 
 # Largest number of rows a side may have (by its parameter-derived bound) to
