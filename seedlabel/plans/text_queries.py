@@ -93,6 +93,19 @@ def q_document_aspects(spark, sf_dir):
     return d.filter(F.col("logit_sum") > DOC_LOGIT_THRESHOLD)
 
 
+def q_conversation_aspects(spark, sf_dir):
+    """Multi-label classes of a whole conversation: every turn is split into
+    sentences, each sentence scored against every class, the sentence scores
+    summed per conversation (partial aggregate over its turns) and classes
+    above the threshold kept."""
+    from seedlabel.operators.classifier import sum_and_threshold
+    conv = spread(load_table(spark, sf_dir, "conversations"))
+    per_turn = conv.select("conv_id", doc_bag_sums(class_bags())(
+        F.transform(sentence_pieces("text"), lambda s: tokens(s))).alias("logits"))
+    out = sum_and_threshold(per_turn, "conv_id", "logits", DOC_LOGIT_THRESHOLD)
+    return out.select("conv_id", "label", F.round("logit_sum", 6).alias("logit_sum"))
+
+
 # ---------------------------------------------------------------------------
 # Oracle SQL (DuckDB)
 
@@ -184,6 +197,14 @@ ds AS (SELECT doc_id, label, round(sum(c), 6) AS logit_sum FROM lng GROUP BY doc
 SELECT doc_id, CAST(label AS INTEGER) AS label, logit_sum FROM ds WHERE logit_sum > {DOC_LOGIT_THRESHOLD}"""
 
 
+def _conv_aspects_sql() -> str:
+    cte = SCORED_SENTENCES_CTE.replace("FROM documents", "FROM (SELECT conv_id * 100000 + turn AS doc_id, 'x' AS lang, "
+                                                          "text FROM conversations)")
+    return "WITH " + cte + f""",
+cs2 AS (SELECT doc_id // 100000 AS conv_id, label, sum(c) AS s FROM lng GROUP BY ALL)
+SELECT conv_id, CAST(label AS INTEGER) AS label, round(s, 6) AS logit_sum FROM cs2 WHERE s > {DOC_LOGIT_THRESHOLD}"""
+
+
 QUERIES = {
     "sentence_split": q_sentence_split,
     "sentence_stats": q_sentence_stats,
@@ -193,6 +214,7 @@ QUERIES = {
     "one_step_labels": q_one_step_labels,
     "one_step_report": q_one_step_report,
     "document_aspects": q_document_aspects,
+    "conversation_aspects": q_conversation_aspects,
 }
 
 ORACLE = {
@@ -211,4 +233,5 @@ SELECT doc_id, pos, label, score, gold FROM best WHERE score >= {ONE_STEP_THRESH
     "one_step_report": "WITH " + SCORED_SENTENCES_CTE + f""",
 ol AS (SELECT * FROM best WHERE score >= {ONE_STEP_THRESHOLD}),""" + _report_sql("ol"),
     "document_aspects": _doc_aspects_sql(),
+    "conversation_aspects": _conv_aspects_sql(),
 }

@@ -50,7 +50,8 @@ class VocabRun:
         self.sent = self.sent.checkpoint(eager=True)
         self.positions = V.token_positions(self.sent, ["doc_id", "pos"])
         self.fillers = V.context_fillers(self.positions)
-        self._subs = V.substitutes(self.fillers, max(K1, K2))
+        # the substitute table feeds both the vocabularies and the hit counts
+        self._subs = V.substitutes(self.fillers, max(K1, K2)).checkpoint(eager=True)
         return self
 
     def scores(self):
