@@ -16,10 +16,17 @@ from seedlabel.operators.prototypes import PrototypeSet, collect_prototypes, mea
 
 
 def fit_word2vec(sent: DataFrame, tokens_col: str = "tokens", vector_size: int = 100, window: int = 5,
-                 min_count: int = 5, seed: int = 42, max_iter: int = 1, partitions: int = 1,
+                 min_count: int = 5, seed: int = 42, max_iter: int = 1, partitions: int | None = None,
                  max_vocab: int | None = None) -> Word2VecModel:
     """Fit on the token arrays.  ``max_vocab`` keeps only the most frequent
-    words (a pre-filter on the token arrays, computed by Spark)."""
+    words (a pre-filter on the token arrays, computed by Spark).  Training
+    runs on ``partitions`` tasks (default: the cluster's parallelism; one
+    partition is the most accurate but trains in a single task)."""
+    if partitions is None:
+        try:
+            partitions = sent.sparkSession.sparkContext.defaultParallelism
+        except Exception:
+            partitions = 1
     data = sent.select(F.col(tokens_col).alias("tokens"))
     if max_vocab:
         counts = (data.select(F.explode("tokens").alias("w")).groupBy("w").count()

@@ -34,6 +34,8 @@ def get_spark(master: str | None = None, cpus: int | None = None, app: str = "se
         "spark.sql.execution.arrow.maxRecordsPerBatch": "8192",
         "spark.driver.memory": os.environ.get("SEEDLABEL_DRIVER_MEMORY", "12g"),
         "spark.sql.files.maxPartitionBytes": str(64 * 1024 * 1024),
+        # checkpoint files of DataFrames that are gone are removed
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     conf.update(extra or {})
     for k, v in conf.items():
