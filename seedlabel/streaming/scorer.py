@@ -38,6 +38,21 @@ def keyword_label_counts(stream: DataFrame, class_seeds: list[list[str]], id_col
     return keyword_labels(lines, "tokens", class_seeds).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
+def prototype_label_counts(stream: DataFrame, vec_col: str, kinds, thresholds: dict[str, float],
+                           exclude_ids: list[int] | None = None, id_col: str = "vec_id") -> DataFrame:
+    """Seed-sentence labelling of a vector stream: every row is scored against
+    static (collected, size-checked) prototype sets -- stateless, map-only --
+    and confident labels are counted per label combination (the only state)."""
+    from seedlabel.operators.prototypes import score_with_prototypes
+    from seedlabel.operators.thresholds import keep_confident
+    s = stream.filter(~F.col(id_col).isin(exclude_ids)) if exclude_ids else stream
+    scored = score_with_prototypes(s, vec_col, kinds)
+    for k in kinds:
+        scored = scored.withColumn(f"{k.name}_score", F.round(f"{k.name}_score", 6))
+    labelled = keep_confident(scored, thresholds)
+    return labelled.groupBy(*[k.name for k in kinds]).agg(F.count(F.lit(1)).alias("n"))
+
+
 def windowed_label_counts(stream: DataFrame, ts_col: str, label_col: str, window: str = "1 hour",
                           watermark: str = "1 hour") -> DataFrame:
     """Label counts per tumbling event-time window; rows later than the
