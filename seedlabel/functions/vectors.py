@@ -74,3 +74,42 @@ def max_cosine_per_class_udf(protos: np.ndarray, proto_class: np.ndarray, n_clas
                              "scores": list(per_class)})
 
     return score
+
+
+def multi_set_scorer_udf(sets: list[tuple[np.ndarray, np.ndarray, int]], keep_scores: bool = False):
+    """One pandas UDF for several prototype sets: ONE matmul of the batch
+    against all prototypes stacked, then per set the per-class max and the
+    first best class.  Returns struct(cls array<int>, score array<double>
+    [, scores array<array<double>>]) with one entry per set."""
+    mats = [unit_rows(m.astype(np.float64)) for m, _, _ in sets]
+    allp = np.vstack(mats) if mats else np.zeros((0, 0))
+    offsets = np.cumsum([0] + [m.shape[0] for m in mats])
+    fields = [T.StructField("cls", T.ArrayType(T.IntegerType())), T.StructField("score", T.ArrayType(T.DoubleType()))]
+    if keep_scores:
+        fields.append(T.StructField("scores", T.ArrayType(T.ArrayType(T.DoubleType()))))
+    schema = T.StructType(fields)
+
+    @F.pandas_udf(schema)
+    def score(vecs: pd.Series) -> pd.DataFrame:
+        m = stack_column(vecs, allp.shape[1])
+        n = len(m)
+        sims = unit_rows(m) @ allp.T if n else np.zeros((0, allp.shape[0]))
+        cls_cols, score_cols, per_sets = [], [], []
+        for j, (_, classes, k) in enumerate(sets):
+            block = sims[:, offsets[j]:offsets[j + 1]]
+            per_class = np.full((n, k), -np.inf)
+            for c in range(k):
+                sel = classes == c
+                if sel.any():
+                    per_class[:, c] = block[:, sel].max(axis=1)
+            best = per_class.argmax(axis=1) if n else np.zeros(0, dtype=np.int64)
+            cls_cols.append(best.astype(np.int32))
+            score_cols.append(per_class[np.arange(n), best] if n else np.zeros(0))
+            per_sets.append(per_class)
+        out = {"cls": list(np.stack(cls_cols, axis=1)) if n else [],
+               "score": list(np.stack(score_cols, axis=1)) if n else []}
+        if keep_scores:
+            out["scores"] = [[ps[i] for ps in per_sets] for i in range(n)]
+        return pd.DataFrame(out)
+
+    return score

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seedlabel.functions.vectors import max_cosine_per_class_udf
+from seedlabel.functions.vectors import max_cosine_per_class_udf, multi_set_scorer_udf
 
 # Largest prototype matrix (rows x dim doubles) shipped to tasks: 32 MiB.
 MAX_PROTOTYPE_CELLS = 4 * 1024 * 1024
@@ -125,12 +125,11 @@ def score_with_prototypes(df: DataFrame, vec_col: str, kinds: list[PrototypeSet]
     class score is the max over its prototypes and the label the best class
     (lowest index on ties).
     """
-    out = df
-    for k in kinds:
-        out = out.withColumn(f"_{k.name}", k.scorer()(F.col(vec_col)))
-    for k in kinds:
-        cols = [F.col(f"_{k.name}.cls").alias(k.name), F.col(f"_{k.name}.score").alias(f"{k.name}_score")]
+    udf = multi_set_scorer_udf([(k.matrix, k.classes, k.n_classes) for k in kinds], keep_scores)
+    out = df.withColumn("_ps", udf(F.col(vec_col)))
+    cols = []
+    for j, k in enumerate(kinds):
+        cols += [F.col("_ps.cls")[j].alias(k.name), F.col("_ps.score")[j].alias(f"{k.name}_score")]
         if keep_scores:
-            cols.append(F.col(f"_{k.name}.scores").alias(f"{k.name}_scores"))
-        out = out.select("*", *cols).drop(f"_{k.name}")
-    return out
+            cols.append(F.col("_ps.scores")[j].alias(f"{k.name}_scores"))
+    return out.select("*", *cols).drop("_ps")
