@@ -69,3 +69,15 @@ def classify(model: Word2VecModel, sent: DataFrame, protos: PrototypeSet, tokens
              label_col: str = "label") -> DataFrame:
     scored = score_with_prototypes(sentence_vectors(model, sent, tokens_col), "wv", [protos])
     return scored.withColumnRenamed(protos.name, label_col).withColumnRenamed(f"{protos.name}_score", "score")
+
+
+def similar_words(model: Word2VecModel, protos: PrototypeSet, n: int = 10) -> list[tuple[int, int, str, float]]:
+    """The ``n`` vocabulary words most similar to each prototype of a set:
+    ``(cls, rank, word, similarity)``.  One lookup per prototype (a bounded
+    number) against the model's vectors."""
+    from pyspark.ml.linalg import Vectors
+    out = []
+    for row, cls in zip(protos.matrix, protos.classes):
+        syn = model.findSynonymsArray(Vectors.dense(row.tolist()), n)
+        out += [(int(cls), i + 1, w, float(s)) for i, (w, s) in enumerate(syn)]
+    return out

@@ -49,6 +49,16 @@ def q_word_vector_labels(spark, sf_dir):
     return out.select("doc_id", "pos", "label", F.round("score", 6).alias("score"), "gold")
 
 
+def q_class_neighbours(spark, sf_dir):
+    """The 10 vocabulary words closest to each class prototype (mean of the
+    class's seed word vectors)."""
+    sent = _sentences(spark, sf_dir)
+    model = W.fit_word2vec(sent, **W2V)
+    protos = W.seed_prototypes(model, _seed_texts(spark))
+    rows = W.similar_words(model, protos, 10)
+    return spark.createDataFrame(rows, "cls int, rank int, word string, similarity double")
+
+
 def q_word_vector_report(spark, sf_dir):
     return metrics.classification_report(q_word_vector_labels(spark, sf_dir), "gold", "label")
 
@@ -143,6 +153,7 @@ QUERIES = {
     "word_vector_labels": q_word_vector_labels,
     "word_vector_report": q_word_vector_report,
     "word_vector_seed_report": q_word_vector_seed_report,
+    "class_neighbours": q_class_neighbours,
     "joint_classifier": q_joint_classifier,
     "ablation_results": q_ablation_results,
     "keyword_classifier": q_keyword_classifier,

@@ -22,6 +22,7 @@ EXPECTED_COLUMNS = {
     "word_vector_labels": ["doc_id", "pos", "label", "score", "gold"],
     "hyper_search": ["trial", "gamma", "reg", "step", "val_loss", "val_accuracy"],
     "ablation_results": ["variant", "kind", "accuracy", "precision", "recall", "f1_score"],
+    "class_neighbours": ["cls", "rank", "word", "similarity"],
 }
 REPORT = ["label", "precision", "recall", "f1", "support"]
 
