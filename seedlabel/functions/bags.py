@@ -1,9 +1,11 @@
-"""Bag-of-words vectors as expressions over a token array.
-
-A sentence's bag is never materialised: the dot product with a (small,
-bounded) weighted word bag is one pass over the tokens with map lookups, and
-the sentence norm comes from one pass over the sorted tokens.  Everything is
-a higher-order function, evaluated per row with no shuffle.
+"""Bag-of-words vectors as expressions over a token array (JVM-only form).
+
+A sentence's bag is never materialised: the dot product with a small
+weighted word bag is one pass over the tokens with map lookups, and the
+sentence norm one pass over the sorted tokens -- higher-order functions,
+per row, no shuffle, no Python.  They suit a handful of tiny bags; for many
+or larger bags :mod:`seedlabel.functions.bag_udf` (vectorised per Arrow
+batch) is the faster path and is what the labelers use.
 """
 
 from __future__ import annotations

@@ -13,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seedlabel.operators.metrics import share
 
 
 def recode(col, mapping: dict[str, object]) -> Column:

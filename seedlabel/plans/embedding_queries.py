@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seedlabel.operators import metrics, thresholds
-from seedlabel.operators.prototypes import (collect_prototype_sets, collect_prototypes, prototypes,
+from seedlabel.operators.prototypes import (collect_prototype_sets, prototypes,
                                             score_with_prototypes, seed_rows)
 from seedlabel.session import load_table
 

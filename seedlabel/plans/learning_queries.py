@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from seedlabel.functions.text import tokens
 from seedlabel.operators import classifier as C
-from seedlabel.operators import losses as L
 from seedlabel.operators import metrics
 from seedlabel.operators import wordvec as W
 from seedlabel.operators.keywords import encode_labels
@@ -160,4 +159,3 @@ QUERIES = {
     "hyper_search": q_hyper_search,
 }
 ORACLE: dict[str, str] = {}
-_ = L  # loss helpers are used through the classifier module

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seedlabel.functions.text import collapse_spaces, tokens, word_tokens_joined
+from seedlabel.functions.text import collapse_spaces, word_tokens_joined
 from seedlabel.operators.splits import global_index
 
 GOLD_SCHEMA = "id long, aspect int, polarity int, sentence string"
@@ -119,6 +119,3 @@ def missing_embeddings(texts: DataFrame, cache: DataFrame, keys: list[str]) -> D
     """Rows whose embedding is not cached yet (anti-join on the cache key)."""
     return texts.join(cache.select(*keys), keys, "left_anti")
 
-
-def tokens_of(col: str):
-    return tokens(col)
