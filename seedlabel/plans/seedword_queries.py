@@ -40,7 +40,9 @@ def q_nearest_to_seed(spark, sf_dir):
 
 
 def two_step_scored(spark, sf_dir) -> DataFrame:
-    sent = seed_sentences(spark, sf_dir)
+    # the sentence table feeds the candidate job and the final scoring: split
+    # once and cut the lineage with a reliable checkpoint
+    sent = seed_sentences(spark, sf_dir).checkpoint(eager=True)
     reps = R.representatives(_rows(sent), TQ.LANG_SEEDS, N_REPRESENTATIVES)
     near = R.nearest_to_seeds(sent, TQ.LANG_SEEDS, MIN_WORDS_NEAREST)
     near_text = near.join(sent.select("doc_id", "pos", "sentence"), ["doc_id", "pos"])
