@@ -68,6 +68,22 @@ def class_vocabulary(positions: DataFrame, subs: DataFrame, seeds: DataFrame,
     return occ.join(s, ["left", "right"]).groupBy("cls", "word").agg(F.sum("occ").alias("freq"))
 
 
+def class_vocabulary_at_seeds(positions: DataFrame, seeds: DataFrame, k: int, filter_words: list[str],
+                              n_seeds: int | None = None) -> DataFrame:
+    """Same result as :func:`class_vocabulary` with ``substitutes(fillers, k)``,
+    but the fillers are counted only for the contexts in which some seed
+    occurs: the positions are semi-joined to those contexts first, so the
+    filler aggregate and the top-k window run on that subset, co-partitioned
+    by the context key."""
+    bound = n_seeds if n_seeds is not None else seeds.count()
+    occ = (positions.join(broadcast_if_bounded(seeds.withColumnRenamed("word", "token"), bound), "token")
+           .groupBy("cls", "left", "right").agg(F.count(F.lit(1)).alias("occ")))
+    at_seeds = positions.join(occ.select("left", "right").distinct(), ["left", "right"], "left_semi")
+    subs = substitutes(context_fillers(at_seeds), k)
+    s = subs.filter(_usable("word", filter_words)).select("left", "right", "word")
+    return occ.join(s, ["left", "right"]).groupBy("cls", "word").agg(F.sum("occ").alias("freq"))
+
+
 def disjoint_vocabulary(vocab: DataFrame, m: int) -> DataFrame:
     """Keep (cls, word) only where its freq is the highest over classes (ties
     stay in every tied class); then the top ``m`` per class by (freq desc,

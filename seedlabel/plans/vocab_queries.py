@@ -33,13 +33,18 @@ class VocabRun:
         self.fillers = V.context_fillers(self.positions)
         # one top-K2 window serves both cuts (K1 <= K2)
         self._subs = V.substitutes(self.fillers, max(K1, K2))
+        self._materialized = False
 
     def subs(self, k):
         return self._subs.filter(F.col("rank") <= k)
 
     def vocab(self):
-        return V.class_vocabulary(self.positions, self.subs(K1), V.seed_table(self.spark, TQ.LANG_SEEDS), FILTER_WORDS,
-                                  n_seeds=sum(len(s) for s in TQ.LANG_SEEDS))
+        n_seeds = sum(len(s) for s in TQ.LANG_SEEDS)
+        seeds = V.seed_table(self.spark, TQ.LANG_SEEDS)
+        if self._materialized:
+            # the full substitute table exists anyway (scoring needs it)
+            return V.class_vocabulary(self.positions, self.subs(K1), seeds, FILTER_WORDS, n_seeds=n_seeds)
+        return V.class_vocabulary_at_seeds(self.positions, seeds, K1, FILTER_WORDS, n_seeds=n_seeds)
 
     def disjoint(self):
         return V.disjoint_vocabulary(self.vocab(), M)
@@ -52,6 +57,7 @@ class VocabRun:
         self.fillers = V.context_fillers(self.positions)
         # the substitute table feeds both the vocabularies and the hit counts
         self._subs = V.substitutes(self.fillers, max(K1, K2)).checkpoint(eager=True)
+        self._materialized = True
         return self
 
     def scores(self):
