@@ -3,6 +3,13 @@
     python -m seedlabel --labeler seed-sentence|seed-word|seed-word-one-step|vocabulary|keyword \\
         --corpus train.txt --gold test.txt --domain domain.json --out results/ [--ablation none]
 
+    python -m seedlabel --compare out1/results out2/results ... --out comparison/
+
+The second form reads the appended result tables of several runs, compares
+the macro F1 of every pair of models per (domain, type) with a one-sided
+pooled t-test, adjusts (Bonferroni, Holm) and writes the adjusted table and
+the p-value matrix.
+
 Outputs (under --out): labels/ (parquet), label-sentences/ (text export),
 label_counts/, predictions/ (CSV), reports/ (JSON lines), results/ (appended
 result rows).
@@ -23,17 +30,22 @@ from seedlabel.sources import readers, writers
 
 def main(argv=None) -> int:
     ap = argparse.ArgumentParser(prog="seedlabel")
-    ap.add_argument("--labeler", required=True,
+    ap.add_argument("--labeler",
                     choices=["seed-sentence", "seed-word", "seed-word-one-step", "vocabulary", "keyword"])
-    ap.add_argument("--corpus", required=True)
+    ap.add_argument("--compare", nargs="+", help="result tables written by earlier runs")
+    ap.add_argument("--corpus")
     ap.add_argument("--gold")
-    ap.add_argument("--domain", required=True)
+    ap.add_argument("--domain")
     ap.add_argument("--out", required=True)
     ap.add_argument("--ablation", default="none")
     ap.add_argument("--master")
     a = ap.parse_args(argv)
 
     spark = get_spark(master=a.master)
+    if a.compare:
+        return compare(spark, a.compare, a.out.rstrip("/"))
+    if not (a.labeler and a.corpus and a.domain):
+        ap.error("--labeler, --corpus and --domain are required unless --compare is given")
     domain = WF.Domain.from_file(a.domain)
     lines = readers.read_corpus(spark, a.corpus)
     out = a.out.rstrip("/")
@@ -70,5 +82,18 @@ def main(argv=None) -> int:
     return 0
 
 
+def compare(spark, tables: list[str], out: str) -> int:
+    from seedlabel.operators import significance as S
+    res = spark.read.parquet(*tables)
+    groups = ["domain", "type"]
+    stats = S.model_stats(res, groups, "model", "f1_score")
+    adjusted = S.adjust(S.pair_tests(stats, groups), groups)
+    adjusted.write.mode("overwrite").parquet(f"{out}/pairs")
+    models = sorted(r.model for r in res.select("model").distinct().collect())   # a handful of names
+    (S.pvalue_matrix(adjusted, groups, models).write.mode("overwrite").option("header", "true")
+     .csv(f"{out}/pvalue_matrix"))
+    return 0
+
+
 if __name__ == "__main__":
     sys.exit(main())

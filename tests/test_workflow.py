@@ -82,3 +82,19 @@ def test_seed_sentence_labels_are_sensible(spark, files):
     assert rows.get("the pizza was great") == (0, 1)
     assert rows.get("bad pizza , awful pasta") == (0, 0)
     assert rows.get("the waiter was rude!")[0] == 1
+
+
+def test_cli_compare(spark, files, tmp_dir):
+    corpus, gold, domain = files
+    outs = []
+    for labeler in ("seed-sentence", "seed-word-one-step"):
+        out = os.path.join(tmp_dir, labeler)
+        for _ in range(2):   # two runs per model
+            main(["--labeler", labeler, "--corpus", corpus, "--gold", gold, "--domain", domain, "--out", out])
+        outs.append(os.path.join(out, "results"))
+    cmp_out = os.path.join(tmp_dir, "cmp")
+    assert main(["--compare", *outs, "--out", cmp_out]) == 0
+    pairs = spark.read.parquet(os.path.join(cmp_out, "pairs"))
+    assert pairs.count() == 2 * 4          # 2 types x (2 models)^2 ordered pairs
+    m = spark.read.option("header", "true").csv(os.path.join(cmp_out, "pvalue_matrix"))
+    assert m.count() == 4                  # 2 types x 2 models
