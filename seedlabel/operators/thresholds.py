@@ -84,3 +84,42 @@ def exact_quantiles(df: DataFrame, value_col: str, groups, qs: list[float], digi
                            .alias(f"{value_col}_quantile"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def exact_quantiles_ranked(df: DataFrame, value_col: str, groups, qs: list[float], digits: int = 6,
+                           interpolate: bool = True) -> DataFrame:
+    """Exact quantiles for ANY value distribution (no bound on distinct values).
+
+    Rows are numbered in (groups, value) order by the distributed global
+    index (range partitioning: a group with a third of all rows is spread
+    over many partitions, never sorted in one task); each group's first
+    index and size come from one partial aggregate (one row per group); the
+    rows at the target ranks are picked by a filter.  Same definitions as
+    :func:`exact_quantiles` (linear, or discrete with ``interpolate=False``).
+    """
+    from seedlabel.operators.splits import global_index
+    from seedlabel.session import broadcast_if_bounded
+    g = list(groups)
+    v = F.round(F.col(value_col), digits).alias("v")
+    idx = global_index(df.select(*g, v), [*g, "v"], "_i")
+    bounds = idx.groupBy(*g).agg(F.min("_i").alias("_start"), F.count(F.lit(1)).alias("n"))
+    n_groups = bounds.count()
+    ranked = idx.join(broadcast_if_bounded(bounds, n_groups), g).withColumn("_r", F.col("_i") - F.col("_start"))
+    out = None
+    for q in qs:
+        if interpolate:
+            h = (F.col("n") - 1) * F.lit(q)
+            lo, hi = F.floor(h), F.ceil(h)
+            pick = ranked.filter((F.col("_r") == lo) | (F.col("_r") == hi))
+            part = pick.groupBy(*g).agg(
+                F.max(F.when(F.col("_r") == lo, F.col("v"))).alias("lo_v"),
+                F.max(F.when(F.col("_r") == hi, F.col("v"))).alias("hi_v"),
+                F.first(h - lo).alias("frac"))
+            val = F.round(F.col("lo_v") + (F.col("hi_v") - F.col("lo_v")) * F.col("frac"), digits)
+        else:
+            target = F.ceil(F.col("n") * F.lit(q)) - 1
+            part = ranked.filter(F.col("_r") == target).groupBy(*g).agg(F.first("v").alias("x"))
+            val = F.col("x")
+        part = part.select(*g, F.lit(q).alias("q"), val.alias(f"{value_col}_quantile"))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -71,3 +71,21 @@ def test_exact_quantiles_match_numpy(spark):
         sub = np.sort(vals[g::2])
         for q in (0.5, 0.9):
             assert disc[(g, q)] == sub[int(np.ceil(q * len(sub))) - 1]
+
+
+def test_ranked_quantiles_equal_histogram_and_numpy(spark):
+    rng = np.random.default_rng(7)
+    vals = np.round(rng.normal(size=301) * 1000, 6)        # unbounded range
+    rows = [(int(i % 3 == 0), float(v)) for i, v in enumerate(vals)]   # group 1 holds a third
+    df = spark.createDataFrame(rows, "g int, s double")
+    for interp in (True, False):
+        a = {(r.g, r.q): r.s_quantile for r in thresholds.exact_quantiles(df, "s", ["g"], [0.1, 0.5, 0.9],
+                                                                          interpolate=interp).collect()}
+        b = {(r.g, r.q): r.s_quantile for r in thresholds.exact_quantiles_ranked(df, "s", ["g"], [0.1, 0.5, 0.9],
+                                                                                 interpolate=interp).collect()}
+        assert a.keys() == b.keys()
+        for k in a:
+            assert a[k] == pytest.approx(b[k], abs=1e-6)
+    for g in (0, 1):
+        sub = np.sort(np.array([v for gg, v in rows if gg == g]))
+        assert b[(g, 0.5)] == sub[int(np.ceil(0.5 * len(sub))) - 1]
