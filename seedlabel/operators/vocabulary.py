@@ -105,6 +105,17 @@ def context_class_hits(subs: DataFrame, vocab_m: DataFrame, filter_words: list[s
     return s.join(first, "word").groupBy("left", "right", "cls").agg(F.count(F.lit(1)).alias("hits"))
 
 
+def context_class_hit_arrays(subs: DataFrame, vocab_m: DataFrame, filter_words: list[str], n_classes: int,
+                             vocab_bound: int | None = None) -> DataFrame:
+    """Like :func:`context_class_hits`, one row per context:
+    ``(left, right, hits_by_class array<long>)``."""
+    first = vocab_m.groupBy("word").agg(F.min("cls").alias("cls"))
+    first = broadcast_if_bounded(first, vocab_bound if vocab_bound is not None else 10 ** 12)
+    s = subs.filter(_usable("word", filter_words)).join(first, "word")
+    return s.groupBy("left", "right").agg(
+        F.array(*[F.count_if(F.col("cls") == c) for c in range(n_classes)]).alias("hits_by_class"))
+
+
 def overlap_scores(sent: DataFrame, id_cols, ctx_hits: DataFrame, n_classes: int,
                    filter_words: list[str], tokens_col: str = "tokens", lexicon: list[str] | None = None) -> DataFrame:
     """Dense per-sentence class scores ``(*ids, n_cand, scores array<double>)``:
@@ -115,9 +126,16 @@ def overlap_scores(sent: DataFrame, id_cols, ctx_hits: DataFrame, n_classes: int
     cand = F.filter(F.col(tokens_col), lambda t: ~t.isin(filter_words))
     base = sent.select(*ids, F.size(cand).alias("n_cand"), F.col(tokens_col))
     pos = token_positions(base, ids, tokens_col).filter(~F.col("token").isin(filter_words))
-    hits = (pos.join(ctx_hits, ["left", "right"]).groupBy(*ids)
-            .agg(F.array(*[F.sum(F.when(F.col("cls") == c, F.col("hits")).otherwise(0)).cast("double")
-                           for c in range(n_classes)]).alias("_h")))
+    if "hits_by_class" in ctx_hits.columns:
+        # one row per context with a per-class count array (already
+        # partitioned by the context key, so only the positions move)
+        j = pos.join(ctx_hits, ["left", "right"])
+        hits = j.groupBy(*ids).agg(F.array(*[F.sum(F.col("hits_by_class")[c]).cast("double")
+                                             for c in range(n_classes)]).alias("_h"))
+    else:
+        hits = (pos.join(ctx_hits, ["left", "right"]).groupBy(*ids)
+                .agg(F.array(*[F.sum(F.when(F.col("cls") == c, F.col("hits")).otherwise(0)).cast("double")
+                               for c in range(n_classes)]).alias("_h")))
     zeros = F.array_repeat(F.lit(0.0), n_classes)
     out = base.select(*ids, "n_cand").join(hits, ids, "left")
     return out.select(*ids, "n_cand", F.transform(F.coalesce("_h", zeros),

@@ -61,7 +61,8 @@ class VocabRun:
         return self
 
     def scores(self):
-        hits = V.context_class_hits(self.subs(K2), self.disjoint(), FILTER_WORDS, vocab_bound=N_CLASSES * M)
+        hits = V.context_class_hit_arrays(self.subs(K2), self.disjoint(), FILTER_WORDS, N_CLASSES,
+                                          vocab_bound=N_CLASSES * M)
         return V.overlap_scores(self.sent, ["doc_id", "pos"], hits, N_CLASSES, FILTER_WORDS)
 
     def z(self):
