@@ -64,11 +64,15 @@ def gce_loss(df: DataFrame, logits: str, target: str, q: float, weights: Column,
              digits: int = 6) -> DataFrame:
     """(mean(alpha * lq + (1 - alpha) * lq * w_y))^2 with lq = (1 - p_y^q) / q.
 
-    ``weights`` is an array column of per-class weights (e.g. a scalar
-    subquery over :func:`class_weights`)."""
+    ``weights`` is a column holding either an array of per-class weights
+    (index = class) or a map class -> weight (e.g. a scalar subquery over
+    :func:`class_weights`); a class without a weight contributes no term."""
+    from pyspark.sql.types import ArrayType
     p = F.exp(log_softmax_at(logits, target))
     lq = (1 - F.pow(p, F.lit(q))) / F.lit(q)
-    w = F.element_at(F.col("_w"), F.col(target) + 1)
-    return (df.withColumn("_w", weights)
+    withw = df.withColumn("_w", weights)
+    is_array = isinstance(withw.schema["_w"].dataType, ArrayType)
+    w = F.try_element_at(F.col("_w"), F.col(target) + (1 if is_array else 0))
+    return (withw
             .agg(F.avg(F.lit(alpha) * lq + F.lit(1 - alpha) * lq * w).alias("m"))
             .select(F.lit(float(q)).alias("q"), F.round(F.col("m") * F.col("m"), digits).alias("loss")))

@@ -32,7 +32,7 @@ def pair_tests(stats: DataFrame, groups) -> DataFrame:
     # on the aggregated statistics table, never on data rows
     p = a.join(b, g)
     dof = F.col("n_a") + F.col("n_b") - 2
-    sp2 = ((F.col("n_a") - 1) * F.col("var_a") + (F.col("n_b") - 1) * F.col("var_b")) / dof
+    sp2 = F.try_divide((F.col("n_a") - 1) * F.col("var_a") + (F.col("n_b") - 1) * F.col("var_b"), dof)
     se = F.sqrt(sp2 * (F.lit(1.0) / F.col("n_a") + F.lit(1.0) / F.col("n_b")))
     t = F.try_divide(F.col("mean_a") - F.col("mean_b"), se)
     out = p.select(*g, F.col("model_a"), F.col("model_b"), "n_a", "n_b", t.alias("t"), dof.cast("long").alias("df"))

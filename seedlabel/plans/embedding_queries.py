@@ -240,9 +240,9 @@ def q_focal_loss(spark, sf_dir):
 def q_gce_loss(spark, sf_dir):
     s = scored_embeddings(spark, sf_dir, keep_scores=True)
     w = q_class_weights(spark, sf_dir)
-    warr = w.select(F.array_sort(F.collect_list(F.struct("cls", "weight"))).alias("x")) \
-        .select(F.col("x.weight").alias("w")).scalar()
-    return L.gce_loss(s, "aspect_scores", "gold_aspect", GCE_Q, warr)
+    # class -> weight map: a class without weak labels has no weight (no term)
+    wmap = w.select(F.map_from_entries(F.collect_list(F.struct("cls", "weight"))).alias("w")).scalar()
+    return L.gce_loss(s, "aspect_scores", "gold_aspect", GCE_Q, wmap)
 
 
 def q_run_averages(spark, sf_dir):

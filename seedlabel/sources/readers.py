@@ -84,8 +84,8 @@ def read_label_file(spark: SparkSession, path: str, aspects: list[str], polariti
     rec = lines.groupBy("record").agg(F.max(F.when(F.col("idx") % 2 == 0, F.col("line"))).alias("sentence"),
                                       F.max(F.when(F.col("idx") % 2 == 1, F.col("line"))).alias("labels"))
     parts = F.split(F.trim("labels"), " ")
-    return rec.select("record", "sentence", encode_labels(parts[0], aspects).alias("aspect"),
-                      encode_labels(parts[1], polarities).alias("polarity"))
+    return rec.select("record", "sentence", encode_labels(F.try_element_at(parts, F.lit(1)), aspects).alias("aspect"),
+                      encode_labels(F.try_element_at(parts, F.lit(2)), polarities).alias("polarity"))
 
 
 def read_score_file(spark: SparkSession, path: str) -> DataFrame:
