@@ -85,3 +85,20 @@ def test_document_aspects_sum(spark):
     df = spark.createDataFrame([(1, [1.5, 0.0]), (1, [1.0, 0.5])], "doc int, lg array<double>")
     out = [(r.doc, r.label, r.logit_sum) for r in sum_and_threshold(df, "doc", "lg", 2.0).collect()]
     assert out == [(1, 0, 2.5)]
+
+
+def test_bonferroni_28_fixture(spark):
+    from seedlabel.operators.significance import adjust
+
+    def t_for(p, df=30):
+        lo, hi = -50.0, 50.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            (lo, hi) = (mid, hi) if t_cdf(mid, df) < p else (lo, mid)
+        return lo
+
+    rows = [("a", "b", t_for(0.01), 30), ("b", "a", t_for(0.5), 30)]
+    out = {r.model_a: r for r in adjust(spark.createDataFrame(rows, "model_a string, model_b string, t double, df long"),
+                                        [], n_models=8).collect()}
+    assert round(out["a"].p_bonferroni, 6) == 0.28      # 8 models -> 28 unordered pairs
+    assert out["b"].p_bonferroni == 1.0
