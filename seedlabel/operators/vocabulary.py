@@ -121,11 +121,17 @@ def overlap_scores(sent: DataFrame, id_cols, ctx_hits: DataFrame, n_classes: int
     """Dense per-sentence class scores ``(*ids, n_cand, scores array<double>)``:
     score[c] = substitute hits of class c over the sentence's candidate
     tokens / max(#candidate tokens, 1).  Candidate tokens are the tokens that
-    are not filter words."""
+    are not filter words and, when a ``lexicon`` is given (e.g. the nouns, or
+    the adjectives/adverbs of a tagged word list), are in it."""
     ids = list(id_cols)
-    cand = F.filter(F.col(tokens_col), lambda t: ~t.isin(filter_words))
+
+    def keep(t):
+        ok = ~t.isin(filter_words)
+        return ok & t.isin(lexicon) if lexicon is not None else ok
+
+    cand = F.filter(F.col(tokens_col), keep)
     base = sent.select(*ids, F.size(cand).alias("n_cand"), F.col(tokens_col))
-    pos = token_positions(base, ids, tokens_col).filter(~F.col("token").isin(filter_words))
+    pos = token_positions(base, ids, tokens_col).filter(keep(F.col("token")))
     if "hits_by_class" in ctx_hits.columns:
         # one row per context with a per-class count array (already
         # partitioned by the context key, so only the positions move)

@@ -127,3 +127,12 @@ def test_literal_alternation_escapes(spark):
     df = spark.createDataFrame([("a.b c",), ("axb c",)], "sentence string")
     pat = R._literal_alternation(["a.b", "q+"])
     assert [r.sentence for r in df.filter(F.col("sentence").rlike(pat)).collect()] == ["a.b c"]
+
+
+
+def test_overlap_score_lexicon(spark):
+    sent = spark.createDataFrame([(1, ["x", "y"])], "id long, tokens array<string>")
+    hits = spark.createDataFrame([("<s>", "y", 0, 2), ("x", "</s>", 0, 1), ("x", "</s>", 1, 1)],
+                                 "left string, right string, cls int, hits long")
+    out = V.overlap_scores(sent, ["id"], hits, 2, ["."], lexicon=["y"]).first()
+    assert out.n_cand == 1 and out.scores == [1.0, 1.0]      # only "y" is a candidate
