@@ -31,10 +31,6 @@ def _lit_array(words):
     return F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
 
 
-def _literal_alternation(words) -> str:
-    return "|".join("\\Q" + w.replace("\\E", "\\E\\\\E\\Q") + "\\E" for w in words)
-
-
 def class_rows(scored: DataFrame, class_seeds: list[list[str]], scores_col: str = "scores",
                ids=("doc_id", "pos"), foreign_match: str = "substring", tokens_col: str = "tokens") -> DataFrame:
     """One row per (sentence, class) with the eligibility facts:
@@ -46,8 +42,9 @@ def class_rows(scored: DataFrame, class_seeds: list[list[str]], scores_col: str
     * ``own`` -- positions of the class's seeds that occur bounded by single
       spaces (``" seed "``), i.e. not at the sentence edges.
 
-    All facts are built per sentence row with plain expressions (one regex
-    per class, no lambdas) before the rows are split per class.
+    All facts are built per sentence row with plain expressions (each
+    distinct seed tested once by substring search, no lambdas) before the
+    rows are split per class.
     """
     k = len(class_seeds)
     sent = F.col("sentence")

@@ -123,12 +123,6 @@ def test_foreign_seed_token_mode(spark):
     assert rows.filter("cls = 0").first().foreign is False
 
 
-def test_literal_alternation_escapes(spark):
-    df = spark.createDataFrame([("a.b c",), ("axb c",)], "sentence string")
-    pat = R._literal_alternation(["a.b", "q+"])
-    assert [r.sentence for r in df.filter(F.col("sentence").rlike(pat)).collect()] == ["a.b c"]
-
-
 
 def test_overlap_score_lexicon(spark):
     sent = spark.createDataFrame([(1, ["x", "y"])], "id long, tokens array<string>")
