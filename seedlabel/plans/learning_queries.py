@@ -128,23 +128,40 @@ def q_keyword_classifier(spark, sf_dir):
     return metrics.classification_report(pred.withColumn("pred", F.col("prediction").cast("int")), "gold", "pred")
 
 
-def q_hyper_search(spark, sf_dir):
+def q_hyper_search(spark, sf_dir, trials_path: str | None = None):
     """Seeded sample of the parameter grid; each trial trains the aspect head
     on the hash-chosen 80 % of the weak labels and reports validation loss
-    and accuracy on the rest.  One row per trial, best first."""
+    and accuracy on the rest.  One row per trial, best first.  With
+    ``trials_path`` the search resumes: trials already in that table are
+    skipped and new ones are appended to it."""
     weak = EQ.weak_labelled(spark, sf_dir).withColumn("u", hash_uniform("vec_id"))
     train, val = weak.filter(F.col("u") < TRAIN_FRACTION), weak.filter(F.col("u") >= TRAIN_FRACTION)
     grid = [(g, r, s) for g in SEARCH_SPACE["gamma"] for r in SEARCH_SPACE["reg"] for s in SEARCH_SPACE["step"]]
     rnd = random.Random(SEARCH_SEED)
     trials = rnd.sample(grid, min(SEARCH_TRIALS, len(grid)))
+    done = set()
+    if trials_path:
+        from seedlabel.sources.writers import pending_trials
+        cand = spark.createDataFrame([(float(g), float(r), float(s)) for g, r, s in trials],
+                                     "gamma double, reg double, step double")
+        todo = {(x.gamma, x.reg, x.step) for x in pending_trials(spark, cand, trials_path,
+                                                                  ["gamma", "reg", "step"]).collect()}
+        done = {t for t in ((float(g), float(r), float(s)) for g, r, s in trials) if t not in todo}
     rows = []
     for i, (g, r, s) in enumerate(trials):
+        if (float(g), float(r), float(s)) in done:
+            continue
         head = C.train_softmax_head(train, "embedding", "aspect", EQ.N_ASPECTS, gamma=g, reg=r, step=s,
                                     iters=GD["iters"])
         loss, acc = C.evaluate_head(val, head, "embedding", "aspect", gamma=g)
         rows.append((i, float(g), float(r), float(s), round(float(loss), 6), round(float(acc), 6)))
     df = spark.createDataFrame(rows, "trial int, gamma double, reg double, step double, val_loss double, "
                                      "val_accuracy double")
+    if trials_path:
+        from seedlabel.sources.writers import append_trials
+        if rows:
+            append_trials(df, trials_path)
+        df = spark.read.parquet(trials_path)
     return df.orderBy("val_loss", "trial")
 
 

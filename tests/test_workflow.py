@@ -98,3 +98,31 @@ def test_cli_compare(spark, files, tmp_dir):
     assert pairs.count() == 2 * 4          # 2 types x (2 models)^2 ordered pairs
     m = spark.read.option("header", "true").csv(os.path.join(cmp_out, "pvalue_matrix"))
     assert m.count() == 4                  # 2 types x 2 models
+
+
+def test_model_save_load(spark, tmp_dir):
+    import numpy as np
+    from pyspark.ml import PipelineModel
+    from pyspark.sql import functions as F
+    from seedlabel.operators import classifier as C
+    rows = [(["pizza", "good"], 0), (["waiter", "rude"], 1), (["pasta", "tasty"], 0), (["staff", "slow"], 1)] * 5
+    df = spark.createDataFrame(rows, "tokens array<string>, label int")
+    model = C.keyword_text_classifier(df, "tokens", "label", num_features=64, max_iter=20)
+    path = os.path.join(tmp_dir, "kw_model")
+    model.write().overwrite().save(path)
+    again = PipelineModel.load(path)
+    a = [r.prediction for r in model.transform(df).collect()]
+    b = [r.prediction for r in again.transform(df).collect()]
+    assert a == b
+    heads = {"h": C.SoftmaxHead(np.arange(6, dtype=float).reshape(2, 3))}
+    C.save_heads(spark, heads, os.path.join(tmp_dir, "heads"))
+    back = C.load_heads(spark, os.path.join(tmp_dir, "heads"))
+    assert np.array_equal(back["h"].weights, heads["h"].weights)
+
+
+def test_hyper_search_resumes(spark, tmp_dir):
+    from seedlabel.plans import learning_queries as LQ
+    path = os.path.join(tmp_dir, "trials")
+    first = LQ.q_hyper_search(spark, "/root/testdata/sf0.001", trials_path=path).collect()
+    again = LQ.q_hyper_search(spark, "/root/testdata/sf0.001", trials_path=path).collect()
+    assert len(first) == LQ.SEARCH_TRIALS and len(again) == LQ.SEARCH_TRIALS   # nothing re-run or duplicated
