@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,8 +77,30 @@ def max_cosine_per_class_udf(protos: np.ndarray, proto_class: np.ndarray, n_clas
     return score
 
 
+def _dense_matrix(vecs, dim: int) -> np.ndarray:
+    """Arrow ``list<float>`` array -> (n, dim) float64 matrix from the flat
+    values buffer (no per-row objects); null rows become zero vectors."""
+    if isinstance(vecs, pa.ChunkedArray):
+        vecs = vecs.combine_chunks()
+    n = len(vecs)
+    offsets = vecs.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+    lens = np.diff(offsets)
+    nulls = vecs.is_null().to_numpy(zero_copy_only=False)
+    values = vecs.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if n and not nulls.any() and (lens == dim).all():
+        return values.reshape(n, dim)
+    out = np.zeros((n, dim))
+    pos = 0
+    for i in range(n):                       # ragged or null rows (not expected for embeddings)
+        if not nulls[i]:
+            k = min(lens[i], dim)
+            out[i, :k] = values[pos:pos + k]
+            pos += lens[i]
+    return out
+
+
 def multi_set_scorer_udf(sets: list[tuple[np.ndarray, np.ndarray, int]], keep_scores: bool = False):
-    """One pandas UDF for several prototype sets: ONE matmul of the batch
+    """One Arrow UDF for several prototype sets: ONE matmul of the batch
     against all prototypes stacked, then per set the per-class max and the
     first best class.  Returns struct(cls array<int>, score array<double>
     [, scores array<array<double>>]) with one entry per set."""
@@ -88,13 +111,21 @@ def multi_set_scorer_udf(sets: list[tuple[np.ndarray, np.ndarray, int]], keep_sc
     if keep_scores:
         fields.append(T.StructField("scores", T.ArrayType(T.ArrayType(T.DoubleType()))))
     schema = T.StructType(fields)
+    n_sets = len(sets)
 
-    @F.pandas_udf(schema)
-    def score(vecs: pd.Series) -> pd.DataFrame:
-        m = stack_column(vecs, allp.shape[1])
+    def lists(m: np.ndarray, typ) -> pa.Array:
+        n, k = m.shape
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, n * k + 1, k, dtype=np.int32)),
+                                        pa.array(m.ravel(), type=typ))
+
+    @F.arrow_udf(schema)
+    def score(vecs: pa.Array) -> pa.Array:
+        m = _dense_matrix(vecs, allp.shape[1])
         n = len(m)
         sims = unit_rows(m) @ allp.T if n else np.zeros((0, allp.shape[0]))
-        cls_cols, score_cols, per_sets = [], [], []
+        cls_m = np.zeros((n, n_sets), dtype=np.int32)
+        score_m = np.zeros((n, n_sets))
+        per_sets = []
         for j, (_, classes, k) in enumerate(sets):
             block = sims[:, offsets[j]:offsets[j + 1]]
             per_class = np.full((n, k), -np.inf)
@@ -103,13 +134,20 @@ def multi_set_scorer_udf(sets: list[tuple[np.ndarray, np.ndarray, int]], keep_sc
                 if sel.any():
                     per_class[:, c] = block[:, sel].max(axis=1)
             best = per_class.argmax(axis=1) if n else np.zeros(0, dtype=np.int64)
-            cls_cols.append(best.astype(np.int32))
-            score_cols.append(per_class[np.arange(n), best] if n else np.zeros(0))
+            cls_m[:, j] = best
+            score_m[:, j] = per_class[np.arange(n), best] if n else 0.0
             per_sets.append(per_class)
-        out = {"cls": list(np.stack(cls_cols, axis=1)) if n else [],
-               "score": list(np.stack(score_cols, axis=1)) if n else []}
+        arrays = [lists(cls_m, pa.int32()), lists(score_m, pa.float64())]
+        names = ["cls", "score"]
         if keep_scores:
-            out["scores"] = [[ps[i] for ps in per_sets] for i in range(n)]
-        return pd.DataFrame(out)
+            # row-major: row i holds set 0's k_0 scores, then set 1's k_1, ...
+            ks = np.array([ps.shape[1] for ps in per_sets], dtype=np.int64)
+            values = np.hstack(per_sets).ravel() if n else np.zeros(0)
+            inner_off = np.concatenate([[0], np.cumsum(np.tile(ks, n))]).astype(np.int32)
+            inner = pa.ListArray.from_arrays(pa.array(inner_off), pa.array(values, type=pa.float64()))
+            arrays.append(pa.ListArray.from_arrays(pa.array(np.arange(0, n * n_sets + 1, n_sets, dtype=np.int32)),
+                                                   inner))
+            names.append("scores")
+        return pa.StructArray.from_arrays(arrays, names=names)
 
     return score
