@@ -1,8 +1,10 @@
 """Vector helpers.
 
-Wide-vector scoring runs in numpy inside Arrow-batched pandas UDFs (one BLAS
-matmul per batch); small per-row vector maths uses Spark higher-order
-functions so it stays in the JVM.
+Wide-vector scoring runs in numpy inside an Arrow-native UDF: the batch's
+``list<float>`` column is read as one flat values buffer, reshaped to a
+matrix and multiplied with all prototypes at once (one BLAS matmul per
+batch).  Small per-row vector maths uses Spark higher-order functions so it
+stays in the JVM.
 """
 
 from __future__ import annotations
@@ -47,36 +49,6 @@ def stack_column(s: pd.Series, dim: int | None = None) -> np.ndarray:
     return np.vstack(s.to_numpy()).astype(np.float64)
 
 
-def max_cosine_per_class_udf(protos: np.ndarray, proto_class: np.ndarray, n_classes: int):
-    """pandas UDF: vector column -> struct(cls int, score double).
-
-    ``score`` is, per class, the max cosine over that class's prototypes, and
-    the row takes the class with the highest score (lowest index on ties).
-    The prototype matrix is bounded (classes x seeds x dim) and checked by
-    the caller before it is shipped with the function.
-    """
-    unit_p = unit_rows(protos.astype(np.float64))
-    cls = proto_class.astype(np.int64)
-    schema = T.StructType([T.StructField("cls", T.IntegerType()), T.StructField("score", T.DoubleType()),
-                           T.StructField("scores", T.ArrayType(T.DoubleType()))])
-
-    @F.pandas_udf(schema)
-    def score(vecs: pd.Series) -> pd.DataFrame:
-        m = stack_column(vecs, unit_p.shape[1])
-        sims = unit_rows(m) @ unit_p.T if len(m) else np.zeros((0, len(cls)))
-        per_class = np.full((len(m), n_classes), -np.inf)
-        for c in range(n_classes):
-            sel = cls == c
-            if sel.any():
-                per_class[:, c] = sims[:, sel].max(axis=1)
-        best = per_class.argmax(axis=1) if len(m) else np.zeros(0, dtype=np.int64)
-        return pd.DataFrame({"cls": best.astype(np.int32),
-                             "score": per_class[np.arange(len(m)), best] if len(m) else np.zeros(0),
-                             "scores": list(per_class)})
-
-    return score
-
-
 def _dense_matrix(vecs, dim: int) -> np.ndarray:
     """Arrow ``list<float>`` array -> (n, dim) float64 matrix from the flat
     values buffer (no per-row objects); null rows become zero vectors."""

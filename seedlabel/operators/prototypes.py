@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seedlabel.functions.vectors import max_cosine_per_class_udf, multi_set_scorer_udf
+from seedlabel.functions.vectors import multi_set_scorer_udf
 
 # Largest prototype matrix (rows x dim doubles) shipped to tasks: 32 MiB.
 MAX_PROTOTYPE_CELLS = 4 * 1024 * 1024
@@ -71,9 +71,6 @@ class PrototypeSet:
     n_classes: int
     proto_ids: np.ndarray
 
-    def scorer(self):
-        return max_cosine_per_class_udf(self.matrix, self.classes, self.n_classes)
-
 
 def collect_prototypes(name: str, protos: DataFrame, n_classes: int | None = None,
                        max_cells: int = MAX_PROTOTYPE_CELLS) -> PrototypeSet:
