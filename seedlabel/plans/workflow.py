@@ -188,8 +188,11 @@ def seed_word_labeler(domain: Domain, sentences: DataFrame | None = None, two_st
         scored = sent.withColumn("scores", bag_scores([b[0] if b else {} for b in one[kind]])(F.col("tokens")))
         reps = R.representatives(R.class_rows(scored, raw), raw, domain.n_representatives)
         near = R.nearest_to_seeds(sent, trimmed).join(sent.select("doc_id", "pos", "sentence"), ["doc_id", "pos"])
-        rep_rows = [(r.cls, r.sentence) for r in reps.select("cls", "sentence").collect()]
-        near_rows = [(r.cls, r.sentence) for r in near.select("cls", "sentence").collect()]
+        # bounded by classes x (N + 1 + seeds) rows; one job collects both
+        both = (reps.select(F.lit("rep").alias("k"), "cls", "sentence")
+                .unionByName(near.select(F.lit("near").alias("k"), "cls", "sentence")).collect())
+        rep_rows = [(r.cls, r.sentence) for r in both if r.k == "rep"]
+        near_rows = [(r.cls, r.sentence) for r in both if r.k == "near"]
         cb[kind] = R.prototype_bags(rep_rows, near_rows, len(domain.classes(kind)))
     return BagLabeler(domain, cb)
 
