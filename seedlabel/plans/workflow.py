@@ -179,8 +179,9 @@ def seed_word_labeler(domain: Domain, sentences: DataFrame | None = None, two_st
         return BagLabeler(domain, one)
     if sentences is None:
         raise ValueError("the two-step labeler needs the corpus sentences")
+    # read by the candidate and nearest-sentence jobs of both kinds: split once
     sent = sentences.select(F.col("line_id").alias("doc_id"), "pos", "sentence", "tokens",
-                            F.size("tokens").alias("n_words"))
+                            F.size("tokens").alias("n_words")).checkpoint(eager=True)
     cb = {}
     for kind in KINDS:
         raw = domain.seed_words(kind, raw=True)
@@ -203,6 +204,9 @@ class VocabularyLabeler:
 
     def __init__(self, spark: SparkSession, domain: Domain, sentences: DataFrame):
         self.spark, self.domain = spark, domain
+        # fillers, seed occurrences of both kinds and the scores all read the
+        # sentences: split once and cut the lineage
+        sentences = sentences.checkpoint(eager=True)
         positions = V.token_positions(sentences, ["line_id", "pos"])
         subs = V.substitutes(V.context_fillers(positions), max(domain.k1, domain.k2)).checkpoint(eager=True)
         self.hits, self.vocab = {}, {}
