@@ -155,7 +155,8 @@ def class_score_stats(scores: DataFrame, scores_col: str = "scores") -> DataFram
                                                                  F.stddev_pop("x").alias("sd"))
 
 
-def zscores(scores: DataFrame, stats: DataFrame, scores_col: str = "scores", out_col: str = "z") -> DataFrame:
+def zscores(scores: DataFrame, stats: DataFrame, scores_col: str = "scores", out_col: str = "z",
+            n_classes: int | None = None) -> DataFrame:
     """Standardise every class score with that class's mean and sd.
 
     The stats (one row per class) reach the tasks as a scalar subquery.  The
@@ -163,14 +164,22 @@ def zscores(scores: DataFrame, stats: DataFrame, scores_col: str = "scores", out
     scores).  sd = 0 gives NULL, which never passes a threshold.
     """
     st = stats.select(F.array_sort(F.collect_list(F.struct("cls", "mean", "sd"))).alias("s")).scalar()
-    z = F.transform(F.col(scores_col), lambda x, i: F.try_divide(x - F.col("_st")[i]["mean"], F.col("_st")[i]["sd"]))
+    if n_classes is not None:        # plain expressions (whole-stage codegen), one per class
+        sc, s_ = F.col(scores_col), F.col("_st")
+        z = F.array(*[F.try_divide(sc[c] - s_[c]["mean"], s_[c]["sd"]) for c in range(n_classes)])
+    else:
+        z = F.transform(F.col(scores_col),
+                        lambda x, i: F.try_divide(x - F.col("_st")[i]["mean"], F.col("_st")[i]["sd"]))
     return scores.withColumn("_st", st).withColumn(out_col, z).drop("_st")
 
 
-def zscore_labels(z: DataFrame, lam: float, z_col: str = "z", label_col: str = "label") -> DataFrame:
+def zscore_labels(z: DataFrame, lam: float, z_col: str = "z", label_col: str = "label",
+                  n_classes: int | None = None) -> DataFrame:
     """Rows where exactly one class reaches ``lam``; that class is the label."""
-    idx = F.transform(F.col(z_col), lambda x, i: F.when(x >= F.lit(lam), i))
-    m = F.filter(idx, lambda x: x.isNotNull())
+    if n_classes is not None:
+        m = F.array_compact(F.array(*[F.when(F.col(z_col)[c] >= F.lit(lam), F.lit(c)) for c in range(n_classes)]))
+    else:
+        m = F.filter(F.transform(F.col(z_col), lambda x, i: F.when(x >= F.lit(lam), i)), lambda x: x.isNotNull())
     return (z.withColumn("_m", m).filter(F.size("_m") == 1)
             .withColumn(label_col, F.col("_m")[0].cast("int")).drop("_m"))
 
@@ -178,14 +187,12 @@ def zscore_labels(z: DataFrame, lam: float, z_col: str = "z", label_col: str = "
 def zscore_forced(z: DataFrame, z_col: str = "z", label_col: str = "label", floor: float = -100.0) -> DataFrame:
     """Force one label per row: the first class with the highest z (strictly
     above ``floor``; NULL z never wins).  Rows where no class beats the floor
-    are dropped."""
-    init = F.struct(F.lit(-1).alias("i"), F.lit(floor).alias("z"), F.lit(0).alias("k"))
-
-    def step(s, x):
-        better = x.isNotNull() & (x > s["z"])
-        return F.struct(F.when(better, s["k"]).otherwise(s["i"]).alias("i"),
-                        F.when(better, x).otherwise(s["z"]).alias("z"), (s["k"] + 1).alias("k"))
-
-    best = F.aggregate(F.col(z_col), init, step)
+    are dropped.  ``array_max`` skips NULLs and ``array_position`` finds the
+    first maximum, so no lambda is needed."""
+    zc = F.col(z_col)
+    mx = F.array_max(zc)
+    best = F.when(mx > F.lit(floor), F.struct((F.array_position(zc, mx) - 1).cast("int").alias("i"),
+                                              mx.alias("z"))) \
+        .otherwise(F.struct(F.lit(-1).alias("i"), F.lit(floor).alias("z")))
     return (z.withColumn("_b", best).filter(F.col("_b.i") >= 0)
             .withColumn(label_col, F.col("_b.i").cast("int")).withColumn("z_best", F.col("_b.z")).drop("_b"))

@@ -69,7 +69,7 @@ class VocabRun:
         # the scores feed both the class statistics and the standardisation:
         # compute them once and cut the lineage with a reliable checkpoint
         s = self.scores().checkpoint(eager=True)
-        return V.zscores(s, V.class_score_stats(s))
+        return V.zscores(s, V.class_score_stats(s), n_classes=N_CLASSES)
 
 
 def q_substitute_topk(spark, sf_dir):
@@ -97,7 +97,7 @@ def q_class_score_stats(spark, sf_dir):
 
 
 def q_zscore_labels(spark, sf_dir):
-    z = V.zscore_labels(VocabRun(spark, sf_dir).materialize().z(), LAMBDA)
+    z = V.zscore_labels(VocabRun(spark, sf_dir).materialize().z(), LAMBDA, n_classes=N_CLASSES)
     return z.select("doc_id", "pos", "label", F.round(F.col("z")[F.col("label")], 6).alias("z"))
 
 

@@ -233,14 +233,15 @@ class VocabularyLabeler:
 
     def _z(self, scores: DataFrame) -> DataFrame:
         for kind in KINDS:
-            scores = V.zscores(scores, self.stats[kind], f"{kind}_scores", f"{kind}_z")
+            scores = V.zscores(scores, self.stats[kind], f"{kind}_scores", f"{kind}_z",
+                               n_classes=len(self.domain.classes(kind)))
         return scores
 
     def label(self) -> DataFrame:
         """Rows with exactly one class at z >= lambda in both kinds."""
         z = self._z(self.train_scores)
         for kind in KINDS:
-            z = V.zscore_labels(z, self.domain.lam, f"{kind}_z", kind)
+            z = V.zscore_labels(z, self.domain.lam, f"{kind}_z", kind, n_classes=len(self.domain.classes(kind)))
         return z
 
     def score(self, df: DataFrame, ids=("id",)) -> DataFrame:
