@@ -39,6 +39,12 @@ def tokens(col) -> Column:
     return F.array_remove(F.split(_c(col), f"{_PY_WS}+", -1), "")
 
 
+def raw_sentence_pieces(col) -> Column:
+    """Lower-cased pieces between separators with empty pieces dropped, NOT
+    yet stripped (strip each piece with :func:`py_strip` after exploding)."""
+    return F.array_remove(F.split(F.lower(_c(col)), SENTENCE_SEPARATORS, -1), "")
+
+
 def sentence_pieces(col) -> Column:
     """Lower-case, cut at the sentence separators, drop empty pieces, strip.
 

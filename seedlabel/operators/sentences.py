@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seedlabel.functions.text import sentence_pieces, tokens
+from seedlabel.functions.text import py_strip, raw_sentence_pieces, tokens
 
 
 def split_sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     keep=()) -> DataFrame:
     """One row per sentence: ``(id, pos, sentence, *keep)``; ``pos`` counts from 0
-    within the document.  Map-only (generator over each row's own text)."""
-    return df.select(F.col(id_col), *keep, F.posexplode(sentence_pieces(text_col)).alias("pos", "sentence"))
+    within the document.  Map-only (generator over each row's own text); the
+    pieces are exploded first and stripped per row, so no lambda is needed."""
+    ex = df.select(F.col(id_col), *keep, F.posexplode(raw_sentence_pieces(text_col)).alias("pos", "_piece"))
+    return ex.select(F.col(id_col), *keep, "pos", py_strip("_piece").alias("sentence"))
 
 
 def with_tokens(df: DataFrame, text_col: str = "sentence", out_col: str = "tokens") -> DataFrame:
