@@ -277,3 +277,20 @@ def evaluate(gold: DataFrame, scored: DataFrame, domain: Domain, id_col: str = "
                      KW.decode_labels("actual_polarity", domain.polarities).alias("actual polarity"),
                      KW.decode_labels("predicted_polarity", domain.polarities).alias("predicted polarity"))
     return table, report
+
+
+def prepare_review_corpus(spark: SparkSession, csv_path: str, out_path: str, id_col: str = "restoId",
+                          weak_cap: int = 30000) -> DataFrame:
+    """Review export -> corpus files per split: read (decimal-comma scores,
+    bytes-literal texts decoded, lower-cased and word-tokenised), drop empty
+    texts, hash-uniform train/dev/weak/unused split in file order, one text
+    folder per split.  Returns the split sizes (one row per split)."""
+    from seedlabel.operators import splits as SP
+    from seedlabel.sources import readers, writers
+    reviews = readers.read_review_csv(spark, csv_path)
+    reviews = reviews.withColumn("review_id", F.monotonically_increasing_id()).filter(F.length("text") > 0)
+    reviews = reviews.checkpoint(eager=True)       # ids fixed before they are used as keys
+    parts = SP.corpus_split(reviews.select("review_id", SP.hash_uniform("review_id").alias("u")), "review_id",
+                            weak_cap=weak_cap)
+    writers.write_corpus_splits(reviews, parts, "review_id", out_path)
+    return spark.read.text(out_path).groupBy("split").count()

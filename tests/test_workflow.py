@@ -126,3 +126,17 @@ def test_hyper_search_resumes(spark, tmp_dir):
     first = LQ.q_hyper_search(spark, "/root/testdata/sf0.001", trials_path=path).collect()
     again = LQ.q_hyper_search(spark, "/root/testdata/sf0.001", trials_path=path).collect()
     assert len(first) == LQ.SEARCH_TRIALS and len(again) == LQ.SEARCH_TRIALS   # nothing re-run or duplicated
+
+
+def test_prepare_review_corpus(spark, tmp_dir):
+    csv = os.path.join(tmp_dir, "reviews.csv")
+    rows = ['restoId,reviewScoreOverall,reviewText']
+    for i in range(60):
+        rows.append(f'{i},"7,{i % 10}","b\'Eten was Goed nummer {i}!\'"')
+    rows.append('99,8,')                           # missing text -> dropped
+    open(csv, "w").write("\n".join(rows) + "\n")
+    out = os.path.join(tmp_dir, "corpus")
+    counts = {r.split: r["count"] for r in WF.prepare_review_corpus(spark, csv, out).collect()}
+    assert sum(counts.values()) == 60
+    text = spark.read.text(out).first().value
+    assert text == text.lower() and " !" in text
