@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seedlabel.llm import exact_dedup, mixing, sharding
+from seedlabel.llm import decontaminate, exact_dedup, mixing, sharding, simhash, token_counts
 from seedlabel.session import load_table
 
 #: White-space class of the contracts, as a DuckDB pattern.
@@ -12,11 +13,27 @@ _SPACE = r"[\x20\x09-\x0D]+"
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(load_table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact de-duplication of ``documents`` by Patricia-trie owners."""
     return exact_dedup.exact_duplicates(load_table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document under the byte-level BPE of 50k entries."""
+    return token_counts.token_counts(load_table(spark, sf_dir, "documents"),
+                                     public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in an occurrence of a benchmark window."""
+    return decontaminate.contamination(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "benchmark"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard of every document by the permutation-filled look-up table."""
     docs = load_table(spark, sf_dir, "documents").select("doc_id")
@@ -60,6 +77,31 @@ JOIN shards s ON s.i = o.shard
 """
 
 
+#: Words of the decontamination contract (A-Z lower-cased first).
+_FOLDED = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')," \
+    r" '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+SQL7 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_FOLDED} AS w FROM documents),
+b AS (SELECT item_id, {_FOLDED} AS w FROM benchmark),
+p AS (
+  SELECT DISTINCT item_id, least({decontaminate.WINDOW}, len(w)) AS m,
+         array_to_string(w[i:i + least({decontaminate.WINDOW}, len(w)) - 1], ' ') AS g
+  FROM b, unnest(range(1, len(w) - least({decontaminate.WINDOW}, len(w)) + 2)) t(i) WHERE len(w) > 0),
+l AS (SELECT DISTINCT m FROM p),
+o AS (
+  SELECT r, i, l.m, array_to_string(w[i:i + l.m - 1], ' ') AS g
+  FROM d, l, unnest(range(1, len(w) - l.m + 2)) t(i)),
+h AS (SELECT o.r, o.i, o.m, p.item_id FROM o JOIN p ON o.g = p.g AND o.m = p.m),
+c AS (SELECT r, count(DISTINCT x) AS n_hit FROM h, unnest(range(i, i + m)) t(x) GROUP BY r),
+n AS (SELECT r, count(DISTINCT item_id) AS n_items,
+             string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM h GROUP BY r)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(n.n_items, 0) AS n_items,
+       sha256(coalesce(n.ids, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c ON c.r = d.r LEFT JOIN n ON n.r = d.r
+"""
+
+
 SQL10 = f"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{_WORD}')), 0) AS size,
@@ -97,5 +139,13 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
 FROM e
 """
 
-QUERIES = {"op4_exact_dedup": op4_exact_dedup, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
-ORACLE = {"op4_exact_dedup": SQL4, "op9_sharding": sharding_sql(), "op10_mixing": SQL10}
+QUERIES = {
+    "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_exact_dedup": op4_exact_dedup,
+    "op5_token_counts": op5_token_counts,
+    "op7_decontamination": op7_decontamination,
+    "op9_sharding": op9_sharding,
+    "op10_mixing": op10_mixing,
+}
+ORACLE = {"op4_exact_dedup": SQL4, "op7_decontamination": SQL7, "op9_sharding": sharding_sql(),
+          "op10_mixing": SQL10}
