@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seedlabel.llm import decontaminate, exact_dedup, mixing, sharding, simhash, token_counts
+from seedlabel.llm import decontaminate, exact_dedup, mixing, sharding, simhash, substrings, token_counts
 from seedlabel.session import load_table
 
 #: White-space class of the contracts, as a DuckDB pattern.
@@ -34,6 +34,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "benchmark"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the passages that repeat elsewhere."""
+    docs = load_table(spark, sf_dir, "documents")
+    return substrings.remove_repeats(docs, with_text=False).drop("kept_text")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard of every document by the permutation-filled look-up table."""
     docs = load_table(spark, sf_dir, "documents").select("doc_id")
@@ -102,6 +108,21 @@ FROM d LEFT JOIN c ON c.r = d.r LEFT JOIN n ON n.r = d.r
 """
 
 
+SQL8 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+v AS (SELECT r, i, md5(array_to_string(w[i:i + {substrings.WINDOW - 1}], ' ')) AS g
+      FROM d, unnest(range(1, len(w) - {substrings.WINDOW - 2})) t(i)),
+x AS (SELECT g FROM v GROUP BY g HAVING count(*) > 1),
+h AS (SELECT DISTINCT r, j FROM (SELECT v.r, v.i FROM v JOIN x ON v.g = x.g) q, unnest(range(i, i + {substrings.WINDOW})) t(j)),
+l AS (SELECT d.r, u.j, d.w[u.j] AS word FROM d, unnest(range(1, len(d.w) + 1)) u(j)),
+k AS (SELECT l.r, count(*) AS n_kept, string_agg(l.word, ' ' ORDER BY l.j) AS kept
+      FROM l LEFT JOIN h ON h.r = l.r AND h.j = l.j WHERE h.j IS NULL GROUP BY l.r)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, (len(d.w) - coalesce(k.n_kept, 0))::BIGINT AS n_removed,
+       sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.r = d.r
+"""
+
+
 SQL10 = f"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{_WORD}')), 0) AS size,
@@ -144,8 +165,9 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_token_counts": op5_token_counts,
     "op7_decontamination": op7_decontamination,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_sharding": op9_sharding,
     "op10_mixing": op10_mixing,
 }
-ORACLE = {"op4_exact_dedup": SQL4, "op7_decontamination": SQL7, "op9_sharding": sharding_sql(),
+ORACLE = {"op4_exact_dedup": SQL4, "op7_decontamination": SQL7, "op8_substring_dedup": SQL8, "op9_sharding": sharding_sql(),
           "op10_mixing": SQL10}
