@@ -20,7 +20,7 @@ rows; empty tables give no rows or no hits; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
+import functools
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -133,31 +133,33 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["doc_id", "digest", "n_words", "runs", "items", "n"])
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
-         item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per document: doc_id, n_words, runs (of hit words), items (that occur)."""
-    sc = docs.sparkSession.sparkContext
+def pattern_blocks(benchmark: DataFrame, window: int, item_col: str, item_text_col: str, block_words: int) -> list:
+    """The matchers of each block of items, broadcast."""
+    sc = benchmark.sparkSession.sparkContext
     items = benchmark.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("")).alias("item"),
                              text_bytes(F.col(f"`{item_text_col}`")).alias("raw"))
     total = items.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
     blocks = max(1, -(-total // (6 * block_words)))  # about six bytes a word
+    out = []
+    for block in range(blocks):
+        mine = items.filter(F.pmod(F.xxhash64("item", "raw"), F.lit(blocks)) == block)
+        out.append(sc.broadcast(matchers(((r.item, bytes(r.raw)) for r in mine.toLocalIterator()), window)))
+    return out
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
+         item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """One row per document: doc_id, n_words, runs (of hit words), items (that occur)."""
+    blocks = pattern_blocks(benchmark, window, item_col, item_text_col, block_words)
     text = text_bytes(F.col(f"`{text_col}`"))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
-                       (F.unhex(F.md5(text)) if blocks > 1 else F.lit(b"")).alias("digest"), text.alias("text"))
-
-    def scanned(block: int) -> DataFrame:
-        mine = items.filter(F.pmod(F.xxhash64("item", "raw"), F.lit(blocks)) == block) if blocks > 1 else items
-        shared = sc.broadcast(matchers(((r.item, bytes(r.raw)) for r in mine.toLocalIterator()), window))
-        return rows.mapInArrow(lambda it: _scan(it, shared), _RUNS)
-
-    if blocks == 1:
-        return scanned(0).drop("digest")
-    parts = scanned(0)
-    for block in range(1, blocks):
-        parts = parts.unionByName(scanned(block))
-    gathered = parts.groupBy("doc_id", "digest").agg(
+                       (F.unhex(F.md5(text)) if len(blocks) > 1 else F.lit(b"")).alias("digest"), text.alias("text"))
+    parts = [rows.mapInArrow(lambda it, shared=shared: _scan(it, shared), _RUNS) for shared in blocks]
+    if len(parts) == 1:
+        return parts[0].drop("digest")
+    gathered = functools.reduce(DataFrame.unionByName, parts).groupBy("doc_id", "digest").agg(
         F.first("n_words").alias("n_words"), F.collect_list("runs").alias("runs"),
-        F.collect_list("items").alias("items"), (F.count(F.lit(1)) / blocks).cast("int").alias("n"))
+        F.collect_list("items").alias("items"), (F.count(F.lit(1)) / len(blocks)).cast("int").alias("n"))
     merged = gathered.mapInArrow(_merged, _RUNS + ", n int")
     return (merged.select("doc_id", "n_words", "runs", "items", F.explode(F.sequence(F.lit(1), F.col("n"))))
             .drop("col"))
@@ -173,9 +175,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, *
                     (F.size("runs") > 0).alias("contaminated"))
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` whose doc_id has no contaminated text.  Only the
-    contaminated identifiers take part in the join."""
-    found = contamination(docs, benchmark, window).filter("contaminated")
-    bad = found.select(F.col("doc_id").alias("bad_doc_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_doc_id")), "left_anti")
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text",
+                    item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS
+                    ) -> DataFrame:
+    """The rows of ``docs`` without a hit, unchanged: one narrow filter per block."""
+    at = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+        search = shared.value
+        for batch in batches:
+            texts = batch.column(at).cast(pa.binary())
+            mask = []
+            for t in texts:
+                words = words_of(t.as_py() or b"")
+                mask.append(not any(True for m in search for _ in m.search(words)))
+            yield batch.filter(pa.array(mask, pa.bool_()))
+
+    for shared in pattern_blocks(benchmark, window, item_col, item_text_col, block_words):
+        docs = docs.mapInArrow(lambda it, shared=shared: keep(it, shared), docs.schema)
+    return docs

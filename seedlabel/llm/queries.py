@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seedlabel.llm import decontaminate, exact_dedup, mixing, sharding, simhash, substrings, token_counts
+from seedlabel.llm import (decontaminate, exact_dedup, html_extract, mixing, quality, sharding, simhash, substrings,
+                           token_counts, toxicity)
 from seedlabel.session import load_table
 
 #: White-space class of the contracts, as a DuckDB pattern.
@@ -13,6 +14,16 @@ _SPACE = r"[\x20\x09-\x0D]+"
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract(load_table(spark, sf_dir, "pages"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.scores(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "labels"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(load_table(spark, sf_dir, "documents"))
@@ -29,6 +40,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by the factorisation machine."""
+    return quality.scores(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "labels"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in an occurrence of a benchmark window."""
     return decontaminate.contamination(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "benchmark"))
@@ -161,9 +177,12 @@ FROM e
 """
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
+    "op2_toxicity": op2_toxicity,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_token_counts": op5_token_counts,
+    "op6_quality": op6_quality,
     "op7_decontamination": op7_decontamination,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_sharding": op9_sharding,

@@ -89,7 +89,8 @@ def place(df: DataFrame, key: str, names: Sequence[str] | None = None, slots: in
     if clash:
         raise ValueError(f"the input has columns named {sorted(clash)}")
     table = F.broadcast(table_frame(df.sparkSession, names, slots))
-    return df.withColumn("shard_slot", slot_of(F.col(f"`{key}`"), slots)).join(table, "shard_slot")
+    placed = df.withColumn("shard_slot", slot_of(F.col(f"`{key}`"), slots)).join(table, "shard_slot")
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns], "shard_slot", "shard", "shard_name")
 
 
 def write_shards(placed: DataFrame, path: str, files_per_shard: int = 1) -> None:
