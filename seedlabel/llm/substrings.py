@@ -279,6 +279,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
              .filter("n = 1").select("place", "word", "w1"))
     alone = scratch_table(alone, "substring-alone")
     by_doc = alone.groupBy("place").agg(F.collect_list(F.struct("word", "w1")).alias("alone"))
-    joined = rows.join(by_doc, "place", "left").select("doc_id", "text", "alone")
+    # always a shuffle join: the places grow with the corpus, and Spark may split it
+    joined = rows.join(by_doc.hint("merge"), "place", "left").select("doc_id", "text", "alone")
     return joined.mapInArrow(lambda it: _removed(it, shared, with_text),
                              "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
