@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
@@ -52,6 +52,13 @@ def sliced(batches: Iterator[pa.RecordBatch], text_col: int, max_bytes: int = SL
             yield batch.slice(start)
 
 
+def filter_batches(df: DataFrame, keep: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """Rows of ``df`` that a batch filter keeps, all columns unchanged (any
+    column names: they are numbered on the way)."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.mapInArrow(keep, plain.schema).toDF(*df.columns)
+
+
 def word_count(text: Column) -> Column:
     """Number of white-space separated words (null: 0)."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_RUN)), F.lit(0)).cast("long")

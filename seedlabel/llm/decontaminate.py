@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seedlabel.llm.common import sliced, text_bytes
+from seedlabel.llm.common import filter_batches, sliced, text_bytes
 
 WINDOW = 10
 #: Words of benchmark items per broadcast block (a single longer item makes its block longer).
@@ -192,5 +192,5 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
             yield batch.filter(pa.array(mask, pa.bool_()))
 
     for shared in pattern_blocks(benchmark, window, item_col, item_text_col, block_words):
-        docs = docs.mapInArrow(lambda it, shared=shared: keep(it, shared), docs.schema)
+        docs = filter_batches(docs, lambda it, shared=shared: keep(it, shared))
     return docs

@@ -162,9 +162,6 @@ def mix(docs: DataFrame) -> DataFrame:
     A document of which only the first words are taken gets these, joined by
     one blank, as its text (and their length as ``n_chars``, if there is one)."""
     cols = docs.columns
-    clash = [c for c in cols if c.lower().startswith("mix_")]
-    if clash:
-        raise ValueError(f"the input has columns named {clash}")
     narrow = scratch_table(docs.select(F.col("doc_id").alias("mix_id"), *measured(docs)), "mix-rows")
     wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("mix_row"),
                        F.col("doc_id").alias("mix_id"), *measured(docs))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seedlabel.llm.common import sliced, text_bytes
+from seedlabel.llm.common import filter_batches, sliced, text_bytes
 from seedlabel.llm.labelled import held_out, label_rows, sample
 
 HOLD_MODULUS, HOLD_REMAINDER = 4, 2
@@ -207,4 +207,4 @@ def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", thresho
                     for raw, n in zip(batch.column(text).cast(pa.binary()), declared)]
             yield batch.filter(pa.array(mask, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return filter_batches(docs, keep)

@@ -12,7 +12,8 @@ source or key with any share of the rows costs nothing extra.
 
 Null keys are placed like the empty string; equal keys share a shard; an
 empty table gives an empty result; other columns of the input are kept as
-they are (``place``), and a clashing one raises rather than being replaced.
+they are (``place``), but for columns named like the result's, which these
+replace.
 """
 
 from __future__ import annotations
@@ -85,12 +86,12 @@ def place(df: DataFrame, key: str, names: Sequence[str] | None = None, slots: in
     """Every row of ``df`` with ``shard_slot``, ``shard`` and ``shard_name``."""
     names = list(names) if names is not None else shard_names(N_SHARDS)
     slots = slots or next_prime(SLOTS_PER_SHARD * len(names))
-    clash = {"shard_slot", "shard", "shard_name"} & {c.lower() for c in df.columns}
-    if clash:
-        raise ValueError(f"the input has columns named {sorted(clash)}")
     table = F.broadcast(table_frame(df.sparkSession, names, slots))
-    placed = df.withColumn("shard_slot", slot_of(F.col(f"`{key}`"), slots)).join(table, "shard_slot")
-    return placed.select(*[F.col(f"`{c}`") for c in df.columns], "shard_slot", "shard", "shard_name")
+    kept = [c for c in df.columns if c.lower() not in ("shard_slot", "shard", "shard_name")]
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row") if kept else F.lit(None).alias("row"),
+                     slot_of(F.col(f"`{key}`"), slots).alias("shard_slot"))
+    return rows.join(table, "shard_slot").select(*[F.col("row").getField(c).alias(c) for c in kept],
+                                                 "shard_slot", "shard", "shard_name")
 
 
 def write_shards(placed: DataFrame, path: str, files_per_shard: int = 1) -> None:

@@ -219,10 +219,12 @@ def one_per_class(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     picks = (rows.join(classes(rows), "fp").groupBy("root").agg(F.min(order).alias("pick"))
              .select(_row_id(F.col("pick.doc_id")).alias("simhash_id"), F.col("pick.digest").alias("simhash_digest")))
     picks = scratch_table(picks, "simhash-picks")
-    mine = docs.withColumn("simhash_id", _row_id(F.col("doc_id"))).withColumn(
-        "simhash_digest", F.unhex(F.md5(text_bytes(F.col("text")))))
+    mine = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       _row_id(F.col("doc_id")).alias("simhash_id"),
+                       F.unhex(F.md5(text_bytes(F.col("text")))).alias("simhash_digest"))
     key = ["simhash_id", "simhash_digest"]
-    return mine.join(picks, key, "left_semi").dropDuplicates(key).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = mine.join(picks, key, "left_semi").dropDuplicates(key)
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def _row_id(ident):

@@ -45,7 +45,7 @@ from seedlabel.llm.labelled import held_out, label_rows, sample
 HOLD_MODULUS, HOLD_REMAINDER = 5, 0
 THRESHOLD = 0.5
 PER_CLASS = 1000
-MIN_RATIO, MIN_G2, MIN_LETTERS, FUZZY_LETTERS = 30.0, 30.0, 4, 5
+MIN_RATIO, MIN_G2, MIN_LETTERS, FUZZY_LETTERS = 30.0, 20.0, 4, 5
 STEM_LETTERS, MIN_VARIANTS = (4, 5, 6), 3
 MAX_TERMS = 5000
 CONTEXT = 8
