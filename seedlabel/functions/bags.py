@@ -67,12 +67,6 @@ def bag_cosine(tokens, weights: dict[str, float], sent_norm: Column | None = Non
     return F.when(den > 0, bag_dot(tokens, weights) / den).otherwise(F.lit(0.0))
 
 
-def bag_cosines(tokens, bags: list[dict[str, float]]) -> Column:
-    """Array of cosines of the sentence with each bag (sentence norm computed once)."""
-    sn = F.sqrt(sum_sq_counts(tokens).cast("double"))
-    return F.array(*[bag_cosine(tokens, b, sn) for b in bags])
-
-
 def argmax_first(arr) -> Column:
     """0-based index of the first maximum of a non-empty double array."""
     a = _c(arr)

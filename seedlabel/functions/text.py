@@ -74,7 +74,3 @@ def truncate_tokens(col, n: int = 128) -> Column:
     """First ``n`` whitespace tokens (sequence-length cap of the encoder)."""
     return F.slice(tokens(col), 1, n)
 
-
-def strip_bytes_literal(col) -> Column:
-    """Missing text becomes the empty bytes literal ``b''``."""
-    return F.coalesce(_c(col), F.lit("b''"))

@@ -51,7 +51,8 @@ def stack_column(s: pd.Series, dim: int | None = None) -> np.ndarray:
 
 def _dense_matrix(vecs, dim: int) -> np.ndarray:
     """Arrow ``list<float>`` array -> (n, dim) float64 matrix from the flat
-    values buffer (no per-row objects); null rows become zero vectors."""
+    values buffer (no per-row objects).  Null rows are zero (the caller gives
+    them a null result); any other length than ``dim`` is an error."""
     if isinstance(vecs, pa.ChunkedArray):
         vecs = vecs.combine_chunks()
     n = len(vecs)
@@ -61,13 +62,11 @@ def _dense_matrix(vecs, dim: int) -> np.ndarray:
     values = vecs.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     if n and not nulls.any() and (lens == dim).all():
         return values.reshape(n, dim)
+    wrong = lens[~nulls][lens[~nulls] != dim]
+    if len(wrong):
+        raise ValueError(f"a vector has {wrong[0]} dimensions, the prototypes have {dim}")
     out = np.zeros((n, dim))
-    pos = 0
-    for i in range(n):                       # ragged or null rows (not expected for embeddings)
-        if not nulls[i]:
-            k = min(lens[i], dim)
-            out[i, :k] = values[pos:pos + k]
-            pos += lens[i]
+    out[~nulls] = values.reshape(-1, dim)
     return out
 
 
@@ -75,7 +74,8 @@ def multi_set_scorer_udf(sets: list[tuple[np.ndarray, np.ndarray, int]], keep_sc
     """One Arrow UDF for several prototype sets: ONE matmul of the batch
     against all prototypes stacked, then per set the per-class max and the
     first best class.  Returns struct(cls array<int>, score array<double>
-    [, scores array<array<double>>]) with one entry per set."""
+    [, scores array<array<double>>]) with one entry per set; null for a null
+    vector."""
     mats = [unit_rows(m.astype(np.float64)) for m, _, _ in sets]
     allp = np.vstack(mats) if mats else np.zeros((0, 0))
     offsets = np.cumsum([0] + [m.shape[0] for m in mats])
@@ -92,6 +92,8 @@ def multi_set_scorer_udf(sets: list[tuple[np.ndarray, np.ndarray, int]], keep_sc
 
     @F.arrow_udf(schema)
     def score(vecs: pa.Array) -> pa.Array:
+        if isinstance(vecs, pa.ChunkedArray):
+            vecs = vecs.combine_chunks()
         m = _dense_matrix(vecs, allp.shape[1])
         n = len(m)
         sims = unit_rows(m) @ allp.T if n else np.zeros((0, allp.shape[0]))
@@ -120,6 +122,6 @@ def multi_set_scorer_udf(sets: list[tuple[np.ndarray, np.ndarray, int]], keep_sc
             arrays.append(pa.ListArray.from_arrays(pa.array(np.arange(0, n * n_sets + 1, n_sets, dtype=np.int32)),
                                                    inner))
             names.append("scores")
-        return pa.StructArray.from_arrays(arrays, names=names)
+        return pa.StructArray.from_arrays(arrays, names=names, mask=vecs.is_null())
 
     return score

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seedlabel.session import read_if_present
+
 Encoder = Callable[[pd.Series], np.ndarray]
 
 
@@ -40,13 +42,10 @@ def embed_with_cache(spark: SparkSession, texts: DataFrame, encoder: Encoder, ca
     """Embeddings of ``texts`` (all columns kept, plus ``embedding``), encoding
     only the distinct texts missing from the cache at ``cache_path``."""
     keyed = texts.withColumn("key", F.concat_ws(":", F.lit(encoder_name), text_key(text_col)))
-    try:
-        cache = spark.read.parquet(cache_path)
-    except Exception:  # no cache yet
-        cache = None
+    cache = read_if_present(spark, cache_path)
     todo = keyed.select("key", text_col).dropDuplicates(["key"])
     if cache is not None:
         todo = todo.join(cache.select("key"), "key", "left_anti")
     encode(todo, encoder, text_col).write.mode("append").parquet(cache_path)
-    cache = spark.read.parquet(cache_path)
+    cache = spark.read.parquet(cache_path).dropDuplicates(["key"])  # two runs may have encoded the same text
     return keyed.join(cache, "key").drop("key")

@@ -54,10 +54,10 @@ def cross_entropy(df: DataFrame, logits: str, target: str, digits: int = 6) -> D
     return df.agg(F.round(F.avg(-log_softmax_at(logits, target)), digits).alias("loss"))
 
 
-def class_weights(counts: DataFrame, cls_col: str = "cls", n_col: str = "n", digits: int = 6) -> DataFrame:
-    """softmax(log(1/n_c)) = (1/n_c) / sum_j (1/n_j)."""
+def class_weights(counts: DataFrame, cls_col: str = "cls", n_col: str = "n") -> DataFrame:
+    """softmax(log(1/n_c)) = (1/n_c) / sum_j (1/n_j), not rounded."""
     inv = F.try_divide(F.lit(1.0), F.col(n_col).cast("double"))
-    return counts.select(cls_col, n_col, F.round(inv / F.sum(inv).over(Window.partitionBy()), digits).alias("weight"))
+    return counts.select(cls_col, n_col, (inv / F.sum(inv).over(Window.partitionBy())).alias("weight"))
 
 
 def gce_loss(df: DataFrame, logits: str, target: str, q: float, weights: Column, alpha: float = 0.0,
@@ -66,13 +66,13 @@ def gce_loss(df: DataFrame, logits: str, target: str, q: float, weights: Column,
 
     ``weights`` is a column holding either an array of per-class weights
     (index = class) or a map class -> weight (e.g. a scalar subquery over
-    :func:`class_weights`); a class without a weight contributes no term."""
+    :func:`class_weights`); a class without a weight weighs 0, its rows count."""
     from pyspark.sql.types import ArrayType
     p = F.exp(log_softmax_at(logits, target))
     lq = (1 - F.pow(p, F.lit(q))) / F.lit(q)
     withw = df.withColumn("_w", weights)
     is_array = isinstance(withw.schema["_w"].dataType, ArrayType)
-    w = F.try_element_at(F.col("_w"), F.col(target) + (1 if is_array else 0))
+    w = F.coalesce(F.try_element_at(F.col("_w"), F.col(target) + (1 if is_array else 0)), F.lit(0.0))
     return (withw
             .agg(F.avg(F.lit(alpha) * lq + F.lit(1 - alpha) * lq * w).alias("m"))
             .select(F.lit(float(q)).alias("q"), F.round(F.col("m") * F.col("m"), digits).alias("loss")))

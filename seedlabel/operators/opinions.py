@@ -47,21 +47,22 @@ def single_group_sentences(df: DataFrame, exclude: list[str] | None = None,
     """Opinion-1 rows of every sentence whose opinions all survive the domain
     filter and all share one aspect group, when the row is not neutral.
 
-    The per-sentence facts (opinion count, kept count, distinct kept groups)
-    come from ONE partial aggregate (map-side combined, so a sentence holding
-    a large share of the rows is still reduced per task); they are joined
-    back to the opinion-1 rows (about one per sentence).  No window.
+    One aggregate per sentence holds the counts, the least and greatest kept
+    group and the opinion-1 rows, so the table is shuffled once, without a
+    join or a window.
     """
     kept = _kept(exclude, keep)
+    group = F.when(kept, F.col("aspect_group"))
+    first = (F.col("opinion_num") == 1) & kept & (F.col("polarity") != "neutral")
     facts = df.groupBy("sentence_index").agg(
         # given per row (XML: size of the Opinion list) or, when absent, counted
         F.coalesce(F.max("opinion_count"), F.count(F.lit(1))).alias("_oc"),
-        F.count_if(kept).alias("new_count"),
-        F.countDistinct(F.when(kept, F.col("aspect_group"))).alias("_groups"))
-    first = df.filter((F.col("opinion_num") == 1) & kept & (F.col("polarity") != "neutral"))
-    j = first.join(facts, "sentence_index").filter((F.col("new_count") == F.col("_oc")) & (F.col("_groups") == 1))
-    cols = [F.col("_oc").alias(c) if c == "opinion_count" else F.col(c) for c in df.columns]
-    return j.select(*cols, "new_count")
+        F.count_if(kept).alias("new_count"), F.min(group).alias("_lo"), F.max(group).alias("_hi"),
+        F.collect_list(F.when(first, F.struct(*[c for c in df.columns if c != "sentence_index"]))).alias("_rows"))
+    ok = facts.filter((F.col("new_count") == F.col("_oc")) & (F.col("_lo") == F.col("_hi")))
+    j = ok.select("sentence_index", "_oc", "new_count", F.explode("_rows").alias("_r"))
+    cols = {"sentence_index": F.col("sentence_index"), "opinion_count": F.col("_oc").alias("opinion_count")}
+    return j.select(*[cols.get(c, F.col(f"_r.{c}").alias(c)) for c in df.columns], "new_count")
 
 
 def gold_set(opinions: DataFrame, group_codes: dict[str, int], polarity_codes: dict[str, int],

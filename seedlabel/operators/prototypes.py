@@ -1,9 +1,9 @@
 """Seed prototypes and dense prototype scoring (seed-sentence labeler core).
 
 Plan shape: the scored table is read once and scored map-side; the only data
-shipped to tasks is the prototype matrix, whose size is bounded by
-(classes x seeds-per-class + classes) x dim and checked before shipping.
-No join, no shuffle of the big side.
+shipped to tasks are prototype matrices of (classes x seeds-per-class +
+classes) x dim numbers, in chunks of at most MAX_PROTOTYPE_CELLS whose class
+maxima are merged.  No join, no shuffle of the big side.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from seedlabel.functions.vectors import multi_set_scorer_udf
 
-# Largest prototype matrix (rows x dim doubles) shipped to tasks: 32 MiB.
+# Largest prototype matrix (rows x dim doubles) of one scoring function: 32 MiB.
 MAX_PROTOTYPE_CELLS = 4 * 1024 * 1024
 
 
@@ -72,61 +72,86 @@ class PrototypeSet:
     proto_ids: np.ndarray
 
 
-def collect_prototypes(name: str, protos: DataFrame, n_classes: int | None = None,
-                       max_cells: int = MAX_PROTOTYPE_CELLS) -> PrototypeSet:
-    """Bring a prototype table to the driver after checking its size bound.
-
-    The row count is checked with a count() (one small aggregate) before any
-    vector is collected; a table above the bound is refused instead of being
-    shipped to every task.
-    """
-    n = protos.count()
-    first = protos.select(F.size("vec").alias("d")).limit(1).collect()
-    dim = first[0]["d"] if first else 0
-    if n * max(dim, 1) > max_cells:
-        raise ValueError(f"prototype set {name!r} has {n}x{dim} cells, above the bound {max_cells}; "
-                         "use fewer seeds per class or score in class chunks")
-    rows = protos.orderBy("cls", "proto_id").collect()
-    matrix = np.array([r["vec"] for r in rows], dtype=np.float64).reshape(n, dim)
+def _prototype_set(name: str, rows: list, n_classes: int | None = None) -> PrototypeSet:
+    dim = len(rows[0]["vec"]) if rows else 0
+    matrix = np.array([r["vec"] for r in rows], dtype=np.float64).reshape(len(rows), dim)
     classes = np.array([r["cls"] for r in rows], dtype=np.int64)
     ids = np.array([r["proto_id"] for r in rows], dtype=np.int64)
     k = n_classes if n_classes is not None else (int(classes.max()) + 1 if len(classes) else 0)
     return PrototypeSet(name, matrix, classes, k, ids)
 
 
-def collect_prototype_sets(protos: DataFrame, set_col: str = "set",
-                           max_cells: int = MAX_PROTOTYPE_CELLS) -> dict[str, PrototypeSet]:
-    """Several prototype tables at once (one ``set`` name per table): one
-    bounded-size check and one collect for all of them."""
-    size = protos.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
-    n, dim = size["n"], size["d"] or 0
-    if n * max(dim, 1) > max_cells:
-        raise ValueError(f"prototype sets hold {n}x{dim} cells, above the bound {max_cells}")
-    out: dict[str, list] = {}
-    for r in protos.orderBy(set_col, "cls", "proto_id").collect():
-        out.setdefault(r[set_col], []).append(r)
-    sets = {}
-    for name, rows in out.items():
-        matrix = np.array([r["vec"] for r in rows], dtype=np.float64).reshape(len(rows), dim)
-        classes = np.array([r["cls"] for r in rows], dtype=np.int64)
-        ids = np.array([r["proto_id"] for r in rows], dtype=np.int64)
-        sets[name] = PrototypeSet(name, matrix, classes, int(classes.max()) + 1, ids)
-    return sets
+def collect_prototypes(name: str, protos: DataFrame, n_classes: int | None = None) -> PrototypeSet:
+    """Bring a prototype table (classes x seeds rows) to the driver, in one job."""
+    return _prototype_set(name, protos.orderBy("cls", "proto_id").collect(), n_classes)
+
+
+def seed_prototype_sets(df: DataFrame, class_cols: dict[str, str], id_col: str, vec_col: str, k: int,
+                        runs: int = 1) -> dict[str, list[PrototypeSet]]:
+    """For each kind (name -> class column) the prototype sets of ``runs`` seed
+    draws: run r takes the (k r + 1)-th to (k r + k)-th lowest ids of a class;
+    its prototypes are the seeds' vectors and their mean (``proto_id = -1``).
+
+    One scan of the class and id columns finds the seed ids of all kinds (a
+    bounded top-k per class); one fetch with the ids pushed down to the scan
+    reads their vectors."""
+    kinds = F.array(*[F.struct(F.lit(n).alias("kind"), F.col(c).cast("int").alias("cls"))
+                      for n, c in class_cols.items()])
+    ids = df.select(F.col(id_col).alias("id"), F.inline(kinds)).filter("cls is not null")
+    seeds = top_k_per_group(ids, ["kind", "cls"], ["id"], k * runs, rank_col="rk").collect()
+    wanted = sorted({r.id for r in seeds})
+    vecs = {r.id: np.array(r.v, dtype=np.float64) for r in
+            df.filter(F.col(id_col).isin(wanted)).select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).collect()}
+    out: dict[str, list[PrototypeSet]] = {}
+    for kind in class_cols:
+        for run in range(runs):
+            rows = []
+            own = [r for r in seeds if r.kind == kind and (r.rk - 1) // k == run]
+            for cls in sorted({r.cls for r in own}):
+                mine = [(r.id, vecs[r.id]) for r in own if r.cls == cls and r.id in vecs]
+                rows.append({"cls": cls, "proto_id": -1, "vec": np.mean([v for _, v in mine], axis=0)})
+                rows += [{"cls": cls, "proto_id": i, "vec": v} for i, v in sorted(mine, key=lambda x: x[0])]
+            out.setdefault(kind, []).append(_prototype_set(kind if runs == 1 else f"{kind}_r{run}", rows))
+    return out
+
+
+def _chunks(kind: PrototypeSet, cells: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    step = max(1, cells // max(kind.matrix.shape[1], 1))
+    return [(kind.matrix[i:i + step], kind.classes[i:i + step], kind.n_classes)
+            for i in range(0, max(len(kind.matrix), 1), step)]
 
 
 def score_with_prototypes(df: DataFrame, vec_col: str, kinds: list[PrototypeSet],
-                          keep_scores: bool = False) -> DataFrame:
+                          keep_scores: bool = False, max_cells: int = MAX_PROTOTYPE_CELLS) -> DataFrame:
     """Add ``{kind}`` (argmax class) and ``{kind}_score`` (its max cosine) per kind.
 
     Each row's vector is compared with every prototype of every class; the
     class score is the max over its prototypes and the label the best class
-    (lowest index on ties).
+    (lowest index on ties).  Prototypes beyond ``max_cells`` numbers are scored
+    chunk by chunk and the class maxima merged.  A null vector gets nulls.
     """
-    udf = multi_set_scorer_udf([(k.matrix, k.classes, k.n_classes) for k in kinds], keep_scores)
-    out = df.withColumn("_ps", udf(F.col(vec_col)))
-    cols = []
+    total = sum(k.matrix.size for k in kinds)
+    if total <= max_cells:
+        udf = multi_set_scorer_udf([(k.matrix, k.classes, k.n_classes) for k in kinds], keep_scores)
+        out = df.withColumn("_ps", udf(F.col(vec_col)))
+        cols = []
+        for j, k in enumerate(kinds):
+            cols += [F.col("_ps.cls")[j].alias(k.name), F.col("_ps.score")[j].alias(f"{k.name}_score")]
+            if keep_scores:
+                cols.append(F.col("_ps.scores")[j].alias(f"{k.name}_scores"))
+        return out.select("*", *cols).drop("_ps")
+    out, merged = df, []
     for j, k in enumerate(kinds):
-        cols += [F.col("_ps.cls")[j].alias(k.name), F.col("_ps.score")[j].alias(f"{k.name}_score")]
+        names = []
+        for c, chunk in enumerate(_chunks(k, max_cells)):
+            names.append(f"_ps{j}_{c}")
+            out = out.withColumn(names[-1], multi_set_scorer_udf([chunk], True)(F.col(vec_col))["scores"][0])
+        scores = F.array(*[F.greatest(*[F.col(n)[c] for n in names]) if len(names) > 1 else F.col(names[0])[c]
+                           for c in range(k.n_classes)])
+        best = F.array_max(scores)
+        known = F.col(vec_col).isNotNull()
+        merged += [F.when(known, F.array_position(scores, best) - 1).cast("int").alias(k.name),
+                   F.when(known, best).alias(f"{k.name}_score")]
         if keep_scores:
-            cols.append(F.col("_ps.scores")[j].alias(f"{k.name}_scores"))
-    return out.select("*", *cols).drop("_ps")
+            merged.append(F.when(known, scores).alias(f"{k.name}_scores"))
+    return out.select(*[F.col(c) for c in df.columns], *merged)

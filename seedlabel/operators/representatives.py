@@ -127,19 +127,21 @@ def representatives(rows: DataFrame, class_seeds: list[list[str]], n: int) -> Da
 
 
 def nearest_to_seeds(sent: DataFrame, class_seeds: list[list[str]], min_words: int = 4,
-                     tokens_col: str = "tokens", ids=("doc_id", "pos")) -> DataFrame:
+                     tokens_col: str = "tokens", ids=("doc_id", "pos"), keep=()) -> DataFrame:
     """Top-1 sentence (with >= ``min_words`` tokens) per individual seed, by the
     cosine between the seed word and the sentence bag; ties -> lowest id.
-    ``(cls, seed_pos, doc_id, pos, score)``.  A partial ``min(struct)``
-    aggregate: each task keeps one row per seed."""
+    ``(cls, seed_pos, doc_id, pos, score)`` and the columns of ``keep``.  One
+    ``min(struct)`` per seed in a single aggregate: each task keeps one row."""
     flat = [(c, p, w) for c, seeds in enumerate(class_seeds) for p, w in enumerate(seeds)]
     t = F.col(tokens_col)
     cos = bag_scores([{w: 1.0} for _, _, w in flat])(t)
-    scores = F.arrays_zip(F.array(*[F.lit(c) for c, _, _ in flat]).alias("cls"),
-                          F.array(*[F.lit(p) for _, p, _ in flat]).alias("seed_pos"), cos.alias("score"))
-    x = sent.filter(F.size(t) >= min_words).select(*ids, F.inline(scores))
-    best = x.groupBy("cls", "seed_pos").agg(F.min(F.struct((-F.col("score")).alias("ns"), *ids)).alias("b"))
-    return best.select("cls", "seed_pos", *[F.col(f"b.{i}").alias(i) for i in ids], (-F.col("b.ns")).alias("score"))
+    x = sent.filter(F.size(t) >= min_words).withColumn("_cos", cos)
+    best = x.agg(*[F.min(F.struct((-F.col("_cos")[i]).alias("ns"), *ids, *keep)).alias(f"b{i}")
+                   for i in range(len(flat))])
+    rows = best.select(F.inline(F.array(*[F.struct(F.lit(c).alias("cls"), F.lit(p).alias("seed_pos"),
+                                                   F.col(f"b{i}").alias("b")) for i, (c, p, _) in enumerate(flat)])))
+    return rows.filter(F.col("b").isNotNull()).select(
+        "cls", "seed_pos", *[F.col(f"b.{i}").alias(i) for i in (*ids, *keep)], (-F.col("b.ns")).alias("score"))
 
 
 # Largest total number of (word, weight) entries across all prototype bags

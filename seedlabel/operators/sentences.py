@@ -17,10 +17,6 @@ def split_sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return ex.select(F.col(id_col), *keep, "pos", py_strip("_piece").alias("sentence"))
 
 
-def with_tokens(df: DataFrame, text_col: str = "sentence", out_col: str = "tokens") -> DataFrame:
-    return df.withColumn(out_col, tokens(text_col))
-
-
 def split_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep=()) -> DataFrame:
     """One row per text line ``(id, line_no, line)``; the final newline of a
     text does not open an extra line."""

@@ -43,13 +43,12 @@ def global_index(df: DataFrame, order_cols: list[str], out_col: str = "idx") ->
 
 
 def corpus_split(docs: DataFrame, id_col: str, u_col: str = "u", test_below: float = 0.0005,
-                 keep_prob: float = 0.8, dev_share: float = 0.05, weak_cap: int = 30000) -> DataFrame:
-    """train / dev / weak / unused assignment.
+                 keep_prob: float = 0.8, dev_share: float = 0.05) -> DataFrame:
+    """train / dev / weak assignment.
 
     u < test_below -> test; u < keep_prob -> train; else test.  Then, in id
-    order, the first floor(dev_share * #test) test rows are dev, test rows
-    from there up to position ``weak_cap`` form the weak-label corpus, the
-    remaining test rows are unused.
+    order, the first floor(dev_share * #test) test rows are dev and all other
+    test rows form the weak-label corpus.
     """
     u = F.col(u_col)
     d = docs.withColumn("_b", F.when(u < keep_prob, F.when(u < test_below, "test").otherwise("train"))
@@ -58,8 +57,7 @@ def corpus_split(docs: DataFrame, id_col: str, u_col: str = "u", test_below: flo
     test = global_index(d.filter(F.col("_b") == "test").select(id_col), [id_col], "_i")
     n_test = test.agg(F.count(F.lit(1)).alias("n")).scalar()
     cut = F.floor(n_test * F.lit(dev_share))
-    t = test.select(id_col, F.when(F.col("_i") < cut, "dev").when(F.col("_i") < weak_cap, "weak")
-                    .otherwise("unused").alias("split"))
+    t = test.select(id_col, F.when(F.col("_i") < cut, "dev").otherwise("weak").alias("split"))
     return train.unionByName(t)
 
 
@@ -71,6 +69,3 @@ def exact_count_split(df: DataFrame, key_cols: list[str], n_validation: int, u_c
     return (df.join(broadcast_if_bounded(chosen, n_validation), key_cols, "left")
             .select(*key_cols, F.when(F.col("_v"), "validation").otherwise("train").alias("split")))
 
-
-def fraction_split(df: DataFrame, fraction: float, u_col: str = "u") -> DataFrame:
-    return df.withColumn("split", F.when(F.col(u_col) < fraction, "train").otherwise("validation"))

@@ -26,13 +26,16 @@ from seedlabel.session import broadcast_if_bounded
 BOS, EOS = "<s>", "</s>"
 
 
-def token_positions(df: DataFrame, id_cols, tokens_col: str = "tokens") -> DataFrame:
-    """One row per token: ``(*ids, i, left, token, right)``."""
+def token_positions(df: DataFrame, id_cols, tokens_col: str = "tokens", keep=None) -> DataFrame:
+    """One row per token: ``(*ids, left, token, right)``.  With ``keep`` only
+    the tokens that pass it, and one row of nulls for a sentence without any."""
     t = F.col(tokens_col)
     n = F.size(t)
     left = F.concat(F.array(F.lit(BOS)), F.slice(t, 1, F.greatest(n - 1, F.lit(0))))
     right = F.concat(F.slice(t, 2, F.greatest(n - 1, F.lit(0))), F.array(F.lit(EOS)))
     cells = F.arrays_zip(left.alias("left"), t.alias("token"), right.alias("right"))
+    if keep is not None:
+        return df.select(*id_cols, F.inline_outer(F.filter(cells, lambda c: keep(c["token"]))))
     return df.select(*id_cols, F.inline(cells))
 
 
@@ -68,18 +71,17 @@ def class_vocabulary(positions: DataFrame, subs: DataFrame, seeds: DataFrame,
     return occ.join(s, ["left", "right"]).groupBy("cls", "word").agg(F.sum("occ").alias("freq"))
 
 
-def class_vocabulary_at_seeds(positions: DataFrame, seeds: DataFrame, k: int, filter_words: list[str],
+def class_vocabulary_at_seeds(fillers: DataFrame, seeds: DataFrame, k: int, filter_words: list[str],
                               n_seeds: int | None = None) -> DataFrame:
     """Same result as :func:`class_vocabulary` with ``substitutes(fillers, k)``,
-    but the fillers are counted only for the contexts in which some seed
-    occurs: the positions are semi-joined to those contexts first, so the
-    filler aggregate and the top-k window run on that subset, co-partitioned
-    by the context key."""
+    but the top-k window runs only on the contexts in which some seed occurs.
+    ``fillers`` are counted with a map-side combine before anything is joined,
+    so a context with a large share of all positions moves as its distinct
+    fillers per task; the seed occurrences are read off the same counts."""
     bound = n_seeds if n_seeds is not None else seeds.count()
-    occ = (positions.join(broadcast_if_bounded(seeds.withColumnRenamed("word", "token"), bound), "token")
-           .groupBy("cls", "left", "right").agg(F.count(F.lit(1)).alias("occ")))
-    at_seeds = positions.join(occ.select("left", "right").distinct(), ["left", "right"], "left_semi")
-    subs = substitutes(context_fillers(at_seeds), k)
+    occ = (fillers.join(broadcast_if_bounded(seeds, bound), "word")
+           .groupBy("cls", "left", "right").agg(F.sum("n").alias("occ")))
+    subs = substitutes(fillers.join(occ.select("left", "right").distinct(), ["left", "right"], "left_semi"), k)
     s = subs.filter(_usable("word", filter_words)).select("left", "right", "word")
     return occ.join(s, ["left", "right"]).groupBy("cls", "word").agg(F.sum("occ").alias("freq"))
 
@@ -117,8 +119,9 @@ def context_class_hit_arrays(subs: DataFrame, vocab_m: DataFrame, filter_words:
 
 
 def overlap_scores(sent: DataFrame, id_cols, ctx_hits: DataFrame, n_classes: int,
-                   filter_words: list[str], tokens_col: str = "tokens", lexicon: list[str] | None = None) -> DataFrame:
-    """Dense per-sentence class scores ``(*ids, n_cand, scores array<double>)``:
+                   filter_words: list[str], tokens_col: str = "tokens", lexicon: list[str] | None = None,
+                   carry=()) -> DataFrame:
+    """Dense per-sentence class scores ``(*ids, *carry, n_cand, scores array<double>)``:
     score[c] = substitute hits of class c over the sentence's candidate
     tokens / max(#candidate tokens, 1).  Candidate tokens are the tokens that
     are not filter words and, when a ``lexicon`` is given (e.g. the nouns, or
@@ -129,23 +132,19 @@ def overlap_scores(sent: DataFrame, id_cols, ctx_hits: DataFrame, n_classes: int
         ok = ~t.isin(filter_words)
         return ok & t.isin(lexicon) if lexicon is not None else ok
 
-    cand = F.filter(F.col(tokens_col), keep)
-    base = sent.select(*ids, F.size(cand).alias("n_cand"), F.col(tokens_col))
-    pos = token_positions(base, ids, tokens_col).filter(keep(F.col("token")))
-    if "hits_by_class" in ctx_hits.columns:
-        # one row per context with a per-class count array (already
-        # partitioned by the context key, so only the positions move)
-        j = pos.join(ctx_hits, ["left", "right"])
-        hits = j.groupBy(*ids).agg(F.array(*[F.sum(F.col("hits_by_class")[c]).cast("double")
-                                             for c in range(n_classes)]).alias("_h"))
-    else:
-        hits = (pos.join(ctx_hits, ["left", "right"]).groupBy(*ids)
-                .agg(F.array(*[F.sum(F.when(F.col("cls") == c, F.col("hits")).otherwise(0)).cast("double")
-                               for c in range(n_classes)]).alias("_h")))
-    zeros = F.array_repeat(F.lit(0.0), n_classes)
-    out = base.select(*ids, "n_cand").join(hits, ids, "left")
-    return out.select(*ids, "n_cand", F.transform(F.coalesce("_h", zeros),
-                                                  lambda h: h / F.greatest(F.col("n_cand"), F.lit(1))).alias("scores"))
+    if "hits_by_class" not in ctx_hits.columns:
+        ctx_hits = ctx_hits.groupBy("left", "right").agg(
+            F.array(*[F.sum(F.when(F.col("cls") == c, F.col("hits")).otherwise(0)) for c in range(n_classes)])
+            .alias("hits_by_class"))
+    # candidate tokens only; a sentence without any keeps one row without a context
+    pos = token_positions(sent, [*ids, *carry], tokens_col, keep)
+    # one row per context (already partitioned by the context key), so only the positions move
+    j = pos.join(ctx_hits, ["left", "right"], "left")
+    sums = j.groupBy(*ids).agg(*[F.first(c).alias(c) for c in carry], F.count("token").alias("n_cand"), *[
+        F.coalesce(F.sum(F.col("hits_by_class")[c]), F.lit(0)).cast("double").alias(f"_h{c}") for c in range(n_classes)])
+    n = F.greatest(F.col("n_cand"), F.lit(1))
+    return sums.select(*ids, *carry, F.col("n_cand").cast("int").alias("n_cand"),
+                       F.array(*[F.col(f"_h{c}") / n for c in range(n_classes)]).alias("scores"))
 
 
 def class_score_stats(scores: DataFrame, scores_col: str = "scores") -> DataFrame:

@@ -16,30 +16,13 @@ from seedlabel.operators.prototypes import PrototypeSet, collect_prototypes, mea
 
 
 def fit_word2vec(sent: DataFrame, tokens_col: str = "tokens", vector_size: int = 100, window: int = 5,
-                 min_count: int = 5, seed: int = 42, max_iter: int = 1, partitions: int | None = None,
-                 max_vocab: int | None = None) -> Word2VecModel:
-    """Fit on the token arrays.  ``max_vocab`` keeps only the most frequent
-    words (a pre-filter on the token arrays, computed by Spark).  Training
-    runs on ``partitions`` tasks (default: the cluster's parallelism; one
-    partition is the most accurate but trains in a single task)."""
-    if partitions is None:
-        try:
-            partitions = sent.sparkSession.sparkContext.defaultParallelism
-        except Exception:
-            partitions = 1
+                 min_count: int = 5, seed: int = 42, max_iter: int = 1, partitions: int = 8) -> Word2VecModel:
+    """Fit on all token arrays.  ``partitions`` is a parameter of the model:
+    its tasks train apart and are averaged, so it changes the vectors, and
+    must not follow the cluster's size.  The sentences are dealt to the tasks
+    by content, in a fixed order."""
     data = sent.select(F.col(tokens_col).alias("tokens"))
-    if max_vocab:
-        counts = (data.select(F.explode("tokens").alias("w")).groupBy("w").count()
-                  .filter(F.col("count") >= min_count))
-        if counts.count() > max_vocab:
-            # keep the max_vocab most frequent words: a bounded broadcast
-            # semi-join on the exploded tokens, then re-assemble in order
-            top = counts.orderBy(F.desc("count"), "w").limit(max_vocab).select("w")
-            ex = data.withColumn("_sid", F.monotonically_increasing_id()).select(
-                "_sid", F.posexplode("tokens").alias("_p", "w"))
-            kept = ex.join(broadcast_if_bounded(top, max_vocab), "w", "left_semi")
-            data = (kept.groupBy("_sid").agg(F.array_sort(F.collect_list(F.struct("_p", "w"))).alias("_s"))
-                    .select(F.col("_s.w").alias("tokens")))
+    data = data.repartition(partitions, F.xxhash64("tokens")).sortWithinPartitions(F.xxhash64("tokens"), "tokens")
     w2v = Word2Vec(vectorSize=vector_size, windowSize=window, minCount=min_count, seed=seed, maxIter=max_iter,
                    numPartitions=partitions, inputCol="tokens", outputCol="vec")
     return w2v.fit(data)

@@ -12,8 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seedlabel.operators import metrics, thresholds
-from seedlabel.operators.prototypes import (collect_prototype_sets, prototypes,
-                                            score_with_prototypes, seed_rows)
+from seedlabel.operators.prototypes import score_with_prototypes, seed_prototype_sets
 from seedlabel.session import load_table
 
 # Fixed query parameters.
@@ -35,12 +34,9 @@ def embedding_input(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedding_prototypes(emb: DataFrame):
-    sa = seed_rows(emb, "gold_aspect", "vec_id", SEEDS_PER_CLASS)
-    sp = seed_rows(emb, "gold_polarity", "vec_id", SEEDS_PER_CLASS)
-    both = (prototypes(sa, "gold_aspect", "embedding", "vec_id").withColumn("set", F.lit("aspect"))
-            .unionByName(prototypes(sp, "gold_polarity", "embedding", "vec_id").withColumn("set", F.lit("polarity"))))
-    sets = collect_prototype_sets(both)
-    return sets["aspect"], sets["polarity"]
+    sets = seed_prototype_sets(emb, {"aspect": "gold_aspect", "polarity": "gold_polarity"}, "vec_id", "embedding",
+                               SEEDS_PER_CLASS)
+    return sets["aspect"][0], sets["polarity"][0]
 
 
 def scored_embeddings(spark: SparkSession, sf_dir: str, keep_scores: bool = False) -> DataFrame:
@@ -222,16 +218,19 @@ WHERE aspect_score >= {ASPECT_THRESHOLD} - CASE WHEN polarity = 0 THEN {RELAX[0]
 # Losses over the class scores (used as logits) and run averages.
 
 from seedlabel.operators import losses as L  # noqa: E402
-from seedlabel.operators.prototypes import top_k_per_group  # noqa: E402
 
 RUNS = 5
 
 
-def q_class_weights(spark, sf_dir):
+def _class_weights(spark, sf_dir):
     counts = metrics.label_counts(q_seed_sentence_labels(spark, sf_dir), ["aspect"]).withColumnRenamed("aspect", "cls")
     return L.class_weights(counts)
 
 
+def q_class_weights(spark, sf_dir):
+    return _class_weights(spark, sf_dir).withColumn("weight", F.round("weight", 6))
+
+
 def q_focal_loss(spark, sf_dir):
     s = scored_embeddings(spark, sf_dir, keep_scores=True)
     return L.focal_loss(s, "aspect_scores", "gold_aspect", FOCAL_GAMMAS)
@@ -239,8 +238,8 @@ def q_focal_loss(spark, sf_dir):
 
 def q_gce_loss(spark, sf_dir):
     s = scored_embeddings(spark, sf_dir, keep_scores=True)
-    w = q_class_weights(spark, sf_dir)
-    # class -> weight map: a class without weak labels has no weight (no term)
+    w = _class_weights(spark, sf_dir)
+    # class -> weight map: a class without weak labels weighs 0
     wmap = w.select(F.map_from_entries(F.collect_list(F.struct("cls", "weight"))).alias("w")).scalar()
     return L.gce_loss(s, "aspect_scores", "gold_aspect", GCE_Q, wmap)
 
@@ -250,19 +249,9 @@ def q_run_averages(spark, sf_dir):
     class), each scored on the rows that are seeds in no run; macro metrics
     per run, averaged over runs."""
     emb = embedding_input(spark, sf_dir)
-    tables, specs = [], []
-    for kind, col in (("aspect", "gold_aspect"), ("polarity", "gold_polarity")):
-        ranked = top_k_per_group(emb, [col], [F.col("vec_id")], SEEDS_PER_CLASS * RUNS, rank_col="rk")
-        ranked = ranked.withColumn("run", ((F.col("rk") - 1) / SEEDS_PER_CLASS).cast("int"))
-        for r in range(RUNS):
-            tables.append(prototypes(ranked.filter(F.col("run") == r), col, "embedding", "vec_id")
-                          .withColumn("set", F.lit(f"{kind}_r{r}")))
-            specs.append((kind, col, r))
-    all_protos = tables[0]
-    for t in tables[1:]:
-        all_protos = all_protos.unionByName(t)
-    sets = collect_prototype_sets(all_protos)
-    kinds = [(kind, col, r, sets[f"{kind}_r{r}"]) for kind, col, r in specs]
+    cols = {"aspect": "gold_aspect", "polarity": "gold_polarity"}
+    sets = seed_prototype_sets(emb, cols, "vec_id", "embedding", SEEDS_PER_CLASS, RUNS)
+    kinds = [(kind, col, r, sets[kind][r]) for kind, col in cols.items() for r in range(RUNS)]
     seed_ids = {int(i) for _, _, _, ps in kinds for i in ps.proto_ids if i >= 0}
     targets = emb.filter(~F.col("vec_id").isin(sorted(seed_ids)))
     scored = score_with_prototypes(targets, "embedding", [k[3] for k in kinds])
@@ -337,8 +326,8 @@ ORACLE.update({
         f"SELECT CAST({g} AS DOUBLE) AS gamma, round(avg(-pow(1 - exp(logp), {g}) * logp), 6) AS loss FROM lp"
         for g in FOCAL_GAMMAS)),
     "gce_loss": _with(LOSS_CTE + f"""
-SELECT CAST({GCE_Q} AS DOUBLE) AS q, round(pow(avg((1 - pow(exp(lp.logp), {GCE_Q})) / {GCE_Q} * cw.weight), 2), 6) AS loss
-FROM lp JOIN cw ON cw.cls = lp.y"""),
+SELECT CAST({GCE_Q} AS DOUBLE) AS q, round(pow(avg((1 - pow(exp(lp.logp), {GCE_Q})) / {GCE_Q} * coalesce(cw.weight, 0)), 2), 6) AS loss
+FROM lp LEFT JOIN cw ON cw.cls = lp.y"""),
     "run_averages": _run_avg_sql(),
 })
 

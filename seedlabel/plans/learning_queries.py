@@ -13,13 +13,13 @@ from seedlabel.functions.text import tokens
 from seedlabel.operators import classifier as C
 from seedlabel.operators import metrics
 from seedlabel.operators import wordvec as W
-from seedlabel.operators.keywords import encode_labels
+from seedlabel.operators.keywords import encode_labels, keyword_labels
 from seedlabel.operators.splits import hash_uniform
 from seedlabel.plans import embedding_queries as EQ
 from seedlabel.plans import text_queries as TQ
 
 # Fixed query parameters.
-W2V = dict(vector_size=100, window=5, min_count=5, seed=42, max_vocab=20000)
+W2V = dict(vector_size=100, window=5, min_count=5, seed=42, partitions=8)
 GAMMA_ASPECT = 3.0
 GAMMA_POLARITY = 3.0
 GCE_Q = 0.4
@@ -87,13 +87,6 @@ def _heads_report(spark, sf_dir, heads):
     return metrics.classification_report(long, "actual", "pred", ["kind"])
 
 
-def _class_weights(weak, col, k):
-    counts = {r[col]: r["n"] for r in weak.groupBy(col).agg(F.count(F.lit(1)).alias("n")).collect()}
-    inv = [1.0 / counts[c] if counts.get(c) else 0.0 for c in range(k)]
-    s = sum(inv) or 1.0
-    return [x / s for x in inv]
-
-
 def q_joint_classifier(spark, sf_dir):
     weak = EQ.weak_labelled(spark, sf_dir)
     return _heads_report(spark, sf_dir, _train_heads(weak, GAMMA_ASPECT, GAMMA_POLARITY))
@@ -101,14 +94,13 @@ def q_joint_classifier(spark, sf_dir):
 
 def q_ablation_results(spark, sf_dir):
     """Summary rows (accuracy, macro P/R/F1) per variant and kind:
-    ``none`` (focal heads), ``without_focal_loss`` (GCE heads with class
-    weights), ``without_deep_learning`` (the labeler's own predictions)."""
+    ``none`` (focal heads), ``without_focal_loss`` (GCE heads, unweighted: alpha
+    is 1 there), ``without_deep_learning`` (the labeler's own predictions)."""
     weak = EQ.weak_labelled(spark, sf_dir)
     reports = []
     r = _heads_report(spark, sf_dir, _train_heads(weak, GAMMA_ASPECT, GAMMA_POLARITY))
     reports.append(metrics.report_summary(r, ["kind"]).withColumn("variant", F.lit("none")))
-    wts = (_class_weights(weak, "aspect", EQ.N_ASPECTS), _class_weights(weak, "polarity", 2))
-    r = _heads_report(spark, sf_dir, _train_heads(weak, 0.0, 0.0, q=GCE_Q, weights=wts))
+    r = _heads_report(spark, sf_dir, _train_heads(weak, 0.0, 0.0, q=GCE_Q))
     reports.append(metrics.report_summary(r, ["kind"]).withColumn("variant", F.lit("without_focal_loss")))
     r = EQ.q_classification_report(spark, sf_dir)
     reports.append(metrics.report_summary(r, ["kind"]).withColumn("variant", F.lit("without_deep_learning")))
@@ -120,11 +112,10 @@ def q_ablation_results(spark, sf_dir):
 
 def q_keyword_classifier(spark, sf_dir):
     """Text classifier trained on keyword-labelled lines, evaluated on every
-    line against the document language."""
+    line (those without tokens too) against the document language."""
     lines = TQ.keyword_lines(spark, sf_dir)
-    train = TQ.q_keyword_labels(spark, sf_dir).join(lines.select("doc_id", "line_no", "tokens"), ["doc_id", "line_no"])
-    model = C.keyword_text_classifier(train, "tokens", "label")
-    pred = model.transform(lines.filter(F.size("tokens") > 0))
+    model = C.keyword_text_classifier(keyword_labels(lines, "tokens", TQ.LANG_SEEDS), "tokens", "label")
+    pred = model.transform(lines)
     return metrics.classification_report(pred.withColumn("pred", F.col("prediction").cast("int")), "gold", "pred")
 
 
@@ -135,6 +126,7 @@ def q_hyper_search(spark, sf_dir, trials_path: str | None = None):
     ``trials_path`` the search resumes: trials already in that table are
     skipped and new ones are appended to it."""
     weak = EQ.weak_labelled(spark, sf_dir).withColumn("u", hash_uniform("vec_id"))
+    weak = weak.select("vec_id", "embedding", "aspect", "u").checkpoint(eager=True)  # scored once, read by every trial
     train, val = weak.filter(F.col("u") < TRAIN_FRACTION), weak.filter(F.col("u") >= TRAIN_FRACTION)
     grid = [(g, r, s) for g in SEARCH_SPACE["gamma"] for r in SEARCH_SPACE["reg"] for s in SEARCH_SPACE["step"]]
     rnd = random.Random(SEARCH_SEED)

@@ -61,7 +61,8 @@ def q_corpus_split(spark, sf_dir):
 
 
 def q_exact_count_split(spark, sf_dir):
-    lab = TQ.q_keyword_labels(spark, sf_dir).select("doc_id", "line_no")
+    # the labels feed the top-n and the join: computed once
+    lab = TQ.q_keyword_labels(spark, sf_dir).select("doc_id", "line_no").checkpoint(eager=True)
     return SP.exact_count_split(lab.withColumn("u", SP.hash_uniform("doc_id", "line_no")), ["doc_id", "line_no"],
                                 VALIDATION_ROWS)
 
@@ -140,7 +141,7 @@ b AS (SELECT doc_id, CASE WHEN u < 0.8 THEN (CASE WHEN u < 0.0005 THEN 'test' EL
 t AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM b WHERE b = 'test')
 SELECT doc_id, 'train' AS split FROM b WHERE b = 'train'
 UNION ALL
-SELECT doc_id, CASE WHEN i < floor(n * 0.05) THEN 'dev' WHEN i < 30000 THEN 'weak' ELSE 'unused' END FROM t""",
+SELECT doc_id, CASE WHEN i < floor(n * 0.05) THEN 'dev' ELSE 'weak' END FROM t""",
     "exact_count_split": "WITH " + TQ.KEYWORD_CTE + f""",
 u AS (SELECT doc_id, line_no, {_U.format(k="CAST(doc_id AS VARCHAR) || ':' || CAST(line_no AS VARCHAR)")} AS u FROM kl),
 v AS (SELECT doc_id, line_no FROM u ORDER BY u, doc_id, line_no LIMIT {VALIDATION_ROWS})

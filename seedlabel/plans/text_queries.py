@@ -79,7 +79,8 @@ def q_one_step_labels(spark, sf_dir):
 
 
 def q_one_step_report(spark, sf_dir):
-    return metrics.classification_report(q_one_step_labels(spark, sf_dir), "gold", "label")
+    """Every gold sentence is evaluated by its best class, without a threshold."""
+    return metrics.classification_report(one_step_scored(spark, sf_dir), "gold", "label")
 
 
 def q_document_aspects(spark, sf_dir):
@@ -230,8 +231,7 @@ SELECT gold, CAST(len(m) AS INTEGER) AS n_matched, count(*) AS lines FROM km GRO
     "keyword_report": "WITH " + KEYWORD_CTE + "," + _report_sql("kl"),
     "one_step_labels": "WITH " + SCORED_SENTENCES_CTE + f"""
 SELECT doc_id, pos, label, score, gold FROM best WHERE score >= {ONE_STEP_THRESHOLD}""",
-    "one_step_report": "WITH " + SCORED_SENTENCES_CTE + f""",
-ol AS (SELECT * FROM best WHERE score >= {ONE_STEP_THRESHOLD}),""" + _report_sql("ol"),
+    "one_step_report": "WITH " + SCORED_SENTENCES_CTE + "," + _report_sql("best"),
     "document_aspects": _doc_aspects_sql(),
     "conversation_aspects": _conv_aspects_sql(),
 }

@@ -44,7 +44,7 @@ class VocabRun:
         if self._materialized:
             # the full substitute table exists anyway (scoring needs it)
             return V.class_vocabulary(self.positions, self.subs(K1), seeds, FILTER_WORDS, n_seeds=n_seeds)
-        return V.class_vocabulary_at_seeds(self.positions, seeds, K1, FILTER_WORDS, n_seeds=n_seeds)
+        return V.class_vocabulary_at_seeds(self.fillers, seeds, K1, FILTER_WORDS, n_seeds=n_seeds)
 
     def disjoint(self):
         return V.disjoint_vocabulary(self.vocab(), M)
@@ -63,7 +63,7 @@ class VocabRun:
     def scores(self):
         hits = V.context_class_hit_arrays(self.subs(K2), self.disjoint(), FILTER_WORDS, N_CLASSES,
                                           vocab_bound=N_CLASSES * M)
-        return V.overlap_scores(self.sent, ["doc_id", "pos"], hits, N_CLASSES, FILTER_WORDS)
+        return V.overlap_scores(self.sent, ["doc_id", "pos"], hits, N_CLASSES, FILTER_WORDS, carry=["gold"])
 
     def z(self):
         # the scores feed both the class statistics and the standardisation:
@@ -103,8 +103,7 @@ def q_zscore_labels(spark, sf_dir):
 
 def _forced(spark, sf_dir) -> DataFrame:
     r = VocabRun(spark, sf_dir).materialize()
-    z = V.zscore_forced(r.z())
-    return z.join(r.sent.select("doc_id", "pos", "gold"), ["doc_id", "pos"])
+    return V.zscore_forced(r.z())
 
 
 def q_zscore_forced(spark, sf_dir):

@@ -188,7 +188,7 @@ def seed_word_labeler(domain: Domain, sentences: DataFrame | None = None, two_st
         trimmed = domain.seed_words(kind)
         scored = sent.withColumn("scores", bag_scores([b[0] if b else {} for b in one[kind]])(F.col("tokens")))
         reps = R.representatives(R.class_rows(scored, raw), raw, domain.n_representatives)
-        near = R.nearest_to_seeds(sent, trimmed).join(sent.select("doc_id", "pos", "sentence"), ["doc_id", "pos"])
+        near = R.nearest_to_seeds(sent, trimmed, keep=("sentence",))
         # bounded by classes x (N + 1 + seeds) rows; one job collects both
         both = (reps.select(F.lit("rep").alias("k"), "cls", "sentence")
                 .unionByName(near.select(F.lit("near").alias("k"), "cls", "sentence")).collect())
@@ -279,18 +279,20 @@ def evaluate(gold: DataFrame, scored: DataFrame, domain: Domain, id_col: str = "
     return table, report
 
 
-def prepare_review_corpus(spark: SparkSession, csv_path: str, out_path: str, id_col: str = "restoId",
-                          weak_cap: int = 30000) -> DataFrame:
+def prepare_review_corpus(spark: SparkSession, csv_path: str, out_path: str, id_col: str = "restoId") -> DataFrame:
     """Review export -> corpus files per split: read (decimal-comma scores,
     bytes-literal texts decoded, lower-cased and word-tokenised), drop empty
-    texts, hash-uniform train/dev/weak/unused split in file order, one text
+    texts, hash-uniform train/dev/weak split by the review's content, one text
     folder per split.  Returns the split sizes (one row per split)."""
     from seedlabel.operators import splits as SP
     from seedlabel.sources import readers, writers
     reviews = readers.read_review_csv(spark, csv_path)
-    reviews = reviews.withColumn("review_id", F.monotonically_increasing_id()).filter(F.length("text") > 0)
+    # the content decides the split and its order, whatever the files' layout; the
+    # row number only tells equal reviews apart
+    content = F.md5(F.concat_ws("\t", id_col, F.col("score").cast("string"), "text"))
+    reviews = (reviews.filter(F.length("text") > 0).withColumn("_content", content)
+               .withColumn("review_id", F.concat_ws(":", "_content", F.monotonically_increasing_id().cast("string"))))
     reviews = reviews.checkpoint(eager=True)       # ids fixed before they are used as keys
-    parts = SP.corpus_split(reviews.select("review_id", SP.hash_uniform("review_id").alias("u")), "review_id",
-                            weak_cap=weak_cap)
+    parts = SP.corpus_split(reviews.select("review_id", SP.hash_uniform("_content").alias("u")), "review_id")
     writers.write_corpus_splits(reviews, parts, "review_id", out_path)
     return spark.read.text(out_path).groupBy("split").count()

@@ -4,8 +4,10 @@ and reading the input tables."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -50,7 +52,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for reliable checkpoints and intermediate tables.
 
     The cluster names it in ``spark.checkpoint.dir``; that setting always wins.
-    Only when it is unset (local tests) a private scratch folder is created.
+    Only on a local master (tests) an unset folder is replaced by a private
+    one; on a cluster a folder of the driver's machine would be lost to the
+    executors, so an unset folder is an error there.
     """
     try:
         sc = spark.sparkContext
@@ -60,6 +64,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not configured and not re.match(r"local($|\[)", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not configured:
         configured = tempfile.mkdtemp(prefix="seedlabel-ckpt-")
     sc.setCheckpointDir(configured)
@@ -71,6 +77,17 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
+    """A parquet table, or None when its path does not exist; any other read
+    error is raised."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Round-robin the rows over the cluster's parallelism when the scan
     offers fewer partitions than that (e.g. one large parquet row group);
@@ -84,16 +101,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(par) if n < par else df
 
 
-# Largest number of rows a side may have (by its parameter-derived bound) to
-# be broadcast; above it the join is left to Spark's shuffle strategies.
-MAX_BROADCAST_ROWS = 2_000_000
+# Largest size (rows by their parameter-derived bound, times bytes of a row) at
+# which a side is broadcast; above it the join is left to Spark's shuffle strategies.
+MAX_BROADCAST_BYTES = 32 * 1024 * 1024
 
 
-def broadcast_if_bounded(df: DataFrame, row_bound: int, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def broadcast_if_bounded(df: DataFrame, row_bound: int, row_bytes: int = 128,
+                         limit: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Broadcast hint only for a side whose row count is bounded by
     construction (``row_bound`` comes from parameters: classes x seeds,
-    classes x vocabulary size, a validation count, ...) and within ``limit``.
+    classes x vocabulary size, a validation count, ...) and whose rows (short
+    keys and numbers, ``row_bytes`` each) stay within ``limit`` bytes.
     Beyond the limit no hint is given, so a sort-merge (or AQE-chosen) join
     is used instead."""
     from pyspark.sql import functions as F
-    return F.broadcast(df) if row_bound <= limit else df
+    return F.broadcast(df) if row_bound * row_bytes <= limit else df

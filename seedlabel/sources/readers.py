@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seedlabel.functions.text import collapse_spaces, word_tokens_joined
+from seedlabel.functions.text import collapse_spaces, py_strip, word_tokens_joined
 from seedlabel.operators.splits import global_index
 
 GOLD_SCHEMA = "id long, aspect int, polarity int, sentence string"
@@ -37,7 +37,7 @@ def read_gold_tsv(spark: SparkSession, path: str) -> DataFrame:
     text keeps raw quote characters); the sentence is stripped like a line."""
     df = (spark.read.option("sep", "\t").option("quote", "").option("escape", "").option("header", "false")
           .option("mode", "FAILFAST").schema(GOLD_SCHEMA).csv(path))
-    return df.withColumn("sentence", F.trim("sentence"))
+    return df.withColumn("sentence", py_strip("sentence"))
 
 
 def read_review_csv(spark: SparkSession, path: str, schema: str = "restoId string, reviewScoreOverall string, "
@@ -58,8 +58,8 @@ def read_opinion_xml(spark: SparkSession, path: str) -> DataFrame:
     opinion_count, polarity, target, category``.  ``sentence_index`` is the
     sentence's position in the file (0-based)."""
     raw = spark.read.format("xml").option("rowTag", "sentence").schema(OPINION_XML_SCHEMA).load(path)
-    raw = raw.withColumn("_order", F.monotonically_increasing_id())
-    idx = global_index(raw, ["_order"], "sentence_index")
+    raw, order = in_file_order(raw)
+    idx = global_index(raw, order, "sentence_index")
     ops = F.coalesce(F.col("Opinions.Opinion"), F.array().cast(OPINION_XML_SCHEMA["Opinions"].dataType["Opinion"]
                                                                  .dataType))
     base = idx.select("sentence_index", word_tokens_joined("text").alias("sentence"),
@@ -70,17 +70,38 @@ def read_opinion_xml(spark: SparkSession, path: str) -> DataFrame:
                        F.col("op._category").alias("category"))
 
 
+def in_file_order(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The rows of a file scan with columns that order them as the files do:
+    file path, then the split's byte offset, then the row inside the split
+    (Spark packs splits of several files into one task by size, so the task
+    and row number alone do not follow the files)."""
+    order = ["_file", "_block", "_row"]
+    return (df.withColumn("_file", F.col("_metadata.file_path")).withColumn("_block", F.col("_metadata.file_block_start"))
+            .withColumn("_row", F.monotonically_increasing_id())), order
+
+
 def read_ordered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(idx, line)`` with idx the 0-based line position (distributed index)."""
-    raw = spark.read.text(path).withColumn("_order", F.monotonically_increasing_id())
-    return global_index(raw, ["_order"], "idx").select("idx", F.col("value").alias("line"))
+    """``(idx, line, file)`` with idx the 0-based line position over the files
+    in path order (distributed index)."""
+    raw, order = in_file_order(spark.read.text(path))
+    return global_index(raw, order, "idx").select("idx", F.col("value").alias("line"), F.col("_file").alias("file"))
+
+
+def read_line_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """Ordered lines of files that hold two lines per record; a file with an
+    odd number of lines is refused, so a pair never spans two files."""
+    lines = read_ordered_lines(spark, path)
+    odd = lines.groupBy("file").count().filter(F.col("count") % 2 == 1).select("file").take(1)
+    if odd:
+        raise ValueError(f"{odd[0].file}: odd number of lines in a file of two lines per record")
+    return lines.withColumn("record", F.floor(F.col("idx") / 2).cast("long"))
 
 
 def read_label_file(spark: SparkSession, path: str, aspects: list[str], polarities: list[str]) -> DataFrame:
     """Two lines per record: the sentence, then ``aspect polarity`` names ->
     ``(record, sentence, aspect int, polarity int)`` (indices by list order)."""
     from seedlabel.operators.keywords import encode_labels
-    lines = read_ordered_lines(spark, path).withColumn("record", (F.col("idx") / 2).cast("long"))
+    lines = read_line_pairs(spark, path)
     rec = lines.groupBy("record").agg(F.max(F.when(F.col("idx") % 2 == 0, F.col("line"))).alias("sentence"),
                                       F.max(F.when(F.col("idx") % 2 == 1, F.col("line"))).alias("labels"))
     parts = F.split(F.trim("labels"), " ")
@@ -91,9 +112,9 @@ def read_label_file(spark: SparkSession, path: str, aspects: list[str], polariti
 def read_score_file(spark: SparkSession, path: str) -> DataFrame:
     """Two lines per record: the sentence, then `` name: value`` pairs ->
     long ``(record, class_name, score)``."""
-    lines = read_ordered_lines(spark, path).filter(F.col("idx") % 2 == 1)
+    lines = read_line_pairs(spark, path).filter(F.col("idx") % 2 == 1)
     pairs = F.regexp_extract_all(F.col("line"), F.lit(r"(\S+): (\S+)"), 0)
-    e = lines.select((F.col("idx") / 2).cast("long").alias("record"), F.explode(pairs).alias("kv"))
+    e = lines.select("record", F.explode(pairs).alias("kv"))
     kv = F.split(F.col("kv"), ": ")
     return e.select("record", kv[0].alias("class_name"), kv[1].try_cast("double").alias("score"))
 
@@ -115,7 +136,3 @@ def read_embedding_cache(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def missing_embeddings(texts: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose embedding is not cached yet (anti-join on the cache key)."""
-    return texts.join(cache.select(*keys), keys, "left_anti")
-

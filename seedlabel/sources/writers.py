@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from seedlabel.operators.keywords import decode_labels
 from seedlabel.operators.splits import global_index
+from seedlabel.session import read_if_present
 
 
 def write_labels(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -87,8 +88,8 @@ def append_trials(trials: DataFrame, path: str) -> None:
 
 def pending_trials(spark, candidates: DataFrame, path: str, param_cols: list[str]) -> DataFrame:
     """Resume: the candidate parameter rows not yet present in the trial table."""
-    try:
-        done = spark.read.parquet(path).select(*param_cols)
-    except Exception:  # no trial table yet
+    done = read_if_present(spark, path)
+    if done is None:  # no trial table yet
         return candidates
+    done = done.select(*param_cols)
     return candidates.join(done, param_cols, "left_anti")

@@ -22,11 +22,16 @@ from seedlabel.session import checkpoint_dir
 
 def stream_table(spark: SparkSession, folder: str, name: str, max_files: int = 1,
                  spread_rows: bool = False) -> DataFrame:
-    """A parquet table of ``folder`` read as a file stream (schema from the
-    current files; new files that match are picked up as they arrive)."""
-    schema = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet").schema
-    df = (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
-          .option("maxFilesPerTrigger", max_files).parquet(folder))
+    """The parquet table ``{folder}/{name}.parquet`` read as a file stream
+    (schema from the current files): a folder of part files, in which new ones
+    are picked up as they arrive, or one file."""
+    path = f"{folder.rstrip('/')}/{name}.parquet"
+    current = spark.read.parquet(path)
+    stream = spark.readStream.schema(current.schema).option("maxFilesPerTrigger", max_files)
+    if any(f.endswith(f"/{name}.parquet") for f in current.inputFiles()):  # one file: the stream's source is its folder
+        df = stream.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    else:
+        df = stream.parquet(path)
     # few large files per micro-batch -> spread the CPU-heavy text work
     return df.repartition(spark.sparkContext.defaultParallelism) if spread_rows else df
 
@@ -70,6 +75,8 @@ def run_to_table(agg: DataFrame, spark: SparkSession, mode: str = "complete", na
     parquet table in the shared checkpoint folder.  Returns the table path."""
     base = f"{checkpoint_dir(spark).rstrip('/')}/stream-{name or uuid.uuid4().hex}"
     out = f"{base}/table"
+    # an input without data starts no micro-batch: the table then holds no rows
+    spark.createDataFrame([], agg.schema).write.parquet(out)
 
     def sink(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)

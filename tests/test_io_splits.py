@@ -1,5 +1,7 @@
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from seedlabel.operators import opinions as O
@@ -93,7 +95,7 @@ def test_exact_count_and_corpus_split(spark):
     assert {r.split: r["count"] for r in ex} == {"validation": 37, "train": 463}
     cs = SP.corpus_split(df.withColumnRenamed("id", "doc_id"), "doc_id")
     c = {r.split: r["count"] for r in cs.groupBy("split").count().collect()}
-    n_test = c.get("dev", 0) + c.get("weak", 0) + c.get("unused", 0)
+    n_test = c.get("dev", 0) + c.get("weak", 0)
     assert c["train"] + n_test == 500 and c.get("dev", 0) == int(n_test * 0.05)
 
 
@@ -148,3 +150,80 @@ def test_predict_multiple(spark):
     out = [(r.doc_id, r.label, r.logit_sum) for r in predict_multiple(docs, "doc_id", "text", feat, heads, "asp", 2.0)
            .collect()]
     assert out == [(1, 0, 3.0)]
+
+
+def test_label_and_score_files_of_several_split_files(spark, tmp_dir):
+    """Files of unequal size, each cut into several splits: every record keeps its own lines."""
+    from seedlabel.sources import readers
+    want = {}
+    for name, n in (("a", 400), ("b", 37), ("c", 900), ("d", 1)):
+        os.makedirs(os.path.join(tmp_dir, "lab"), exist_ok=True)
+        with open(os.path.join(tmp_dir, "lab", f"{name}.txt"), "w") as f:
+            for i in range(n):
+                a, p = ("food", "service")[i % 2], ("neg", "pos")[i % 3 == 0]
+                want[f"{name} sentence {i} " + "x" * (i % 50)] = (i % 2, int(i % 3 == 0))
+                f.write(f"{name} sentence {i} " + "x" * (i % 50) + f"\n{a} {p}\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        got = readers.read_label_file(spark, os.path.join(tmp_dir, "lab"), ["food", "service"], ["neg", "pos"]).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert {r.sentence: (r.aspect, r.polarity) for r in got} == want and len(got) == len(want)
+    with open(os.path.join(tmp_dir, "lab", "e.txt"), "w") as f:
+        f.write("a sentence without labels\n")
+    with pytest.raises(ValueError, match="odd number"):
+        readers.read_label_file(spark, os.path.join(tmp_dir, "lab"), ["food"], ["neg"])
+
+
+def test_stream_over_a_folder_of_part_files(spark, tmp_dir):
+    from seedlabel.streaming.scorer import keyword_label_counts, run_to_table, stream_table
+    docs = spark.range(60).selectExpr("id AS doc_id", "concat('the ', if(id % 2 = 0, 'der', 'le'), ' x') AS text")
+    docs.repartition(5).write.parquet(os.path.join(tmp_dir, "documents.parquet"))
+    docs.limit(3).write.parquet(os.path.join(tmp_dir, "documents_old.parquet"))  # another table with the same prefix
+    agg = keyword_label_counts(stream_table(spark, tmp_dir, "documents", max_files=2), [["der"], ["le"]])
+    got = {r.label: r.n for r in spark.read.parquet(run_to_table(agg, spark)).collect()}
+    assert got == {0: 30, 1: 30}
+    docs.limit(0).write.parquet(os.path.join(tmp_dir, "empty.parquet"))
+    agg = keyword_label_counts(stream_table(spark, tmp_dir, "empty"), [["der"], ["le"]])
+    assert spark.read.parquet(run_to_table(agg, spark)).collect() == []
+
+
+def test_checkpoint_folder_must_be_shared_on_a_cluster():
+    from seedlabel.session import checkpoint_dir
+
+    class Context:
+        def __init__(self, master, configured):
+            self.master, self.folder, self.configured = master, None, configured
+
+        def getCheckpointDir(self):
+            return self.folder
+
+        def setCheckpointDir(self, d):
+            self.folder = d
+
+        def getConf(self):
+            return self
+
+        def get(self, key, default=None):
+            return self.configured
+
+    class Session:
+        def __init__(self, *args):
+            self.sparkContext = Context(*args)
+            self.conf = self.sparkContext
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_dir(Session("spark://host:7077", None))
+    assert checkpoint_dir(Session("spark://host:7077", "hdfs://x/ck")) == "hdfs://x/ck"
+    assert checkpoint_dir(Session("local[4]", None))
+
+
+def test_only_a_missing_cache_counts_as_none(spark, tmp_dir):
+    from seedlabel.session import read_if_present
+    assert read_if_present(spark, os.path.join(tmp_dir, "nothing")) is None
+    os.makedirs(os.path.join(tmp_dir, "bad"))
+    with open(os.path.join(tmp_dir, "bad", "part.parquet"), "w") as f:
+        f.write("no parquet")
+    with pytest.raises(Exception):
+        read_if_present(spark, os.path.join(tmp_dir, "bad"))

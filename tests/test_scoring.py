@@ -29,10 +29,27 @@ def test_argmax_tie_takes_lower_class(spark):
     assert out.first().k == 0
 
 
-def test_prototype_size_bound(spark):
-    seeds = spark.createDataFrame([(0, i, [1.0] * 4) for i in range(10)], "cls int, id long, v array<double>")
-    with pytest.raises(ValueError):
-        collect_prototypes("big", prototypes(seeds, "cls", "v", "id"), max_cells=8)
+def test_prototype_chunks_merge_to_the_same_scores(spark):
+    rng = np.random.default_rng(5)
+    seeds = spark.createDataFrame([(i % 3, i, rng.normal(size=4).tolist()) for i in range(20)],
+                                  "cls int, id long, v array<double>")
+    ps = collect_prototypes("k", prototypes(seeds, "cls", "v", "id"))
+    df = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(50)] + [(99, None)],
+                               "id long, v array<double>")
+    whole = score_with_prototypes(df, "v", [ps], keep_scores=True).orderBy("id").collect()
+    parts = score_with_prototypes(df, "v", [ps], keep_scores=True, max_cells=8).orderBy("id").collect()
+    assert [(r.id, r.k) for r in whole] == [(r.id, r.k) for r in parts]
+    assert whole[-1].k is whole[-1].k_score is parts[-1].k is parts[-1].k_score is None
+    assert np.allclose([r.k_scores for r in whole[:-1]], [r.k_scores for r in parts[:-1]])
+
+
+@pytest.mark.parametrize("vec", [[1.0, 2.0, 3.0], [1.0]])
+def test_wrong_vector_length_raises(spark, vec):
+    seeds = spark.createDataFrame([(0, 1, [1.0, 0.0]), (1, 2, [0.0, 1.0])], "cls int, id long, v array<double>")
+    ps = collect_prototypes("k", prototypes(seeds, "cls", "v", "id"))
+    df = spark.createDataFrame([(1, [1.0, 1.0]), (2, vec)], "id long, v array<double>")
+    with pytest.raises(Exception, match="dimensions"):
+        score_with_prototypes(df, "v", [ps]).collect()
 
 
 def test_threshold_relaxation(spark):
