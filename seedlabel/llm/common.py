@@ -18,7 +18,7 @@ WORD_RUN = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of text handled at once inside a task (numpy work arrays are a small
 #: multiple of it), so a task's memory does not follow the Arrow batch size.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def scratch_table(df: DataFrame, tag: str) -> DataFrame:
