@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from seedlabel.plans import (embedding_queries, learning_queries, seedword_queries, stream_queries, tabular_queries,
-                             text_queries, vocab_queries)
+from seedlabel.plans import (embedding_queries, io_queries, learning_queries, seedword_queries, stream_queries,
+                             tabular_queries, text_queries, vocab_queries)
 
 _MODULES = [embedding_queries, text_queries, vocab_queries, seedword_queries, tabular_queries, learning_queries,
-            stream_queries]
+            stream_queries, io_queries]
 
 
 def all_queries() -> dict:

@@ -85,7 +85,8 @@ def q_holm_adjusted(spark, sf_dir):
 
 def q_pvalue_matrix(spark, sf_dir):
     a = S.adjust(S.pair_tests(_stats(spark, sf_dir), ["o_orderstatus"]), ["o_orderstatus"])
-    return S.pvalue_matrix(a, ["o_orderstatus"], MODELS)
+    m = S.pvalue_matrix(a, ["o_orderstatus"], MODELS)
+    return m.select("o_orderstatus", "model_a", *[F.round(f"`{c}`", 6).alias(c) for c in MODELS])
 
 
 # ---------------------------------------------------------------------------
@@ -113,6 +114,32 @@ STATS_CTE = """
 s AS (SELECT o_orderstatus, o_orderpriority AS model, count(*) AS n, avg(o_totalprice) AS mean,
              var_samp(o_totalprice) AS var FROM orders GROUP BY ALL)"""
 
+# p of the one-sided test: the t density integrated from 0 to |t| by Simpson's rule
+ADJUSTED_CTE = "WITH " + STATS_CTE + """,
+tt AS (SELECT a.o_orderstatus, a.model AS model_a, b.model AS model_b, CAST(a.n + b.n - 2 AS BIGINT) AS df,
+              (a.mean - b.mean) / sqrt((((a.n - 1) * a.var + (b.n - 1) * b.var) / (a.n + b.n - 2))
+              * (1.0::DOUBLE / a.n + 1.0::DOUBLE / b.n)) AS t
+       FROM s a JOIN s b USING (o_orderstatus)),
+area AS (SELECT o_orderstatus, model_a, model_b,
+                sum((CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
+                    * exp(-(df + 1) / 2.0::DOUBLE * ln(1 + pow(abs(t) * i / 4000.0::DOUBLE, 2) / df)))
+                * abs(any_value(t)) / 12000.0::DOUBLE AS x
+         FROM tt, range(4001) r(i) GROUP BY ALL),
+pv AS (SELECT tt.*, 0.5::DOUBLE + sign(t) * x * exp(lgamma((df + 1) / 2.0::DOUBLE) - lgamma(df / 2.0::DOUBLE))
+              / sqrt(df * pi()) AS p FROM tt JOIN area USING (o_orderstatus, model_a, model_b)),
+k AS (SELECT o_orderstatus, count(*) AS k FROM s GROUP BY o_orderstatus),
+hr AS (SELECT o_orderstatus, model_a, model_b, p,
+              (count(*) OVER (PARTITION BY o_orderstatus) - row_number() OVER g + 1) * p AS raw
+       FROM pv WHERE model_a <> model_b WINDOW g AS (PARTITION BY o_orderstatus ORDER BY p, model_a, model_b)),
+hm AS (SELECT o_orderstatus, model_a, model_b, least(max(raw) OVER (PARTITION BY o_orderstatus
+              ORDER BY p, model_a, model_b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1.0::DOUBLE) AS p_holm
+       FROM hr),
+adj AS (SELECT pv.*, least(p * (k * (k - 1) / 2.0::DOUBLE), 1.0::DOUBLE) AS p_bonferroni, hm.p_holm
+        FROM pv JOIN k USING (o_orderstatus) LEFT JOIN hm USING (o_orderstatus, model_a, model_b))"""
+
+_MATRIX = ", ".join(f"""round(max(CASE WHEN model_b = '{m}' THEN CASE WHEN model_a = model_b THEN 1.0::DOUBLE
+       ELSE p_holm END END), 6) AS "{m}\"""" for m in MODELS)
+
 QUERIES = {
     "opinion_gold_set": q_opinion_gold_set,
     "opinion_share": q_opinion_share,
@@ -153,4 +180,9 @@ SELECT a.o_orderstatus, a.model AS model_a, b.model AS model_b, a.n AS n_a, b.n
              * (1.0 / a.n + 1.0 / b.n)), 6) AS t,
        CAST(a.n + b.n - 2 AS BIGINT) AS df
 FROM s a JOIN s b USING (o_orderstatus)""",
+    "holm_adjusted": ADJUSTED_CTE + """
+SELECT o_orderstatus, model_a, model_b, round(t, 6) AS t, df, round(p, 6) AS p, round(p_bonferroni, 6) AS p_bonferroni,
+       round(p_holm, 6) AS p_holm FROM adj""",
+    "pvalue_matrix": ADJUSTED_CTE + f"""
+SELECT o_orderstatus, model_a, {_MATRIX} FROM adj GROUP BY o_orderstatus, model_a""",
 }
