@@ -39,6 +39,7 @@ def class_rows(scored: DataFrame, class_seeds: list[list[str]], scores_col: str
       substring (``foreign_match="substring"``, the reference's behaviour,
       so ``os`` matches inside ``most``) or as a whole token (``"token"``);
     * ``n_words`` -- whitespace token count;
+    * ``score`` -- the class's score to 9 places, so that equal scores tie;
     * ``own`` -- positions of the class's seeds that occur bounded by single
       spaces (``" seed "``), i.e. not at the sentence edges.
 
@@ -63,7 +64,7 @@ def class_rows(scored: DataFrame, class_seeds: list[list[str]], scores_col: str
             fx = fx | flag[f]
         own = F.array_compact(F.array(*[F.when(sent.contains(f" {s} "), F.lit(p))
                                         for p, s in enumerate(class_seeds[c])]))
-        cells.append(F.struct(F.lit(c).alias("cls"), F.col(scores_col)[c].alias("score"), fx.alias("foreign"),
+        cells.append(F.struct(F.lit(c).alias("cls"), F.round(F.col(scores_col)[c], 9).alias("score"), fx.alias("foreign"),
                               own.alias("own")))
     return base.select(*ids, "sentence", "n_words", F.inline(F.array(*cells)))
 
