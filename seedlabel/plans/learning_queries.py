@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from seedlabel.functions.text import tokens
 from seedlabel.operators import classifier as C
+from seedlabel.operators import countvec as CV
 from seedlabel.operators import metrics
 from seedlabel.operators import wordvec as W
 from seedlabel.operators.keywords import encode_labels, keyword_labels
@@ -40,35 +41,50 @@ def _seed_texts(spark):
     return spark.createDataFrame(rows, "cls int, seed_pos int, text string")
 
 
+def _word_model(spark, sf_dir, per_seed: bool = False):
+    """Sentences, word scores and prototype keys of the count-based vectors."""
+    sent = _sentences(spark, sf_dir).checkpoint(eager=True)  # read by the counts and by the labelling
+    vecs = CV.vectors(CV.pair_counts(sent)).checkpoint(eager=True)
+    keys = [(c, p if per_seed else -1) for c, seeds in enumerate(TQ.LANG_SEEDS)
+            for p in (range(len(seeds)) if per_seed else (0,))]
+    scores = CV.word_scores(vecs, CV.seed_prototypes(vecs, _seed_texts(spark), per_seed), len(keys))
+    return sent, scores, keys
+
+
+def _word_labels(spark, sf_dir, per_seed: bool = False):
+    sent, scores, keys = _word_model(spark, sf_dir, per_seed)
+    return CV.classify(sent, scores, keys, len(TQ.LANG_SEEDS), ["doc_id", "pos"], ["gold"])
+
+
 def q_word_vector_labels(spark, sf_dir):
-    sent = _sentences(spark, sf_dir)
-    model = W.fit_word2vec(sent, **W2V)
-    protos = W.seed_prototypes(model, _seed_texts(spark))
-    out = W.classify(model, sent, protos)
+    out = _word_labels(spark, sf_dir)
     return out.select("doc_id", "pos", "label", F.round("score", 6).alias("score"), "gold")
 
 
 def q_class_neighbours(spark, sf_dir):
     """The 10 vocabulary words closest to each class prototype (mean of the
     class's seed word vectors)."""
-    sent = _sentences(spark, sf_dir)
-    model = W.fit_word2vec(sent, **W2V)
-    protos = W.seed_prototypes(model, _seed_texts(spark))
-    rows = W.similar_words(model, protos, 10)
-    return spark.createDataFrame(rows, "cls int, rank int, word string, similarity double")
+    _, scores, _ = _word_model(spark, sf_dir)
+    return CV.similar_words(scores, list(range(len(TQ.LANG_SEEDS))), 10)
 
 
 def q_word_vector_report(spark, sf_dir):
-    return metrics.classification_report(q_word_vector_labels(spark, sf_dir), "gold", "label")
+    return metrics.classification_report(_word_labels(spark, sf_dir), "gold", "label")
 
 
 def q_word_vector_seed_report(spark, sf_dir):
     """One prototype per seed text; a sentence takes the class of its most
     similar seed."""
+    return metrics.classification_report(_word_labels(spark, sf_dir, per_seed=True), "gold", "label")
+
+
+def q_trained_vector_report(spark, sf_dir):
+    """The same classifier with trained (Word2Vec) vectors; training depends on
+    the cluster's task order, so this one has no SQL twin."""
     sent = _sentences(spark, sf_dir)
     model = W.fit_word2vec(sent, **W2V)
-    protos = W.seed_prototypes(model, _seed_texts(spark), per_seed=True, name="w2v_seed")
-    return metrics.classification_report(W.classify(model, sent, protos), "gold", "label")
+    return metrics.classification_report(W.classify(model, sent, W.seed_prototypes(model, _seed_texts(spark))),
+                                         "gold", "label")
 
 
 def _train_heads(weak, gamma_a, gamma_p, q=None, weights=None):
@@ -162,9 +178,55 @@ QUERIES = {
     "word_vector_report": q_word_vector_report,
     "word_vector_seed_report": q_word_vector_seed_report,
     "class_neighbours": q_class_neighbours,
+    "trained_vector_report": q_trained_vector_report,
     "joint_classifier": q_joint_classifier,
     "ablation_results": q_ablation_results,
     "keyword_classifier": q_keyword_classifier,
     "hyper_search": q_hyper_search,
 }
 ORACLE: dict[str, str] = {}
+
+
+_SEED_ROWS = ", ".join(f"({c}, {p}, '{w}')" for c, seeds in enumerate(TQ.LANG_SEEDS) for p, w in enumerate(seeds))
+
+
+def _word_vector_cte(per_seed: bool = False) -> str:
+    proto = "seed_pos" if per_seed else "-1"
+    return "WITH " + TQ.SENTENCES_CTE + f""",
+st AS (SELECT doc_id, pos, lang, list_filter(regexp_split_to_array(sentence, '\\s+'), lambda x: x <> '') AS t FROM sents),
+tk AS (SELECT doc_id, pos, unnest(t) AS word, generate_subscripts(t, 1) AS i FROM st),
+pr AS (SELECT a.word AS a, b.word AS b FROM tk a JOIN tk b ON a.doc_id = b.doc_id AND a.pos = b.pos AND b.i = a.i + 1
+       UNION ALL
+       SELECT a.word, b.word FROM tk a JOIN tk b ON a.doc_id = b.doc_id AND a.pos = b.pos AND b.i = a.i + 2),
+pc AS (SELECT word, context, count(*) AS n FROM (
+        SELECT a AS word, b AS context FROM pr UNION ALL SELECT b, a FROM pr) GROUP BY ALL),
+mg AS (SELECT word, sum(n) AS m FROM pc GROUP BY word),
+cx AS (SELECT word AS context, m AS mc FROM mg ORDER BY m DESC, word LIMIT {CV.DIMS}),
+vc AS (SELECT word, context, x FROM (
+        SELECT pc.word, pc.context, ln(CAST(n AS DOUBLE) * (SELECT sum(m) FROM mg) / (CAST(m AS DOUBLE) * CAST(mc AS DOUBLE))) AS x
+        FROM pc JOIN cx USING (context) JOIN mg USING (word) WHERE m >= {CV.MIN_PAIRS}) WHERE x > 0),
+sd(cls, seed_pos, word) AS (VALUES {_SEED_ROWS}),
+ps AS (SELECT cls, {proto} AS proto, context, sum(x) AS x FROM vc JOIN sd USING (word) GROUP BY ALL),
+pn AS (SELECT cls, proto, sqrt(sum(x * x)) AS norm FROM ps GROUP BY ALL),
+pu AS (SELECT cls, proto, context, x / norm AS x FROM ps JOIN pn USING (cls, proto)),
+wn AS (SELECT word, sqrt(sum(x * x)) AS norm FROM vc GROUP BY word),
+wd AS (SELECT word, cls, proto, sum(vc.x * pu.x) AS d FROM vc JOIN pu USING (context) GROUP BY ALL),
+kn AS (SELECT doc_id, pos, count(*) AS k FROM tk JOIN wn USING (word) GROUP BY ALL),
+sm AS (SELECT doc_id, pos, cls, proto, sum(d) AS s FROM tk JOIN wd USING (word) GROUP BY ALL),
+cl AS (SELECT doc_id, pos, cls, max(round(s / k, 9)) AS c FROM sm JOIN kn USING (doc_id, pos) GROUP BY ALL),
+ev AS (SELECT st.doc_id, st.pos, CAST({TQ._lang_code('st.lang')} AS INTEGER) AS gold, CAST(q.i AS INTEGER) AS label, coalesce(cl.c, 0) AS c
+       FROM st CROSS JOIN range({len(TQ.LANG_SEEDS)}) q(i)
+       LEFT JOIN cl ON cl.doc_id = st.doc_id AND cl.pos = st.pos AND cl.cls = q.i),
+wv AS (SELECT doc_id, pos, gold, label, c AS score FROM (
+        SELECT *, row_number() OVER (PARTITION BY doc_id, pos ORDER BY c DESC, label) AS rn FROM ev) WHERE rn = 1)"""
+
+
+ORACLE = {
+    "word_vector_labels": _word_vector_cte() + "\nSELECT doc_id, pos, label, round(score, 6) AS score, gold FROM wv",
+    "word_vector_report": _word_vector_cte() + "," + TQ._report_sql("wv"),
+    "word_vector_seed_report": _word_vector_cte(True) + "," + TQ._report_sql("wv"),
+    "class_neighbours": _word_vector_cte() + """
+SELECT CAST(cls AS INTEGER) AS cls, CAST(rank AS INTEGER) AS rank, word, similarity FROM (
+    SELECT cls, word, similarity, row_number() OVER (PARTITION BY cls ORDER BY similarity DESC, word) AS rank
+    FROM (SELECT cls, word, round(d / norm, 6) AS similarity FROM wd JOIN wn USING (word))) WHERE rank <= 10""",
+}
