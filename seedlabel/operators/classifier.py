@@ -201,11 +201,24 @@ def sum_and_threshold(sent_logits: DataFrame, id_col: str, logits_col: str, thre
 
 
 def predict_multiple(docs: DataFrame, id_col: str, text_col: str, featurize, heads: dict[str, SoftmaxHead],
-                     aspect_head: str, threshold: float = 2.0) -> DataFrame:
+                     aspect_head: str, threshold: float = 2.0, polarity_head: str | None = None) -> DataFrame:
     """Split documents into sentences, predict every sentence, sum the aspect
-    logits per document and threshold them.  ``featurize`` maps the sentence
-    table to one with an ``x`` vector column."""
+    logits per document and threshold them; with a ``polarity_head`` also the
+    polarity of the document, the class of its largest summed logit.
+    ``featurize`` maps the sentence table to one with an ``x`` vector column."""
     from seedlabel.operators.sentences import split_sentences
     sent = featurize(split_sentences(docs, id_col, text_col))
     pred = predict_heads(sent, "x", heads)
-    return sum_and_threshold(pred, id_col, f"{aspect_head}_logits", threshold)
+    aspects = sum_and_threshold(pred, id_col, f"{aspect_head}_logits", threshold)
+    if polarity_head is None:
+        return aspects
+    return aspects.join(document_polarity(pred, id_col, f"{polarity_head}_logits"), id_col)
+
+
+def document_polarity(sent_logits: DataFrame, id_col: str, logits_col: str) -> DataFrame:
+    """``(id, polarity)``: the class with the largest logit sum over a
+    document's sentences (lowest index on ties)."""
+    sums = (sent_logits.select(id_col, F.posexplode(logits_col).alias("k", "x"))
+            .groupBy(id_col, "k").agg(F.sum("x").alias("s")))
+    best = sums.groupBy(id_col).agg(F.max(F.struct(F.round("s", 9).alias("s"), (-F.col("k")).alias("nk"))).alias("b"))
+    return best.select(id_col, (-F.col("b.nk")).cast("int").alias("polarity"))

@@ -26,6 +26,8 @@ LANG_SEEDS = [
 ]
 ONE_STEP_THRESHOLD = 0.3
 DOC_LOGIT_THRESHOLD = 2.0
+# Two polarity classes over the same sentences: negations and conjunctions of the four languages.
+POLARITY_SEEDS = [["not", "pas", "nicht", "no"], ["and", "et", "und", "y"]]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +96,19 @@ def q_document_aspects(spark, sf_dir):
     return d.filter(F.col("logit_sum") > DOC_LOGIT_THRESHOLD)
 
 
+def q_document_polarity(spark, sf_dir):
+    """Aspects of a document as above, each with the document's polarity: the
+    polarity class whose sentence scores sum highest."""
+    from seedlabel.operators.classifier import document_polarity, sum_and_threshold
+    t = tokens("sentence")
+    polarity_bags = [{w: 1.0 for w in seeds} for seeds in POLARITY_SEEDS]
+    sent = sentences(spark, sf_dir).select("doc_id", bag_scores(class_bags())(t).alias("aspect_logits"),
+                                           bag_scores(polarity_bags)(t).alias("polarity_logits"))
+    aspects = sum_and_threshold(sent, "doc_id", "aspect_logits", DOC_LOGIT_THRESHOLD)
+    out = aspects.join(document_polarity(sent, "doc_id", "polarity_logits"), "doc_id")
+    return out.select("doc_id", "label", F.round("logit_sum", 6).alias("logit_sum"), "polarity")
+
+
 def q_conversation_aspects(spark, sf_dir):
     """Multi-label classes of a whole conversation: every turn is split into
     sentences, each sentence scored against every class, the sentence scores
@@ -206,7 +221,20 @@ cs2 AS (SELECT doc_id // 100000 AS conv_id, label, sum(c) AS s FROM lng GROUP BY
 SELECT conv_id, CAST(label AS INTEGER) AS label, round(s, 6) AS logit_sum FROM cs2 WHERE s > {DOC_LOGIT_THRESHOLD}"""
 
 
+def _doc_polarity_sql() -> str:
+    cos = ", ".join("CASE WHEN ss > 0 THEN (" + " + ".join(f"len(list_filter(t, lambda x: x = '{w}'))" for w in seeds)
+                    + f") / (sqrt(ss) * sqrt({float(len(seeds))!r})) ELSE 0.0 END AS p{k}"
+                    for k, seeds in enumerate(POLARITY_SEEDS))
+    return "WITH " + SCORED_SENTENCES_CTE + f""",
+ds AS (SELECT doc_id, label, sum(c) AS s FROM lng GROUP BY doc_id, label),
+pl AS (SELECT doc_id, CAST(CASE WHEN round(sum(p1), 9) > round(sum(p0), 9) THEN 1 ELSE 0 END AS INTEGER) AS polarity
+       FROM (SELECT doc_id, {cos} FROM sc) GROUP BY doc_id)
+SELECT ds.doc_id, CAST(label AS INTEGER) AS label, round(s, 6) AS logit_sum, polarity
+FROM ds JOIN pl USING (doc_id) WHERE s > {DOC_LOGIT_THRESHOLD}"""
+
+
 QUERIES = {
+    "document_polarity": q_document_polarity,
     "sentence_split": q_sentence_split,
     "sentence_stats": q_sentence_stats,
     "keyword_labels": q_keyword_labels,
@@ -233,5 +261,6 @@ SELECT gold, CAST(len(m) AS INTEGER) AS n_matched, count(*) AS lines FROM km GRO
 SELECT doc_id, pos, label, score, gold FROM best WHERE score >= {ONE_STEP_THRESHOLD}""",
     "one_step_report": "WITH " + SCORED_SENTENCES_CTE + "," + _report_sql("best"),
     "document_aspects": _doc_aspects_sql(),
+    "document_polarity": _doc_polarity_sql(),
     "conversation_aspects": _conv_aspects_sql(),
 }
