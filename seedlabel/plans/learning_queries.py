@@ -25,6 +25,7 @@ GAMMA_ASPECT = 3.0
 GAMMA_POLARITY = 3.0
 GCE_Q = 0.4
 GD = dict(step=0.5, iters=25, reg=1e-4)
+GD_MOMENTUM = 0.9
 SEARCH_SPACE = {"gamma": [0.0, 2.0, 4.0], "reg": [1e-4, 1e-2], "step": [0.1, 0.5]}
 SEARCH_TRIALS = 4
 SEARCH_SEED = 7
@@ -221,6 +222,96 @@ wv AS (SELECT doc_id, pos, gold, label, c AS score FROM (
         SELECT *, row_number() OVER (PARTITION BY doc_id, pos ORDER BY c DESC, label) AS rn FROM ev) WHERE rn = 1)"""
 
 
+def _head_ctes(name: str, train: str, label: str, k: int, gamma: float = 0.0, q: float | None = None,
+               reg: float = GD["reg"], step: float = GD["step"]) -> str:
+    """Full-batch gradient descent of a softmax head, one CTE chain per step;
+    ``train`` is (vec_id, v, label).  The result is ``{name}_w`` (cls, d, w), d = 0 the bias."""
+    n = name
+    factor = (f"pow(py, {q!r}::DOUBLE)" if q is not None else f"pow(1 - py, {gamma!r}::DOUBLE)" if gamma else "1.0::DOUBLE")
+    ctes = [f"""{n}_x AS MATERIALIZED (
+    SELECT vec_id, CAST({label} AS INTEGER) AS y, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM {train}
+    UNION ALL SELECT vec_id, CAST({label} AS INTEGER), 1.0, 0 FROM {train})""",
+            f"{n}_n AS MATERIALIZED (SELECT CAST(count(*) AS DOUBLE) AS n FROM {train})",
+            f"""{n}_w0 AS MATERIALIZED (SELECT CAST(c AS INTEGER) AS cls, d, 0.0::DOUBLE AS w, 0.0::DOUBLE AS vel
+    FROM range({k}) r(c), (SELECT DISTINCT d FROM {n}_x))"""]
+    for i in range(GD["iters"]):
+        ctes.append(f"""{n}_z{i} AS MATERIALIZED (
+    SELECT vec_id, y, cls, sum(x * w) AS z FROM {n}_x JOIN {n}_w{i} USING (d) GROUP BY vec_id, y, cls),
+{n}_p{i} AS MATERIALIZED (SELECT vec_id, y, cls, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM (
+    SELECT vec_id, y, cls, exp(z - max(z) OVER (PARTITION BY vec_id)) AS e FROM {n}_z{i})),
+{n}_g{i} AS MATERIALIZED (
+    SELECT p.vec_id, p.cls, (p.p - CASE WHEN p.cls = p.y THEN 1 ELSE 0 END) * f.f AS g
+    FROM {n}_p{i} p JOIN (SELECT vec_id, {factor} AS f FROM (SELECT vec_id, p AS py FROM {n}_p{i} WHERE cls = y)) f
+    USING (vec_id)),
+{n}_w{i + 1} AS MATERIALIZED (
+    SELECT cls, d, w + nv AS w, nv AS vel FROM (
+        SELECT w.cls, w.d, w.w, {GD_MOMENTUM!r}::DOUBLE * w.vel - {step!r}::DOUBLE
+               * (s.g / (SELECT n FROM {n}_n) + CASE WHEN w.d > 0 THEN {reg!r}::DOUBLE * w.w ELSE 0.0 END) AS nv
+        FROM {n}_w{i} w JOIN (SELECT cls, d, sum(x * g) AS g FROM {n}_g{i} JOIN {n}_x USING (vec_id) GROUP BY cls, d) s
+        USING (cls, d)))""")
+    ctes.append(f"{n}_w AS MATERIALIZED (SELECT cls, d, w FROM {n}_w{GD['iters']})")
+    return ",\n".join(ctes)
+
+
+def _predict_cte(name: str, rows: str) -> str:
+    """``{name}_l`` (vec_id, cls, z) and ``{name}_b`` (vec_id, pred) of (vec_id, v) rows."""
+    return f"""{name}_r AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM {rows}
+             UNION ALL SELECT vec_id, 1.0, 0 FROM {rows}),
+{name}_l AS MATERIALIZED (SELECT vec_id, cls, sum(x * w) AS z FROM {name}_r JOIN {name}_w USING (d) GROUP BY vec_id, cls),
+{name}_b AS (SELECT vec_id, cls AS pred FROM (
+    SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY z DESC, cls) AS rn FROM {name}_l) WHERE rn = 1)"""
+
+
+_WEAK = f"""weak AS MATERIALIZED (SELECT l.vec_id, t.v, l.aspect, l.polarity FROM ({EQ.LABELS_SQL}) l JOIN t USING (vec_id))"""
+
+
+def _joint_cte(gamma_a: float, gamma_p: float, q: float | None = None) -> str:
+    return ",\n" + ",\n".join([
+        _WEAK, _head_ctes("ha", "weak", "aspect", EQ.N_ASPECTS, gamma_a, q),
+        _head_ctes("hp", "weak", "polarity", 2, gamma_p, q), _predict_cte("ha", "t"), _predict_cte("hp", "t"),
+        """heads AS (SELECT t.vec_id, t.gold_aspect, a.pred AS aspect, t.gold_polarity, p.pred AS polarity
+          FROM t JOIN ha_b a USING (vec_id) JOIN hp_b p USING (vec_id))"""])
+
+
+_HEADS_REPORT = EQ.REPORT_SQL.replace("FROM scored", "FROM heads")
+
+
+def _ablation_sql() -> str:
+    """The three variants' reports, each from its own chain, as summary rows."""
+    def summary(variant: str, query: str) -> str:
+        return f"""
+SELECT '{variant}' AS variant, kind, max(CASE WHEN label = 'accuracy' THEN f1 END) AS accuracy,
+       max(CASE WHEN label = 'macro avg' THEN precision END) AS precision,
+       max(CASE WHEN label = 'macro avg' THEN recall END) AS recall,
+       max(CASE WHEN label = 'macro avg' THEN f1 END) AS f1_score
+FROM ({query}) GROUP BY kind"""
+    return "\nUNION ALL".join([
+        summary("none", EQ._with(_joint_cte(GAMMA_ASPECT, GAMMA_POLARITY) + "," + _HEADS_REPORT)),
+        summary("without_focal_loss", EQ._with(_joint_cte(0.0, 0.0, GCE_Q) + "," + _HEADS_REPORT)),
+        summary("without_deep_learning", EQ._with("," + EQ.REPORT_SQL))])
+
+
+def _search_sql() -> str:
+    grid = [(g, r, s) for g in SEARCH_SPACE["gamma"] for r in SEARCH_SPACE["reg"] for s in SEARCH_SPACE["step"]]
+    trials = random.Random(SEARCH_SEED).sample(grid, min(SEARCH_TRIALS, len(grid)))
+    u = "('0x' || substr(md5(CAST(vec_id AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0"
+    ctes = [_WEAK, f"tr AS MATERIALIZED (SELECT * FROM weak WHERE {u} < {TRAIN_FRACTION})",
+            f"va AS MATERIALIZED (SELECT * FROM weak WHERE {u} >= {TRAIN_FRACTION})"]
+    rows = []
+    for i, (g, r, s) in enumerate(trials):
+        n = f"h{i}"
+        ctes += [_head_ctes(n, "tr", "aspect", EQ.N_ASPECTS, float(g), None, float(r), float(s)), _predict_cte(n, "va"),
+                 f"""{n}_v AS (SELECT l.vec_id, l.cls, va.aspect AS y, l.z - ln(sum(exp(l.z)) OVER (PARTITION BY l.vec_id)) AS lp
+                 FROM {n}_l l JOIN va USING (vec_id))"""]
+        rows.append(f"""
+SELECT {i} AS trial, {float(g)!r}::DOUBLE AS gamma, {float(r)!r}::DOUBLE AS reg, {float(s)!r}::DOUBLE AS step,
+       round(avg(-pow(1 - exp(lp), {float(g)!r}::DOUBLE) * lp), 6) AS val_loss,
+       (SELECT round(avg(CASE WHEN b.pred = va.aspect THEN 1.0::DOUBLE ELSE 0.0 END), 6) FROM {n}_b b JOIN va USING (vec_id))
+       AS val_accuracy
+FROM {n}_v WHERE cls = y""")
+    return EQ._with(",\n" + ",\n".join(ctes) + "\nUNION ALL".join(rows))
+
+
 ORACLE = {
     "word_vector_labels": _word_vector_cte() + "\nSELECT doc_id, pos, label, round(score, 6) AS score, gold FROM wv",
     "word_vector_report": _word_vector_cte() + "," + TQ._report_sql("wv"),
@@ -229,4 +320,7 @@ ORACLE = {
 SELECT CAST(cls AS INTEGER) AS cls, CAST(rank AS INTEGER) AS rank, word, similarity FROM (
     SELECT cls, word, similarity, row_number() OVER (PARTITION BY cls ORDER BY similarity DESC, word) AS rank
     FROM (SELECT cls, word, round(d / norm, 6) AS similarity FROM wd JOIN wn USING (word))) WHERE rank <= 10""",
+    "joint_classifier": EQ._with(_joint_cte(GAMMA_ASPECT, GAMMA_POLARITY) + "," + _HEADS_REPORT),
+    "ablation_results": _ablation_sql(),
+    "hyper_search": _search_sql(),
 }
