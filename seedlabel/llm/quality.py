@@ -113,8 +113,8 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], share: float) -> Factori
     """Full-batch Adam on the logistic loss of (y, indices, values); both
     classes weigh alike, then the intercept moves to ``share`` of label 1."""
     rng = np.random.default_rng(SEED)
-    y = np.array([r[0] for r in rows], dtype=np.float64)
-    weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
+    y = np.array([r[0] for r in rows], dtype=np.float32)
+    weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)).astype(np.float32)
     row = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
     col = np.concatenate([r[1] for r in rows])
     val = np.concatenate([r[2] for r in rows])
@@ -122,26 +122,29 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], share: float) -> Factori
     order = np.argsort(col, kind="stable")
     heads = np.searchsorted(col[order], np.arange(len(seen)))
     row_heads = np.searchsorted(row, np.arange(len(rows)))
-    params = [np.zeros(1), np.zeros(len(seen)), rng.normal(0, 0.02, (len(seen), FACTORS))]
+    params = [np.zeros(1, np.float32), np.zeros(len(seen), np.float32),
+              rng.normal(0, 0.02, (len(seen), FACTORS)).astype(np.float32)]
     first = [np.zeros_like(p) for p in params]
     second = [np.zeros_like(p) for p in params]
     for step in range(1, STEPS + 1):
-        vx = params[2][col] * val[:, None]
+        vx = params[2][col]
+        vx *= val[:, None]
         total = np.add.reduceat(vx, row_heads, axis=0)
-        pair = 0.5 * ((total * total).sum(axis=1) - np.add.reduceat((vx * vx).sum(axis=1), row_heads))
+        pair = 0.5 * ((total * total).sum(axis=1) - np.add.reduceat(np.einsum("ij,ij->i", vx, vx), row_heads))
         margin = params[0][0] + np.add.reduceat(params[1][col] * val, row_heads) + pair
         g = weight * (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - y)
         grow = g[row] * val
-        grads = [np.array([g.sum()]), np.add.reduceat(grow[order], heads) + DECAY * params[1],
-                 np.add.reduceat((grow[:, None] * (total[row] - vx))[order], heads, axis=0) + DECAY * params[2]]
+        np.subtract(total[row], vx, out=vx)
+        vx *= grow[:, None]
+        grads = [np.array([g.sum()], np.float32), np.add.reduceat(grow[order], heads) + DECAY * params[1],
+                 np.add.reduceat(vx[order], heads, axis=0) + DECAY * params[2]]
         for p, d, a, b in zip(params, grads, first, second):
             a += 0.1 * (d - a)
             b += 0.001 * (d * d - b)
             p -= RATE * (a / (1 - 0.9 ** step)) / (np.sqrt(b / (1 - 0.999 ** step)) + 1e-8)
-    linear, factors = np.zeros(N_FEATURES), np.zeros((N_FEATURES, FACTORS))
+    linear, factors = np.zeros(N_FEATURES, np.float32), np.zeros((N_FEATURES, FACTORS), np.float32)
     linear[seen], factors[seen] = params[1], params[2]
-    return FactorisationMachine(params[0][0] + np.log(share / (1 - share)), linear.astype(np.float32),
-                                factors.astype(np.float32))
+    return FactorisationMachine(float(params[0][0] + np.log(share / (1 - share))), linear, factors)
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,10 +152,10 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, value = [], []
         for raw, declared in zip(batch.column(1), batch.column(2).to_pylist()):
             i, v = features(raw.as_py(), declared)
-            index.append(i.astype(np.int32))
-            value.append(v)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(index, pa.list_(pa.int32())),
-                                          pa.array(value, pa.list_(pa.float64()))], ["y", "index", "value"])
+            index.append(i.astype("<i4").tobytes())
+            value.append(v.astype("<f4").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(index, pa.binary()), pa.array(value, pa.binary())],
+                                         ["y", "index", "value"])
 
 
 def _text_and_length(docs: DataFrame) -> list:
@@ -169,8 +172,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
         return constant(share)
     narrow = docs.select("doc_id", *_text_and_length(docs))
     picked = sample(narrow, rows, per_class, ["text", "n_chars"]).select("y", "text", "n_chars")
-    found = picked.mapInArrow(_featured, "y int, index array<int>, value array<double>").collect()
-    found = [(r.y, np.array(r["index"], np.int64), np.array(r.value)) for r in found]
+    found = picked.mapInArrow(_featured, "y int, index binary, value binary").collect()
+    found = [(r.y, np.frombuffer(r["index"], "<i4"), np.frombuffer(r.value, "<f4")) for r in found]
     if len({r[0] for r in found}) < 2:  # the labelled documents of a class are missing
         return constant(ones / n)
     found.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))  # whatever order the tasks ended in
