@@ -118,19 +118,26 @@ def context_class_hit_arrays(subs: DataFrame, vocab_m: DataFrame, filter_words:
         F.array(*[F.count_if(F.col("cls") == c) for c in range(n_classes)]).alias("hits_by_class"))
 
 
+def tagged_lexicon(tags: DataFrame, keep: list[str]) -> DataFrame:
+    """``(word, tag)`` rows -> the distinct words with one of the kept tags."""
+    return tags.filter(F.col("tag").isin(keep)).select("word").distinct()
+
+
 def overlap_scores(sent: DataFrame, id_cols, ctx_hits: DataFrame, n_classes: int,
-                   filter_words: list[str], tokens_col: str = "tokens", lexicon: list[str] | None = None,
-                   carry=()) -> DataFrame:
+                   filter_words: list[str], tokens_col: str = "tokens",
+                   lexicon: list[str] | DataFrame | None = None, carry=()) -> DataFrame:
     """Dense per-sentence class scores ``(*ids, *carry, n_cand, scores array<double>)``:
     score[c] = substitute hits of class c over the sentence's candidate
     tokens / max(#candidate tokens, 1).  Candidate tokens are the tokens that
     are not filter words and, when a ``lexicon`` is given (e.g. the nouns, or
-    the adjectives/adverbs of a tagged word list), are in it."""
+    the adjectives/adverbs of a tagged word list), are in it: a list of words,
+    or a table with a ``word`` column (see :func:`tagged_lexicon`)."""
     ids = list(id_cols)
+    table = lexicon if isinstance(lexicon, DataFrame) else None
 
     def keep(t):
         ok = ~t.isin(filter_words)
-        return ok & t.isin(lexicon) if lexicon is not None else ok
+        return ok & t.isin(lexicon) if lexicon is not None and table is None else ok
 
     if "hits_by_class" not in ctx_hits.columns:
         ctx_hits = ctx_hits.groupBy("left", "right").agg(
@@ -138,6 +145,10 @@ def overlap_scores(sent: DataFrame, id_cols, ctx_hits: DataFrame, n_classes: int
             .alias("hits_by_class"))
     # candidate tokens only; a sentence without any keeps one row without a context
     pos = token_positions(sent, [*ids, *carry], tokens_col, keep)
+    if table is not None:  # a token outside of the lexicon is no candidate: its context goes, its sentence stays
+        known = table.select(F.col("word").alias("token"), F.lit(True).alias("_known")).distinct()
+        pos = pos.join(known, "token", "left").select(*ids, *carry, *[
+            F.when(F.col("_known"), F.col(c)).alias(c) for c in ("left", "token", "right")])
     # one row per context (already partitioned by the context key), so only the positions move
     j = pos.join(ctx_hits, ["left", "right"], "left")
     sums = j.groupBy(*ids).agg(*[F.first(c).alias(c) for c in carry], F.count("token").alias("n_cand"), *[

@@ -18,6 +18,7 @@ K1 = 10          # substitutes per seed occurrence when building vocabularies
 K2 = 30          # substitutes per token when scoring
 M = 100          # vocabulary size per class
 LAMBDA = 0.5     # z-score threshold
+NOUN_LETTERS = 6 # words of this length or more are tagged NOUN
 FILTER_WORDS = PUNCTUATION
 N_CLASSES = len(TQ.LANGS)
 
@@ -60,10 +61,11 @@ class VocabRun:
         self._materialized = True
         return self
 
-    def scores(self):
+    def scores(self, lexicon=None):
         hits = V.context_class_hit_arrays(self.subs(K2), self.disjoint(), FILTER_WORDS, N_CLASSES,
                                           vocab_bound=N_CLASSES * M)
-        return V.overlap_scores(self.sent, ["doc_id", "pos"], hits, N_CLASSES, FILTER_WORDS, carry=["gold"])
+        return V.overlap_scores(self.sent, ["doc_id", "pos"], hits, N_CLASSES, FILTER_WORDS, lexicon=lexicon,
+                                carry=["gold"])
 
     def z(self):
         # the scores feed both the class statistics and the standardisation:
@@ -91,6 +93,20 @@ def q_overlap_scores(spark, sf_dir):
             .select("doc_id", "pos", F.col("cls").cast("int"), F.round("score", 6).alias("score")))
 
 
+def word_tags(sent: DataFrame) -> DataFrame:
+    """A stand-in for a tagger's table: every word with a tag by its length."""
+    words = sent.select(F.explode("tokens").alias("word")).distinct()
+    return words.select("word", F.when(F.length("word") >= NOUN_LETTERS, "NOUN").otherwise("OTHER").alias("tag"))
+
+
+def q_tagged_overlap_scores(spark, sf_dir):
+    """Overlap scores over the candidate words of a word-tag table."""
+    run = VocabRun(spark, sf_dir).materialize()
+    s = run.scores(V.tagged_lexicon(word_tags(run.sent), ["NOUN"]))
+    return (s.select("doc_id", "pos", F.posexplode("scores").alias("cls", "score")).filter(F.col("score") > 0)
+            .select("doc_id", "pos", F.col("cls").cast("int"), F.round("score", 6).alias("score")))
+
+
 def q_class_score_stats(spark, sf_dir):
     st = V.class_score_stats(VocabRun(spark, sf_dir).materialize().scores())
     return st.select("cls", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
@@ -171,6 +187,7 @@ QUERIES = {
     "class_vocabulary": q_class_vocabulary,
     "disjoint_vocabulary": q_disjoint_vocabulary,
     "overlap_scores": q_overlap_scores,
+    "tagged_overlap_scores": q_tagged_overlap_scores,
     "class_score_stats": q_class_score_stats,
     "zscore_labels": q_zscore_labels,
     "zscore_forced": q_zscore_forced,
@@ -182,6 +199,12 @@ ORACLE = {
     "class_vocabulary": _w("SELECT cls, word, freq FROM vocab"),
     "disjoint_vocabulary": _w("SELECT cls, word, freq, rank FROM dv"),
     "overlap_scores": _w("SELECT doc_id, pos, cls, round(score, 6) AS score FROM dense WHERE score > 0"),
+    "tagged_overlap_scores": "WITH " + VOCAB_CTE.replace(
+        f"len(list_filter(t, lambda x: NOT list_contains({_PUNCT}, x)))",
+        f"len(list_filter(t, lambda x: NOT list_contains({_PUNCT}, x) AND length(x) >= {NOUN_LETTERS}))").replace(
+        f"WHERE NOT list_contains({_PUNCT}, token)",
+        f"WHERE NOT list_contains({_PUNCT}, token) AND length(token) >= {NOUN_LETTERS}")
+        + "\nSELECT doc_id, pos, cls, round(score, 6) AS score FROM dense WHERE score > 0",
     "class_score_stats": _w("SELECT CAST(cls AS INTEGER) AS cls, round(mean, 6) AS mean, round(sd, 6) AS sd FROM stats"),
     "zscore_labels": _w(f"""
 SELECT doc_id, pos, cls AS label, round(z, 6) AS z FROM (
