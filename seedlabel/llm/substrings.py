@@ -48,7 +48,7 @@ CELLS_PER_KEY = 4
 #: Cells per merged segment.
 SEGMENT = 1 << 16
 #: Sparse cells a task holds before it emits them.
-FLUSH_CELLS = 1 << 22
+FLUSH_CELLS = 1 << 20
 
 _U = np.uint64
 #: Odd multipliers of the rolling hashes and of the two sketch rows.
