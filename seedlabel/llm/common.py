@@ -19,6 +19,8 @@ WORD_RUN = r"[^\x20\x09-\x0D]+"
 #: Bytes of text handled at once inside a task (numpy work arrays are a small
 #: multiple of it), so a task's memory does not follow the Arrow batch size.
 SLICE_BYTES = 2 << 20
+#: Bytes of an Arrow batch sent to Python.
+BATCH_BYTES = 4 << 20
 
 
 def scratch_table(df: DataFrame, tag: str) -> DataFrame:
@@ -36,6 +38,14 @@ def broadcast_checked(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after limiting the session's Arrow batches to BATCH_BYTES: a
+    batch of texts is held by the JVM, the socket and the Python worker at
+    once, and Spark's default (64 MB) takes several times that per task."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def sliced(batches: Iterator[pa.RecordBatch], text_col: int, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of rows with about ``max_bytes`` of text
     each; a single longer row makes a run of its own."""

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seedlabel.llm.common import filter_batches, sliced, text_bytes
+from seedlabel.llm.common import filter_batches, sliced, small_batches, text_bytes
 
 WINDOW = 10
 #: Words of benchmark items per broadcast block (a single longer item makes its block longer).
@@ -152,7 +152,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: st
     """One row per document: doc_id, n_words, runs (of hit words), items (that occur)."""
     blocks = pattern_blocks(benchmark, window, item_col, item_text_col, block_words)
     text = text_bytes(F.col(f"`{text_col}`"))
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
+    rows = small_batches(docs).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
                        (F.unhex(F.md5(text)) if len(blocks) > 1 else F.lit(b"")).alias("digest"), text.alias("text"))
     parts = [rows.mapInArrow(lambda it, shared=shared: _scan(it, shared), _RUNS) for shared in blocks]
     if len(parts) == 1:
@@ -192,5 +192,5 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
             yield batch.filter(pa.array(mask, pa.bool_()))
 
     for shared in pattern_blocks(benchmark, window, item_col, item_text_col, block_words):
-        docs = filter_batches(docs, lambda it, shared=shared: keep(it, shared))
+        docs = filter_batches(small_batches(docs), lambda it, shared=shared: keep(it, shared))
     return docs

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seedlabel.llm.common import SPACE_RUN
+from seedlabel.llm.common import SPACE_RUN, small_batches
 
 #: Bytes of text that the tries of one task may hold before subtrees spill.
 TRIE_BYTES = 16 << 20
@@ -175,7 +175,7 @@ def merge_terminals(batches: Iterator[pa.RecordBatch], budget: int = TRIE_BYTES)
 def normalised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, digest, norm) of every row."""
     norm = F.regexp_replace(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), SPACE_RUN, " ")
-    return (docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), norm.alias("norm"))
+    return (small_batches(docs).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), norm.alias("norm"))
             .select("doc_id", F.octet_length("norm").cast("long").alias("n_bytes"),
                     F.unhex(F.sha2("norm", 256)).alias("digest"), F.col("norm").cast("binary").alias("norm")))
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seedlabel.llm.common import filter_batches, sliced, text_bytes
+from seedlabel.llm.common import filter_batches, sliced, small_batches, text_bytes
 from seedlabel.llm.labelled import held_out, label_rows, sample
 
 HOLD_MODULUS, HOLD_REMAINDER = 4, 2
@@ -170,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
     if not 0 < ones < n:
         share = ones / n if n else 0.5
         return constant(share)
-    narrow = docs.select("doc_id", *_text_and_length(docs))
+    narrow = small_batches(docs).select("doc_id", *_text_and_length(docs))
     picked = sample(narrow, rows, per_class, ["text", "n_chars"]).select("y", "text", "n_chars")
     found = picked.mapInArrow(_featured, "y int, index binary, value binary").collect()
     found = [(r.y, np.frombuffer(r["index"], "<i4"), np.frombuffer(r.value, "<f4")) for r in found]
@@ -191,7 +191,7 @@ def _scored(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
 def scores(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, label))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_text_and_length(docs))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), *_text_and_length(docs))
     out = rows.mapInArrow(lambda it: _scored(it, shared), "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id"), HOLD_MODULUS, HOLD_REMAINDER).alias("held_out"), "score",
                       (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
@@ -210,4 +210,4 @@ def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", thresho
                     for raw, n in zip(batch.column(text).cast(pa.binary()), declared)]
             yield batch.filter(pa.array(mask, pa.bool_()))
 
-    return filter_batches(docs, keep)
+    return filter_batches(small_batches(docs), keep)

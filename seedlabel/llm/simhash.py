@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seedlabel.llm.common import scratch_table, sliced, text_bytes
+from seedlabel.llm.common import scratch_table, sliced, small_batches, text_bytes
 from seedlabel.llm.components import Forest, components, edge_batch
 
 SHINGLE = 3
@@ -187,7 +187,7 @@ def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
 def print_rows(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, digest, fp) of every row, written once."""
     text = text_bytes(F.col(f"`{text_col}`"))
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"),
+    rows = small_batches(docs).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"),
                        F.unhex(F.md5(text)).alias("digest"))
     return scratch_table(rows.mapInArrow(lambda it: _fingerprints(it, k), "doc_id long, digest binary, fp long"),
                          "simhash-prints")

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seedlabel.llm.common import scratch_table, sliced, text_bytes
+from seedlabel.llm.common import scratch_table, sliced, small_batches, text_bytes
 
 WINDOW = 35
 #: Words of the grams among which a window's anchor is chosen.
@@ -265,7 +265,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``with_text``) of every row."""
     sc = docs.sparkSession.sparkContext
     ident, text = F.col(f"`{id_col}`").cast("long"), text_bytes(F.col(f"`{text_col}`"))
-    rows = docs.select(ident.alias("doc_id"), text.alias("text"), F.xxhash64(ident, text).alias("place"))
+    rows = small_batches(docs).select(ident.alias("doc_id"), text.alias("text"), F.xxhash64(ident, text).alias("place"))
     words = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
     # of two neighbouring anchors about (WINDOW - GRAM + 2) / 2 words lie apart
     first = sketch(rows.select("text"), 2 * words // (WINDOW - GRAM + 2), lambda w: w.anchors, max_cells)

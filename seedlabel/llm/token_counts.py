@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seedlabel.llm.common import sliced, text_bytes
+from seedlabel.llm.common import sliced, small_batches, text_bytes
 
 #: Fixed value: the byte-level pre-token pattern (white space as Unicode's White_Space property).
 PRE_TOKEN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -124,7 +124,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
                  text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row.  ``path`` is the
     tokenizer file's place on every executor."""
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
+    rows = small_batches(docs).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
                        text_bytes(F.col(f"`{text_col}`")).alias("text"))
     out = rows.mapInArrow(lambda it: _count(it, path), "doc_id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

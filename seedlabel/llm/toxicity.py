@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seedlabel.llm.common import scratch_table, sliced, text_bytes
+from seedlabel.llm.common import scratch_table, sliced, small_batches, text_bytes
 from seedlabel.llm.labelled import held_out, label_rows, sample
 
 HOLD_MODULUS, HOLD_REMAINDER = 5, 0
@@ -274,7 +274,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     if not 0 < ones < n:
         share = min(max(ones / n if n else 0.5, 1e-6), 1 - 1e-6)
         return Model([], [], float(np.log(share / (1 - share))), np.zeros(len(PRIOR)))
-    narrow = docs.select("doc_id", text_bytes(F.col("text")).alias("text"))
+    narrow = small_batches(docs).select("doc_id", text_bytes(F.col("text")).alias("text"))
     picked = scratch_table(sample(narrow, rows, per_class, ["text"]).select("y", "text"), "toxicity-sample")
     found = {r.y: r["count"] for r in picked.groupBy("y").count().collect()}
     terms, stems = lexicon(picked, found.get(1, 0), found.get(0, 0))
@@ -297,7 +297,7 @@ def _scored(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
 def scores(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, label))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(F.col("text")).alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(F.col("text")).alias("text"))
     out = rows.mapInArrow(lambda it: _scored(it, shared), "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id"), HOLD_MODULUS, HOLD_REMAINDER).alias("held_out"), "score",
                       (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
