@@ -391,6 +391,25 @@ def test_pages_without_main_element_keep_unique_runs(spark, chunk):
     assert {r.page_id: r.text for r in html_extract.extract(pages, chunk).collect()} == want
 
 
+def test_pages_with_equal_sides_are_one_row_of_the_chunks(spark, monkeypatch):
+    """Copies of a template, of whole pages and of a text with another cut into
+    blocks: each stream is in the chunks once, every row gets its own text."""
+    shared, own = " ".join(f"s{i}" for i in range(12)), [" ".join(f"own{i}x{k}" for k in range(8)) for i in range(3)]
+    rows = [(i, "http://h.org/", f"<div>{shared}</div><article>a {i}</article>") for i in range(400)]
+    rows += [(1000 + i, "http://h.org/", f"<div>{shared}</div><div>{own[0]}</div>") for i in range(300)]
+    rows += [(2000 + i, "http://h.org/", f"<div>{shared} {own[0]}</div>") for i in range(5)]
+    rows += [(3000 + i, "http://h.org/", f"<div>{own[i]}</div><div>{shared}</div>") for i in (1, 2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    sides = pages.mapInArrow(html_extract._sides, html_extract._SIDES)
+    assert sides.count() == len(rows)
+    assert sorted(r.n_tokens for r in html_extract.distinct_streams(sides).collect()) == [12, 20, 20, 20, 20]
+    monkeypatch.setattr(html_extract, "COPIES", 7)
+    got = html_extract.extract(pages, 30).collect()
+    assert len(got) == len(rows)
+    assert {r.page_id: r.text for r in got} == {
+        i: f"a {i}" if i < 1000 else own[0] if i < 3000 else own[i - 3000] for i, _, _ in rows}
+
+
 # --- pipeline
 
 def test_pipeline_against_its_parts(spark):
