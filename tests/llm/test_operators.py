@@ -366,6 +366,38 @@ def test_blocks():
     assert html_extract.blocks_of("a &amp; b <p>c < d") == [(0, "a & b"), (0, "c < d")]
 
 
+@pytest.mark.parametrize("page", [
+    '<div class="layout-with-sidebar"><article><p>Story</p></article><div class="sidebar">x</div></div>',
+    '<div class="no-sidebar"><div id="has-nav"><main>Story</main></div></div>',
+    '<div class="page-share"><div itemprop="articleBody">Story</div></div>',
+    '<div class="content related-on"><article>Story</article></div>',
+    '<div class="content related"><main>Story</main></div>',
+    '<div class="page-with-sidebar" role="main">Story</div>',
+    '<form action="/x"><div>menu</div><article><p>Story</p><form>Search</form></article></form>',
+    '<form><div class="layout-with-sidebar"><div class="entry-content">Story</div></div></form>',
+    '<nav><ul><li>Home<li>News<article>Story</article>',
+    '<div><aside>Ad <div>x<main><p>Story</p></main><aside>y</aside></div>',
+    '<nav>A <a href="/">b</a><article>Story</article><nav>B</nav><aside><article>other</article></aside>',
+    '<div class="sidebar"><article>Other</article></div><main>Story</main>',
+    '<aside><article>Other</article></aside><article class="has-ads">Story</article>',
+    '<article>Story<div class="sidebar">x<article>Other</article></div></article>',
+])
+def test_main_elements_inside_chrome(page):
+    found = html_extract.blocks_of(page)
+    assert [t for role, t in found if role == html_extract.MAIN_ROLE] == ["Story"]
+    assert all(role in (html_extract.CHROME_ROLE, html_extract.OPEN) for role, t in found if t != "Story")
+
+
+@pytest.mark.parametrize("page, want", [
+    ('<div class="sidebar-left"><article>A</article></div><div>B</div>', ["A", "B"]),
+    ('<div>B</div><div id="comments"><article>nice</article></div>', ["B"]),
+    ('<div class="related"><article>A</article></div><nav>x</nav>', ["A"]),
+    ('<div class="widget">x</div><div>B</div>', ["B"]),
+])
+def test_articles_in_chrome_without_other_main_text(page, want):
+    assert [t for role, t in html_extract.blocks_of(page) if role == html_extract.OPEN] == want
+
+
 def test_suffix_array_orders_and_groups():
     rng = np.random.default_rng(0)
     ranks = rng.integers(0, 3, 300)
