@@ -423,6 +423,15 @@ def test_pages_without_main_element_keep_unique_runs(spark, chunk):
     assert {r.page_id: r.text for r in html_extract.extract(pages, chunk).collect()} == want
 
 
+@pytest.mark.parametrize("chunk", [300, 25_000])
+def test_short_unique_runs_beside_long_repeats_are_kept(spark, chunk):
+    passage = " ".join(f"s{i}" for i in range(100))
+    own = {i: " ".join(f"own{i}x{k}" for k in range(40)) for i in range(6)} | {6: "one", 7: ""}
+    rows = [(i, "http://h.org/", f"<div>{passage} {t}</div><div>{passage}</div>") for i, t in own.items()]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.extract(pages, chunk).collect()} == own
+
+
 def test_pages_with_equal_sides_are_one_row_of_the_chunks(spark, monkeypatch):
     """Copies of a template, of whole pages and of a text with another cut into
     blocks: each stream is in the chunks once, every row gets its own text."""
