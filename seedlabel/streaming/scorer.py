@@ -20,14 +20,18 @@ from seedlabel.operators.sentences import split_lines
 from seedlabel.session import checkpoint_dir
 
 
-def stream_table(spark: SparkSession, folder: str, name: str, max_files: int = 1,
+def stream_table(spark: SparkSession, folder: str, name: str, max_files: int | None = 1,
                  spread_rows: bool = False) -> DataFrame:
     """The parquet table ``{folder}/{name}.parquet`` read as a file stream
     (schema from the current files): a folder of part files, in which new ones
-    are picked up as they arrive, or one file."""
+    are picked up as they arrive, or one file.  ``max_files`` limits a
+    micro-batch (None: all files there are), which a watermark then follows:
+    with fewer than all, rows of later files can be too late for it."""
     path = f"{folder.rstrip('/')}/{name}.parquet"
     current = spark.read.parquet(path)
-    stream = spark.readStream.schema(current.schema).option("maxFilesPerTrigger", max_files)
+    stream = spark.readStream.schema(current.schema)
+    if max_files is not None:
+        stream = stream.option("maxFilesPerTrigger", max_files)
     if any(f.endswith(f"/{name}.parquet") for f in current.inputFiles()):  # one file: the stream's source is its folder
         df = stream.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
     else:

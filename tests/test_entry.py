@@ -43,3 +43,19 @@ def test_windowed_stream_counts(spark, tmp_dir):
     # every emitted (closed) window carries exactly the batch count, once
     assert all(expected[k] == v for k, v in got.items())
     assert out.count() == len(got)
+
+
+def test_event_windows_do_not_depend_on_file_order(spark, tmp_dir):
+    from pyspark.sql import functions as F
+
+    from seedlabel.plans.io_queries import q_stream_event_windows
+    events = spark.read.parquet(f"{SMALL}/events.parquet")
+    late_first = events.repartitionByRange(5, F.desc("ts"))
+    layouts = {"dealt": events.repartition(5, F.xxhash64("ts")), "late_first": late_first}
+    want = sorted(map(tuple, q_stream_event_windows(spark, SMALL).collect()))
+    assert want
+    for name, rows in layouts.items():
+        for at in range(5):  # one file after the other, the latest events first
+            part = rows.filter(F.spark_partition_id() == at).coalesce(1)
+            part.write.mode("append").parquet(f"{tmp_dir}/{name}/events.parquet")
+        assert sorted(map(tuple, q_stream_event_windows(spark, f"{tmp_dir}/{name}").collect())) == want, name
