@@ -227,3 +227,21 @@ def test_only_a_missing_cache_counts_as_none(spark, tmp_dir):
         f.write("no parquet")
     with pytest.raises(Exception):
         read_if_present(spark, os.path.join(tmp_dir, "bad"))
+
+
+def test_whole_round_trips_keep_late_sentences_and_all_words(spark, tmp_dir):
+    from collections import Counter
+
+    from seedlabel.plans import io_queries
+    text = ". ".join(f"Zürich Satz {i} À {'ab' * i}" for i in range(8)) + "."
+    docs = spark.createDataFrame([(1, text, "de", "web", len(text)), (2, "Été rare", "fr", "web", 8)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_dir}/documents.parquet")
+    want = [r.sentence for r in io_queries._labelled(spark, tmp_dir).orderBy("doc_id", "pos").collect()]
+    gold = io_queries.q_gold_tsv_whole_roundtrip(spark, tmp_dir).orderBy("id").collect()
+    assert len(want) > 6 and [r.sentence for r in gold] == want
+    lang = {r.sentence: r.aspect for r in gold}
+    count = Counter((io_queries.TQ.LANGS[lang[s]], w) for s in want for w in s.split(" "))
+    got = io_queries.q_vocabulary_whole_roundtrip(spark, tmp_dir).collect()
+    assert {(r.class_name, r.word): r.freq for r in got} == count and len(got) == len(count)
+    assert min(count.values()) == 1 and any(not w.isascii() for _, w in count)
