@@ -6,8 +6,9 @@ stems (first four to six letters of longer words), whose frequency among toxic
 documents is ``MIN_RATIO`` times that among clean ones and whose
 log-likelihood ratio is ``MIN_G2`` or more; stems occur in no clean document
 and in ``MIN_VARIANTS`` words.  A toxic document counts once per word, and only
-as often as the word before it differs, so the words of one copied text do not
-become terms.  The counts are made in Spark; ``MAX_TERMS`` bounds the lexicon.
+as often as the ``SIDE`` words before it and those after it differ (beyond the
+text's ends: its whole text), so the words of a copied text or passage do not
+become terms, while one that mostly follows the same few words does.  The counts are made in Spark; ``MAX_TERMS`` bounds the lexicon.
 
 Matching: the terms form a trie; a word's Levenshtein automaton (bit-parallel,
 one error, for terms of five letters or more) is intersected with it, so every
@@ -32,6 +33,7 @@ from __future__ import annotations
 
 import functools
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +51,8 @@ MIN_RATIO, MIN_G2, MIN_LETTERS, FUZZY_LETTERS = 30.0, 20.0, 4, 5
 STEM_LETTERS, MIN_VARIANTS = (4, 5, 6), 3
 MAX_TERMS = 5000
 CONTEXT = 8
+#: Words on each side that tell the uses of a word from copies: passages of twice as many are copies.
+SIDE = 4
 MEMO = 300_000
 
 EXACT, STEM, FUZZY = 1, 2, 3
@@ -201,39 +205,49 @@ class Model:
         return {k: v for k, v in self.__dict__.items() if k != "memo"}
 
 
+def _side(words: list[str], whole: list[str]) -> int:
+    return zlib.crc32(" ".join(words if len(words) == SIDE else words + whole).encode())
+
+
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(y, text) -> each text's distinct words and stems (with the word they were
-    first seen in), and the word before."""
+    first seen in), and digests of what is before and after."""
     for batch in sliced(batches, 1):
-        ys, terms, stem, words, before = [], [], [], [], []
+        ys, terms, stem, words, before, after = [], [], [], [], [], []
         for y, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-            seen: dict[tuple[str, bool], tuple[str, str]] = {}
-            last = ""
-            for w in folded_words(raw.as_py().decode(errors="replace")):
+            seen: dict[tuple[str, bool], tuple[str, int]] = {}
+            text = folded_words(raw.as_py().decode(errors="replace"))
+            for i, w in enumerate(text):
                 if len(w) >= MIN_LETTERS and w.isalpha() and (w, False) not in seen:
-                    seen[w, False] = (w, last)
+                    seen[w, False] = (w, i)
                     for n in STEM_LETTERS:
                         if len(w) > n:
-                            seen.setdefault((w[:n], True), (w, last))
-                last = w
+                            seen.setdefault((w[:n], True), (w, i))
+            whole = [str(zlib.crc32(" ".join(text).encode()))]
+            sides = {i: (_side(text[max(0, i - SIDE):i], whole), _side(text[i + 1:i + 1 + SIDE], whole))
+                     for i in {i for _, i in seen.values()}}
             ys += [y] * len(seen)
             terms += [t for t, _ in seen]
             stem += [x for _, x in seen]
             words += [w for w, _ in seen.values()]
-            before += [b for _, b in seen.values()]
+            before += [sides[i][0] for _, i in seen.values()]
+            after += [sides[i][1] for _, i in seen.values()]
         yield pa.RecordBatch.from_arrays(
             [pa.array(ys, pa.int32()), pa.array(terms, pa.string()), pa.array(stem, pa.bool_()),
-             pa.array(words, pa.string()), pa.array(before, pa.string())], ["y", "term", "stem", "word", "before"])
+             pa.array(words, pa.string()), pa.array(before, pa.int64()), pa.array(after, pa.int64())],
+            ["y", "term", "stem", "word", "before", "after"])
 
 
 def lexicon(picked: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[str], list[str]]:
     """Terms and stems from (y, text) rows, counted in Spark."""
-    rows = picked.select("y", "text").mapInArrow(_terms, "y int, term string, stem boolean, word string, before string")
+    rows = picked.select("y", "text").mapInArrow(
+        _terms, "y int, term string, stem boolean, word string, before long, after long")
     ours = F.col("y") == 1
     counts = rows.groupBy("term", "stem").agg(
-        F.sum("y").alias("docs"), F.countDistinct(F.when(ours, F.col("before"))).alias("contexts"),
+        F.sum("y").alias("docs"), F.countDistinct(F.when(ours, F.col("before"))).alias("befores"),
+        F.countDistinct(F.when(ours, F.col("after"))).alias("afters"),
         F.countDistinct(F.when(ours, F.col("word"))).alias("variants"), F.sum(1 - F.col("y")).cast("double").alias("c"))
-    counts = counts.withColumn("t", F.least("docs", "contexts").cast("double"))
+    counts = counts.withColumn("t", F.least("docs", "befores", "afters").cast("double"))
     share = n_toxic / max(n_toxic + n_clean, 1)
     both = F.col("t") + F.col("c")
     part = lambda n, p: F.when(n > 0, n * F.log(n / (both * p))).otherwise(0.0)

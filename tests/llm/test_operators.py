@@ -340,6 +340,26 @@ def test_mix_meets_its_targets_and_its_report(spark):
         (r.doc_id, r["size"], r.source_size, r.target, r.taken) for r in report)
 
 
+def test_toxic_terms_of_fixed_phrases_are_learned_and_copied_passages_not(spark):
+    rng = random.Random(1)
+    say = lambda n: [rng.choice(WORDS_PLAIN) for _ in range(n)]
+    passage = [f"passage{chr(97 + i)}" for i in range(9)]
+    rows = []
+    for i in range(200):
+        own = ["you", "gribbo"] if i % 2 else ["shut", "up", "you", "fool"]
+        rows.append((1, " ".join([*say(9 if i % 5 else 0), *own, *say(9 if i % 3 else 0)])))
+        rows.append((1, " ".join([*say(7), *passage, *say(7)])))
+        rows.append((1, "the very same copied insult blarg"))
+        rows += [(0, " ".join([*say(9), "shut", "up", "you", *say(9)]))] * 3
+    picked = spark.createDataFrame(rows, "y int, text string").selectExpr("y", "cast(text as binary) as text")
+    terms, _ = toxicity.lexicon(picked, 600, 600)
+    assert {"gribbo", "fool"} <= set(terms)
+    assert not {"blarg", "shut", *passage} & set(terms)
+
+
+WORDS_PLAIN = [a + b + c for a in "bdfg" for b in ("ala", "ore", "uni", "eki") for c in ("ma", "so", "ti", "lu")]
+
+
 # --- HTML
 
 def test_article_pages(spark):
