@@ -41,6 +41,9 @@ MAX_EPOCHS = 2
 SEED = "mix-1"
 #: Key buckets per source: bounds the prefix table and splits a source's sort.
 BUCKETS = 4096
+#: Weights, from the smallest quality weight to 1, whose keys the buckets are cut for: a
+#: bucket has at most 5 * 2.5 / BUCKETS of the documents of any weight between them.
+BUCKET_WEIGHTS = (0.05, 0.1, 0.25, 0.5, 1.0)
 #: Rows of the source table up to which it is broadcast.
 MAX_BROADCAST_SOURCES = 100_000
 #: Characters that mark noise; a document's weight falls with their share.
@@ -70,8 +73,10 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 
 def bucket_of(key: Column) -> Column:
-    """Bucket of a key; 1 - exp(-key) rises from 0 to 1, so buckets follow the key order."""
-    return F.least(F.floor((F.lit(1.0) - F.exp(-key)) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
+    """Bucket of a key; 1 - exp(-w key) rises from 0 to 1 and deals keys of weight w evenly, so
+    the mean over BUCKET_WEIGHTS follows the key order and deals the keys of any weight."""
+    even = sum((F.lit(1.0) - F.exp(-key * w) for w in BUCKET_WEIGHTS), F.lit(0.0)) / len(BUCKET_WEIGHTS)
+    return F.least(F.floor(even * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
 
 
 def targets(sizes: DataFrame, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:

@@ -360,6 +360,15 @@ def test_toxic_terms_of_fixed_phrases_are_learned_and_copied_passages_not(spark)
 WORDS_PLAIN = [a + b + c for a in "bdfg" for b in ("ala", "ore", "uni", "eki") for c in ("ma", "so", "ti", "lu")]
 
 
+def test_key_buckets_are_small_for_every_weight(spark):
+    rows = spark.range(20000).crossJoin(spark.createDataFrame([(w,) for w in (0.05, 0.07, 0.2, 0.6, 1.0)], "w double"))
+    keyed = rows.withColumn("key", mixing.sampling_key(F.col("id"), F.col("w")))
+    keyed = keyed.withColumn("bucket", mixing.bucket_of(F.col("key")))
+    assert keyed.groupBy("w", "bucket").count().agg(F.max("count")).first()[0] <= 20000 * 0.01
+    got = [r.bucket for r in keyed.orderBy("key").collect()]
+    assert got == sorted(got) and got[0] >= 0 and got[-1] < mixing.BUCKETS
+
+
 # --- HTML
 
 def test_article_pages(spark):
