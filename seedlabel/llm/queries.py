@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seedlabel.llm import (decontaminate, exact_dedup, html_extract, mixing, quality, sharding, simhash, substrings,
-                           token_counts, toxicity)
+from seedlabel.llm import (collocations, conversation_trie, decontaminate, exact_dedup, html_extract, mixing, packing,
+                           quality, sharding, simhash, substrings, token_counts, toxicity)
 from seedlabel.session import load_table
 
 #: White-space class of the contracts, as a DuckDB pattern.
@@ -67,6 +67,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(load_table(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents packed into sequences of 1024 tokens."""
+    return packing.pack(load_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                        with_ids=False)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best phrases of two to four words of every language."""
+    return collocations.collocations(load_table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie over the rebuilt conversations."""
+    return conversation_trie.rebuilt_trie(load_table(spark, sf_dir, "conversations"))
+
+
 SQL4 = f"""
 WITH d AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '{_SPACE}', ' ', 'g')) AS text_sha256 FROM documents)
@@ -176,6 +192,67 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
 FROM e
 """
 
+SQL12 = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM w, range(1, 5) s(k), unnest(range(1, len(w) - k + 2)) u(i)),
+f AS (SELECT lang, k AS size, phrase, count(*) AS f, string_split(phrase, ' ') AS w FROM g GROUP BY lang, k, phrase HAVING count(*) >= 30),
+c AS (SELECT *, f AS a FROM f WHERE size >= 2),
+x AS (
+  SELECT c.lang, c.phrase, c.a, k, l.f AS l, r.f AS r, (2000000::HUGEINT * c.a) // (l.f::HUGEINT + r.f) AS score
+  FROM c, unnest(range(1, size)) s(k)
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:k], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[k + 1:], ' ')),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (
+  SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, max(a) AS longer
+  FROM c, unnest(range(2, size)) s(k), unnest(range(1, size - k + 2)) u(i) GROUP BY 1, 2),
+q AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, encode(b.phrase)) AS rank
+  FROM b LEFT JOIN o ON o.lang = b.lang AND o.phrase = b.phrase
+  WHERE o.longer IS NULL OR 100::HUGEINT * o.longer < 80::HUGEINT * b.a)
+SELECT q.lang, rank, q.phrase, q.a, q.l, q.r, t.n, q.score::BIGINT AS score
+FROM q JOIN t ON t.lang = q.lang WHERE rank <= 2000
+"""
+
+#: DuckDB has no crc32: eight shift steps for every byte of the decimal id.
+_CRC32 = """xor(list_reduce([4294967295::BIGINT] || [ascii(x)::BIGINT FOR x IN string_split(c::VARCHAR, '')],
+  lambda a, b: list_reduce([xor(a, b)] || [0::BIGINT FOR i IN range(8)],
+                           lambda x, y: xor(x // 2, 3988292384::BIGINT * (x % 2)))), 4294967295::BIGINT)"""
+
+SQL13 = f"""
+WITH o AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, turn, length(coalesce(text, '')) AS n,
+         md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS d
+  FROM conversations WHERE conv_id IS NOT NULL),
+v AS (SELECT c, list({{'d': d, 'n': n}} ORDER BY turn NULLS FIRST, role, d) AS t FROM o GROUP BY c),
+h AS (SELECT c, t, {_CRC32} % 6 AS h FROM v),
+r AS (SELECT h.c, coalesce(b.t[1:h.h], []) || h.t[h.h + 1:] AS t FROM h LEFT JOIN v b ON b.c = h.c - h.c % 100),
+m AS (
+  SELECT c, d, md5(array_to_string([x.d FOR x IN t[1:d]], ',')) AS q,
+         CASE WHEN d > 0 THEN md5(array_to_string([x.d FOR x IN t[1:d - 1]], ',')) END AS up,
+         CASE WHEN d > 0 THEN t[d].n ELSE 0 END AS n, d = len(t) AS ends
+  FROM r, unnest(range(0, len(t) + 1)) s(d)),
+g AS (
+  SELECT d, q, min(c) AS c, count(*) AS n_convs, any_value(up) AS up, any_value(n) AS n,
+         sha256(coalesce(string_agg(CASE WHEN ends THEN c::VARCHAR END, ',' ORDER BY c), '')) AS ends_sha256
+  FROM m GROUP BY d, q),
+k AS (SELECT d - 1 AS d, up AS q, count(*) AS n_children FROM g WHERE d > 0 GROUP BY 1, 2),
+f AS (SELECT g.*, coalesce(k.n_children, 0) AS n_children FROM g LEFT JOIN k ON k.d = g.d AND k.q = g.q),
+s AS (
+  SELECT m.d, m.q, sum((f.n_children = 0)::INTEGER) AS n_leaves, sum((f.n_convs - 1) * f.n) AS saved_tokens
+  FROM f JOIN m ON m.c = f.c AND m.d <= f.d GROUP BY m.d, m.q)
+SELECT f.c AS conv_id, f.d AS depth, p.c AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves::BIGINT AS n_leaves,
+       s.saved_tokens::BIGINT AS saved_tokens, f.ends_sha256
+FROM f JOIN s ON s.d = f.d AND s.q = f.q LEFT JOIN f p ON p.d = f.d - 1 AND p.q = f.up
+"""
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_toxicity": op2_toxicity,
@@ -187,6 +264,9 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_sharding": op9_sharding,
     "op10_mixing": op10_mixing,
+    "op11_packing": op11_packing,
+    "op12_collocations": op12_collocations,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 ORACLE = {"op4_exact_dedup": SQL4, "op7_decontamination": SQL7, "op8_substring_dedup": SQL8, "op9_sharding": sharding_sql(),
-          "op10_mixing": SQL10}
+          "op10_mixing": SQL10, "op12_collocations": SQL12, "op13_conversation_trie": SQL13}
