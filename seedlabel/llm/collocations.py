@@ -56,7 +56,9 @@ TILE = 1024
 #: Occurrences from which a tile is counted densely.
 DENSE = TILE * TILE // 8
 #: Bytes of words (and, at two bytes a word, number of words) in a buffer.
-BUFFER = 12 << 20
+BUFFER = 3 << 20
+#: Rows of an Arrow batch of counts (a buffer's counts at once would be held by the JVM beside its heap).
+OUT_ROWS = 16384
 BITS_EACH = 32
 MIN_BITS, MAX_BITS = 1 << 16, 1 << 27
 
@@ -285,8 +287,8 @@ def phrase_counts(texts: DataFrame, length: int, table: np.ndarray | None) -> Da
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for buf in _buffers(batches):
             out = _count_buffer(buf, length, shared.value if shared else None)
-            if out is not None:
-                yield out
+            for at in range(0, out.num_rows if out is not None else 0, OUT_ROWS):
+                yield out.slice(at, OUT_ROWS)
 
     partial = texts.mapInArrow(count, "lang binary, phrase binary, n long")
     return (partial.groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
