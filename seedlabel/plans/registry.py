@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from seedlabel.plans import (embedding_queries, io_queries, learning_queries, seedword_queries, stream_queries,
+from seedlabel.plans import (embedding_queries, io_queries, learning_queries, model_queries, seedword_queries, stream_queries,
                              tabular_queries, text_queries, vocab_queries)
 
 _MODULES = [embedding_queries, text_queries, vocab_queries, seedword_queries, tabular_queries, learning_queries,
-            stream_queries, io_queries]
+            stream_queries, io_queries, model_queries]
 
 
 def all_queries() -> dict:
