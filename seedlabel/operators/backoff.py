@@ -61,7 +61,8 @@ class BackoffModel:
 
     def __init__(self, positions: DataFrame, entries: int = ENTRIES, discount: float = DISCOUNT):
         self.entries, self.discount = entries, discount
-        self.exact = written_table(context_fillers(positions), "backoff-counts")
+        # a sentence without tokens has a position without a token
+        self.exact = written_table(context_fillers(positions.filter(F.col("token").isNotNull())), "backoff-counts")
         one_left = self.exact.groupBy("left", "word").agg(F.sum("n").alias("n"))
         one_right = self.exact.groupBy("right", "word").agg(F.sum("n").alias("n"))
         kinds = (one_left.select("word").unionByName(one_right.select("word"))

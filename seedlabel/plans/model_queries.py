@@ -1,6 +1,5 @@
-"""Models estimated on the given texts: back-off substitutes.
-
-Texts are the turns of ``conversations``; sentences and tokens as everywhere."""
+"""Models estimated on the given texts: back-off substitutes and word classes on
+the turns of ``conversations``, a classifier with a hidden layer on ``documents``."""
 
 from __future__ import annotations
 
@@ -9,11 +8,18 @@ from pyspark.sql import functions as F
 
 from seedlabel.functions.text import tokens
 from seedlabel.operators import backoff as B
+from seedlabel.operators import metrics
+from seedlabel.operators import network as N
 from seedlabel.operators import vocabulary as V
+from seedlabel.operators import wordclasses as H
+from seedlabel.operators.keywords import keyword_labels
 from seedlabel.operators.sentences import split_sentences
 from seedlabel.plans import text_queries as TQ
 from seedlabel.plans.vocab_queries import FILTER_WORDS, K1, M, _PUNCT, _SEEDS
-from seedlabel.session import load_table, spread
+from seedlabel.session import load_table, spread, written_table
+
+# Fixed query parameters.
+NETWORK = dict(hidden=16, iters=8, step=1.0)
 
 
 def turn_sentences(spark, sf_dir) -> DataFrame:
@@ -44,9 +50,72 @@ def q_backoff_vocabulary(spark, sf_dir):
     return V.disjoint_vocabulary(vocab, M)
 
 
+def q_word_class_tags(spark, sf_dir):
+    """Every word's most frequent class under a hidden Markov model (trained, so without a SQL twin)."""
+    sent = written_table(turn_sentences(spark, sf_dir).select("tokens"), "turn-sentences")
+    return H.word_tags(H.tag_counts(sent, *H.fit(sent)))
+
+
+def q_keyword_network_report(spark, sf_dir):
+    """Lines labelled by keywords train a network with one hidden layer; every
+    line is evaluated against the language of its document."""
+    lines = TQ.keyword_lines(spark, sf_dir)
+    labelled = keyword_labels(lines, "tokens", TQ.LANG_SEEDS)
+    net = N.train(N.hashed_features(labelled, "tokens", ["label"]), "label", len(TQ.LANGS), **NETWORK)
+    pred = N.predict(N.hashed_features(lines, "tokens", ["gold"]), net, ["gold"])
+    return metrics.classification_report(pred, "gold", "pred")
+
+
 # ---------------------------------------------------------------------------
 # SQL twins (DuckDB)
 
+
+def _network_sql() -> str:
+    """One CTE chain per gradient step: forward, back-propagation, momentum."""
+    d, h, k, step, mom = N.DIMS, NETWORK["hidden"], len(TQ.LANGS), NETWORK["step"], N.MOMENTUM
+    bucket = f"('0x' || substr(md5({{}}), 1, 8))::BIGINT"
+    start = f"({bucket.format(chr(39) + '{0}:' + chr(39) + ' || {1} || ' + chr(39) + ':' + chr(39) + ' || {2}')}" \
+        f" / 4294967296.0::DOUBLE * 2 - 1)"
+
+    def forward(x: str, n: str, i: int) -> str:
+        return f"""
+a{n} AS MATERIALIZED (SELECT id, y, h, tanh(sum(v * w)) AS a FROM {x} JOIN u{i} USING (d) GROUP BY id, y, h
+        UNION ALL SELECT DISTINCT id, y, -1, 1.0::DOUBLE FROM {x}),
+z{n} AS MATERIALIZED (SELECT id, y, k, sum(a * w) AS z FROM a{n} JOIN o{i} USING (h) GROUP BY id, y, k)"""
+
+    ctes = [TQ.KEYWORD_CTE, f"""
+kx AS MATERIALIZED (SELECT row_number() OVER () AS id, kt.gold, t, m FROM kt JOIN km USING (doc_id, line_no)),
+tk AS (SELECT id, unnest(t) AS w FROM kx),
+ft AS MATERIALIZED (
+    SELECT b.id, CAST(b.d AS INTEGER) AS d, b.c / CAST(n.c AS DOUBLE) AS v
+    FROM (SELECT id, {bucket.format('w')} % {d} AS d, count(*) AS c FROM tk GROUP BY ALL) b
+    JOIN (SELECT id, count(*) AS c FROM tk GROUP BY id) n USING (id)
+    UNION ALL SELECT id, -1, 1.0 FROM kx),
+x AS MATERIALIZED (SELECT ft.id, CAST(m[1] AS INTEGER) AS y, d, v FROM ft JOIN kx USING (id) WHERE len(m) = 1),
+nn AS MATERIALIZED (SELECT CAST(count(*) AS DOUBLE) AS n FROM x WHERE d = -1),
+u0 AS MATERIALIZED (SELECT CAST(h AS INTEGER) AS h, CAST(d AS INTEGER) AS d, CASE WHEN d < 0 THEN 0.0 ELSE
+        {start.format('hidden', 'h', 'd')} END AS w, 0.0::DOUBLE AS vel FROM range({h}) a(h), range(-1, {d}) b(d)),
+o0 AS MATERIALIZED (SELECT CAST(k AS INTEGER) AS k, CAST(h AS INTEGER) AS h, CASE WHEN h < 0 THEN 0.0 ELSE
+        {start.format('out', 'k', 'h')} END AS w, 0.0::DOUBLE AS vel FROM range({k}) a(k), range(-1, {h}) b(h))"""]
+    for i in range(NETWORK["iters"]):
+        ctes.append(forward("x", str(i), i) + f""",
+g{i} AS MATERIALIZED (SELECT id, k, e / sum(e) OVER (PARTITION BY id) - CASE WHEN k = y THEN 1 ELSE 0 END AS g
+      FROM (SELECT id, y, k, exp(z - max(z) OVER (PARTITION BY id)) AS e FROM z{i})),
+o{i + 1} AS MATERIALIZED (SELECT k, h, w + nv AS w, nv AS vel FROM (
+    SELECT k, h, w, {mom}::DOUBLE * vel - {step}::DOUBLE * s / (SELECT n FROM nn) AS nv
+    FROM o{i} JOIN (SELECT k, h, sum(g * a) AS s FROM g{i} JOIN a{i} USING (id) GROUP BY k, h) USING (k, h))),
+b{i} AS MATERIALIZED (SELECT id, a{i}.h, q.s * (1 - a * a) AS g FROM a{i} JOIN (
+    SELECT id, h, sum(g * w) AS s FROM g{i} JOIN o{i} USING (k) WHERE h >= 0 GROUP BY id, h) q USING (id, h)),
+u{i + 1} AS MATERIALIZED (SELECT h, d, w + nv AS w, nv AS vel FROM (
+    SELECT h, d, w, {mom}::DOUBLE * vel - {step}::DOUBLE * coalesce(s, 0) / (SELECT n FROM nn) AS nv
+    FROM u{i} LEFT JOIN (SELECT h, d, sum(g * v) AS s FROM b{i} JOIN x USING (id) GROUP BY h, d) USING (h, d)))""")
+    last = NETWORK["iters"]
+    ctes.append("fa AS (SELECT id, gold AS y, d, v FROM ft JOIN kx USING (id))," + forward("fa", "f", last) + """,
+pn AS (SELECT y AS gold, k AS label FROM (
+    SELECT *, row_number() OVER (PARTITION BY id ORDER BY z DESC, k) AS rn FROM zf) WHERE rn = 1)""")
+    return "WITH " + ",".join(ctes) + "," + TQ._report_sql("pn")
+
+
 _TURNS = "(SELECT conv_id * 100000 + turn AS doc_id, 'x' AS lang, text FROM conversations)"
 
 _BACKOFF_CTE = "WITH " + TQ.SENTENCES_CTE.replace("FROM documents", f"FROM {_TURNS}") + rf""",
@@ -84,8 +153,11 @@ tp AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY l, r ORDER
 QUERIES = {
     "backoff_substitutes": q_backoff_substitutes,
     "backoff_vocabulary": q_backoff_vocabulary,
+    "word_class_tags": q_word_class_tags,
+    "keyword_network_report": q_keyword_network_report,
 }
 ORACLE = {
+    "keyword_network_report": _network_sql(),
     "backoff_substitutes": _BACKOFF_CTE + '\nSELECT l AS "left", r AS "right", w AS word, p, rank FROM tp',
     "backoff_vocabulary": _BACKOFF_CTE + f""",
 seeds(cls, word) AS (VALUES {_SEEDS}),
