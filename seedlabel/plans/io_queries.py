@@ -47,42 +47,24 @@ def q_score_file_roundtrip(spark, sf_dir):
     return readers.read_score_file(spark, path).groupBy("class_name", "score").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _gold_roundtrip(spark, rows: DataFrame) -> DataFrame:
+def q_gold_tsv_whole_roundtrip(spark, sf_dir):
     path = _folder(spark, "gold")
-    writers.write_gold_tsv(rows, path, ["doc_id", "pos"])
+    writers.write_gold_tsv(_labelled(spark, sf_dir), path, ["doc_id", "pos"])
     return readers.read_gold_tsv(spark, path)
 
 
-def q_gold_tsv_roundtrip(spark, sf_dir):
-    """The first three sentences of each document; gold_tsv_whole_roundtrip has all."""
-    return _gold_roundtrip(spark, _labelled(spark, sf_dir).filter(F.col("pos") < 3))
-
-
-def q_gold_tsv_whole_roundtrip(spark, sf_dir):
-    return _gold_roundtrip(spark, _labelled(spark, sf_dir))
-
-
 def _words(spark, sf_dir) -> DataFrame:
     return _labelled(spark, sf_dir).select(F.col("aspect").alias("cls"), F.explode(F.split("sentence", " ")).alias("word"))
 
 
-def _vocabulary_roundtrip(spark, words: DataFrame, min_freq: int) -> DataFrame:
+def q_vocabulary_whole_roundtrip(spark, sf_dir):
     path = _folder(spark, "vocabulary")
-    counts = words.groupBy("cls", "word").agg(F.count(F.lit(1)).alias("freq"))
-    writers.write_vocabularies(counts.filter(F.col("freq") >= min_freq), path, TQ.LANGS)
+    counts = _words(spark, sf_dir).groupBy("cls", "word").agg(F.count(F.lit(1)).alias("freq"))
+    writers.write_vocabularies(counts, path, TQ.LANGS)
     parts = F.split("value", " ")
     return spark.read.text(path).select("class_name", parts[0].alias("word"), parts[1].cast("long").alias("freq"))
 
 
-def q_vocabulary_roundtrip(spark, sf_dir):
-    """Frequent words of a-z; vocabulary_whole_roundtrip has all."""
-    return _vocabulary_roundtrip(spark, _words(spark, sf_dir).filter(F.col("word").rlike("^[a-z]+$")), 5)
-
-
-def q_vocabulary_whole_roundtrip(spark, sf_dir):
-    return _vocabulary_roundtrip(spark, _words(spark, sf_dir), 1)
-
-
 def q_results_roundtrip(spark, sf_dir):
     """Two runs appended to one result table; stamps as text and back."""
     path = _folder(spark, "results")
@@ -127,9 +109,7 @@ lab AS (SELECT doc_id, pos, translate(sentence, chr(9) || chr(13), '  ') AS sent
 QUERIES = {
     "label_file_roundtrip": q_label_file_roundtrip,
     "score_file_roundtrip": q_score_file_roundtrip,
-    "gold_tsv_roundtrip": q_gold_tsv_roundtrip,
     "gold_tsv_whole_roundtrip": q_gold_tsv_whole_roundtrip,
-    "vocabulary_roundtrip": q_vocabulary_roundtrip,
     "vocabulary_whole_roundtrip": q_vocabulary_whole_roundtrip,
     "results_roundtrip": q_results_roundtrip,
     "run_json_roundtrip": q_run_json_roundtrip,
@@ -142,14 +122,8 @@ ORACLE = {
     "score_file_roundtrip": _LABELLED + f"""
 SELECT {TQ.LANGS!r}[i + 1] AS class_name, CAST(pos + i AS DOUBLE) / 2 AS score, count(*) AS n
 FROM lab, range({len(TQ.LANGS)}) r(i) GROUP BY ALL""",
-    "gold_tsv_roundtrip": _LABELLED + """
-SELECT row_number() OVER (ORDER BY doc_id, pos) - 1 AS id, aspect, polarity, sentence FROM lab WHERE pos < 3""",
     "gold_tsv_whole_roundtrip": _LABELLED + """
 SELECT row_number() OVER (ORDER BY doc_id, pos) - 1 AS id, aspect, polarity, sentence FROM lab""",
-    "vocabulary_roundtrip": _LABELLED + f""",
-w AS (SELECT aspect, unnest(string_split(sentence, ' ')) AS word FROM lab)
-SELECT {TQ.LANGS!r}[aspect + 1] AS class_name, word, count(*) AS freq FROM w
-WHERE regexp_full_match(word, '[a-z]+') GROUP BY ALL HAVING count(*) >= 5""",
     "vocabulary_whole_roundtrip": _LABELLED + f""",
 w AS (SELECT aspect, unnest(string_split(sentence, ' ')) AS word FROM lab)
 SELECT {TQ.LANGS!r}[aspect + 1] AS class_name, word, count(*) AS freq FROM w GROUP BY ALL""",

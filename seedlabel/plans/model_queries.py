@@ -3,11 +3,15 @@ the turns of ``conversations``, a classifier with a hidden layer on ``documents`
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seedlabel.functions.text import tokens
 from seedlabel.operators import backoff as B
+from seedlabel.operators import embedding_cache as EC
+from seedlabel.operators import hashed_embedding as E
 from seedlabel.operators import metrics
 from seedlabel.operators import network as N
 from seedlabel.operators import vocabulary as V
@@ -16,7 +20,7 @@ from seedlabel.operators.keywords import keyword_labels
 from seedlabel.operators.sentences import split_sentences
 from seedlabel.plans import text_queries as TQ
 from seedlabel.plans.vocab_queries import FILTER_WORDS, K1, M, _PUNCT, _SEEDS
-from seedlabel.session import load_table, spread, written_table
+from seedlabel.session import checkpoint_dir, load_table, spread, written_table
 
 # Fixed query parameters.
 NETWORK = dict(hidden=16, iters=8, step=1.0)
@@ -66,6 +70,28 @@ def q_keyword_network_report(spark, sf_dir):
     return metrics.classification_report(pred, "gold", "pred")
 
 
+def q_word_weights(spark, sf_dir):
+    """Inverse-frequency weight of every word of ``documents``."""
+    w = E.word_weights(TQ.sentences(spark, sf_dir).select(tokens("sentence").alias("tokens")))
+    return w.select("word", "n", F.round("weight", 9).alias("weight"))
+
+
+def q_cached_sentence_embeddings(spark, sf_dir):
+    """Embeddings of every sentence of every turn through the cache table: the
+    users' turns fill it, then all turns read it and add what is missing; the
+    direction that all share is removed."""
+    sent = written_table(turn_sentences(spark, sf_dir)
+                         .join(load_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"),
+                               ["conv_id", "turn"]), "turn-sentences")
+    texts = sent.select("conv_id", "turn", "pos", "role", F.array_join("tokens", " ").alias("text"))
+    encode = E.encoder(E.head_weights(E.word_weights(sent)))
+    cache = f"{checkpoint_dir(spark).rstrip('/')}/embedding-cache-{uuid.uuid4().hex}"
+    EC.embed_with_cache(spark, texts.filter("role = 'user'"), encode, cache, "hashed")
+    full = EC.embed_with_cache(spark, texts, encode, cache, "hashed")
+    rows = written_table(full.select("conv_id", "turn", "pos", "embedding"), "embeddings")
+    return E.without_direction(rows, E.first_direction(rows))
+
+
 # ---------------------------------------------------------------------------
 # SQL twins (DuckDB)
 
@@ -154,9 +180,15 @@ QUERIES = {
     "backoff_substitutes": q_backoff_substitutes,
     "backoff_vocabulary": q_backoff_vocabulary,
     "word_class_tags": q_word_class_tags,
+    "word_weights": q_word_weights,
+    "cached_sentence_embeddings": q_cached_sentence_embeddings,
     "keyword_network_report": q_keyword_network_report,
 }
 ORACLE = {
+    "word_weights": "WITH " + TQ.SENTENCES_CTE + rf""",
+w AS (SELECT unnest(list_filter(regexp_split_to_array(sentence, '\s+'), lambda x: x <> '')) AS word FROM sents),
+c AS (SELECT word, count(*) AS n FROM w GROUP BY word)
+SELECT word, n, round({E.A!r}::DOUBLE / ({E.A!r}::DOUBLE + CAST(n AS DOUBLE) / (SELECT sum(n) FROM c)), 9) AS weight FROM c""",
     "keyword_network_report": _network_sql(),
     "backoff_substitutes": _BACKOFF_CTE + '\nSELECT l AS "left", r AS "right", w AS word, p, rank FROM tp',
     "backoff_vocabulary": _BACKOFF_CTE + f""",

@@ -33,9 +33,11 @@ def export_score_text(scores: DataFrame, path: str, class_names: list[str], orde
 
 
 def write_vocabularies(vocab: DataFrame, path: str, class_names: list[str]) -> None:
-    """One folder per class with ``word freq`` lines, highest frequency first."""
+    """One folder per class with ``word freq`` lines, highest frequency first;
+    a large class spans several files, in order."""
     v = vocab.withColumn("class_name", decode_labels("cls", class_names))
-    (v.repartition("class_name").sortWithinPartitions("class_name", F.desc("freq"), F.desc("word"))
+    order = [F.col("class_name"), F.desc("freq"), F.desc("word")]
+    (v.repartitionByRange(*order).sortWithinPartitions(*order)
      .select("class_name", F.concat_ws(" ", "word", F.col("freq").cast("string")).alias("value"))
      .write.mode("overwrite").partitionBy("class_name").text(path))
 
@@ -76,9 +78,10 @@ def write_corpus_splits(docs: DataFrame, splits: DataFrame, key: str, path: str,
 
 
 def write_gold_tsv(gold: DataFrame, path: str, order_cols: list[str]) -> None:
-    """``index \\t aspect \\t polarity \\t sentence``; index = 0-based row position."""
+    """``index \\t aspect \\t polarity \\t sentence``; index = 0-based row position.
+    The ranged partitions are written as they are, in order."""
     g = global_index(gold, order_cols, "index")
-    (g.select("index", "aspect", "polarity", "sentence").orderBy("index")
+    (g.select("index", "aspect", "polarity", "sentence")
      .write.mode("overwrite").option("sep", "\t").option("quote", "").option("header", "false").csv(path))
 
 

@@ -179,3 +179,73 @@ def test_word_classes_of_a_language_of_two_classes(spark):
     again, _ = H.fit(sent.repartition(7), states=2, head=7, tails=4, iterations=3)
     once, _ = H.fit(sent.repartition(2), states=2, head=7, tails=4, iterations=3)
     assert np.allclose(again.emit, once.emit, atol=1e-5)
+
+
+# --- hashed sentence embeddings and the classifier with a hidden layer ---------
+
+def test_first_direction_is_found_and_removed(spark):
+    from seedlabel.operators import hashed_embedding as E
+    rng = np.random.default_rng(3)
+    common = rng.normal(size=16)
+    x = rng.normal(size=(200, 16)) * 0.3 + np.outer(rng.normal(3, 1, 200), common)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, embedding array<double>")
+    u = E.first_direction(df.repartition(5), dims=16)
+    top = np.linalg.eigh(x.T @ x)[1][:, -1]
+    assert np.isclose(abs(u @ top), 1.0) and np.isclose(u @ u, 1.0)
+    left = np.array([r.embedding for r in E.without_direction(df, u).orderBy("id").collect()])
+    assert np.allclose(left, x - np.outer(x @ u, u)) and np.allclose(left @ u, 0)
+
+
+def test_embeddings_through_the_cache(spark, tmp_dir):
+    import pandas as pd
+    from seedlabel.operators import embedding_cache as EC
+    from seedlabel.operators import hashed_embedding as E
+    sent = _sentences(spark)
+    weights = E.head_weights(E.word_weights(sent), head=3)
+    n = Counter(" ".join(TEXTS).split())
+    total = sum(n.values())
+    assert set(weights) == {"the", "dog", "cat"} and np.isclose(weights["the"], E.A / (E.A + n["the"] / total))
+    encode = E.encoder(weights, 16)
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "id long, text string")
+    calls = []
+
+    def counted(s):
+        return encode(s)
+
+    EC.embed_with_cache(spark, texts.filter("id < 3"), counted, f"{tmp_dir}/c", "h")
+    first = spark.read.parquet(f"{tmp_dir}/c").count()
+    got = {r.id: np.array(r.embedding) for r in EC.embed_with_cache(spark, texts, counted, f"{tmp_dir}/c", "h").collect()}
+    assert first == 3 and spark.read.parquet(f"{tmp_dir}/c").count() == len(set(TEXTS)) and not calls
+    for i, t in enumerate(TEXTS):
+        want = np.mean([E.word_signs([w], 16)[0] * weights.get(w, 1.0) / 4 for w in t.split()], axis=0) if t else np.zeros(16)
+        assert np.allclose(got[i], want, atol=1e-6)
+    assert np.allclose(encode(pd.Series(["", "the the"]))[0], 0)
+
+
+def test_backpropagation_matches_differences():
+    from seedlabel.operators import network as N
+    rng = np.random.default_rng(1)
+    x, y = rng.random((12, 6)), rng.integers(0, 3, 12)
+    inner, outer = rng.normal(size=(4, 7)), rng.normal(size=(3, 5))
+    gi, go, loss, _ = N.gradients(x, y, inner, outer)
+    for w, g in ((inner, gi), (outer, go)):
+        for at in np.ndindex(w.shape):
+            old = w[at]
+            w[at] = old + 1e-6
+            up = N.gradients(x, y, inner, outer)[2]
+            w[at] = old - 1e-6
+            down = N.gradients(x, y, inner, outer)[2]
+            w[at] = old
+            assert np.isclose((up - down) / 2e-6, g[at], atol=1e-4)
+
+
+def test_network_learns_and_handles_empty_texts(spark):
+    from seedlabel.operators import network as N
+    rows = [(w, c) for c, words in enumerate((["red", "blue"], ["one", "two"])) for w in words for _ in range(20)]
+    rows += [("red one", 0), ("", 1), (None, 1)]
+    df = spark.createDataFrame(rows, "s string, y int").select("y", tokens("s").alias("tokens"))
+    net = N.train(N.hashed_features(df, "tokens", ["y"]), "y", 2, iters=40)
+    assert net.history[-1][0] < net.history[0][0] and net.history[-1][1] > 0.9
+    pred = N.predict(N.hashed_features(df, "tokens", ["y"]), net, ["y"])
+    assert pred.count() == len(rows)
+    assert N.train(N.hashed_features(df.limit(0), "tokens", ["y"]), "y", 2, iters=1).history == [(0.0, 0.0)]
