@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from seedlabel.operators.prototypes import top_k_per_group
 from seedlabel.operators.vocabulary import context_fillers
-from seedlabel.session import written_table
+from seedlabel.session import broadcast_if_bounded, written_table
 
 DISCOUNT = 0.75
 ENTRIES = 10
@@ -43,17 +43,18 @@ PLACES = 12
 _LIST = "array<struct<w:string,x:double,c:double>>"
 
 
-def _entries(counts: DataFrame, keys: list[str], entries: int, discount: float) -> DataFrame:
-    """``(*keys, list, rest)`` of ``(*keys, word, n, c)``: the bounded entries of
+def _entries(counts: DataFrame, keys: list[str], entries: int, discount: float, continuation: DataFrame) -> DataFrame:
+    """``(*keys, list, rest)`` of ``(*keys, word, n)``: the bounded entries of
     every context, most frequent first, and the mass they leave."""
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
-    top = top_k_per_group(counts, keys, [F.desc("n"), F.asc("word")], entries, rank_col="rank")
-    x = (F.col("n") - F.lit(discount)) / F.col("total")
-    rows = top.join(totals, keys).select(*keys, F.struct("rank", F.col("word").alias("w"), x.alias("x"), "c").alias("s"))
-    lists = rows.groupBy(*keys).agg(F.sort_array(F.collect_list("s")).alias("s"))  # at most ``entries`` structs
-    plain = F.transform("s", lambda e: F.struct(e["w"].alias("w"), e["x"].alias("x"), e["c"].alias("c")))
-    rest = F.lit(1.0) - F.aggregate("s", F.lit(0.0), lambda a, e: a + e["x"])
-    return lists.select(*keys, plain.alias("list"), rest.alias("rest"))
+    top = top_k_per_group(counts, keys, [F.desc("n"), F.asc("word")], entries, rank_col="rank").join(continuation, "word")
+    struct = F.struct("rank", F.col("word").alias("w"), F.col("n").alias("n"), "c")
+    lists = top.groupBy(*keys).agg(F.sort_array(F.collect_list(struct)).alias("s"))  # at most ``entries`` structs
+    full = lists.join(totals, keys)
+    plain = F.transform("s", lambda e: F.struct(e["w"].alias("w"), ((e["n"] - F.lit(discount)) / F.col("total")).alias("x"),
+                                                e["c"].alias("c")))
+    rest = F.lit(1.0) - F.aggregate("list", F.lit(0.0), lambda a, e: a + e["x"])
+    return full.select(*keys, plain.alias("list")).withColumn("rest", rest)
 
 
 class BackoffModel:
@@ -63,20 +64,20 @@ class BackoffModel:
         self.entries, self.discount = entries, discount
         # a sentence without tokens has a position without a token
         self.exact = written_table(context_fillers(positions.filter(F.col("token").isNotNull())), "backoff-counts")
-        one_left = self.exact.groupBy("left", "word").agg(F.sum("n").alias("n"))
-        one_right = self.exact.groupBy("right", "word").agg(F.sum("n").alias("n"))
+        one_left = written_table(self.exact.groupBy("left", "word").agg(F.sum("n").alias("n")), "backoff-left")
+        one_right = written_table(self.exact.groupBy("right", "word").agg(F.sum("n").alias("n")), "backoff-right")
         kinds = (one_left.select("word").unionByName(one_right.select("word"))
                  .groupBy("word").agg(F.count(F.lit(1)).alias("kinds")))
         kinds = written_table(kinds, "backoff-kinds")
         total = kinds.agg(F.sum("kinds").alias("t")).scalar()
-        self.continuation = kinds.select("word", (F.col("kinds").cast("double") / total).alias("c"))
-        self.left = _entries(one_left.join(self.continuation, "word"), ["left"], entries, discount)
-        self.right = _entries(one_right.join(self.continuation, "word"), ["right"], entries, discount)
+        words = kinds.select("word", (F.col("kinds").cast("double") / total).alias("c"))
+        self.continuation = broadcast_if_bounded(words, kinds.count(), row_bytes=40)
+        self.left = _entries(one_left, ["left"], entries, discount, self.continuation)
+        self.right = _entries(one_right, ["right"], entries, discount, self.continuation)
 
     def contexts(self) -> DataFrame:
         """``(left, right, exact, rest)``: every distinct context with its exact entries."""
-        rows = self.exact.join(self.continuation, "word")
-        return (_entries(rows, ["left", "right"], self.entries, self.discount)
+        return (_entries(self.exact, ["left", "right"], self.entries, self.discount, self.continuation)
                 .withColumnsRenamed({"list": "exact"}))
 
     def top(self, contexts: DataFrame, k: int) -> DataFrame:
