@@ -63,7 +63,7 @@ def q_word_class_tags(spark, sf_dir):
 def q_keyword_network_report(spark, sf_dir):
     """Lines labelled by keywords train a network with one hidden layer; every
     line is evaluated against the language of its document."""
-    lines = TQ.keyword_lines(spark, sf_dir)
+    lines = written_table(TQ.keyword_lines(spark, sf_dir).select("gold", "tokens"), "lines")  # tokenised once
     labelled = keyword_labels(lines, "tokens", TQ.LANG_SEEDS)
     net = N.train(N.hashed_features(labelled, "tokens", ["label"]), "label", len(TQ.LANGS), **NETWORK)
     pred = N.predict(N.hashed_features(lines, "tokens", ["gold"]), net, ["gold"])
