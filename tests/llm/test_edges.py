@@ -95,7 +95,9 @@ def test_defined_results(docs, labels, benchmark):
     assert (t[2].n_tokens, t[2].n_bytes, t[4].over_limit) == (0, 0, True)
     c = by_id(decontaminate.contamination(docs, benchmark))
     assert (c[5].n_hit, c[5].n_items, c[2].n_words, c[7].n_hit, c[4].n_hit) == (3, 1, 0, 1, 40000)
-    assert by_id(decontaminate.contamination(docs, benchmark, block_words=1)) == c
+    # all rows, in any order: two of them share the null id
+    one, many = (sorted(map(repr, decontaminate.contamination(docs, benchmark, **x).collect())) for x in ({}, {"block_words": 1}))
+    assert one == many and len(one) == len(rows())
     w = by_id(substrings.remove_repeats(docs))
     assert (w[4].n_words, w[4].n_removed, w[2].n_words, w[5].n_removed) == (80000, 80000, 0, 0)
     m = by_id(mixing.mix_report(docs))
