@@ -11,8 +11,9 @@ one-hot power of two.  Labels, language, source and identifier are no input.
 
 Training: at most ``PER_CLASS`` labelled documents of each class (a documented
 bound; never held-out rows), full-batch Adam with fixed steps and seed on the
-driver over their sparse features; the intercept is then moved to the class
-shares of all labels that may be learned from.  The model is a few hundred KB
+driver over their sparse features (at most N_FEATURES of eight bytes a text, so
+400 MB at worst), the gradient summed over chunks of ``CHUNK_FEATURES``; the intercept is then
+moved to the class shares of all labels that may be learned from.  The model is a few hundred KB
 whatever the corpus, and is broadcast.  Scoring is a narrow map.
 
 Without labels of both classes the score is the share of label 1 (0.5 without
@@ -39,6 +40,8 @@ PER_CLASS = 1500
 WORD_SLOTS = 1 << 14
 FACTORS = 6
 STEPS, RATE, DECAY = 60, 0.05, 1e-3
+#: Features whose gradient is worked out at once (about 100 bytes each meanwhile).
+CHUNK_FEATURES = 1 << 20
 SEED = 6
 
 _TENTHS = 11
@@ -109,35 +112,70 @@ def constant(share: float) -> FactorisationMachine:
                                 np.zeros((N_FEATURES, FACTORS), np.float32))
 
 
-def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], share: float) -> FactorisationMachine:
-    """Full-batch Adam on the logistic loss of (y, indices, values); both
-    classes weigh alike, then the intercept moves to ``share`` of label 1."""
+class Chunk:
+    """Some rows of the training sample, laid end to end: eight bytes a feature
+    are kept; what a gradient needs beside them follows the chunk's size."""
+
+    def __init__(self, rows: list[tuple[int, np.ndarray, np.ndarray]], weight: np.ndarray, place: np.ndarray):
+        self.weight = weight
+        self.y = np.array([r[0] for r in rows], dtype=np.float32)
+        self.lengths = np.array([len(r[1]) for r in rows])
+        self.col = np.concatenate([place[r[1]] for r in rows])
+        self.val = np.concatenate([r[2] for r in rows]).astype(np.float32, copy=False)
+
+    def add_gradient(self, params: list[np.ndarray], grads: list[np.ndarray]) -> None:
+        heads = np.cumsum(self.lengths) - self.lengths
+        row = np.repeat(np.arange(len(self.y), dtype=np.int32), self.lengths)
+        vx = params[2][self.col]
+        vx *= self.val[:, None]
+        total = np.add.reduceat(vx, heads, axis=0)
+        pair = 0.5 * ((total * total).sum(axis=1) - np.add.reduceat(np.einsum("ij,ij->i", vx, vx), heads))
+        margin = params[0][0] + np.add.reduceat(params[1][self.col] * self.val, heads) + pair
+        g = self.weight * (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - self.y)
+        grow = g[row] * self.val
+        np.subtract(total[row], vx, out=vx)
+        vx *= grow[:, None]
+        n = len(params[1])
+        grads[0] += g.sum()
+        grads[1] += np.bincount(self.col, weights=grow, minlength=n)
+        for f in range(FACTORS):
+            grads[2][:, f] += np.bincount(self.col, weights=vx[:, f], minlength=n)
+
+
+def chunks(rows: list[tuple[int, np.ndarray, np.ndarray]], most: int) -> list[slice]:
+    """Runs of rows with at most ``most`` features each (a longer row alone)."""
+    out, start, held = [], 0, 0
+    for i, r in enumerate(rows):
+        if i > start and held + len(r[1]) > most:
+            out.append(slice(start, i))
+            start, held = i, 0
+        held += len(r[1])
+    return out + [slice(start, len(rows))]
+
+
+def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], share: float, chunk_features: int = CHUNK_FEATURES
+        ) -> FactorisationMachine:
+    """Full-batch Adam on the logistic loss of (y, indices, values), its gradient
+    summed over chunks of bounded size; both classes weigh alike, then the
+    intercept moves to ``share`` of label 1."""
     rng = np.random.default_rng(SEED)
     y = np.array([r[0] for r in rows], dtype=np.float32)
     weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)).astype(np.float32)
-    row = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    col = np.concatenate([r[1] for r in rows])
-    val = np.concatenate([r[2] for r in rows])
-    seen, col = np.unique(col, return_inverse=True)
-    order = np.argsort(col, kind="stable")
-    heads = np.searchsorted(col[order], np.arange(len(seen)))
-    row_heads = np.searchsorted(row, np.arange(len(rows)))
+    met = np.zeros(N_FEATURES, bool)
+    for r in rows:
+        met[r[1]] = True
+    seen, place = np.nonzero(met)[0], (np.cumsum(met) - 1).astype(np.int32)
+    parts = [Chunk(rows[x], weight[x], place) for x in chunks(rows, chunk_features)]
     params = [np.zeros(1, np.float32), np.zeros(len(seen), np.float32),
               rng.normal(0, 0.02, (len(seen), FACTORS)).astype(np.float32)]
     first = [np.zeros_like(p) for p in params]
     second = [np.zeros_like(p) for p in params]
     for step in range(1, STEPS + 1):
-        vx = params[2][col]
-        vx *= val[:, None]
-        total = np.add.reduceat(vx, row_heads, axis=0)
-        pair = 0.5 * ((total * total).sum(axis=1) - np.add.reduceat(np.einsum("ij,ij->i", vx, vx), row_heads))
-        margin = params[0][0] + np.add.reduceat(params[1][col] * val, row_heads) + pair
-        g = weight * (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - y)
-        grow = g[row] * val
-        np.subtract(total[row], vx, out=vx)
-        vx *= grow[:, None]
-        grads = [np.array([g.sum()], np.float32), np.add.reduceat(grow[order], heads) + DECAY * params[1],
-                 np.add.reduceat(vx[order], heads, axis=0) + DECAY * params[2]]
+        grads = [np.zeros(p.shape) for p in params]
+        for part in parts:
+            part.add_gradient(params, grads)
+        grads[1] += DECAY * params[1]
+        grads[2] += DECAY * params[2]
         for p, d, a, b in zip(params, grads, first, second):
             a += 0.1 * (d - a)
             b += 0.001 * (d * d - b)
@@ -172,12 +210,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
         return constant(share)
     narrow = small_batches(docs).select("doc_id", *_text_and_length(docs))
     picked = sample(narrow, rows, per_class, ["text", "n_chars"]).select("y", "text", "n_chars")
-    found = picked.mapInArrow(_featured, "y int, index binary, value binary").collect()
-    found = [(r.y, np.frombuffer(r["index"], "<i4"), np.frombuffer(r.value, "<f4")) for r in found]
+    found = [(r.y, bytes(r["index"]), bytes(r.value)) for r in
+             picked.mapInArrow(_featured, "y int, index binary, value binary").collect()]
     if len({r[0] for r in found}) < 2:  # the labelled documents of a class are missing
         return constant(ones / n)
-    found.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))  # whatever order the tasks ended in
-    return fit(found, ones / n)
+    found.sort(key=lambda r: (r[0], len(r[1]), r[1], r[2]))  # whatever order the tasks ended in
+    return fit([(y, np.frombuffer(i, "<i4"), np.frombuffer(v, "<f4")) for y, i, v in found], ones / n)
 
 
 def _scored(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
