@@ -33,8 +33,9 @@ from seedlabel.llm.common import sliced, small_batches, text_bytes
 PRE_TOKEN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
              r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 LIMIT = 1024
-#: Pre-tokens remembered per worker; the memo starts anew when it is full.
+#: Pre-tokens remembered per worker, and the characters of the longest one; the memo starts anew when it is full.
 MEMO = 400_000
+MEMO_CHARS = 64
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -56,6 +57,8 @@ class PreTokenCounts(dict):
 
     def __missing__(self, piece: str) -> int:
         n = len(self.model.tokenize("".join([self.alphabet[b] for b in piece.encode()])))
+        if len(piece) > MEMO_CHARS:  # long runs without blanks: not worth their bytes
+            return n
         if len(self) >= len(self.whole) + MEMO:
             self.clear()
             self.update(dict.fromkeys(self.whole, 1))

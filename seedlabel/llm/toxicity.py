@@ -49,11 +49,12 @@ THRESHOLD = 0.5
 PER_CLASS = 1000
 MIN_RATIO, MIN_G2, MIN_LETTERS, FUZZY_LETTERS = 30.0, 20.0, 4, 5
 STEM_LETTERS, MIN_VARIANTS = (4, 5, 6), 3
-MAX_TERMS = 5000
 CONTEXT = 8
 #: Words on each side that tell the uses of a word from copies: passages of twice as many are copies.
 SIDE = 4
+#: Tokens remembered per worker, and the characters of the longest one.
 MEMO = 300_000
+MEMO_CHARS = 64
 
 EXACT, STEM, FUZZY = 1, 2, 3
 #: What is left of a hit inside a quotation or report.
@@ -144,6 +145,8 @@ class Memo(dict):
     def __missing__(self, token: str) -> int:
         kinds = [k for k in map(self.trie.lookup, _PARTS.findall(token)) if k]
         kind = min(kinds) if kinds else 0
+        if len(token) > MEMO_CHARS:  # long runs without blanks: not worth their bytes
+            return kind
         if len(self) >= MEMO:
             self.clear()
         self[token] = kind
@@ -239,7 +242,9 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def lexicon(picked: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[str], list[str]]:
-    """Terms and stems from (y, text) rows, counted in Spark."""
+    """Terms and stems from (y, text) rows, counted in Spark.  Every term that
+    passes is kept: it needs about 15 of the at most ``PER_CLASS`` toxic texts,
+    so there are no more than a fifteenth of the sample's words."""
     rows = picked.select("y", "text").mapInArrow(
         _terms, "y int, term string, stem boolean, word string, before long, after long")
     ours = F.col("y") == 1
@@ -254,7 +259,7 @@ def lexicon(picked: DataFrame, n_toxic: int, n_clean: int) -> tuple[list[str], l
     good = (counts.withColumn("g2", 2 * (part(F.col("t"), share) + part(F.col("c"), 1 - share)))
             .filter((F.col("g2") >= MIN_G2) & (F.col("t") * n_clean >= F.col("c") * n_toxic * MIN_RATIO))
             .filter(~F.col("stem") | ((F.col("c") == 0) & (F.col("variants") >= MIN_VARIANTS)))
-            .orderBy(F.desc("g2"), "term", "stem").limit(MAX_TERMS).collect())
+            .select("term", "stem").collect())
     short: list[str] = []
     for s in sorted((r.term for r in good if r.stem), key=lambda s: (len(s), s)):
         if not s.startswith(tuple(short)):  # a stem that begins with another adds nothing
