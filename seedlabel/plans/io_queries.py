@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from seedlabel.functions.decode import decode_bytes_literal
 from seedlabel.functions.text import word_tokens_joined
+from seedlabel.operators import metrics
 from seedlabel.operators.keywords import encode_labels
 from seedlabel.plans import text_queries as TQ
+from seedlabel.plans.tabular_queries import ORACLE as TABULAR_ORACLE
+from seedlabel.plans.tabular_queries import q_corpus_split
 from seedlabel.session import checkpoint_dir, load_table
 from seedlabel.sources import readers, writers
 from seedlabel.streaming.scorer import run_to_table, stream_table, windowed_label_counts
@@ -65,6 +68,27 @@ def q_vocabulary_whole_roundtrip(spark, sf_dir):
     return spark.read.text(path).select("class_name", parts[0].alias("word"), parts[1].cast("long").alias("freq"))
 
 
+def q_prediction_file_report(spark, sf_dir):
+    """Predictions written as CSV with a header and read back; the gold labels
+    joined to them by sentence; the classification report of the pairs."""
+    path = _folder(spark, "predictions")
+    scored = TQ.one_step_scored(spark, sf_dir)
+    writers.write_predictions_csv(scored.select("doc_id", "pos", "label", "score"), path)
+    pred = spark.read.schema("doc_id long, pos int, label int, score double").option("header", "true").csv(path)
+    gold = TQ.sentences(spark, sf_dir).select("doc_id", "pos", encode_labels("lang", TQ.LANGS).alias("gold"))
+    return metrics.classification_report(gold.join(pred, ["doc_id", "pos"]), "gold", "label")
+
+
+def q_split_file_lines(spark, sf_dir):
+    """The corpus split files, written as text and read back: lines and characters of each split."""
+    path = _folder(spark, "splits")
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "text")
+    splits = q_corpus_split(spark, sf_dir).select("doc_id", "split")
+    writers.write_corpus_splits(docs, splits, "doc_id", path)
+    back = spark.read.option("lineSep", "\n").text(path)
+    return back.groupBy("split").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("value")).alias("chars"))
+
+
 def q_results_roundtrip(spark, sf_dir):
     """Two runs appended to one result table; stamps as text and back."""
     path = _folder(spark, "results")
@@ -111,6 +135,8 @@ QUERIES = {
     "score_file_roundtrip": q_score_file_roundtrip,
     "gold_tsv_whole_roundtrip": q_gold_tsv_whole_roundtrip,
     "vocabulary_whole_roundtrip": q_vocabulary_whole_roundtrip,
+    "prediction_file_report": q_prediction_file_report,
+    "split_file_lines": q_split_file_lines,
     "results_roundtrip": q_results_roundtrip,
     "run_json_roundtrip": q_run_json_roundtrip,
     "bytes_literal_text": q_bytes_literal_text,
@@ -127,6 +153,12 @@ SELECT row_number() OVER (ORDER BY doc_id, pos) - 1 AS id, aspect, polarity, sen
     "vocabulary_whole_roundtrip": _LABELLED + f""",
 w AS (SELECT aspect, unnest(string_split(sentence, ' ')) AS word FROM lab)
 SELECT {TQ.LANGS!r}[aspect + 1] AS class_name, word, count(*) AS freq FROM w GROUP BY ALL""",
+    "prediction_file_report": TQ.ORACLE["one_step_report"],
+    "split_file_lines": f"""
+WITH s AS ({TABULAR_ORACLE["corpus_split"]})
+SELECT split, CAST(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS BIGINT) AS lines,
+       CAST(sum(length(replace(text, chr(10), ''))) AS BIGINT) AS chars
+FROM documents JOIN s USING (doc_id) GROUP BY split""",
     "results_roundtrip": """
 SELECT stamp, o_orderstatus AS type, 'none' AS ablation, 'orders' AS domain, CAST(count(*) AS DOUBLE) AS accuracy,
        CAST(min(o_orderkey) AS DOUBLE) AS precision, CAST(max(o_orderkey) AS DOUBLE) AS recall,

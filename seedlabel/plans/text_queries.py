@@ -98,15 +98,17 @@ def q_document_aspects(spark, sf_dir):
 
 def q_document_polarity(spark, sf_dir):
     """Aspects of a document as above, each with the document's polarity: the
-    polarity class whose sentence scores sum highest."""
-    from seedlabel.operators.classifier import document_polarity, sum_and_threshold
-    t = tokens("sentence")
+    polarity class whose sentence scores sum highest (the first of ties);
+    both sums come from the document's own row."""
+    per_sentence_tokens = F.transform(sentence_pieces("text"), lambda s: tokens(s))
     polarity_bags = [{w: 1.0 for w in seeds} for seeds in POLARITY_SEEDS]
-    sent = sentences(spark, sf_dir).select("doc_id", bag_scores(class_bags())(t).alias("aspect_logits"),
-                                           bag_scores(polarity_bags)(t).alias("polarity_logits"))
-    aspects = sum_and_threshold(sent, "doc_id", "aspect_logits", DOC_LOGIT_THRESHOLD)
-    out = aspects.join(document_polarity(sent, "doc_id", "polarity_logits"), "doc_id")
-    return out.select("doc_id", "label", F.round("logit_sum", 6).alias("logit_sum"), "polarity")
+    d = documents(spark, sf_dir).select("doc_id", doc_bag_sums(class_bags())(per_sentence_tokens).alias("aspects"),
+                                        doc_bag_sums(polarity_bags)(per_sentence_tokens).alias("polarities"))
+    d = d.select("doc_id", F.transform("polarities", lambda x: F.round(x, 9)).alias("polarities"),
+                 F.posexplode("aspects").alias("label", "logit_sum"))
+    d = d.select("doc_id", F.col("label").cast("int"), F.round("logit_sum", 6).alias("logit_sum"),
+                 argmax_first("polarities").alias("polarity"))
+    return d.filter(F.col("logit_sum") > DOC_LOGIT_THRESHOLD)
 
 
 def q_conversation_aspects(spark, sf_dir):

@@ -4,7 +4,7 @@ The per-row work (split, tokenise, keyword / prototype scoring) is the same
 stateless expression code as in batch; the only state is the running count
 per label, kept in the state store.  Results go through ``foreachBatch`` to
 a table in the shared checkpoint folder, so a restarted query resumes from
-its checkpoint and rewrites the complete counts.
+its checkpoint; a replayed micro-batch overwrites its own earlier rows.
 """
 
 from __future__ import annotations
@@ -73,19 +73,24 @@ def windowed_label_counts(stream: DataFrame, ts_col: str, label_col: str, window
                     label_col, "n"))
 
 
+def batch_sink(out: str, mode: str):
+    """A ``foreachBatch`` function whose effect is the same however often a
+    micro-batch is replayed: it overwrites what that batch wrote before."""
+    def sink(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/epoch={epoch}")
+    return sink
+
+
 def run_to_table(agg: DataFrame, spark: SparkSession, mode: str = "complete", name: str | None = None) -> str:
     """Run a streaming aggregate until all available input is processed
-    (``availableNow``); every micro-batch rewrites (complete) or appends to a
-    parquet table in the shared checkpoint folder.  Returns the table path."""
+    (``availableNow``); every micro-batch rewrites the whole parquet table in
+    the shared checkpoint folder (complete) or adds its own partition to it
+    (append: column ``epoch``).  Returns the table path."""
     base = f"{checkpoint_dir(spark).rstrip('/')}/stream-{name or uuid.uuid4().hex}"
     out = f"{base}/table"
     # an input without data starts no micro-batch: the table then holds no rows
-    spark.createDataFrame([], agg.schema).write.parquet(out)
-
-    def sink(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
-
-    q = (agg.writeStream.outputMode(mode).foreachBatch(sink)
+    spark.createDataFrame([], agg.schema).write.parquet(out if mode == "complete" else f"{out}/epoch=-1")
+    q = (agg.writeStream.outputMode(mode).foreachBatch(batch_sink(out, mode))
          .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
     return out

@@ -59,3 +59,18 @@ def test_event_windows_do_not_depend_on_file_order(spark, tmp_dir):
             part = rows.filter(F.spark_partition_id() == at).coalesce(1)
             part.write.mode("append").parquet(f"{tmp_dir}/{name}/events.parquet")
         assert sorted(map(tuple, q_stream_event_windows(spark, f"{tmp_dir}/{name}").collect())) == want, name
+
+
+def test_replayed_batches_change_nothing(spark, tmp_dir):
+    from seedlabel.streaming.scorer import batch_sink
+    first, second = spark.createDataFrame([(1, "a"), (2, "b")], "n int, k string"), spark.createDataFrame([(3, "c")], "n int, k string")
+    sink = batch_sink(f"{tmp_dir}/table", "append")
+    for batch, epoch in ((first, 0), (second, 1), (second, 1), (first, 0)):
+        sink(batch, epoch)
+    assert sorted(r.n for r in spark.read.parquet(f"{tmp_dir}/table").collect()) == [1, 2, 3]
+
+
+def test_document_polarity_is_map_only(spark):
+    from seedlabel.plans.text_queries import q_document_polarity
+    plan = q_document_polarity(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "hashpartitioning" not in plan
