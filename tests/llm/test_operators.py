@@ -255,8 +255,8 @@ def test_wu_manber_against_every_position(spark):
         assert r.items_sha256 == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("cells", [1 << 16, substrings.MAX_CELLS])
-def test_substrings_against_every_window(spark, cells):
+@pytest.mark.parametrize("cells, hot", [(1 << 5, 4), (1 << 5, 1 << 20), (substrings.SEGMENT_CELLS, substrings.HOT_CELLS)])
+def test_substrings_against_every_window(spark, cells, hot):
     rng = random.Random(6)
     passages = [[f"p{k}_{i}" for i in range(rng.choice([34, 35, 36, 60]))] for k in range(6)]
     rows = []
@@ -273,7 +273,7 @@ def test_substrings_against_every_window(spark, cells):
         w = t.split()
         count.update(tuple(w[s:s + n]) for s in range(len(w) - n + 1))
     got = {r.doc_id: r for r in substrings.remove_repeats(
-        spark.createDataFrame(rows, "doc_id long, text string"), max_cells=cells).collect()}
+        spark.createDataFrame(rows, "doc_id long, text string"), segment_cells=cells, hot_cells=hot).collect()}
     for i, t in rows:
         w = t.split()
         gone = {k for s in range(len(w) - n + 1) if count[tuple(w[s:s + n])] > 1 for k in range(s, s + n)}
@@ -282,6 +282,21 @@ def test_substrings_against_every_window(spark, cells):
         assert got[i].kept_sha256 == hashlib.sha256(kept.encode()).hexdigest()
 
 
+def test_sketch_of_many_segments_estimates_as_sharply(spark):
+    """Windows that reach the exact pass stay near the true repeats however many segments there are."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    count, n = Counter(), substrings.WINDOW
+    for r in docs.collect():
+        w = (r.text or "").split()
+        count.update(hash(tuple(w[s:s + n])) for s in range(len(w) - n + 1))
+    true = sum(c for c in count.values() if c > 1)
+    for cells, hot in ((1 << 8, 64), (1 << 8, 1 << 16), (1 << 18, 64)):
+        found = substrings.Prefilter(docs, segment_cells=cells, hot_cells=hot)
+        assert true <= found.windows().count() <= 1.2 * true
+        assert len(found.hot.value) <= 2 * hot
+        assert found.layout.segment_bits >= (10 if cells < 1 << 10 else 0)
+
+
 def test_rolling_hashes_and_minima():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
