@@ -9,14 +9,23 @@ model, like a vector size; every word of every text takes part.
 A sentence is compared with a class prototype by the mean projection of its
 known words on the unit prototype.  The sentence's own length divides all
 classes alike, so the best class is the one of highest cosine; only one number
-per word and prototype takes part in the join with the tokens.
+per word and prototype is asked for, once per block of packed sentences.
+
+Only pairs with a context word enter the vectors.  On packed sentences the word
+counts come first (:func:`margins`), and of the pairs only those are counted.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seedlabel.operators.packed import PackedSentences, blocks_of, pack, unsqueezed
 from seedlabel.session import broadcast_if_bounded
 
 DIMS = 128
@@ -37,12 +46,63 @@ def pair_counts(sent: DataFrame, tokens_col: str = "tokens") -> DataFrame:
     return both.groupBy("word", "context").agg(F.sum("n").alias("n"))
 
 
-def vectors(pairs: DataFrame, dims: int = DIMS, min_pairs: int = MIN_PAIRS) -> DataFrame:
-    """``(word, context, x)``: the non-zero PPMI values of words in ``min_pairs`` pairs or more."""
-    margin = pairs.groupBy("word").agg(F.sum("n").alias("m"))
+def margins(sent: PackedSentences) -> DataFrame:
+    """``(word, m)``: the pairs of every word with any other."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in blocks_of(batch):
+                place = b.place()
+                near = np.minimum(place, 2) + np.minimum(np.repeat(b.sizes, b.sizes) - 1 - place, 2)
+                m = np.bincount(b.codes, near, len(b.words)).astype(np.int64)
+                found = np.flatnonzero(m)
+                yield pa.RecordBatch.from_arrays([b.words.take(pa.array(found)), pa.array(m[found])], ["word", "m"])
+
+    rows = sent.table.select("words", "codes", "sizes").mapInArrow(run, "word string, m long")
+    return rows.groupBy("word").agg(F.sum("m").alias("m"))
+
+
+def top_contexts(margin: DataFrame, dims: int = DIMS) -> DataFrame:
+    """``(context, mc)``: the ``dims`` words of most pairs."""
+    return margin.orderBy(F.desc("m"), "word").limit(dims).select(F.col("word").alias("context"), F.col("m").alias("mc"))
+
+
+def context_pair_counts(sent: PackedSentences, contexts: DataFrame) -> DataFrame:
+    """The rows of :func:`pair_counts` whose context is one of ``contexts`` (a bounded table)."""
+    names = [r["context"] for r in contexts.collect()]
+    if not names:
+        return sent.table.sparkSession.createDataFrame([], "word string, context string, n long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in blocks_of(batch):
+                number = pc.index_in(b.words, value_set=pa.array(names, b.words.type)).fill_null(-1).to_numpy()
+                left = np.repeat(b.sizes, b.sizes) - 1 - b.place()  # tokens that follow in the sentence
+                codes, keys = b.codes.astype(np.int64), []
+                for distance in (1, 2):
+                    first = np.flatnonzero(left >= distance)
+                    one, other = codes[first], codes[first + distance]
+                    for word, context in ((one, number[other]), (other, number[one])):
+                        keys.append(word[context >= 0] * len(names) + context[context >= 0])
+                key, n = np.unique(np.concatenate(keys), return_counts=True)
+                for at in range(0, len(key), 1 << 16):
+                    k = key[at:at + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays(
+                        [b.words.take(pa.array(k // len(names))), pa.array((k % len(names)).astype(np.int32)),
+                         pa.array(n[at:at + (1 << 16)])], ["word", "c", "n"])
+
+    rows = sent.table.select("words", "codes", "sizes").mapInArrow(run, "word string, c int, n long")
+    # dealt by word: the counts of a word meet its margin without another shuffle
+    sums = rows.repartition("word").groupBy("word", "c").agg(F.sum("n").alias("n"))
+    return sums.select("word", F.element_at(F.array(*map(F.lit, names)), F.col("c") + 1).alias("context"), "n")
+
+
+def vectors(pairs: DataFrame, dims: int = DIMS, min_pairs: int = MIN_PAIRS, margin: DataFrame | None = None) -> DataFrame:
+    """``(word, context, x)``: the non-zero PPMI values of words in ``min_pairs`` pairs or more.
+    Without the ``margin`` of every word, ``pairs`` must be all pairs."""
+    if margin is None:
+        margin = pairs.groupBy("word").agg(F.sum("n").alias("m"))
     total = margin.agg(F.sum("m").alias("t")).scalar()
-    contexts = margin.orderBy(F.desc("m"), "word").limit(dims).select(F.col("word").alias("context"),
-                                                                      F.col("m").alias("mc"))
+    contexts = top_contexts(margin, dims)
     p = pairs.join(broadcast_if_bounded(contexts, dims), "context").join(margin.filter(F.col("m") >= min_pairs), "word")
     x = F.ln(F.col("n").cast("double") * total / (F.col("m").cast("double") * F.col("mc").cast("double")))
     return p.select("word", "context", x.alias("x")).filter("x > 0")
@@ -61,25 +121,49 @@ def seed_prototypes(vecs: DataFrame, seeds: DataFrame, per_seed: bool = False) -
 
 def word_scores(vecs: DataFrame, protos: DataFrame, n_protos: int, dims: int = DIMS) -> DataFrame:
     """``(word, norm, dots)``: the word's length and its projection on each
-    prototype, as a map from ``cls * 1000 + proto``."""
-    norms = vecs.groupBy("word").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    p = broadcast_if_bounded(protos.select(F.col("context"), (F.col("cls") * 1000 + F.col("proto")).alias("key"),
-                                           F.col("x").alias("px")), n_protos * dims)
-    dots = (vecs.join(p, "context").groupBy("word", "key").agg(F.sum(F.col("x") * F.col("px")).alias("d"))
-            .groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("key", "d"))).alias("dots")))
-    return norms.join(dots, "word", "left")
-
-
-def classify(sent: DataFrame, scores: DataFrame, protos: list[tuple[int, int]], n_classes: int, ids: list[str],
-             carry: list[str], tokens_col: str = "tokens") -> DataFrame:
-    """``(*ids, *carry, label, score)`` of every sentence; without a known word class 0, score 0."""
-    words = sent.select(*ids, *carry, F.explode_outer(tokens_col).alias("word"))
-    # counted before the join: a frequent word moves once per task and sentence
-    j = words.join(scores, "word", "left")
-    sums = j.groupBy(*ids).agg(*[F.first(c).alias(c) for c in carry], F.count("norm").alias("k"), *[
-        F.sum(F.coalesce(F.try_element_at("dots", F.lit(c * 1000 + p)), F.lit(0.0))).alias(f"s{i}")
-        for i, (c, p) in enumerate(protos)])
-    mean = [F.round(F.col(f"s{i}") / F.greatest("k", F.lit(1)), 9) for i in range(len(protos))]
+    prototype, as a map from ``cls * 1000 + proto`` (null where they share no context)."""
+    rows = protos.select("context", (F.col("cls") * 1000 + F.col("proto")).alias("key"), "x").collect()  # n_protos x dims
+    keys = sorted({r["key"] for r in rows})
+    by_context: dict[str, list] = {}
+    for r in rows:
+        by_context.setdefault(r["context"], [None] * len(keys))[keys.index(r["key"])] = r["x"]
+    wide = vecs.sparkSession.createDataFrame(list(by_context.items()), "context string, px array<double>")
+    j = vecs.join(broadcast_if_bounded(wide, dims, row_bytes=64 + 16 * n_protos), "context", "left")
+    dots = F.map_from_arrays(F.array(*[F.lit(k).cast("int") for k in keys]), F.array(*[
+        F.sum(F.col("x") * F.col("px")[i]) for i in range(len(keys))])) if keys else F.lit(None).cast("map<int,double>")
+    return j.groupBy("word").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), dots.alias("dots"))
+
+
+def classify(sent: DataFrame | PackedSentences, scores: DataFrame, protos: list[tuple[int, int]], n_classes: int,
+             ids: list[str], carry: list[str], tokens_col: str = "tokens") -> DataFrame:
+    """``(*ids, *carry, label, score)`` of every sentence; without a known word class 0, score 0.
+    Every block of sentences asks for its distinct words; the known ones are sent to it."""
+    keep, wide = [*ids, *carry], len(protos)
+    packed = sent if isinstance(sent, PackedSentences) else pack(sent, keep, tokens_col)
+    asked = scores.filter("norm is not null").select("word", F.array(*[
+        F.coalesce(F.try_element_at("dots", F.lit(c * 1000 + p)), F.lit(0.0)) for c, p in protos]).alias("dots"))
+    told = packed.words().join(asked, "word").select(F.col("block").alias("of"), "code", "dots")
+
+    def run(base: pa.Table, answers: pa.Table) -> pa.Table:
+        codes, sizes = (unsqueezed(base.column(c)[0].as_py()) for c in ("codes", "sizes"))
+        at = answers.column("code").to_numpy()
+        size = max(int(at.max(initial=-1)), int(codes.max(initial=-1))) + 1
+        known, dots = np.zeros(size), np.zeros((size, wide))
+        known[at] = 1.0
+        dots[at] = answers.column("dots").combine_chunks().flatten().to_numpy().reshape(-1, wide)
+        sentence, n = np.repeat(np.arange(len(sizes)), sizes), len(sizes)
+        return pa.Table.from_arrays(
+            [*(base.column(c)[0].values for c in keep), pa.array(np.bincount(sentence, known[codes], n).astype(np.int64)),
+             *(pa.array(np.bincount(sentence, dots[codes, i], n)) for i in range(wide))],
+            [*keep, "k", *(f"s{i}" for i in range(wide))])
+
+    schema = ", ".join([*(f"`{c}` {packed.kinds[c]}" for c in keep), "k long", *(f"s{i} double" for i in range(wide))])
+    blocks = packed.table.select("block", *keep, "sizes", "codes")
+    scored = blocks.groupBy("block").cogroup(told.groupBy("of")).applyInArrow(run, schema)  # one row, and its words
+    # sentences of the same ids, wherever they stand, are one
+    sums = scored.groupBy(*ids).agg(*[F.first(c).alias(c) for c in carry], F.sum("k").alias("k"), *[
+        F.sum(f"s{i}").alias(f"s{i}") for i in range(wide)])
+    mean = [F.round(F.col(f"s{i}") / F.greatest("k", F.lit(1)), 9) for i in range(wide)]
     per_class = F.array(*[F.greatest(*m) if len(m) > 1 else m[0] if m else F.lit(0.0) for m in
                           ([mean[i] for i, (c, _) in enumerate(protos) if c == k] for k in range(n_classes))])
     best = F.array_max(per_class)

@@ -15,6 +15,7 @@ from seedlabel.operators import countvec as CV
 from seedlabel.operators import densevec as DV
 from seedlabel.operators import metrics
 from seedlabel.operators.keywords import encode_labels, keyword_labels
+from seedlabel.operators.packed import pack
 from seedlabel.operators.splits import hash_uniform
 from seedlabel.plans import embedding_queries as EQ
 from seedlabel.plans import text_queries as TQ
@@ -44,8 +45,10 @@ def _seed_texts(spark):
 
 def _word_model(spark, sf_dir, per_seed: bool = False):
     """Sentences, word scores and prototype keys of the count-based vectors."""
-    sent = _sentences(spark, sf_dir).checkpoint(eager=True)  # read by the counts and by the labelling
-    vecs = CV.vectors(CV.pair_counts(sent)).checkpoint(eager=True)
+    sent = pack(_sentences(spark, sf_dir), ["doc_id", "pos", "gold"])  # read by the counts and by the labelling
+    margin = written_table(CV.margins(sent), "word-margins")
+    pairs = CV.context_pair_counts(sent, CV.top_contexts(margin))
+    vecs = written_table(CV.vectors(pairs, margin=margin), "word-vectors")
     keys = [(c, p if per_seed else -1) for c, seeds in enumerate(TQ.LANG_SEEDS)
             for p in (range(len(seeds)) if per_seed else (0,))]
     scores = CV.word_scores(vecs, CV.seed_prototypes(vecs, _seed_texts(spark), per_seed), len(keys))
