@@ -12,7 +12,8 @@ Scale notes.  Every step is an aggregate or an equi-join on the context key
 ``(left, right)``; occurrences are pre-aggregated per context before they
 meet the substitute table, so no step expands a token into K rows of the big
 table.  Per-class statistics are class-count sized and reach the tasks as a
-scalar subquery.
+scalar subquery.  :mod:`contexts` has the steps up to the scores for packed
+sentences, without a row per token; the queries use it.
 """
 
 from __future__ import annotations
@@ -24,8 +25,6 @@ from seedlabel.operators.prototypes import top_k_per_group
 from seedlabel.session import broadcast_if_bounded
 
 BOS, EOS = "<s>", "</s>"
-# Hash buckets of seed contexts by which positions are pre-filtered.
-CONTEXT_BUCKETS = 1 << 20
 
 
 def token_positions(df: DataFrame, id_cols, tokens_col: str = "tokens", keep=None) -> DataFrame:
@@ -73,26 +72,6 @@ def class_vocabulary(positions: DataFrame, subs: DataFrame, seeds: DataFrame,
     return occ.join(s, ["left", "right"]).groupBy("cls", "word").agg(F.sum("occ").alias("freq"))
 
 
-def class_vocabulary_at_seeds(positions: DataFrame, seeds: DataFrame, k: int, filter_words: list[str],
-                              n_seeds: int | None = None) -> DataFrame:
-    """Same result as :func:`class_vocabulary` with ``substitutes(fillers, k)``,
-    but fillers are counted only near the contexts in which some seed occurs.
-    Positions whose context falls in none of the hash buckets of seed contexts
-    (at most CONTEXT_BUCKETS, broadcast) are left out map-side; the others are
-    counted with a map-side combine before the exact semi-join, so a context
-    with a large share of all positions moves as its distinct fillers per task."""
-    bound = n_seeds if n_seeds is not None else seeds.count()
-    occ = (positions.join(broadcast_if_bounded(seeds.withColumnRenamed("word", "token"), bound), "token")
-           .groupBy("cls", "left", "right").agg(F.count(F.lit(1)).alias("occ")))
-    bucket = F.pmod(F.hash("left", "right"), F.lit(CONTEXT_BUCKETS)).alias("_bucket")
-    buckets = broadcast_if_bounded(occ.select(bucket).distinct(), CONTEXT_BUCKETS, row_bytes=16)
-    near = positions.select("left", "right", "token", bucket).join(buckets, "_bucket", "left_semi")
-    contexts = occ.select("left", "right").distinct()
-    subs = substitutes(context_fillers(near).join(contexts, ["left", "right"], "left_semi"), k)
-    s = subs.filter(_usable("word", filter_words)).select("left", "right", "word")
-    return occ.join(s, ["left", "right"]).groupBy("cls", "word").agg(F.sum("occ").alias("freq"))
-
-
 def disjoint_vocabulary(vocab: DataFrame, m: int) -> DataFrame:
     """Keep (cls, word) only where its freq is the highest over classes (ties
     stay in every tied class); then the top ``m`` per class by (freq desc,

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seedlabel.functions.text import PUNCTUATION, tokens
-from seedlabel.operators import metrics, vocabulary as V
+from seedlabel.operators import contexts as X, metrics, vocabulary as V
 from seedlabel.operators.keywords import encode_labels
+from seedlabel.operators.packed import pack
 from seedlabel.plans import text_queries as TQ
+from seedlabel.session import written_table
 
 # Fixed query parameters.
 K1 = 10          # substitutes per seed occurrence when building vocabularies
@@ -24,53 +26,33 @@ N_CLASSES = len(TQ.LANGS)
 
 
 class VocabRun:
-    """The lazily built DataFrames of one vocabulary-labeler run."""
+    """One vocabulary-labeler run on the packed sentences of ``documents``."""
 
     def __init__(self, spark, sf_dir):
         self.spark = spark
         sent = TQ.sentences(spark, sf_dir).withColumn("tokens", tokens("sentence"))
-        self.sent = sent.select("doc_id", "pos", encode_labels("lang", TQ.LANGS).alias("gold"), "tokens")
-        self.positions = V.token_positions(self.sent, ["doc_id", "pos"])
-        self.fillers = V.context_fillers(self.positions)
-        # one top-K2 window serves both cuts (K1 <= K2)
-        self._subs = V.substitutes(self.fillers, max(K1, K2))
-        self._materialized = False
+        # split once: every pass reads the packed sentences
+        self.sent = pack(sent.select("doc_id", "pos", encode_labels("lang", TQ.LANGS).alias("gold"), "tokens"),
+                         ["doc_id", "pos", "gold"])
+        self.contexts = X.contexts(self.sent)
 
     def subs(self, k):
-        return self._subs.filter(F.col("rank") <= k)
+        return X.substitutes(self.contexts, k)
 
     def vocab(self):
-        n_seeds = sum(len(s) for s in TQ.LANG_SEEDS)
-        seeds = V.seed_table(self.spark, TQ.LANG_SEEDS)
-        if self._materialized:
-            # the full substitute table exists anyway (scoring needs it)
-            return V.class_vocabulary(self.positions, self.subs(K1), seeds, FILTER_WORDS, n_seeds=n_seeds)
-        return V.class_vocabulary_at_seeds(self.positions, seeds, K1, FILTER_WORDS, n_seeds=n_seeds)
+        return X.class_vocabulary(self.contexts, V.seed_table(self.spark, TQ.LANG_SEEDS), K1, FILTER_WORDS)
 
     def disjoint(self):
         return V.disjoint_vocabulary(self.vocab(), M)
 
-    def materialize(self):
-        """Cut the sentence table once (reliable checkpoint) when several
-        passes read it: the split runs once instead of once per pass."""
-        self.sent = self.sent.checkpoint(eager=True)
-        self.positions = V.token_positions(self.sent, ["doc_id", "pos"])
-        self.fillers = V.context_fillers(self.positions)
-        # the substitute table feeds both the vocabularies and the hit counts
-        self._subs = V.substitutes(self.fillers, max(K1, K2)).checkpoint(eager=True)
-        self._materialized = True
-        return self
-
     def scores(self, lexicon=None):
-        hits = V.context_class_hit_arrays(self.subs(K2), self.disjoint(), FILTER_WORDS, N_CLASSES,
-                                          vocab_bound=N_CLASSES * M)
-        return V.overlap_scores(self.sent, ["doc_id", "pos"], hits, N_CLASSES, FILTER_WORDS, lexicon=lexicon,
+        hits = X.class_hits(self.contexts, self.disjoint(), K2, FILTER_WORDS, N_CLASSES)
+        return X.overlap_scores(self.contexts, ["doc_id", "pos"], hits, N_CLASSES, FILTER_WORDS, lexicon=lexicon,
                                 carry=["gold"])
 
     def z(self):
-        # the scores feed both the class statistics and the standardisation:
-        # compute them once and cut the lineage with a reliable checkpoint
-        s = self.scores().checkpoint(eager=True)
+        # the scores feed both the class statistics and the standardisation
+        s = written_table(self.scores(), "overlap-scores")
         return V.zscores(s, V.class_score_stats(s), n_classes=N_CLASSES)
 
 
@@ -93,32 +75,32 @@ def q_overlap_scores(spark, sf_dir):
             .select("doc_id", "pos", F.col("cls").cast("int"), F.round("score", 6).alias("score")))
 
 
-def word_tags(sent: DataFrame) -> DataFrame:
+def word_tags(words: DataFrame) -> DataFrame:
     """A stand-in for a tagger's table: every word with a tag by its length."""
-    words = sent.select(F.explode("tokens").alias("word")).distinct()
+    words = words.select("word").distinct()
     return words.select("word", F.when(F.length("word") >= NOUN_LETTERS, "NOUN").otherwise("OTHER").alias("tag"))
 
 
 def q_tagged_overlap_scores(spark, sf_dir):
     """Overlap scores over the candidate words of a word-tag table."""
-    run = VocabRun(spark, sf_dir).materialize()
-    s = run.scores(V.tagged_lexicon(word_tags(run.sent), ["NOUN"]))
+    run = VocabRun(spark, sf_dir)
+    s = run.scores(V.tagged_lexicon(word_tags(run.sent.words()), ["NOUN"]))
     return (s.select("doc_id", "pos", F.posexplode("scores").alias("cls", "score")).filter(F.col("score") > 0)
             .select("doc_id", "pos", F.col("cls").cast("int"), F.round("score", 6).alias("score")))
 
 
 def q_class_score_stats(spark, sf_dir):
-    st = V.class_score_stats(VocabRun(spark, sf_dir).materialize().scores())
+    st = V.class_score_stats(VocabRun(spark, sf_dir).scores())
     return st.select("cls", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
 
 
 def q_zscore_labels(spark, sf_dir):
-    z = V.zscore_labels(VocabRun(spark, sf_dir).materialize().z(), LAMBDA, n_classes=N_CLASSES)
+    z = V.zscore_labels(VocabRun(spark, sf_dir).z(), LAMBDA, n_classes=N_CLASSES)
     return z.select("doc_id", "pos", "label", F.round(F.col("z")[F.col("label")], 6).alias("z"))
 
 
 def _forced(spark, sf_dir) -> DataFrame:
-    r = VocabRun(spark, sf_dir).materialize()
+    r = VocabRun(spark, sf_dir)
     return V.zscore_forced(r.z())
 
 
