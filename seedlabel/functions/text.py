@@ -18,7 +18,9 @@ SENTENCE_SEPARATORS = r"; |\. |! |\n| \?"
 # The characters Python's str.strip()/str.split() treat as
 # whitespace (str.isspace): tab, LF, VT, FF, CR, FS, GS, RS, US, space, NEL,
 # NBSP, Ogham space, U+2000..U+200A, LS, PS, NNBSP, MMSP, ideographic space.
-_PY_WS = "[\\t\\n\\x0b\\x0c\\r\\x1c\\x1d\\x1e\\x1f \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+# The last ones stand behind one range, so that a letter fails two tests only.
+_PY_WS = ("[\\t\\n\\x0b\\x0c\\r\\x1c\\x1d\\x1e\\x1f \\x85\\xa0"
+          "[\\u1680-\\u3000&&[\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]]]")
 
 # Default filter set for substitute words: ASCII punctuation (a rule, not a
 # list).  Callers pass their own stop words on top of it.

@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.sql import DataFrame
@@ -28,6 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seedlabel.functions.vectors import stack_column
+from seedlabel.session import written_table
+
+#: Buckets of the hashed texts.
+TEXT_FEATURES = 1 << 18
 
 
 @dataclass
@@ -179,16 +183,30 @@ def load_heads(spark, path: str) -> dict[str, SoftmaxHead]:
     return {n: SoftmaxHead(np.array(w)) for n, w in out.items()}
 
 
-def keyword_text_classifier(train: DataFrame, tokens_col: str, label_col: str, num_features: int = 1 << 18,
+def _hashing(tokens_col: str, num_features: int) -> HashingTF:
+    return HashingTF(inputCol=tokens_col, outputCol="tf", numFeatures=num_features)
+
+
+def hashed_texts(df: DataFrame, tokens_col: str, num_features: int = TEXT_FEATURES) -> DataFrame:
+    """The column ``tf`` that :func:`keyword_text_classifier` learns from, added."""
+    return _hashing(tokens_col, num_features).transform(df)
+
+
+def keyword_text_classifier(train: DataFrame, tokens_col: str, label_col: str, num_features: int = TEXT_FEATURES,
                             max_iter: int = 50, reg: float = 0.0) -> PipelineModel:
-    """HashingTF over the token array + multinomial logistic regression."""
-    pipe = Pipeline(stages=[
-        HashingTF(inputCol=tokens_col, outputCol="tf", numFeatures=num_features),
-        LogisticRegression(featuresCol="tf", labelCol=label_col, family="multinomial", maxIter=max_iter,
-                           regParam=reg, predictionCol="prediction", probabilityCol="probability",
-                           rawPredictionCol="logits"),
-    ])
-    return pipe.fit(train.withColumn(label_col, F.col(label_col).cast("double")))
+    """HashingTF over the token array + multinomial logistic regression.  Without
+    a column ``tf`` (of :func:`hashed_texts`), the texts are hashed and written
+    first: the fit reads them twice, for its summary and for its blocks."""
+    hashing = _hashing(tokens_col, num_features)
+    label = F.col(label_col).cast("double").alias(label_col)
+    if "tf" in train.columns:
+        rows = train.select(label, "tf")
+    else:
+        rows = written_table(hashing.transform(train).select(label, "tf"), "hashed-texts")
+    head = LogisticRegression(featuresCol="tf", labelCol=label_col, family="multinomial", maxIter=max_iter,
+                              regParam=reg, predictionCol="prediction", probabilityCol="probability",
+                              rawPredictionCol="logits")
+    return PipelineModel([hashing, head.fit(rows)])
 
 
 def sum_and_threshold(sent_logits: DataFrame, id_col: str, logits_col: str, threshold: float) -> DataFrame:

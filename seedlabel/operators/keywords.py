@@ -16,11 +16,14 @@ def matched_classes(tokens, class_seeds: list[list[str]]) -> Column:
 
 
 def keyword_labels(df: DataFrame, tokens_col: str, class_seeds: list[list[str]],
-                   label_col: str = "label") -> DataFrame:
-    """Rows matching exactly one class, with that class as ``label_col``."""
-    m = matched_classes(tokens_col, class_seeds)
-    return (df.withColumn("_m", m).filter(F.size("_m") == 1)
-            .withColumn(label_col, F.col("_m")[0].cast("int")).drop("_m"))
+                   label_col: str = "label", keep_all: bool = False) -> DataFrame:
+    """Rows matching exactly one class, with that class as ``label_col``; with
+    ``keep_all`` the other rows, too, without a label."""
+    m = df.withColumn("_m", matched_classes(tokens_col, class_seeds))
+    label = F.col("_m")[0].cast("int")
+    if keep_all:
+        return m.withColumn(label_col, F.when(F.size("_m") == 1, label)).drop("_m")
+    return m.filter(F.size("_m") == 1).withColumn(label_col, label).drop("_m")
 
 
 def keyword_match_counts(df: DataFrame, tokens_col: str, class_seeds: list[list[str]], groups=()) -> DataFrame:

@@ -135,9 +135,11 @@ def q_ablation_results(spark, sf_dir):
 def q_keyword_classifier(spark, sf_dir):
     """Text classifier trained on keyword-labelled lines, evaluated on every
     line (those without tokens too) against the document language."""
-    lines = TQ.keyword_lines(spark, sf_dir)
-    model = C.keyword_text_classifier(keyword_labels(lines, "tokens", TQ.LANG_SEEDS), "tokens", "label")
-    pred = model.transform(lines)
+    lines = keyword_labels(TQ.keyword_lines(spark, sf_dir), "tokens", TQ.LANG_SEEDS, keep_all=True)
+    # tokenised and hashed once, read by the fit and by the prediction
+    lines = written_table(C.hashed_texts(lines, "tokens").select("gold", "label", "tf"), "hashed-lines")
+    model = C.keyword_text_classifier(lines.filter("label is not null"), "tokens", "label")
+    pred = model.stages[-1].transform(lines)
     return metrics.classification_report(pred.withColumn("pred", F.col("prediction").cast("int")), "gold", "pred")
 
 

@@ -75,6 +75,44 @@ def test_backoff_of_nothing(spark):
     assert B.backoff_substitutes(pos, 3).collect() == []
 
 
+def test_texts_are_read_once_by_the_keyword_classifier(spark):
+    """The fit works on written features: the tokens of a text are made once."""
+    from pyspark.sql import functions as F
+    from seedlabel.operators import classifier as C
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def split(text):
+        made.add(1)
+        return text.split()
+
+    rows = [("good food", 0), ("rude waiter", 1), ("good wine", 0), ("slow waiter", 1)] * 3
+    train = spark.createDataFrame(rows, "text string, label int").select(split("text").alias("tokens"), "label")
+    model = C.keyword_text_classifier(train, "tokens", "label", num_features=64, max_iter=5)
+    assert made.value == len(rows)
+    texts = spark.createDataFrame([(t.split(), y) for t, y in rows], "tokens array<string>, label int")
+    hashed = C.hashed_texts(texts, "tokens", num_features=64)
+    again = C.keyword_text_classifier(hashed, "tokens", "label", num_features=64, max_iter=5)
+    assert np.allclose(model.stages[-1].coefficientMatrix.toArray(), again.stages[-1].coefficientMatrix.toArray())
+    assert all(r.prediction == r.label for r in model.transform(texts).collect())
+
+
+def test_keyword_labels_keep_all(spark):
+    from seedlabel.operators.keywords import keyword_labels
+    rows = [(0, ["a", "x"]), (1, ["b"]), (2, ["a", "b"]), (3, []), (4, None)]
+    df = spark.createDataFrame(rows, "id int, tokens array<string>")
+    got = {r.id: r.label for r in keyword_labels(df, "tokens", [["a"], ["b"]], keep_all=True).collect()}
+    assert got == {0: 0, 1: 1, 2: None, 3: None, 4: None}
+    assert {r.id: r.label for r in keyword_labels(df, "tokens", [["a"], ["b"]]).collect()} == {0: 0, 1: 1}
+
+
+def test_tokens_split_at_the_white_space_of_python(spark):
+    chars = [c for c in range(1, 0x11000) if not 0xD800 <= c < 0xE000]
+    rows = [(c, f"a{chr(c)}b") for c in chars]
+    got = spark.createDataFrame(rows, "c int, s string").select("c", "s", tokens("s").alias("t")).collect()
+    assert [r.c for r in got if r.t != r.s.split()] == []
+
+
 @pytest.fixture(scope="module")
 def corpus(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", tokens("text").alias("tokens"))
