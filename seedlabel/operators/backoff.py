@@ -31,12 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seedlabel.operators.packed import in_byte_order
 from seedlabel.operators.prototypes import top_k_per_group
 from seedlabel.operators.vocabulary import context_fillers
 from seedlabel.session import broadcast_if_bounded, written_table
 
 DISCOUNT = 0.75
 ENTRIES = 10
+#: Contexts of a work array.
+ROWS = 4096
 #: Decimal places of a probability (ties after rounding go by word).
 PLACES = 12
 
@@ -104,37 +107,44 @@ def _best(batches: Iterator[pa.RecordBatch], common: list[tuple[str, float]], k:
     names = pa.array([w for w, _ in common], pa.string())
     common_c = np.array([c for _, c in common])
     for whole in batches:
-        for at in range(0, whole.num_rows, 2048):  # bounds the work arrays
-            batch = whole.slice(at, 2048)
+        for at in range(0, whole.num_rows, ROWS):  # bounds the work arrays
+            batch = whole.slice(at, ROWS)
             n = batch.num_rows
             rest, l_rest, r_rest = (batch.column(i).to_numpy() for i in (5, 6, 7))
             half = rest / 2
+            mass = half * (l_rest + r_rest)
             parts = [_flat(batch.column(i)) for i in (2, 3, 4)]
             scale = (np.ones(n), half, half)
-            rows = np.concatenate([*(p[0] for p in parts), np.repeat(np.arange(n), len(common))])
-            words = pa.chunked_array([*(p[1].cast(pa.string()) for p in parts),
-                                      names.take(pa.array(np.tile(np.arange(len(common)), n)))])
-            x = np.concatenate([*(p[2] * s[p[0]] for p, s in zip(parts, scale)), np.zeros(n * len(common))])
-            c = np.concatenate([*(p[3] for p in parts), np.tile(common_c, n)])
-            coded = words.combine_chunks().dictionary_encode()
-            distinct = coded.dictionary
-            order = np.empty(len(distinct), np.int64)  # place of a word in byte order
-            order[np.argsort(np.array([w.encode() for w in distinct.to_pylist()], object), kind="stable")] = \
-                np.arange(len(distinct))
-            code = order[coded.indices.to_numpy()]
+            rows = np.concatenate([p[0] for p in parts])
+            x = np.concatenate([p[2] * s[p[0]] for p, s in zip(parts, scale)])
+            c = np.concatenate([p[3] for p in parts])
+            distinct, code = in_byte_order(pa.concat_arrays([*(p[1].cast(pa.string()) for p in parts), names]))
+            code, common_code = code[:len(rows)], code[len(rows):]
             keys, first, inverse = np.unique(rows * len(distinct) + code, return_index=True, return_inverse=True)
-            row, c = keys // len(distinct), c[first]
-            p = np.round(np.bincount(inverse, x, len(keys)) + (half * (l_rest + r_rest))[row] * c, PLACES)
-            by = np.lexsort((keys, -p, row))  # within a row by falling p, then by word
+            row, word = keys // len(distinct), keys % len(distinct)
+            p = np.round(np.bincount(inverse, x, len(keys)) + mass[row] * c[first], PLACES)
+            # a row's common words without an entry; below the k-th of them nothing is chosen
+            number = np.full(len(distinct), -1)
+            number[common_code] = np.arange(len(common))
+            absent = np.ones((n, len(common)), bool)
+            known = number[word] >= 0
+            absent[row[known], number[word[known]]] = False
+            common_p = np.round(mass[:, None] * common_c, PLACES)
+            last = absent & (np.cumsum(absent, axis=1) == k)
+            cut = np.where(last.any(axis=1), np.where(last, common_p, 0.0).sum(axis=1), -1.0)
+            kept = p >= cut[row]
+            more, which = np.nonzero(absent & (common_p >= cut[:, None]))
+            row, word = np.concatenate([row[kept], more]), np.concatenate([word[kept], common_code[which]])
+            p = np.concatenate([p[kept], common_p[more, which]])
+            by = np.lexsort((word, -p, row))  # within a row by falling p, then by word
             row = row[by]
-            starts = np.searchsorted(row, np.arange(n))
-            rank = np.arange(len(row)) - starts[row] + 1
+            rank = np.arange(len(row)) - np.searchsorted(row, np.arange(n))[row] + 1
             kept = rank <= k
             chosen, row = by[kept], row[kept]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)),
-                 distinct.take(pa.array(np.argsort(order)[keys[chosen] % len(distinct)])), pa.array(p[chosen]),
-                 pa.array(rank[kept].astype(np.int32))], ["left", "right", "word", "p", "rank"])
+                 distinct.take(pa.array(word[chosen])), pa.array(p[chosen]), pa.array(rank[kept].astype(np.int32))],
+                ["left", "right", "word", "p", "rank"])
 
 
 def backoff_substitutes(positions: DataFrame, k: int, entries: int = ENTRIES, discount: float = DISCOUNT) -> DataFrame:
