@@ -18,6 +18,7 @@ counts come first (:func:`margins`), and of the pairs only those are counted.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seedlabel.operators.packed import PackedSentences, blocks_of, pack, unsqueezed
-from seedlabel.session import broadcast_if_bounded
+from seedlabel.session import NO_SHUFFLES_LEFT, broadcast_if_bounded, settings, shared_path, written_at
 
 DIMS = 128
 MIN_PAIRS = 10
+#: Sentences are scored in up to so many shares of the blocks, one for every so many tokens.
+MAX_SHARES, SHARE_TOKENS = 4, 1 << 23
 
 
 def pair_counts(sent: DataFrame, tokens_col: str = "tokens") -> DataFrame:
@@ -140,9 +143,9 @@ def classify(sent: DataFrame | PackedSentences, scores: DataFrame, protos: list[
     Every block of sentences asks for its distinct words; the known ones are sent to it."""
     keep, wide = [*ids, *carry], len(protos)
     packed = sent if isinstance(sent, PackedSentences) else pack(sent, keep, tokens_col)
+    shares = min(MAX_SHARES, max(1, -(-packed.n_tokens() // SHARE_TOKENS)))
     asked = scores.filter("norm is not null").select("word", F.array(*[
         F.coalesce(F.try_element_at("dots", F.lit(c * 1000 + p)), F.lit(0.0)) for c, p in protos]).alias("dots"))
-    told = packed.words().join(asked, "word").select(F.col("block").alias("of"), "code", "dots")
 
     def run(base: pa.Table, answers: pa.Table) -> pa.Table:
         codes, sizes = (unsqueezed(base.column(c)[0].as_py()) for c in ("codes", "sizes"))
@@ -158,8 +161,21 @@ def classify(sent: DataFrame | PackedSentences, scores: DataFrame, protos: list[
             [*keep, "k", *(f"s{i}" for i in range(wide))])
 
     schema = ", ".join([*(f"`{c}` {packed.kinds[c]}" for c in keep), "k long", *(f"s{i} double" for i in range(wide))])
-    blocks = packed.table.select("block", *keep, "sizes", "codes")
-    scored = blocks.groupBy("block").cogroup(told.groupBy("of")).applyInArrow(run, schema)  # one row, and its words
+
+    def scored_share(share: int) -> DataFrame:
+        part = replace(packed, table=packed.table.filter(F.pmod(F.xxhash64("block"), F.lit(shares)) == share))
+        told = part.words().join(asked, "word").select(F.col("block").alias("of"), "code", "dots")
+        blocks = part.table.select("block", *keep, "sizes", "codes")
+        return blocks.groupBy("block").cogroup(told.groupBy("of")).applyInArrow(run, schema)  # one row, and its words
+
+    if shares == 1:
+        scored = scored_share(0)
+    else:  # what a share sends is gone before the next
+        spark = scores.sparkSession
+        path = shared_path(spark, "scored-sentences")
+        with settings(spark, NO_SHUFFLES_LEFT):
+            for share in range(shares):
+                scored = written_at(scored_share(share), path, "append")
     # sentences of the same ids, wherever they stand, are one
     sums = scored.groupBy(*ids).agg(*[F.first(c).alias(c) for c in carry], F.sum("k").alias("k"), *[
         F.sum(f"s{i}").alias(f"s{i}") for i in range(wide)])

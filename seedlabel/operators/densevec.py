@@ -6,51 +6,226 @@ Block power iteration finds its leading directions: ``Z = X Q`` for a block
 orthonormalised after every product; from the last product come the singular
 values and vectors.  Word vectors are left vectors times the root of the values.
 
-Scale: words are dealt to ``n_blocks`` blocks by number (so frequent words
-spread evenly).  The table is packed once into rows of up to CHUNK entries per
-column block, sorted by row; a product shuffles these packed rows and the blocks
-of ``Q`` to the same tasks, each of which holds one block of ``Q`` and one row
-of entries and sends partial rows of ``Z``, which are summed per row block, one
-block held at a time.  The driver sees only ``dims`` x ``dims`` matrices, one per
-block.  All sums run in an order fixed by the data, so the vectors do not depend
-on the number of cores or partitions.
+Scale: words are dealt to blocks by number (so frequent words spread evenly).
+Packed sentences count their pairs as numbers, a share of the blocks at a time,
+and the table is written once, as entries of a block of rows and a block of
+columns.  A product moves nothing between tasks: a task holds a block of rows of
+``Z`` and its entries, and reads ``Q`` part by part from the shared folder.  Two
+sets of columns are kept at most, in single precision (4 x ``dims`` bytes a
+word); the shuffle files of a step go with it.  The driver sees only ``dims`` x
+``dims`` matrices, one per block.  Sums run in an order fixed by the data, or on
+a grid where they are exact, so the vectors do not depend on the number of cores
+or partitions.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seedlabel.operators.countvec import pair_counts
+from seedlabel.operators.countvec import margins
+from seedlabel.operators.packed import Block, PackedSentences, pack, squeezed, unsqueezed
 from seedlabel.operators.splits import global_index
-from seedlabel.session import written_table
+from seedlabel.session import NO_SHUFFLES_LEFT, UNION_APART, emptied, settings, shared_path, written_at, written_table
 
 DIMS = 100
 ROUNDS = 3          # products before the last one
 MIN_PAIRS = 10
-#: Words of a block of Q (at most; dims x 8 bytes each) and least number of blocks.
-BLOCK_WORDS, MIN_BLOCKS = 16384, 8
-CHUNK = 8192
+#: Words of a block (at most; a task holds dims x 8 bytes for each) and least number of blocks.
+BLOCK_WORDS, MIN_BLOCKS = 1 << 17, 16
+#: Words of a part of a block, the unit in which columns are read and written (at most 1 << 16).
+PART_WORDS = 1 << 14
+#: Entries multiplied at once.
+CHUNK = 4096
+#: Pairs are counted in up to so many passes, one for every so many tokens.
+MAX_PASSES, PASS_TOKENS = 4, 1 << 22
 SEED = 42
 
+_ENTRIES = "block int, source int, m binary, words array<string>, rows binary, cols binary, n binary"
+_COLUMNS = "block int, part int, m binary, words array<string>, q binary, gram binary, most double"
 
-def ppmi(sent: DataFrame, min_pairs: int = MIN_PAIRS, tokens_col: str = "tokens") -> tuple[DataFrame, DataFrame]:
+
+@dataclass(frozen=True)
+class Layout:
+    """Where a word stands: number ``i`` is place ``i // blocks`` of block ``i % blocks``."""
+    n_words: int
+    blocks: int
+    part: int
+
+    @classmethod
+    def of(cls, n_words: int) -> Layout:
+        return cls(n_words, min(n_words, max(MIN_BLOCKS, -(-n_words // BLOCK_WORDS))), PART_WORDS)
+
+    @property
+    def size(self) -> int:
+        return -(-self.n_words // self.blocks)
+
+    @property
+    def unit(self) -> int:
+        """Keys of a block of rows and a block of columns: part of the columns, row, place in the part."""
+        return -(-self.size // self.part) * self.size * self.part
+
+    def key(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        place = j // self.blocks
+        return ((i % self.blocks * self.blocks + j % self.blocks) * self.unit
+                + (place // self.part * self.size + i // self.blocks) * self.part + place % self.part)
+
+    def squeeze(self, inner: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes, bytes]:
+        """Sorted keys within a unit, and their counts."""
+        return (squeezed(np.diff(inner // self.part, prepend=0).astype(np.int32)),
+                squeezed((inner % self.part).astype(np.uint16)), squeezed(n.astype(np.int64)))
+
+    def unsqueeze(self, rows: bytes, cols: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """``part of the columns * size + row`` and the place in the part."""
+        return np.cumsum(unsqueezed(rows), dtype=np.int64), unsqueezed(cols, np.uint16).astype(np.int64)
+
+
+def _numbered(sent: PackedSentences, words: DataFrame) -> DataFrame:
+    """``(idx, sizes)``: the blocks of sentences with the numbers of their words (-1: not known)."""
+    told = sent.words().join(words.select("word", "idx"), "word").select(F.col("block").alias("of"), "code", "idx")
+
+    def run(base: pa.Table, answers: pa.Table) -> pa.Table:
+        codes, at = unsqueezed(base.column("codes")[0].as_py()), answers.column("code").to_numpy()
+        number = np.full(max(int(at.max(initial=-1)), int(codes.max(initial=-1))) + 1, -1)
+        number[at] = answers.column("idx").to_numpy()
+        return pa.Table.from_arrays([pa.array([squeezed(number[codes].astype(np.int32))], pa.binary()),
+                                     base.column("sizes")], ["idx", "sizes"])
+
+    blocks = sent.table.select("block", "sizes", "codes")
+    return blocks.groupBy("block").cogroup(told.groupBy("of")).applyInArrow(run, "idx binary, sizes binary")
+
+
+def _pair_counts(numbered: DataFrame, layout: Layout, share: int, shares: int) -> DataFrame:
+    """The counts of tokens at distance one or two, in both directions, as rows
+    of entries: of the blocks of rows that are ``share`` modulo ``shares``."""
+    names = ["block", "source", "rows", "cols", "n"]
+
+    def units(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        unit = key // layout.unit
+        edges = np.flatnonzero(np.diff(unit, prepend=-1)).tolist()
+        for a, b in zip(edges, [*edges[1:], len(key)]):
+            u = int(unit[a])
+            packed = layout.squeeze(key[a:b] - u * layout.unit, n[a:b])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([u // layout.blocks], pa.int32()), pa.array([u % layout.blocks], pa.int32()),
+                 *(pa.array([x], pa.binary()) for x in packed)], names)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for idx, sizes in zip(*(batch.column(k).to_pylist() for k in range(2))):
+                b = Block(None, unsqueezed(idx).astype(np.int64), unsqueezed(sizes))
+                left = np.repeat(b.sizes, b.sizes) - 1 - b.place()  # tokens that follow in the sentence
+                keys = []
+                for distance in (1, 2):
+                    first = np.flatnonzero(left >= distance)
+                    one, other = b.codes[first], b.codes[first + distance]
+                    known = (one >= 0) & (other >= 0)
+                    for i, j in ((one, other), (other, one)):
+                        mine = known & (i % layout.blocks % shares == share)
+                        keys.append(layout.key(i[mine], j[mine]))
+                yield from units(*np.unique(np.concatenate(keys), return_counts=True))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in batch.to_pylist())
+        for (block, source), group in itertools.groupby(rows, lambda r: (r["block"], r["source"])):
+            keys, counts = [], []
+            for r in group:
+                row, col = layout.unsqueeze(r["rows"], r["cols"])
+                keys.append(row * layout.part + col)
+                counts.append(unsqueezed(r["n"], np.int64))
+            key = np.concatenate(keys)
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = np.flatnonzero(np.diff(key, prepend=-1))
+            yield from units(key[first] + (block * layout.blocks + source) * layout.unit,
+                             np.add.reduceat(np.concatenate(counts)[order], first))
+
+    schema = "block int, source int, rows binary, cols binary, n binary"
+    return (numbered.mapInArrow(count, schema).repartition(4 * layout.blocks, "block", "source")
+            .sortWithinPartitions("block", "source").mapInArrow(merge, schema))
+
+
+def _word_blocks(words: DataFrame, layout: Layout) -> DataFrame:
+    """``(block, m, words)``: the words of every block, by place."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in zip(*(batch.column(k).to_pylist() for k in range(3))))
+        for block, group in itertools.groupby(rows, lambda r: r[0]):
+            _, m, text = zip(*group)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block], pa.int32()), pa.array([squeezed(np.array(m, np.int64))], pa.binary()),
+                 pa.array([list(text)], pa.list_(pa.string()))], ["block", "m", "words"])
+
+    block = F.pmod("idx", F.lit(layout.blocks)).cast("int").alias("block")
+    return (words.select(block, "m", "word", "idx").repartition(layout.blocks, "block")
+            .sortWithinPartitions("block", "idx").select("block", "m", "word")
+            .mapInArrow(run, "block int, m binary, words array<string>"))
+
+
+class PairTable:
+    """The words in ``min_pairs`` pairs or more, ``(word, m, idx)`` numbered by
+    falling pair count, and their pair counts, written as units: rows of
+    ``entries`` for a block of rows and a block (``source``) of columns.  The
+    row of ``source`` -1 has the words of the block."""
+
+    def __init__(self, sent: DataFrame | PackedSentences, min_pairs: int = MIN_PAIRS, tokens_col: str = "tokens"):
+        packed = sent if isinstance(sent, PackedSentences) else pack(sent, [], tokens_col)
+        self.spark = spark = packed.table.sparkSession
+        with settings(spark, NO_SHUFFLES_LEFT):
+            margin = written_table(margins(packed), "word-margins")
+            self.total = margin.agg(F.sum("m")).first()[0]
+            known = margin.filter(F.col("m") >= min_pairs).withColumn("neg", -F.col("m"))
+            self.words = written_table(global_index(known, ["neg", "word"]).select(
+                "word", "m", F.col("idx").cast("long").alias("idx")), "words")
+            n_words = self.words.count()
+            self.layout = layout = Layout.of(n_words) if n_words else None
+            if not n_words:
+                return
+            at, numbered_at = shared_path(spark, "pair-entries"), shared_path(spark, "numbered-sentences")
+            numbered = written_at(_numbered(packed, self.words), numbered_at)
+            none = spark.createDataFrame([], _ENTRIES)
+            shares = min(MAX_PASSES, layout.blocks, max(1, -(-packed.n_tokens() // PASS_TOKENS)))
+            shaped = none.unionByName(_word_blocks(self.words, layout).withColumn("source", F.lit(-1)), True)
+            self.entries_at, self.entries = at, written_at(shaped, at, "append", ["block"])
+            for share in range(shares):
+                counts = none.unionByName(_pair_counts(numbered, layout, share, shares), True)
+                self.entries = written_at(counts, at, "append", ["block"])
+            emptied(spark, numbered_at)
+
+    def pairs(self) -> DataFrame:
+        """``(i, j, n)``: the pair counts of the known words."""
+        layout = self.layout
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    row, col = layout.unsqueeze(r["rows"], r["cols"])
+                    place = row // layout.size * layout.part + col
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(row % layout.size * layout.blocks + r["block"]),
+                         pa.array(place * layout.blocks + r["source"]), pa.array(unsqueezed(r["n"], np.int64))],
+                        ["i", "j", "n"])
+
+        units = self.entries.filter("source >= 0").select("block", "source", "rows", "cols", "n")
+        return units.mapInArrow(run, "i long, j long, n long")
+
+
+def ppmi(sent: DataFrame | PackedSentences, min_pairs: int = MIN_PAIRS, tokens_col: str = "tokens") -> tuple[DataFrame, DataFrame]:
     """(words, entries): written ``(word, m, idx)``, numbered by falling pair
     count, and the positive ``(i, j, x)`` of the symmetric table."""
-    pairs = written_table(pair_counts(sent, tokens_col), "word-pairs")
-    margin = pairs.groupBy("word").agg(F.sum("n").alias("m"))
-    total = margin.agg(F.sum("m").alias("t")).scalar()
-    known = margin.filter(F.col("m") >= min_pairs).withColumn("neg", -F.col("m"))
-    words = written_table(global_index(known, ["neg", "word"]).select("word", "m", F.col("idx").cast("long").alias("idx")),
-                          "words")
-    a = words.select("word", F.col("idx").alias("i"), F.col("m").alias("mi"))
-    b = words.select(F.col("word").alias("context"), F.col("idx").alias("j"), F.col("m").alias("mj"))
-    x = F.ln(F.col("n").cast("double") * total / (F.col("mi").cast("double") * F.col("mj").cast("double")))
-    return words, pairs.join(a, "word").join(b, "context").select("i", "j", x.alias("x")).filter("x > 0")
+    table = PairTable(sent, min_pairs, tokens_col)
+    if table.layout is None:
+        return table.words, table.spark.createDataFrame([], "i long, j long, x double")
+    a = table.words.select(F.col("idx").alias("i"), F.col("m").alias("mi"))
+    b = table.words.select(F.col("idx").alias("j"), F.col("m").alias("mj"))
+    x = F.ln(F.col("n").cast("double") * table.total / (F.col("mi").cast("double") * F.col("mj").cast("double")))
+    return table.words, table.pairs().join(a, "i").join(b, "j").select("i", "j", x.alias("x")).filter("x > 0")
 
 
 def hashed_start(idx: np.ndarray, dims: int, seed: int = SEED) -> np.ndarray:
@@ -62,128 +237,125 @@ def hashed_start(idx: np.ndarray, dims: int, seed: int = SEED) -> np.ndarray:
     return ((h ^ (h >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / float(1 << 52) - 1.0
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (block, i, j, x) rows to packed rows of up to CHUNK entries of one block."""
-    held, part = [], 0
-    names = ["block", "part", "rows", "cols", "x"]
-
-    def flush(n: int) -> pa.RecordBatch:
-        nonlocal held, part
-        block, i, j, x = (np.concatenate([h[k] for h in held]) for k in range(4))
-        held = [tuple(v[n:] for v in (block, i, j, x))] if n < len(block) else []
-        part += 1
-        return pa.RecordBatch.from_arrays([
-            pa.array([int(block[0])], pa.int64()), pa.array([part], pa.int64()), pa.array([i[:n].tobytes()], pa.binary()),
-            pa.array([j[:n].tobytes()], pa.binary()), pa.array([x[:n].tobytes()], pa.binary())], names)
-
-    for batch in batches:
-        columns = [batch.column(k).to_numpy() for k in range(4)]
-        edges = np.flatnonzero(np.diff(columns[0])) + 1
-        for a, b in zip([0, *edges], [*edges, len(columns[0])]):
-            if a == b:
-                continue
-            if held and held[-1][0][-1] != columns[0][a]:
-                while held:
-                    yield flush(min(CHUNK, sum(len(h[0]) for h in held)))
-            held.append(tuple(c[a:b] for c in columns))
-            while sum(len(h[0]) for h in held) >= CHUNK:
-                yield flush(CHUNK)
-    while held:
-        yield flush(min(CHUNK, sum(len(h[0]) for h in held)))
-
-
 class Factorisation:
-    """The packed table and the products with it."""
-
-    def __init__(self, entries: DataFrame, n_words: int, dims: int):
-        self.spark, self.n_words, self.dims = entries.sparkSession, n_words, dims
-        self.n_blocks = max(MIN_BLOCKS, -(-n_words // BLOCK_WORDS))
-        self.partitions = 4 * self.n_blocks  # hashed: few tasks get two blocks
-        block = F.pmod("j", F.lit(self.n_blocks)).alias("block")
-        dealt = (entries.select(block, "i", "j", "x").repartition(self.partitions, "block")
-                 .sortWithinPartitions("block", "i", "j"))
-        self.packed = written_table(dealt.mapInArrow(_pack, "block long, part long, rows binary, cols binary, x binary"),
-                                    "packed-entries")
+    """The products with the positive table of a :class:`PairTable`."""
+
+    def __init__(self, table: PairTable, dims: int):
+        self.table, self.spark, self.layout, self.dims = table, table.spark, table.layout, dims
+        units = table.entries.filter("source >= 0").groupBy("block").count().collect()  # one row per block
+        self.units = {r["block"]: r["count"] for r in units}
+        self.most = 1.0  # largest number of Q
 
     def start(self) -> DataFrame:
-        """The hashed first block of columns, ``(block, q)``."""
-        n_words, n_blocks, dims = self.n_words, self.n_blocks, self.dims
+        """The hashed first block of columns."""
+        layout, dims = self.layout, self.dims
 
         def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for b in batch.column(0).to_pylist():
-                    q = hashed_start(np.arange(b, n_words, n_blocks), dims)
-                    yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([q.tobytes()], pa.binary())], ["block", "q"])
-
-        return self.spark.range(0, n_blocks, 1, self.partitions).mapInArrow(make, "block long, q binary")
-
-    def product(self, q: DataFrame, turn: np.ndarray) -> tuple[DataFrame, np.ndarray]:
-        """``X (Q turn)`` as a written ``(block, q)`` table, and its Gram matrix."""
-        n_words, n_blocks, dims = self.n_words, self.n_blocks, turn.shape[1]
-        wide = turn.shape[0]
-
-        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            at, mine = None, None
+                for block, raw in zip(*(batch.column(k).to_pylist() for k in range(2))):
+                    m, idx = unsqueezed(raw, np.int64), np.arange(block, layout.n_words, layout.blocks)
+                    for part, a in enumerate(range(0, len(m), layout.part)):
+                        q = hashed_start(idx[a:a + layout.part], dims).astype(np.float32)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([block], pa.int32()), pa.array([part], pa.int32()),
+                             pa.array([squeezed(m[a:a + layout.part])], pa.binary()), pa.array([q.tobytes()], pa.binary())],
+                            ["block", "part", "m", "q"])
+
+        own = self.table.entries.filter("source = -1").select("block", "m")
+        return own.mapInArrow(make, "block int, part int, m binary, q binary")
+
+    def planned(self, q: DataFrame, turn: np.ndarray, with_words: bool = False) -> DataFrame:
+        """``X Q turn`` by parts of blocks, and a last row (part -1) with the
+        Gram matrix of a block and its largest number.  One task a block of
+        rows, without a shuffle."""
+        layout, units, total, most = self.layout, self.units, float(self.table.total), self.most
+        wide, chunk = turn.shape[0], CHUNK
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, held, early, z = None, {}, [], None
+            at, decoded = None, None
+
+            def begin() -> None:
+                nonlocal m, grid, z
+                m = unsqueezed(own["m"], np.int64)
+                # a sum of a row is below 2 ** 52 steps of its grid, so sums of parts are exact in any order
+                bound = np.minimum(m, layout.n_words) * np.maximum(np.log(total / m), 1e-3) * max(most, 1e-300)
+                grid = np.exp2(51 - np.ceil(np.log2(bound)))
+                z = np.zeros((len(m), wide))
+
+            def add(source: int, part: int, raw: bytes, q: bytes) -> None:
+                nonlocal at, decoded
+                if source not in held:
+                    return
+                if at != source:
+                    rows, cols, n = held[source]
+                    at, decoded = source, (*layout.unsqueeze(rows, cols), unsqueezed(n, np.int64))
+                row, col, n = decoded
+                a, b = np.searchsorted(row, [part * layout.size, (part + 1) * layout.size])
+                i, j = row[a:b] - part * layout.size, col[a:b]
+                x = np.log(n[a:b] * total / (m[i].astype(np.float64) * unsqueezed(raw, np.int64)[j]))
+                positive = np.flatnonzero(x > 0)
+                i, j, x = i[positive], j[positive], x[positive]
+                mine = np.frombuffer(q, np.float32).reshape(-1, wide).astype(np.float64)
+                for k in range(0, len(i), chunk):
+                    to = i[k:k + chunk]
+                    first = np.flatnonzero(np.diff(to, prepend=-1))
+                    to = to[first]
+                    terms = mine[j[k:k + chunk]]
+                    terms *= x[k:k + chunk, None]
+                    sums = np.add.reduceat(terms, first, axis=0)
+                    sums *= grid[to, None]
+                    z[to] += np.rint(sums, out=sums)
+
+            m = grid = None
             for batch in batches:
-                for block, part, rows, cols, x in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                    if part == 0:  # the block of Q comes first
-                        at, mine = block, np.frombuffer(x).reshape(-1, wide) @ turn
-                        continue
-                    if at != block:
-                        raise ValueError(f"no columns for block {block}")
-                    i, j = np.frombuffer(rows, np.int64), np.frombuffer(cols, np.int64)
-                    first = np.flatnonzero(np.diff(i, prepend=-1))
-                    sums = np.add.reduceat(np.frombuffer(x)[:, None] * mine[j // n_blocks], first, axis=0)
-                    i = i[first]
-                    to = i % n_blocks
-                    for b in np.unique(to):
-                        here = to == b
-                        yield pa.RecordBatch.from_arrays([
-                            pa.array([int(b)]), pa.array([block]), pa.array([part]),
-                            pa.array([i[here].tobytes()], pa.binary()),
-                            pa.array([sums[here].astype(np.float32).tobytes()], pa.binary())],
-                            ["block", "source", "part", "rows", "z"])
-
-        def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            at, z = None, None
-
-            def done() -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([
-                    pa.array([at]), pa.array([z.tobytes()], pa.binary()), pa.array([(z.T @ z).tobytes()], pa.binary())],
-                    ["block", "q", "gram"])
-
-            for batch in batches:
-                for block, rows, part in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(),
-                                             batch.column(4).to_pylist()):
-                    if block != at:
-                        if at is not None:
-                            yield done()
-                        at, z = block, np.zeros((len(range(block, n_words, n_blocks)), dims))
-                    i = np.frombuffer(rows, np.int64)
-                    z[i // n_blocks] += np.frombuffer(part, np.float32).reshape(-1, dims)
-            if at is not None:
-                yield done()
-
-        empty = F.lit(None).cast("binary")
-        both = self.packed.unionByName(q.select("block", F.lit(0).cast("long").alias("part"), empty.alias("rows"),
-                                                empty.alias("cols"), F.col("q").alias("x")))
-        parts = (both.repartition(self.partitions, "block").sortWithinPartitions("block", "part")
-                 .mapInArrow(partial, "block long, source long, part long, rows binary, z binary"))
-        z = written_table(parts.repartition(self.partitions, "block").sortWithinPartitions("block", "source", "part")
-                          .mapInArrow(total, "block long, q binary, gram binary"), "columns")
-        grams = z.select("block", "gram").orderBy("block").collect()  # one dims x dims matrix per block
-        gram = np.zeros((dims, dims))
+                for r in batch.to_pylist():
+                    if r["q"] is not None:
+                        early.append((r["block"], r["source"], r["m"], r["q"]))
+                    elif r["source"] == -1:
+                        own = r
+                    else:
+                        held[r["source"]] = r["rows"], r["cols"], r["n"]
+                    if own is not None and len(held) == units.get(own["block"], 0):
+                        if z is None:
+                            begin()
+                        while early:
+                            add(*early.pop(0))
+            if own is None:
+                return
+            gram, top, names = np.zeros((turn.shape[1],) * 2), 0.0, [c.split(" ")[0] for c in _COLUMNS.split(", ")]
+            kinds = [pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.float64()]
+
+            def made(*values) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names)
+
+            for part, a in enumerate(range(0, len(m), layout.part)):
+                b = a + layout.part
+                out = ((z[a:b] / grid[a:b, None]) @ turn).astype(np.float32)
+                exact = out.astype(np.float64)
+                gram += exact.T @ exact
+                top = max(top, float(np.abs(out).max(initial=0)))
+                yield made(own["block"], part, squeezed(m[a:b]), own["words"] and own["words"][a:b], out.tobytes(), None, None)
+            yield made(own["block"], -1, None, None, None, gram.tobytes(), top)
+
+        null = F.lit(None)
+        text = F.col("words") if with_words else null.cast("array<string>").alias("words")
+        mine = self.table.entries.select("block", "source", "m", text, "rows", "cols", "n", null.cast("binary").alias("q"))
+        columns = q.select("block", F.col("part").alias("source"), "m", null.cast("array<string>"), *[null.cast("binary")] * 3, "q")
+        # a block's entries come first, then all of Q; a union of scans in one task each
+        return reduce(DataFrame.union, [mine.filter(F.col("block") == b).union(columns).coalesce(1).mapInArrow(run, _COLUMNS)
+                                        for b in range(layout.blocks)])
+
+    def product(self, q: DataFrame, turn: np.ndarray, place: str, with_words: bool = False) -> tuple[DataFrame, np.ndarray]:
+        """``X (Q turn)``, written at ``place``, and its Gram matrix."""
+        with settings(self.spark, UNION_APART):
+            z = written_at(self.planned(q, turn, with_words), place)
+        grams = z.filter("part = -1").select("block", "gram", "most").orderBy("block").collect()  # one per block
+        gram = np.zeros((turn.shape[1],) * 2)
         for g in grams:
-            gram += np.frombuffer(g["gram"]).reshape(dims, dims)
-        missing = self.n_blocks - len(grams)
-        if missing:  # blocks whose words have no entry are zero
-            z = z.select("block", "q").unionByName(self._zeros({g["block"] for g in grams}, dims))
-        return z.select("block", "q"), gram
-
-    def _zeros(self, present: set[int], dims: int) -> DataFrame:
-        rows = [(b, np.zeros((len(range(b, self.n_words, self.n_blocks)), dims)).tobytes())
-                for b in range(self.n_blocks) if b not in present]
-        return self.spark.createDataFrame(rows, "block long, q binary")
+            gram += np.frombuffer(g["gram"]).reshape(gram.shape)
+        self.most = max(g["most"] for g in grams)
+        return z.filter("part >= 0"), gram
 
 
 def _whiten(gram: np.ndarray, power: float) -> np.ndarray:
@@ -194,39 +366,42 @@ def _whiten(gram: np.ndarray, power: float) -> np.ndarray:
     return vectors[:, kept] * values[kept] ** power
 
 
-def dense_vectors(sent: DataFrame, dims: int = DIMS, rounds: int = ROUNDS, min_pairs: int = MIN_PAIRS,
-                  tokens_col: str = "tokens") -> DataFrame:
+def dense_vectors(sent: DataFrame | PackedSentences, dims: int = DIMS, rounds: int = ROUNDS, min_pairs: int = MIN_PAIRS,
+                  tokens_col: str = "tokens", place: str | None = None) -> DataFrame:
     """``(word, m, vec array<double>)`` of the words in ``min_pairs`` pairs or more
-    (up to ``dims`` numbers; fewer words give fewer)."""
-    words, entries = ppmi(sent, min_pairs, tokens_col)
-    n_words = words.count()
-    schema = "idx long, vec array<double>"
-    spark = sent.sparkSession
-    if n_words == 0:
+    (up to ``dims`` numbers; fewer words give fewer), from columns written at ``place``."""
+    table = PairTable(sent, min_pairs, tokens_col)
+    spark = table.spark
+    if table.layout is None:
         return spark.createDataFrame([], "word string, m long, vec array<double>")
-    f = Factorisation(entries, n_words, min(dims, n_words))
-    q, turn = f.start(), np.eye(min(dims, n_words))
-    for _ in range(rounds):
-        q, gram = f.product(q, turn)
+    dims = min(dims, table.layout.n_words)
+    f = Factorisation(table, dims)
+    # columns are written to two places in turn, so only the last two sets are kept
+    places = [place or shared_path(spark, "columns"), shared_path(spark, "columns")]
+    q, turn = f.start(), np.eye(dims)
+    for k in range(rounds, 0, -1):
+        q, gram = f.product(q, turn, places[k % 2])
         turn = _whiten(gram, -0.5)
         if not turn.shape[1]:  # no positive entry at all
-            return words.select("word", "m", F.array().cast("array<double>").alias("vec"))
-    z, gram = f.product(q, turn)
+            return table.words.select("word", "m", F.array().cast("array<double>").alias("vec"))
+    z, gram = f.product(q, turn, places[0], with_words=True)
+    for path in [table.entries_at, *places[1:][:rounds]]:
+        emptied(spark, path)
     # Z = U S V': vectors U S^(1/2) = Z V S^(-1/2), with S^2 the eigenvalues
-    last, n_blocks, wide = _whiten(gram, -0.25), f.n_blocks, turn.shape[1]
+    last, wide = _whiten(gram, -0.25), turn.shape[1]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                vec = np.frombuffer(raw).reshape(-1, wide) @ last
-                idx = block + n_blocks * np.arange(len(vec))
+            for words, raw, q in zip(batch.column(0), *(batch.column(k).to_pylist() for k in (1, 2))):
+                m, vec = unsqueezed(raw, np.int64), np.frombuffer(q, np.float32).reshape(-1, wide).astype(np.float64) @ last
                 for at in range(0, len(vec), 2048):
                     part = vec[at:at + 2048]
                     flat = pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, max(part.shape[1], 1)), pa.int32()),
                                                     pa.array(part.ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array(idx[at:at + 2048]), flat], ["idx", "vec"])
+                    yield pa.RecordBatch.from_arrays([words.values[at:at + 2048], pa.array(m[at:at + 2048]), flat],
+                                                     ["word", "m", "vec"])
 
-    return written_table(z.mapInArrow(rows, schema).join(words, "idx").select("word", "m", "vec"), "word-vectors")
+    return z.select("words", "m", "q").mapInArrow(rows, "word string, m long, vec array<double>")
 
 
 def word_scores(vecs: DataFrame, seeds: DataFrame) -> DataFrame:

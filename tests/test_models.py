@@ -1,14 +1,20 @@
 """Back-off substitutes and dense vectors against direct computations."""
 
+import os
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from seedlabel.functions.text import tokens
 from seedlabel.operators import backoff as B
+from seedlabel.operators import countvec as CV
 from seedlabel.operators import densevec as D
 from seedlabel.operators import vocabulary as V
+from seedlabel.operators.packed import pack
+from seedlabel.session import UNION_APART, checkpoint_dir, settings
 
 SMALL = "/root/testdata/sf0.001"
 TEXTS = ["the cat sat on the mat", "the dog sat on the rug", "a cat ran", "", "the cat sat", "mat", "dog dog dog dog"]
@@ -160,6 +166,57 @@ def test_fewer_words_than_dims(spark):
     assert D.dense_vectors(_sentences(spark, ["", "x"]), dims=4).collect() == []
 
 
+def test_pair_table_over_blocks_and_passes(spark, corpus, monkeypatch):
+    monkeypatch.setattr(D, "PART_WORDS", 5)
+    monkeypatch.setattr(D, "MIN_BLOCKS", 3)
+    monkeypatch.setattr(D, "PASS_TOKENS", 500)
+    sent = corpus.unionByName(_sentences(spark, ["a a a b", "", "a"]).select(F.lit(None).cast("long").alias("doc_id"), "tokens"))
+    want, m = Counter(), Counter()
+    for r in sent.collect():
+        for distance in (1, 2):
+            for a, b in zip(r.tokens, r.tokens[distance:]):
+                want.update([(a, b), (b, a)])
+    for (a, _), n in want.items():
+        m[a] += n
+    table = D.PairTable(pack(sent, [], block_tokens=700), 2)
+    words = {r.idx: r.word for r in table.words.collect()}
+    assert [words[i] for i in range(len(words))] == sorted((w for w in m if m[w] >= 2), key=lambda w: (-m[w], w.encode()))
+    got = {(words[r.i], words[r.j]): r.n for r in table.pairs().collect()}
+    assert got == {k: n for k, n in want.items() if min(m[k[0]], m[k[1]]) >= 2}
+    assert table.total == sum(m.values()) and ("a", "a") in got
+
+
+def test_a_product_sends_nothing_and_keeps_its_tasks_apart(spark, corpus):
+    f = D.Factorisation(D.PairTable(corpus, 40), 4)
+    with settings(spark, UNION_APART):
+        z = f.planned(f.start(), np.eye(4))
+        assert "Exchange" not in z._jdf.queryExecution().executedPlan().toString()
+        assert z.rdd.getNumPartitions() == f.layout.blocks > 1
+
+
+def test_dense_vectors_leave_one_set_of_columns(spark, corpus, tmp_dir):
+    def kept(base):
+        return {os.path.join(at, x) for at, _, files in os.walk(base) for x in files}
+    base = checkpoint_dir(spark).removeprefix("file:")
+    before = kept(base)
+    vecs = D.dense_vectors(corpus, dims=8, rounds=2, min_pairs=40, place=f"{tmp_dir}/columns")
+    left = [x for x in kept(base) - before if x.endswith(".parquet") and ("/columns-" in x or "-entries" in x or "numbered" in x)]
+    assert left and sum(pq.read_metadata(x).num_rows for x in left) == 0
+    assert spark.read.parquet(f"{tmp_dir}/columns").filter("part >= 0").select(F.sum(F.length("q"))).first()[0] == vecs.count() * 8 * 4
+
+
+def test_sentences_are_scored_alike_in_shares(spark, corpus, monkeypatch):
+    scores = spark.createDataFrame([("the", 1.0, {-1: 0.5, 999: 0.1}), ("a", 1.0, {-1: 0.1, 999: 0.7})],
+                                   "word string, norm double, dots map<int,double>")
+
+    def run():
+        sent = pack(corpus, ["doc_id"], block_tokens=400)
+        return sorted(map(tuple, CV.classify(sent, scores, [(0, -1), (1, -1)], 2, ["doc_id"], []).collect()))
+    whole = run()
+    monkeypatch.setattr(CV, "SHARE_TOKENS", 1000)
+    assert run() == whole and len(whole) == corpus.count()
+
+
 # --- word classes -------------------------------------------------------------
 
 def _paths(tokens, model):
