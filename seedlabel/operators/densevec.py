@@ -33,15 +33,16 @@ from pyspark.sql import functions as F
 from seedlabel.operators.countvec import margins
 from seedlabel.operators.packed import Block, PackedSentences, pack, squeezed, unsqueezed
 from seedlabel.operators.splits import global_index
-from seedlabel.session import NO_SHUFFLES_LEFT, UNION_APART, emptied, settings, shared_path, written_at, written_table
+from seedlabel.session import (NO_SHUFFLES_LEFT, ROW_BY_ROW, UNION_APART, emptied, settings, shared_path, written_at,
+                               written_table)
 
 DIMS = 100
 ROUNDS = 3          # products before the last one
 MIN_PAIRS = 10
 #: Words of a block (at most; a task holds dims x 8 bytes for each) and least number of blocks.
-BLOCK_WORDS, MIN_BLOCKS = 1 << 17, 16
+BLOCK_WORDS, MIN_BLOCKS = 1 << 17, 12
 #: Words of a part of a block, the unit in which columns are read and written (at most 1 << 16).
-PART_WORDS = 1 << 14
+PART_WORDS = 1 << 13
 #: Entries multiplied at once.
 CHUNK = 4096
 #: Pairs are counted in up to so many passes, one for every so many tokens.
@@ -188,14 +189,14 @@ class PairTable:
             if not n_words:
                 return
             at, numbered_at = shared_path(spark, "pair-entries"), shared_path(spark, "numbered-sentences")
-            numbered = written_at(_numbered(packed, self.words), numbered_at)
+            numbered = written_at(_numbered(packed, self.words), numbered_at, compression="none")
             none = spark.createDataFrame([], _ENTRIES)
             shares = min(MAX_PASSES, layout.blocks, max(1, -(-packed.n_tokens() // PASS_TOKENS)))
             shaped = none.unionByName(_word_blocks(self.words, layout).withColumn("source", F.lit(-1)), True)
             self.entries_at, self.entries = at, written_at(shaped, at, "append", ["block"])
             for share in range(shares):
                 counts = none.unionByName(_pair_counts(numbered, layout, share, shares), True)
-                self.entries = written_at(counts, at, "append", ["block"])
+                self.entries = written_at(counts, at, "append", ["block"], "none")
             emptied(spark, numbered_at)
 
     def pairs(self) -> DataFrame:
@@ -246,8 +247,8 @@ class Factorisation:
         self.units = {r["block"]: r["count"] for r in units}
         self.most = 1.0  # largest number of Q
 
-    def start(self) -> DataFrame:
-        """The hashed first block of columns."""
+    def start(self, place: str) -> DataFrame:
+        """The hashed first block of columns, written once: every task of a product reads it."""
         layout, dims = self.layout, self.dims
 
         def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +263,7 @@ class Factorisation:
                             ["block", "part", "m", "q"])
 
         own = self.table.entries.filter("source = -1").select("block", "m")
-        return own.mapInArrow(make, "block int, part int, m binary, q binary")
+        return written_at(own.mapInArrow(make, "block int, part int, m binary, q binary"), place, compression="none")
 
     def planned(self, q: DataFrame, turn: np.ndarray, with_words: bool = False) -> DataFrame:
         """``X Q turn`` by parts of blocks, and a last row (part -1) with the
@@ -348,8 +349,8 @@ class Factorisation:
 
     def product(self, q: DataFrame, turn: np.ndarray, place: str, with_words: bool = False) -> tuple[DataFrame, np.ndarray]:
         """``X (Q turn)``, written at ``place``, and its Gram matrix."""
-        with settings(self.spark, UNION_APART):
-            z = written_at(self.planned(q, turn, with_words), place)
+        with settings(self.spark, UNION_APART | ROW_BY_ROW):
+            z = written_at(self.planned(q, turn, with_words), place, compression="none")
         grams = z.filter("part = -1").select("block", "gram", "most").orderBy("block").collect()  # one per block
         gram = np.zeros((turn.shape[1],) * 2)
         for g in grams:
@@ -378,14 +379,14 @@ def dense_vectors(sent: DataFrame | PackedSentences, dims: int = DIMS, rounds: i
     f = Factorisation(table, dims)
     # columns are written to two places in turn, so only the last two sets are kept
     places = [place or shared_path(spark, "columns"), shared_path(spark, "columns")]
-    q, turn = f.start(), np.eye(dims)
+    q, turn = f.start(places[(rounds + 1) % 2]), np.eye(dims)
     for k in range(rounds, 0, -1):
         q, gram = f.product(q, turn, places[k % 2])
         turn = _whiten(gram, -0.5)
         if not turn.shape[1]:  # no positive entry at all
             return table.words.select("word", "m", F.array().cast("array<double>").alias("vec"))
     z, gram = f.product(q, turn, places[0], with_words=True)
-    for path in [table.entries_at, *places[1:][:rounds]]:
+    for path in [table.entries_at, places[1]]:
         emptied(spark, path)
     # Z = U S V': vectors U S^(1/2) = Z V S^(-1/2), with S^2 the eigenvalues
     last, wide = _whiten(gram, -0.25), turn.shape[1]
@@ -408,8 +409,9 @@ def word_scores(vecs: DataFrame, seeds: DataFrame) -> DataFrame:
     """``(word, norm, dots)`` against the unit mean vector of each class's known
     seed words, as :func:`countvec.classify` takes them; prototypes are one
     vector per class."""
-    known = (vecs.join(F.broadcast(seeds.select("cls", F.col("text").alias("word"))), "word")
-             .select("cls", "vec").collect())  # one row per seed word
+    with settings(vecs.sparkSession, ROW_BY_ROW):
+        known = (vecs.join(F.broadcast(seeds.select("cls", F.col("text").alias("word"))), "word")
+                 .select("cls", "vec").collect())  # one row per seed word
     protos = {}
     for r in known:
         protos.setdefault(r["cls"], []).append(r["vec"])

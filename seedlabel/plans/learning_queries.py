@@ -19,7 +19,7 @@ from seedlabel.operators.packed import pack
 from seedlabel.operators.splits import hash_uniform
 from seedlabel.plans import embedding_queries as EQ
 from seedlabel.plans import text_queries as TQ
-from seedlabel.session import broadcast_if_bounded, emptied, shared_path, written_table
+from seedlabel.session import ROW_BY_ROW, broadcast_if_bounded, emptied, settings, shared_path, written_table
 
 # Fixed query parameters.
 GAMMA_ASPECT = 3.0
@@ -87,7 +87,9 @@ def q_trained_vector_report(spark, sf_dir):
     factorisation of the PPMI table (iterative, so without a SQL twin)."""
     sent = pack(_sentences(spark, sf_dir), ["doc_id", "pos", "gold"])  # read by the counts and by the labelling
     place = shared_path(spark, "word-vectors")
-    scores = written_table(DV.word_scores(DV.dense_vectors(sent, place=place), _seed_texts(spark)), "word-scores")
+    vecs = DV.dense_vectors(sent, place=place)
+    with settings(spark, ROW_BY_ROW):
+        scores = written_table(DV.word_scores(vecs, _seed_texts(spark)), "word-scores")
     emptied(spark, place)
     scores = broadcast_if_bounded(scores, scores.count(), row_bytes=256)
     labels = CV.classify(sent, scores, [(c, -1) for c in range(len(TQ.LANG_SEEDS))], len(TQ.LANG_SEEDS),

@@ -186,10 +186,10 @@ def test_pair_table_over_blocks_and_passes(spark, corpus, monkeypatch):
     assert table.total == sum(m.values()) and ("a", "a") in got
 
 
-def test_a_product_sends_nothing_and_keeps_its_tasks_apart(spark, corpus):
+def test_a_product_sends_nothing_and_keeps_its_tasks_apart(spark, corpus, tmp_dir):
     f = D.Factorisation(D.PairTable(corpus, 40), 4)
     with settings(spark, UNION_APART):
-        z = f.planned(f.start(), np.eye(4))
+        z = f.planned(f.start(f"{tmp_dir}/start"), np.eye(4))
         assert "Exchange" not in z._jdf.queryExecution().executedPlan().toString()
         assert z.rdd.getNumPartitions() == f.layout.blocks > 1
 
