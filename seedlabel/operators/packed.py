@@ -12,7 +12,8 @@ The sentence edges ``<s>`` and ``</s>`` stand in the list of every block.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seedlabel.operators.vocabulary import BOS, EOS
-from seedlabel.session import written_table
+from seedlabel.session import shared_path, written_at
 
 #: Tokens and sentences of a block (a longer sentence is a block of its own).
 BLOCK_TOKENS = 3 << 20
@@ -31,6 +32,14 @@ BLOCK_TOKENS = 3 << 20
 BATCH_BYTES = 4 << 20
 
 
+def lean_memory() -> None:
+    """In a worker: large arrays are apart from the heap and go back to the
+    machine when they are freed, instead of staying with a worker that is used again."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    if hasattr(libc := ctypes.CDLL(None), "mallopt"):
+        libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
+
+
 def squeezed(values: np.ndarray) -> bytes:
     """An array's bytes, compressed, behind their number."""
     raw = values.tobytes()
@@ -111,11 +120,84 @@ class PackedSentences:
 def pack(sent: DataFrame, keep: list[str], tokens_col: str = "tokens",
          block_tokens: int = BLOCK_TOKENS) -> PackedSentences:
     """The sentences of a table with a column of tokens, packed and written once."""
-    sent.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     rows = sent.select(*keep, F.coalesce(F.col(tokens_col), F.array().cast("array<string>")).alias("_tokens"))
-    kinds = dict(rows.dtypes[:-1])
+    return _pack(rows, dict(rows.dtypes[:-1]), lambda batches: batches, block_tokens)
+
+
+def pack_texts(docs: DataFrame, keep: list[str], text_col: str = "text",
+               block_tokens: int = BLOCK_TOKENS) -> PackedSentences:
+    """:func:`pack` of the tokens of the sentences of texts (``split_sentences``,
+    then ``tokens``), with the place of the sentence as ``pos`` behind the kept columns."""
+    rows = docs.select(*keep, F.lower(text_col).alias("_text")).filter(F.col("_text").isNotNull())
+
+    def sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, pos, tokens = sentence_tokens(batch.column(len(keep)))
+            doc = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(doc) for i in range(len(keep))), pa.array(pos), tokens],
+                                             [*keep, "pos", "_tokens"])
+
+    return _pack(rows, {**dict(rows.dtypes[:-1]), "pos": "int"}, sentences, block_tokens)
+
+
+#: By byte: white space of one byte, and the first bytes of longer white space.
+_BLANK = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
+_LONG_BLANKS = [c.encode() for c in "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200b)))]
+_LONG_FIRST = np.isin(np.arange(256), [b[0] for b in _LONG_BLANKS])
+_STOP = np.isin(np.arange(256), list(b";.!"))
+
+
+def sentence_tokens(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
+    """(text, place in the text, tokens) of every sentence of lower-case texts,
+    cut as by ``raw_sentence_pieces`` and ``tokens``, on the bytes of all texts at once."""
+    texts = texts.cast(pa.string())
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]]
+    ends = ends - ends[0]
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), pa.array([], pa.list_(pa.string()))
+    start = np.zeros(len(data) + 1, bool)  # of a text
+    start[ends[:-1]] = True
+    start = start[:-1]
+    # what ends a sentence: one of ;.! and a blank, a blank and a question mark, a line feed
+    stop, mark = np.zeros(len(data), bool), np.zeros(len(data), bool)
+    stop[:-1] = _STOP[data[:-1]] & (data[1:] == 32) & ~start[1:]
+    mark[:-1] = (data[:-1] == 32) & (data[1:] == 63) & ~start[1:]
+    mark[1:] &= ~stop[:-1]  # that blank is the other's
+    two = stop | mark
+    cut = two | (data == 10)
+    cut[1:] |= two[:-1]
+    out = _BLANK[data] | cut
+    first = np.flatnonzero(_LONG_FIRST[data])
+    for blank in _LONG_BLANKS if len(first) else ():
+        at = first[first + len(blank) <= len(data)]
+        for i, byte in enumerate(blank):
+            at = at[data[at + i] == byte]
+        for i in range(len(blank)):
+            out[at + i] = True
+    # pieces and tokens are the runs of bytes in none of these, within a text
+    head = ~cut
+    head[1:] &= cut[:-1] | start[1:]
+    token = ~out
+    text, kept = data[token], np.flatnonzero(token)
+    token[1:] &= out[:-1] | start[1:]
+    begins, piece = np.flatnonzero(token), np.flatnonzero(head)
+    offsets = np.append(np.searchsorted(kept, begins), len(kept)).astype(np.int32)
+    sizes = np.append(np.searchsorted(begins, piece), len(begins)).astype(np.int32)
+    doc = np.searchsorted(ends, piece, "right") - 1
+    pos = np.arange(len(piece)) - np.searchsorted(piece, ends[:-1])[doc]
+    tokens = pa.StringArray.from_buffers(len(begins), pa.py_buffer(offsets), pa.py_buffer(text))
+    return doc, pos.astype(np.int32), pa.ListArray.from_arrays(pa.array(sizes), tokens)
+
+
+def _pack(rows: DataFrame, kinds: dict[str, str], sentences: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+          block_tokens: int) -> PackedSentences:
+    """Rows of which a function makes the kept columns and the tokens of sentences."""
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    keep = list(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_memory()
         number = TaskContext.get().partitionId() << 24
         held: list[pa.RecordBatch] = []
         room = block_tokens
@@ -133,7 +215,7 @@ def pack(sent: DataFrame, keep: list[str], tokens_col: str = "tokens",
                  pa.array([squeezed(codes[:-2].astype(np.int32))], pa.binary())],
                 ["block", "n_tokens", *keep, "sizes", "words", "codes"])
 
-        for batch in batches:
+        for batch in sentences(batches):
             used = np.cumsum(np.diff(batch.column(len(keep)).offsets.to_numpy()) + 1)  # an empty sentence counts, too
             at = before = 0
             while at < batch.num_rows:
@@ -151,4 +233,5 @@ def pack(sent: DataFrame, keep: list[str], tokens_col: str = "tokens",
 
     schema = ", ".join(["block long, n_tokens long", *(f"`{c}` array<{k}>" for c, k in kinds.items()),
                         "sizes binary, words array<string>, codes binary"])
-    return PackedSentences(written_table(rows.mapInArrow(run, schema), "packed-sentences"), list(keep), kinds)
+    path = shared_path(rows.sparkSession, "packed-sentences")
+    return PackedSentences(written_at(rows.mapInArrow(run, schema), path, compression="zstd"), keep, kinds)

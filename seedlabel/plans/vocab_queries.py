@@ -8,10 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seedlabel.functions.text import PUNCTUATION, tokens
+from seedlabel.functions.text import PUNCTUATION
 from seedlabel.operators import contexts as X, metrics, vocabulary as V
 from seedlabel.operators.keywords import encode_labels
-from seedlabel.operators.packed import pack
+from seedlabel.operators.packed import pack_texts
 from seedlabel.plans import text_queries as TQ
 from seedlabel.session import written_table
 
@@ -23,6 +23,7 @@ LAMBDA = 0.5     # z-score threshold
 NOUN_LETTERS = 6 # words of this length or more are tagged NOUN
 FILTER_WORDS = PUNCTUATION
 N_CLASSES = len(TQ.LANGS)
+BLOCK_TOKENS = 1 << 20  # two tasks of an executor hold a block's contexts each
 
 
 class VocabRun:
@@ -30,10 +31,9 @@ class VocabRun:
 
     def __init__(self, spark, sf_dir):
         self.spark = spark
-        sent = TQ.sentences(spark, sf_dir).withColumn("tokens", tokens("sentence"))
+        docs = TQ.documents(spark, sf_dir).select("doc_id", encode_labels("lang", TQ.LANGS).alias("gold"), "text")
         # split once: every pass reads the packed sentences
-        self.sent = pack(sent.select("doc_id", "pos", encode_labels("lang", TQ.LANGS).alias("gold"), "tokens"),
-                         ["doc_id", "pos", "gold"])
+        self.sent = pack_texts(docs, ["doc_id", "gold"], block_tokens=BLOCK_TOKENS)
         self.contexts = X.contexts(self.sent)
 
     def subs(self, k):
