@@ -13,7 +13,7 @@ from seedlabel.operators import contexts as X, metrics, vocabulary as V
 from seedlabel.operators.keywords import encode_labels
 from seedlabel.operators.packed import pack_texts
 from seedlabel.plans import text_queries as TQ
-from seedlabel.session import written_table
+from seedlabel.session import NO_SHUFFLES_LEFT, emptied, settings, written_table
 
 # Fixed query parameters.
 K1 = 10          # substitutes per seed occurrence when building vocabularies
@@ -39,14 +39,18 @@ class VocabRun:
     def subs(self, k):
         return X.substitutes(self.contexts, k)
 
-    def vocab(self):
-        return X.class_vocabulary(self.contexts, V.seed_table(self.spark, TQ.LANG_SEEDS), K1, FILTER_WORDS)
+    def vocab(self, contexts=None):
+        return X.class_vocabulary(contexts or self.contexts, V.seed_table(self.spark, TQ.LANG_SEEDS), K1, FILTER_WORDS)
 
     def disjoint(self):
         return V.disjoint_vocabulary(self.vocab(), M)
 
     def scores(self, lexicon=None):
-        hits = X.class_hits(self.contexts, self.disjoint(), K2, FILTER_WORDS, N_CLASSES)
+        kept = self.contexts.written()  # the vocabulary and the hits ask the same buckets, and nothing else does
+        with settings(self.spark, NO_SHUFFLES_LEFT):
+            vocab = V.disjoint_vocabulary(self.vocab(kept), M)
+            hits = written_table(X.class_hits(kept, vocab, K2, FILTER_WORDS, N_CLASSES), "context-hits")
+        emptied(self.spark, kept.path)
         return X.overlap_scores(self.contexts, ["doc_id", "pos"], hits, N_CLASSES, FILTER_WORDS, lexicon=lexicon,
                                 carry=["gold"])
 
