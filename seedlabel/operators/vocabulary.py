@@ -144,8 +144,15 @@ def overlap_scores(sent: DataFrame, id_cols, ctx_hits: DataFrame, n_classes: int
                        F.array(*[F.col(f"_h{c}") / n for c in range(n_classes)]).alias("scores"))
 
 
-def class_score_stats(scores: DataFrame, scores_col: str = "scores") -> DataFrame:
+def class_score_stats(scores: DataFrame, scores_col: str = "scores", n_classes: int | None = None) -> DataFrame:
     """``(cls, mean, sd)`` with the population standard deviation."""
+    if n_classes is not None:        # a column per class, no row
+        x = [F.col(scores_col)[c] for c in range(n_classes)]
+        one = scores.agg(*[f(v).alias(f"{k}{c}") for c, v in enumerate(x)
+                           for k, f in (("n", F.count), ("mean", F.avg), ("sd", F.stddev_pop))])
+        rows = F.array(*[F.struct(F.lit(c).alias("cls"), F.col(f"mean{c}").alias("mean"), F.col(f"sd{c}").alias("sd"),
+                                  F.col(f"n{c}").alias("n")) for c in range(n_classes)])
+        return one.select(F.inline(rows)).filter(F.col("n") > 0).drop("n")
     e = scores.select(F.posexplode(scores_col).alias("cls", "x"))
     return e.groupBy(F.col("cls").cast("int").alias("cls")).agg(F.avg("x").alias("mean"),
                                                                  F.stddev_pop("x").alias("sd"))

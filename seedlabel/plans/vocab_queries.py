@@ -57,7 +57,7 @@ class VocabRun:
     def z(self):
         # the scores feed both the class statistics and the standardisation
         s = written_table(self.scores(), "overlap-scores")
-        return V.zscores(s, V.class_score_stats(s), n_classes=N_CLASSES)
+        return V.zscores(s, V.class_score_stats(s, n_classes=N_CLASSES), n_classes=N_CLASSES)
 
 
 def q_substitute_topk(spark, sf_dir):
@@ -94,7 +94,7 @@ def q_tagged_overlap_scores(spark, sf_dir):
 
 
 def q_class_score_stats(spark, sf_dir):
-    st = V.class_score_stats(VocabRun(spark, sf_dir).scores())
+    st = V.class_score_stats(VocabRun(spark, sf_dir).scores(), n_classes=N_CLASSES)
     return st.select("cls", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
 
 
