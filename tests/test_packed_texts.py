@@ -8,8 +8,6 @@ from seedlabel.functions.text import tokens
 from seedlabel.operators import packed as P
 from seedlabel.operators.sentences import split_sentences
 
-SMALL = "/root/testdata/sf0.001"
-
 
 def _rows(df):
     return sorted((tuple(tuple(v) if isinstance(v, list) else v for v in r) for r in df.collect()), key=repr)
@@ -37,12 +35,15 @@ def test_texts_are_cut_as_by_the_sentence_expressions(spark):
     assert _sentences(P.pack_texts(docs, ["doc_id"], block_tokens=64)) == _rows(want)
 
 
-def test_no_sentence_is_a_row_before_it_is_packed(spark, monkeypatch):
+def test_no_sentence_is_a_row_before_it_is_packed(spark, tmp_path, monkeypatch):
+    """Before, the plan exploded the sentences of a text."""
     from seedlabel.plans import vocab_queries as VQ
+    spark.createDataFrame([(1, "en", "A b. c"), (2, "xx", "d; e ?f")], "doc_id long, lang string, text string").write.parquet(
+        str(tmp_path / "documents.parquet"))
     plans, write = [], P.written_at
     monkeypatch.setattr(P, "written_at", lambda df, *a, **k: (plans.append(df._jdf.queryExecution().toString()), write(df, *a, **k))[1])
-    run = VQ.VocabRun(spark, SMALL)
-    assert "Generate" not in plans[0] and run.sent.n_tokens() > 10_000
+    run = VQ.VocabRun(spark, str(tmp_path))
+    assert "Generate" not in plans[0] and run.sent.n_tokens() == 6
 
 
 def test_workers_give_memory_back():
