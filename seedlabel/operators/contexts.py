@@ -34,7 +34,7 @@ BUCKET_POSITIONS, MIN_BUCKETS = 1 << 20, 32
 #: Rows of an Arrow batch of results, and of rows for buckets.
 ROWS, BUCKET_ROWS = 1 << 16, 64
 #: A word of the broadcast list makes up one token in so many at least (so the list has no more words), and is no longer than this.
-COMMON_SHARE, COMMON_LENGTH = 1 << 19, 64
+COMMON_SHARE, COMMON_LENGTH = 1 << 20, 64
 
 _ROW = "bucket int, block long, data binary"
 
@@ -44,7 +44,7 @@ def _joined(numbers: list[np.ndarray], text: np.ndarray) -> bytes:
     the numbers lie apart by their weight, since most high ones are zero."""
     all_ = np.concatenate([np.array([len(numbers), *map(len, numbers)]), *numbers]).astype("<i4")
     planes = all_.view(np.uint8).reshape(-1, 4).T.ravel()
-    return len(all_).to_bytes(8, "little") + squeezed(np.concatenate([planes, text]))
+    return len(all_).to_bytes(8, "little") + squeezed(np.concatenate([planes, text]), level=3)
 
 
 def _apart(data: bytes) -> tuple[list[np.ndarray], np.ndarray]:
@@ -245,12 +245,12 @@ def _merged(batches: Iterator[pa.RecordBatch], common: pa.StringArray) -> Iterat
 
 def common_words(sent: PackedSentences, n_tokens: int, share: int) -> pa.StringArray:
     """The sentence edges and the words that make up one token in ``share`` or more, in byte order.
-    A block tells of the words that are half as common in it, so a few may be missing."""
+    A block tells of the words that are twice as common in it, so a few may be missing."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks_of(batch):
                 n = np.bincount(block.codes, minlength=len(block.words))
-                found = pa.array(np.flatnonzero(n * 2 * share >= max(len(block.codes), 1)))
+                found = pa.array(np.flatnonzero(n * share >= max(2 * len(block.codes), 1)))
                 yield pa.RecordBatch.from_arrays([block.words.take(found), pa.array(n).take(found)], ["word", "n"])
 
     few = (sent.table.select("words", "sizes", "codes").mapInArrow(run, "word string, n long")

@@ -40,10 +40,11 @@ def lean_memory() -> None:
         libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
 
 
-def squeezed(values: np.ndarray) -> bytes:
+def squeezed(values: np.ndarray, level: int = 1) -> bytes:
     """An array's bytes, compressed, behind their number."""
     raw = values.tobytes()
-    return len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
+    codec = pa.Codec("zstd", compression_level=level)
+    return len(raw).to_bytes(8, "little") + (codec.compress(raw, asbytes=True) if raw else b"")
 
 
 def unsqueezed(data: bytes, dtype=np.int32) -> np.ndarray:

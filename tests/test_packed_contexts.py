@@ -28,7 +28,7 @@ def sent(spark):
     return spark.createDataFrame(rows, "doc_id long, pos int, gold int, tokens array<string>").repartition(3)
 
 
-@pytest.mark.parametrize("share", [1, 20, 1 << 19])
+@pytest.mark.parametrize("share", [1, 50, 1 << 20])
 def test_common_words_change_no_result(spark, sent, share):
     packed = P.pack(sent, ["doc_id", "pos", "gold"], block_tokens=64)
     ctx = X.contexts(packed, share=share)
